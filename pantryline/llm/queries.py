@@ -8,8 +8,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pantryline.llm import sharding, token_cache, url_filter, warc
-from pantryline.llm.common import new_path, written
+from pantryline.llm import fertility, sharding, simhash, token_cache, toxicity, url_filter, warc
+from pantryline.llm.common import fold, new_path, written
 
 RULES = [("allow", "org/"), ("block", "example.org/es/"), ("block", "example.org/en/1"), ("allow", "com/fr/"), ("block", "com/de/")]
 WORD_BPE = "word_bpe_49k.json"
@@ -20,6 +20,32 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def vocabularies() -> fertility.Vocabularies:
+    """The two vocabularies of the quality rules."""
+    return fertility.Vocabularies(public_tokenizers.path("piece_bpe_32k.model"), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
+
+
+def op2_fertility(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document by the base rules and the fertility bands of its language."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "lang", "text")
+    measured = written(fertility.measure(docs, vocabularies()).drop("text"), "measured")
+    judged = fertility.judge(measured, written(fertility.bands(measured), "bands"))
+    base = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
+    return judged.select("doc_id", *base, "base_failed", "kept", "chars_per_piece", "chars_per_byte_token", "byte_share", "entropy")
+
+
+def toxicity_model(spark: SparkSession, docs: DataFrame, sf_dir: str) -> toxicity.Model:
+    """Learned from labels of ids outside fold 0."""
+    return toxicity.train(docs, table(spark, sf_dir, "labels"), fold(F.col("doc_id")) != 0)
+
+
+def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's toxicity."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    scored = toxicity.score(docs, toxicity_model(spark, docs, sf_dir)).drop("text")
+    return scored.select("doc_id", (fold(F.col("doc_id")) == 0).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
 def op3_warc_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every page to WARC archives and back through the chunked record table."""
     path = new_path(spark, "archives")
@@ -34,6 +60,13 @@ def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return counts.select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > 2048).alias("over_limit"))
 
 
+def op8_pigeonring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Classes of near copies among all documents: shingles of four words, 64 bits, at most four of them different."""
+    found = written(simhash.near_copies(table(spark, sf_dir, "documents").select("doc_id", "text"), 4, simhash.Ring(1, 4, 5)), "near-copies")
+    number = F.concat(*(F.substring("fp", i, 1) for i in range(8, 0, -1)))  # the bytes are little-endian
+    return found.select("doc_id", F.lower(F.hex(number)).alias("fingerprint"), "component_id")
+
+
 def op9_external_shuffle(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents into eight shuffled shards."""
     return sharding.shard_rows(table(spark, sf_dir, "documents"))
@@ -75,5 +108,5 @@ SELECT d.page_id, d.payload_bytes, d.payload_digest,
 FROM d LEFT JOIN w USING (payload_digest, payload_bytes)
 """
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op3_warc_chunks, op7_token_counts, op9_external_shuffle, op10_url_cascade)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op2_fertility, op3_warc_chunks, op4_toxicity, op7_token_counts, op8_pigeonring, op9_external_shuffle, op10_url_cascade)}
 SQL: dict[str, str] = {"op3_warc_chunks": OP3_SQL, "op10_url_cascade": OP10_SQL}
