@@ -30,7 +30,7 @@ SYMBOLS, SPACE = b"#*$%&|<>", b" \t\n\r\x0b\x0c"
 KEPT_WORDS = 300_000
 LONGS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_pieces", "n_byte_pieces", "n_byte_tokens")
 #: Measure: least deviation, so that a class of equal texts doesn't reject its neighbours.
-MEASURES = {"chars_per_piece": 0.05, "chars_per_byte_token": 0.05, "byte_share": 0.01, "entropy_rate": 0.02}
+MEASURES = {"chars_per_piece": 0.02, "chars_per_byte_token": 0.02, "byte_share": 0.01, "entropy_rate": 0.02}
 
 
 @dataclass(frozen=True)
@@ -183,7 +183,7 @@ def _ratios(measured: DataFrame) -> DataFrame:
     )
 
 
-def bands(measured: DataFrame, language: str = "lang", width: float = 6.0, least: int = 100) -> DataFrame:
+def bands(measured: DataFrame, language: str = "lang", width: float = 5.0, least: int = 100) -> DataFrame:
     """A row for each language and length class that texts have: (language, length_class, MEASURE_low, MEASURE_high).
 
     From all texts that pass the base rules; without ``least`` of them a class has those of all languages, or nulls.
@@ -220,7 +220,7 @@ def judge(measured: DataFrame, limits: DataFrame, language: str = "lang") -> Dat
     return out.withColumn("kept", ~F.col("base_failed") & inside)
 
 
-def quality(docs: DataFrame, vocabularies: Vocabularies, language: str = "lang", width: float = 6.0) -> DataFrame:
+def quality(docs: DataFrame, vocabularies: Vocabularies, language: str = "lang", width: float = 5.0) -> DataFrame:
     """``docs`` (text, a language column, ...) with all measures, base_failed and kept.
 
     The measured rows are written once to the shared folder, as the bands are learned from them and then judge them.
