@@ -8,11 +8,11 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pantryline.llm import fertility, sharding, simhash, token_cache, toxicity, url_filter, warc
+from pantryline.llm import decontamination, fertility, ngram, pieces, sharding, simhash, token_cache, toxicity, url_filter, warc
 from pantryline.llm.common import fold, new_path, written
 
 RULES = [("allow", "org/"), ("block", "example.org/es/"), ("block", "example.org/en/1"), ("allow", "com/fr/"), ("block", "com/de/")]
-WORD_BPE = "word_bpe_49k.json"
+WORD_BPE, PIECES = public_tokenizers.path("word_bpe_49k.json"), public_tokenizers.path("piece_bpe_32k.model")
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -22,7 +22,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def vocabularies() -> fertility.Vocabularies:
     """The two vocabularies of the quality rules."""
-    return fertility.Vocabularies(public_tokenizers.path("piece_bpe_32k.model"), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
+    return fertility.Vocabularies(PIECES, public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
+
+
+def op1_deleted_interpolation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's score; fold 1 teaches nothing, and fold 2 is deleted from the counts to learn the weights."""
+    docs, of = table(spark, sf_dir, "documents").select("doc_id", "text"), fold(F.col("doc_id"))
+    scores = ngram.interpolated_scores(docs, of != 1, of == 2)
+    return scores.select("doc_id", (of == 1).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
 
 
 def op2_fertility(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -53,10 +60,22 @@ def op3_warc_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.page_records(files.repartition(max(1, files.count())), path)
 
 
+def op5_nbest_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The four best segmentations of every document."""
+    best = pieces.encode(table(spark, sf_dir, "documents"), PIECES, 4, ids_of=0)
+    each = best.select("doc_id", "round_trip", F.posexplode(F.arrays_zip("scores", "n_pieces", "ids_crc32")).alias("at", "one"))
+    return each.select("doc_id", (F.col("at") + 1).alias("rank"), F.col("one.scores").alias("score"), "one.n_pieces", "one.ids_crc32", "round_trip")
+
+
+def op6_simhash_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document with each benchmark item that it holds."""
+    return decontamination.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Tokens of every document, through a cache that starts empty."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("n_bytes"))
-    counts = token_cache.cached_counts(docs, public_tokenizers.path(WORD_BPE), new_path(spark, "token-counts"))
+    counts = token_cache.cached_counts(docs, WORD_BPE, new_path(spark, "token-counts"))
     return counts.select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > 2048).alias("over_limit"))
 
 
@@ -108,5 +127,5 @@ SELECT d.page_id, d.payload_bytes, d.payload_digest,
 FROM d LEFT JOIN w USING (payload_digest, payload_bytes)
 """
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op2_fertility, op3_warc_chunks, op4_toxicity, op7_token_counts, op8_pigeonring, op9_external_shuffle, op10_url_cascade)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_deleted_interpolation, op2_fertility, op3_warc_chunks, op4_toxicity, op5_nbest_pieces, op6_simhash_windows, op7_token_counts, op8_pigeonring, op9_external_shuffle, op10_url_cascade)}
 SQL: dict[str, str] = {"op3_warc_chunks": OP3_SQL, "op10_url_cascade": OP10_SQL}
