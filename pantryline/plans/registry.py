@@ -5,10 +5,15 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-QUERIES: dict = {}
-SQL: dict = {}
+from pantryline.functions import text
+from pantryline.operators import metrics
+from pantryline.plans import groups, pages, places, serving, tagging  # noqa: F401  they register themselves
+from pantryline.plans.base import QUERIES, SQL, Tables
+
+__all__ = ["QUERIES", "SQL", "flagship"]
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Parts as menu items: how many of each category."""
-    return spark.read.parquet(f"{sf_dir}/part.parquet").groupBy(F.col("p_type").alias("category")).agg(F.count("*").alias("n"))
+    """Parts as menu items: the ten most frequent categories."""
+    named = Tables(spark, sf_dir).part.select(text.category(F.col("p_name"), tagging.CATS).alias("category"))
+    return metrics.top_counts(metrics.value_counts(named, F.col("category"), "category"), "category")
