@@ -77,13 +77,13 @@ class Words:
         get = self.number.setdefault
         out = [np.fromiter((get(w, len(self.number)) for w in x), np.int64, len(x)) for x in texts]
         if new := [w.decode() for w in list(self.number)[known:]]:
-            ids = self.pieces.encode(new)
+            ids, encode = self.pieces.encode(new, num_threads=1), self.bytes.encode_ordinary
             sizes = np.fromiter(map(len, ids), np.int64, len(ids))
             flat = np.fromiter((i for x in ids for i in x), np.int32, int(sizes.sum()))
             self.ids = np.concatenate([self.ids, flat])
             self.byte_pieces = np.concatenate([self.byte_pieces, np.add.reduceat(self.is_byte[flat], np.cumsum(sizes) - sizes, dtype=np.int64)])
             self.start = np.concatenate([self.start, self.start[-1] + np.cumsum(sizes)])
-            self.byte_tokens = np.concatenate([self.byte_tokens, np.fromiter((len(x) for x in self.bytes.encode_ordinary_batch([" " + w for w in new], num_threads=1)), np.int64, len(new))])
+            self.byte_tokens = np.concatenate([self.byte_tokens, np.fromiter((len(encode(" " + w)) for w in new), np.int64, len(new))])
         return out
 
 
