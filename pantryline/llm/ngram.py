@@ -27,6 +27,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
+import zstandard
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -48,15 +49,16 @@ ARROW = pa.schema([(x, pa.int64()) for x in ("dest", "unit", "kind", "level", "p
 
 
 def pack(x: np.ndarray) -> bytes:
-    """Unsigned integers by byte planes, as many as the largest needs; planes compress well."""
+    """Unsigned integers by byte planes, as many as the largest needs, compressed: small numbers take little."""
     x = np.ascontiguousarray(x, np.uint64)
     width = max(1, (int(x.max()).bit_length() + 7) // 8) if len(x) else 1
-    return x.view(np.uint8).reshape(-1, 8)[:, :width].T.tobytes()
+    return zstandard.compress(x.view(np.uint8).reshape(-1, 8)[:, :width].T.tobytes(), 1)
 
 
 def unpack(b: bytes, n: int) -> np.ndarray:
     """The ``n`` integers that ``pack`` got."""
     out = np.zeros((n, 8), np.uint8)
+    b = zstandard.decompress(b)
     if n:
         out[:, : len(b) // n] = np.frombuffer(b, np.uint8).reshape(-1, n).T
     return out.reshape(-1).view(np.uint64)
