@@ -53,7 +53,7 @@ TOKEN = re.compile(r"\w+")
 
 
 #: A feature is dense in a text that has it twice or more and in one of so many words at least.
-DENSE = 128
+DENSE, SPACE = 128, 1 << 24
 
 
 def stems(word: str) -> tuple[str, ...]:
@@ -62,8 +62,8 @@ def stems(word: str) -> tuple[str, ...]:
 
 
 def number(stem: str, dense: bool = False) -> int:
-    """A feature's 32-bit number."""
-    return zlib.crc32(f"{stem}+".encode() if dense else stem.encode())
+    """A feature's number, of 24 bits: so the counts of all features fit an array."""
+    return zlib.crc32(f"{stem}+".encode() if dense else stem.encode()) % SPACE
 
 
 def features(words: Counter[str]) -> set[int]:
@@ -124,21 +124,27 @@ def fit(x: list[np.ndarray], y: np.ndarray, changed: list[tuple[int, np.ndarray]
         share = min(max(share, 1e-6), 1 - 1e-6)
         return Model({}, float(np.log(share / (1 - share))))
     n, n1 = len(y), int(y.sum())
-    flat, row = np.concatenate(x), np.repeat(np.arange(n), [len(v) for v in x])
-    names, at = np.unique(flat, return_inverse=True)
-    df, df1 = np.bincount(at), np.bincount(at, weights=y[row])
-    a, b, c, d = df1, df - df1, n1 - df1, n - n1 - (df - df1)
-    chi = n * (a * d - b * c) ** 2 / np.maximum(df * (n - df) * n1 * (n - n1), 1)
-    good = (chi > 25) & (df >= 5)
-    best = np.flatnonzero(good)[np.argsort(-chi[good], kind="stable")[:vocabulary]]
+    df, df1 = np.zeros(SPACE, np.int32), np.zeros(SPACE, np.int32)
+    for v, label in zip(x, y, strict=True):  # a text has a feature once
+        df[v] += 1
+        if label:
+            df1[v] += 1
+    names = np.flatnonzero(df >= 5)
+    a = df1[names].astype(float)
+    b, c = df[names] - a, n1 - a
+    d = n - n1 - b
+    chi = n * (a * d - b * c) ** 2 / np.maximum((a + b) * (c + d) * n1 * (n - n1), 1)
+    good = np.flatnonzero(chi > 25)
+    best = good[np.argsort(-chi[good], kind="stable")[:vocabulary]]
     chosen = np.union1d(names[best], np.array(sorted(must), names.dtype))
     k = len(chosen)
+    slot = df  # no longer needed
+    slot[:] = -1
+    slot[chosen] = np.arange(k)
 
     def placed(parts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-        r, f = np.repeat(np.arange(len(parts)), [len(v) for v in parts]), np.concatenate(parts) if parts else np.zeros(0, names.dtype)
-        i = np.searchsorted(chosen, f)
-        ok = (i < k) & (chosen[np.minimum(i, k - 1)] == f)
-        return r[ok], i[ok]
+        mine = [i[i >= 0] for i in (slot[v] for v in parts)]
+        return np.repeat(np.arange(len(parts)), [len(i) for i in mine]), np.concatenate(mine) if mine else np.zeros(0, np.int32)
 
     r, f = placed(x)
     cr, cf = placed([v for _, v in changed])
@@ -162,7 +168,7 @@ def fit(x: list[np.ndarray], y: np.ndarray, changed: list[tuple[int, np.ndarray]
     return Model({int(i): float(z) for i, z in zip(chosen, w, strict=True) if z}, float(bias))
 
 
-def train(docs: DataFrame, labels: DataFrame, usable: Column, target: str = "toxic", most: int = 10_000, vocabulary: int = 4096, penalty: float = 1.0, kinds: tuple[tuple[str, ...], ...] = IDENTITY) -> Model:
+def train(docs: DataFrame, labels: DataFrame, usable: Column, target: str = "toxic", most: int = 6_000, vocabulary: int = 4096, penalty: float = 1.0, kinds: tuple[tuple[str, ...], ...] = IDENTITY) -> Model:
     """A model from ``docs`` (doc_id, text) and ``labels`` (doc_id, target) where ``usable`` holds.
 
     At most ``most`` rows of each label are read, those whose ids hash lowest, so at most twice as many reach one task.
