@@ -5,10 +5,11 @@ no piece covers its UTF-8 bytes' pieces, at ``UNKNOWN`` below the lowest score.
 score up to each place; a backward A-star search from the end takes those as its heuristic, which is exact, so complete
 segmentations leave the queue in the order of their scores.
 
-No piece has a space behind another character, so the lattice falls apart before each space that ends a word and round
-each character that stands in no longer piece. The search runs over such parts, whose results a worker keeps, and the
-N best of a text are those of the parts' combinations: only the N-1 parts with the smallest loss to their second best
-can differ from their best.
+The lattice falls apart between two characters that stand beside each other in no piece, as before each space that ends
+a word. Parts are kept by a worker: Viterbi passes from both ends give a part's best segmentation and its loss to the
+second best (the best path through any edge beside the best one), and the A-star search lists its others when a text
+needs them. The N best of a text are those of its parts' combinations: only the N-1 parts with the smallest loss to their
+second best can differ from their best.
 
 Texts are normalised as the vocabulary says: one space in front, spaces as they are. Decoding gives the text back exactly,
 also with U+2581 in it, which is spelled in bytes. Ties of score: the order of the search, which depends on the part
@@ -22,9 +23,11 @@ from __future__ import annotations
 
 import heapq
 import re
+import struct
 import zlib
 from collections.abc import Iterator
 from functools import cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -34,8 +37,13 @@ from pyspark.sql import types as T
 
 from pantryline.llm.common import text_batches
 
-MARK, UNKNOWN = "▁", 10.0
-KEPT_PARTS = 200_000
+MARK, UNKNOWN, LEAST = "▁", 10.0, float("-inf")
+KEPT_PARTS = 300_000
+
+
+def packed(ids: tuple[int, ...]) -> bytes:
+    """Little-endian 32-bit integers."""
+    return struct.pack(f"<{len(ids)}i", *ids)
 
 
 class Lattice:
@@ -49,28 +57,70 @@ class Lattice:
         plain = [i for i in every if not (sp.is_byte(i) or sp.is_control(i) or sp.is_unknown(i) or sp.is_unused(i))]
         names = {i: sp.id_to_piece(i).replace(MARK, " ") for i in plain}
         self.pieces = {names[i]: (i, sp.get_score(i)) for i in plain}
-        self.starts = {p[:n] for p in self.pieces for n in range(1, len(p))}
+        #: what a piece or the beginning of one is: (id, score), or None for a beginning alone
+        self.table = {p[:n]: None for p in self.pieces for n in range(1, len(p))} | self.pieces
+        self.pairs = {p[k : k + 2] for p in self.pieces for k in range(len(p) - 1)}
         self.byte = {int(sp.id_to_piece(i)[1:-1], 16): i for i in every if sp.is_byte(i)}
         self.bytes_of = {i: p.encode() for i, p in names.items()} | {i: bytes([b]) for b, i in self.byte.items()}
         self.lowest = min(s for _, s in self.pieces.values() if s > -1e8) - UNKNOWN  # some pieces have a far lower placeholder
         within = re.escape("".join(sorted({c for p in self.pieces if len(p) > 1 for c in p} - {" "})))
         self.parts = re.compile(f" *[{within}]+| +|[^ {within}]", re.DOTALL)
 
+    def cut(self, text: str) -> list[str]:
+        """The parts of a word."""
+        out, a, pairs = [], 0, self.pairs
+        for k in range(1, len(text)):
+            if text[k - 1 : k + 1] not in pairs:
+                out.append(text[a:k])
+                a = k
+        out.append(text[a:])
+        return out
+
     def edges(self, text: str) -> list[list[tuple[int, tuple[int, ...], float]]]:
         """For each end: (start, ids, score) of what ends there."""
-        n = len(text)
+        n, get = len(text), self.table.get
         out: list[list] = [[] for _ in range(n + 1)]
         for i in range(n):
             for j in range(i + 1, n + 1):
-                piece = text[i:j]
-                if found := self.pieces.get(piece):
+                found = get(text[i:j], False)
+                if found:
                     out[j].append((i, (found[0],), found[1]))
-                if piece not in self.starts:
+                elif found is False:
                     break
             if text[i] not in self.pieces:
                 out[i + 1].append((i, tuple(self.byte[b] for b in text[i].encode()), self.lowest))
         return out
 
+    def viterbi(self, text: str) -> tuple[float, tuple[int, ...], float]:
+        """(score, ids, loss to the second best) of a part's best segmentation; the loss is infinite without a second."""
+        n, get, edges = len(text), self.table.get, []
+        most, rest, via = [0.0] + [LEAST] * n, [LEAST] * n + [0.0], [0] * (n + 1)
+        for i in range(n):
+            here = most[i]
+            for j in range(i + 1, n + 1):
+                found = get(text[i:j], False)
+                if found:
+                    if here + found[1] > most[j]:
+                        most[j], via[j] = here + found[1], len(edges)
+                    edges.append((i, j, *found))
+                elif found is False:
+                    break
+            if text[i] not in self.pieces:
+                if here + self.lowest > most[i + 1]:
+                    most[i + 1], via[i + 1] = here + self.lowest, len(edges)
+                edges.append((i, i + 1, -1, self.lowest))
+        for i, j, _, s in reversed(edges):
+            if s + rest[j] > rest[i]:
+                rest[i] = s + rest[j]
+        path, on, j = [], set(), n
+        while j:
+            on.add(via[j])
+            i, _, x, _ = edges[via[j]]
+            path.append((x,) if x >= 0 else tuple(self.byte[b] for b in text[i].encode()))
+            j = i
+        second = max((most[i] + s + rest[j] for k, (i, j, _, s) in enumerate(edges) if k not in on), default=LEAST) if len(edges) > len(on) else LEAST
+        return most[n], tuple(chain.from_iterable(reversed(path))), most[n] - second
+
     def best(self, text: str, n: int) -> list[tuple[float, tuple[int, ...]]]:
         """The ``n`` best (score, ids) of a part, best first."""
         edges, most = self.edges(text), [0.0]
@@ -104,45 +154,70 @@ def lattice(model: str) -> Lattice:
 
 
 class Parts:
-    """What a worker keeps of parts: numbers, and by number the N best with their ids as bytes and what they decode to."""
+    """What a worker keeps: words by their parts' numbers; by number a part's name, best ids as bytes, score and loss."""
 
     def __init__(self, lattice: Lattice, n: int) -> None:
-        self.lattice, self.n, self.number, self.found = lattice, n, {}, []
-        self.loss = np.zeros(1024)
+        self.lattice, self.n = lattice, n
+        self.words: dict[str, tuple[int, ...]] = {}
+        self.number: dict[str, int] = {}
+        self.names: list[str] = []
+        self.ids: list[bytes] = []
+        self.decoded: list[bytes] = []
+        self.score, self.loss = np.zeros(1024), np.zeros(1024)
+        self.others: dict[int, list[tuple[float, bytes]]] = {}
+
+    def _add(self, name: str) -> int:
+        i = self.number[name] = len(self.names)
+        score, ids, loss = self.lattice.viterbi(name)
+        self.names.append(name)
+        self.ids.append(packed(ids))
+        self.decoded.append(b"".join(map(self.lattice.bytes_of.__getitem__, ids)))
+        if i >= len(self.loss):
+            self.score, self.loss = np.concatenate([self.score, self.score]), np.concatenate([self.loss, self.loss])
+        self.score[i], self.loss[i] = score, loss
+        return i
 
     def of(self, text: str) -> list[int]:
         """A text's parts by number."""
         names = self.lattice.parts.findall(f" {text}") if text else []
+        words = self.words
         for x in names:
-            if x not in self.number:
-                best = self.lattice.best(x, self.n)
-                i = self.number[x] = len(self.found)
-                decoded = b"".join(self.lattice.bytes_of[y] for y in best[0][1])
-                self.found.append((best[0][0], decoded, [(best[0][0] - s, np.array(ids, "<i4").tobytes()) for s, ids in best]))
-                if i >= len(self.loss):
-                    self.loss = np.concatenate([self.loss, np.zeros(len(self.loss))])
-                self.loss[i] = best[0][0] - best[1][0] if len(best) > 1 else np.inf
-        return [self.number[x] for x in names]
+            if x not in words:
+                words[x] = tuple(self.number[y] if y in self.number else self._add(y) for y in self.lattice.cut(x))
+        return list(chain.from_iterable(map(words.__getitem__, names)))
+
+    def decode(self, parts: list[int]) -> str:
+        """What the best segmentation decodes to."""
+        return b"".join(map(self.decoded.__getitem__, parts)).decode().removeprefix(" ")
+
+    def _best_of(self, part: int) -> list[tuple[float, bytes]]:
+        """(loss, ids) of a part's N best."""
+        if part not in self.others:
+            best = self.lattice.best(self.names[part], self.n)
+            # of equals the Viterbi pass's goes first
+            rest = [(best[0][0] - s, packed(ids)) for s, ids in best]
+            mine = self.ids[part]
+            self.others[part] = ([(0.0, mine)] + [x for x in rest if x[1] != mine])[: self.n]
+        return self.others[part]
 
     def segmentations(self, parts: list[int]) -> Iterator[tuple[float, bytes]]:
         """The N best of a text: (score, ids as little-endian 32-bit integers)."""
-        found, score = self.found, 0.0
-        for i in parts:
-            score += found[i][0]
-        best = [found[i][2][0][1] for i in parts]
+        score = float(self.score[parts].sum())
+        best = list(map(self.ids.__getitem__, parts))
         loss = self.loss[parts]
         few = min(self.n - 1, len(parts))
         # the parts of least loss, the earlier of equals
         at = sorted(np.flatnonzero(loss <= np.partition(loss, few - 1)[few - 1]).tolist(), key=lambda k: (loss[k], k))[:few] if few else []
         ways: list[tuple[float, tuple]] = [(0.0, ())]
         for k in sorted(at):
-            ways = sorted(((d + e, (*way, (k, r))) for d, way in ways for r, (e, _) in enumerate(found[parts[k]][2])), key=lambda x: x[0])[: self.n]
+            if loss[k] < np.inf:
+                ways = sorted(((d + e, (*way, (k, r))) for d, way in ways for r, (e, _) in enumerate(self._best_of(parts[k]))), key=lambda x: x[0])[: self.n]
         for d, way in ways:
             mine = best
             for k, r in way:
                 if r:
                     mine = mine[:] if mine is best else mine
-                    mine[k] = found[parts[k]][2][r][1]
+                    mine[k] = self._best_of(parts[k])[r][1]
             yield score - d, b"".join(mine)
 
 
@@ -168,12 +243,12 @@ def encode(docs: DataFrame, model: str, n: int = 4, ids_of: int = 1, key: str =
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in text_batches(batches, "_text", 1 << 20):
             kept = _parts(model, n)
-            if len(kept[0].found) > KEPT_PARTS:
+            if len(kept[0].words) > KEPT_PARTS:
                 kept[0] = Parts(lattice(model), n)
             best, back = [], []
             for x in batch.column(1).to_pylist():
                 parts = kept[0].of(x)
-                back.append(b"".join(kept[0].found[k][1] for k in parts).decode().removeprefix(" ") == x)
+                back.append(kept[0].decode(parts) == x)
                 best.append(list(kept[0].segmentations(parts)))
             at = ends(list(map(len, best)))
             flat = [y for x in best for y in x]
