@@ -101,7 +101,7 @@ def write_archives(records: DataFrame, path: str, date: str = "1970-01-01T00:00:
                 body = [http] if revisit else [http, r["payload"]]
                 header = ["WARC/1.1", f"WARC-Type: {'revisit' if revisit else 'response'}", f"WARC-Record-ID: {_record_id(r['page_id'], r['sha1'])}", f"WARC-Date: {date}", f"WARC-Payload-Digest: sha1:{base64.b32encode(bytes.fromhex(r['sha1'])).decode()}"]
                 header += ["Content-Type: application/http;msgtype=response", f"Content-Length: {sum(map(len, body))}", f"X-Payload-Length: {r['n_bytes']}"]
-                header += [f"WARC-Target-URI: {_clean(r['url'])}"] * bool(r["url"]) + [f"X-Page-Id: {r['page_id']}"] * (r["page_id"] is not None)
+                header += [f"WARC-Target-URI: {_clean(r['url'] or '')}"] * bool(r["url"]) + [f"X-Page-Id: {r['page_id']}"] * (r["page_id"] is not None)
                 if revisit:
                     header += ["WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest", f"WARC-Refers-To: {_record_id(r['winner'], r['sha1'])}", f"X-Refers-To-Page-Id: {r['winner']}"]
                 _pack(out, header, body, chunk_bytes)
