@@ -7,11 +7,12 @@ are learned by expectation-maximisation on held-out counts: part of the training
 the counts, its tokens are binned by bucket and by the estimates' size, and each bucket's weights are fitted to them. The
 final estimates come from all training texts.
 
-Flow. Each scan task makes units of about ``unit_bytes`` of text: the token numbers of its texts, and its distinct n-grams
-as sorted 64-bit hashes with their counts, cut into ``parts`` by their leading bits. One exchange brings a part's requests
-together, where counts are summed and answered in the order asked; a second brings the answers to their units. So a
-frequent n-gram travels once a unit, not once a text or token, and the work in a part or a unit is bounded. The answered
-units are written to the shared folder once; weights and scores are taken from them.
+Flow. Each scan task cuts its texts into units of about ``unit_bytes``. A unit's distinct n-grams go as sorted 64-bit
+hashes with their counts, cut by their leading bits, to parts: there counts are summed and answered in the order asked. A
+second exchange brings the answers and the unit's token numbers together; those come from a second scan, which is less
+than to shuffle them twice (a checksum holds both scans to the same units; an input that is not read alike twice must
+be written first). So a frequent n-gram travels once a unit, not once a text or token, and the work in a part or a unit
+is bounded. The answered units are written to the shared folder once; weights and scores are taken from them.
 
 Hashes stand for words and n-grams: two of n distinct ones share a hash with a probability of about n*n / 2**65.
 
@@ -21,14 +22,13 @@ counted each. Without training texts every probability is that of one unknown to
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
 import zstandard
-from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -40,12 +40,13 @@ REQUEST, UNIT, STATS, CELLS = 0, 1, 2, 3
 #: Bins of an estimate in an octave, for the held-out counts.
 FINE = 8
 NONE = np.zeros(0, np.uint64)
+LONGS = ("dest", "unit", "kind", "level", "part", "n", "check")
 ROW = T.StructType(
-    [T.StructField(x, T.LongType()) for x in ("dest", "unit", "kind", "level", "part", "n")]
+    [T.StructField(x, T.LongType()) for x in LONGS]
     + [T.StructField(x, T.BinaryType()) for x in ("p0", "p1", "p2", "p3")]
     + [T.StructField("ids", T.ArrayType(T.LongType()))]
 )
-ARROW = pa.schema([(x, pa.int64()) for x in ("dest", "unit", "kind", "level", "part", "n")] + [(x, pa.binary()) for x in ("p0", "p1", "p2", "p3")] + [("ids", pa.list_(pa.int64()))])
+ARROW = pa.schema([(x, pa.int64()) for x in LONGS] + [(x, pa.binary()) for x in ("p0", "p1", "p2", "p3")] + [("ids", pa.list_(pa.int64()))])
 
 
 def pack(x: np.ndarray) -> bytes:
@@ -69,7 +70,7 @@ def _batch(rows: list[dict]) -> pa.RecordBatch:
 
 
 def _row(**x) -> dict:
-    return {"dest": 0, "unit": 0, "kind": 0, "level": 0, "part": 0, "n": 0, "p0": b"", "p1": b"", "p2": b"", "p3": b"", "ids": None} | x
+    return {"dest": 0, "unit": 0, "kind": 0, "level": 0, "part": 0, "n": 0, "check": 0, "p0": b"", "p1": b"", "p2": b"", "p3": b"", "ids": None} | x
 
 
 class Tokens:
@@ -135,32 +136,44 @@ class Tokens:
             yield level, at, *np.unique(key[at], return_inverse=True)
 
 
+def _units(docs: DataFrame, order: int, unit_bytes: int) -> DataFrame:
+    """A row for each unit with its token numbers."""
+
+    def rows(name: int, check: int, tokens: Tokens, ids: list, train: np.ndarray, out: np.ndarray) -> Iterator[pa.RecordBatch]:
+        yield _batch([_row(dest=name, unit=name, kind=UNIT, n=len(tokens.numbers), check=check, p0=pack(tokens.numbers), p1=pack(tokens.lengths), p2=tokens.hashes.tobytes(), p3=pack(train + 2 * out), ids=ids)])
+
+    return _by_unit(docs, order, unit_bytes, rows)
+
+
 def _requests(docs: DataFrame, order: int, unit_bytes: int, parts_bits: int) -> DataFrame:
-    """Units and their requests, by destination."""
+    """Units' distinct n-grams with their counts in training and deleted texts, a row for each unit, order and part."""
 
+    def rows(name: int, check: int, tokens: Tokens, ids: list, train: np.ndarray, out: np.ndarray) -> Iterator[pa.RecordBatch]:
+        for level, at, keys, place in tokens.distinct():
+            doc = tokens.doc[at]
+            every = np.bincount(place, weights=train[doc], minlength=len(keys)).astype(np.uint64)
+            deleted = np.bincount(place, weights=out[doc], minlength=len(keys)).astype(np.uint64)
+            part = (keys >> np.uint64(64 - parts_bits)).astype(np.int64) if parts_bits else np.zeros(len(keys), np.int64)
+            cuts = np.flatnonzero(np.diff(part, prepend=-1)).tolist() + [len(keys)]
+            yield _batch([_row(dest=int(part[a]), unit=name, kind=REQUEST, level=level, part=int(part[a]), n=b - a, check=check, p0=pack(np.diff(keys[a:b])), p1=pack(every[a:b]), p2=pack(deleted[a:b]), p3=keys[a : a + 1].tobytes()) for a, b in zip(cuts[:-1], cuts[1:], strict=True)])
+
+    return _by_unit(docs, order, unit_bytes, rows)
+
+
+def _by_unit(docs: DataFrame, order: int, unit_bytes: int, rows: Callable[..., Iterator[pa.RecordBatch]]) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         number, held, size = 0, [], 0
 
         def unit() -> Iterator[pa.RecordBatch]:
-            name = (TaskContext.get().partitionId() << 24) + number
             ids, texts, train, out = ([y for x in held for y in x[i]] for i in range(4))
             tokens = Tokens.of(order, texts)
             train, out = np.array(train, np.int64), np.array(out, np.int64) * np.array(train, np.int64)
-            yield _batch([_row(dest=-1 - name, unit=name, kind=UNIT, n=len(tokens.numbers), p0=pack(tokens.numbers), p1=pack(tokens.lengths), p2=tokens.hashes.tobytes(), p3=pack(train + 2 * out), ids=ids)])
-            for level, at, keys, place in tokens.distinct():
-                doc = tokens.doc[at]
-                every = np.bincount(place, weights=train[doc], minlength=len(keys)).astype(np.uint64)
-                deleted = np.bincount(place, weights=out[doc], minlength=len(keys)).astype(np.uint64)
-                part = (keys >> np.uint64(64 - parts_bits)).astype(np.int64) if parts_bits else np.zeros(len(keys), np.int64)
-                cuts = np.flatnonzero(np.diff(part, prepend=-1)).tolist() + [len(keys)]
-                rows = []
-                for a, b in zip(cuts[:-1], cuts[1:], strict=True):
-                    rows.append(_row(dest=int(part[a]), unit=name, kind=REQUEST, level=level, part=int(part[a]), n=b - a, p0=pack(np.diff(keys[a:b], prepend=np.uint64(0))[1:]), p1=pack(every[a:b]), p2=pack(deleted[a:b]), p3=keys[a : a + 1].tobytes()))
-                yield _batch(rows)
+            check = xxhash.xxh64_intdigest(tokens.numbers.tobytes() + tokens.hashes.tobytes()) >> 1
+            yield from rows((held[0][4] << 24) + number, check, tokens, ids, train, out)
 
         for batch in text_batches(batches, "_text", unit_bytes):
             part = batch.to_pydict()
-            held.append((part["_id"], part["_text"], part["_train"], part["_out"]))
+            held.append((part["_id"], part["_text"], part["_train"], part["_out"], part["_part"][0]))
             size += sum(map(len, part["_text"]))
             if size >= unit_bytes // 2:
                 yield from unit()
@@ -168,17 +181,17 @@ def _requests(docs: DataFrame, order: int, unit_bytes: int, parts_bits: int) ->
         if held:
             yield from unit()
 
-    return docs.mapInArrow(run, ROW)
+    # the number of the scan's own partition, whatever stands above it in a plan
+    return docs.withColumn("_part", F.spark_partition_id()).mapInArrow(run, ROW)
 
 
 def _answered(requests: DataFrame) -> DataFrame:
-    """Requests summed and answered, part by part; units pass."""
+    """Requests summed and answered, part by part."""
 
     def run(table: pa.Table) -> pa.Table:
-        rows = table.to_pylist()
-        out = [r | {"dest": r["unit"]} for r in rows if r["kind"] == UNIT]
-        for level in sorted({r["level"] for r in rows if r["kind"] == REQUEST}):
-            mine = [r for r in rows if r["kind"] == REQUEST and r["level"] == level]
+        rows, out = table.to_pylist(), []
+        for level in sorted({r["level"] for r in rows}):
+            mine = [r for r in rows if r["level"] == level]
             keys = np.concatenate([np.cumsum(np.concatenate((np.frombuffer(r["p3"], np.uint64), unpack(r["p0"], r["n"] - 1)))) for r in mine])
             distinct, place = np.unique(keys, return_inverse=True)
             every = np.bincount(place, weights=np.concatenate([unpack(r["p1"], r["n"]) for r in mine])).astype(np.uint64)
@@ -187,7 +200,7 @@ def _answered(requests: DataFrame) -> DataFrame:
             for r in mine:
                 at = place[a : a + r["n"]]
                 a += r["n"]
-                out.append(_row(dest=r["unit"], unit=r["unit"], kind=REQUEST, level=level, part=r["part"], n=r["n"], p1=pack(every[at]), p2=pack(deleted[at])))
+                out.append(_row(dest=r["unit"], unit=r["unit"], kind=REQUEST, level=level, part=r["part"], n=r["n"], check=r["check"], p1=pack(every[at]), p2=pack(deleted[at])))
             if level == 1:
                 real = distinct != np.uint64(xxhash.xxh64_intdigest(b"\x00 begin"))
                 sums = [int(every[real].sum()), int((every[real] > 0).sum()), int(deleted[real].sum())]
@@ -233,8 +246,10 @@ def _joined(answered: DataFrame, order: int) -> DataFrame:
         rows = table.to_pylist()
         if rows[0]["kind"] == STATS:
             return table
-        unit = next(r for r in rows if r["kind"] == UNIT)
+        unit = next((r for r in rows if r["kind"] == UNIT), {"check": None, "ids": []})
         docs = len(unit["ids"])
+        if {r["check"] for r in rows} != {unit["check"]}:
+            raise ValueError("the input was not read alike twice; write it first")
         tokens = Tokens(order, unpack(unit["p0"], unit["n"]).astype(np.int64), unpack(unit["p1"], docs).astype(np.int64), np.frombuffer(unit["p2"], np.uint64))
         every, kept = {}, {}
         for level, _, _, place in tokens.distinct():
@@ -324,7 +339,8 @@ def interpolated_scores(docs: DataFrame, train: Column, heldout: Column, order:
     flag = lambda c: F.coalesce(c, F.lit(False)).cast("int")
     rows = docs.select(F.col(key).cast("long").alias("_id"), F.coalesce(F.col(text), F.lit("")).cast("binary").alias("_text"), flag(train).alias("_train"), flag(heldout).alias("_out"))
     bits = max(0, int(text_bytes(docs, text) / unit_bytes).bit_length())
-    table = written(_joined(_answered(_requests(rows, order, unit_bytes, bits)), order), "ngram-units")
+    answered = _answered(_requests(rows, order, unit_bytes, bits))
+    table = written(_joined(answered.unionByName(_units(rows, order, unit_bytes)), order), "ngram-units")
     sums = table.filter(F.col("kind") == STATS).agg(*(F.coalesce(F.sum(F.col("ids")[i]), F.lit(0)) for i in range(3))).first()
     n, v, deleted = map(int, sums)
     weights = mixture_weights(table, order, n - deleted, v)
