@@ -6,9 +6,9 @@ score up to each place; a backward A-star search from the end takes those as its
 segmentations leave the queue in the order of their scores.
 
 The lattice falls apart between two characters that stand beside each other in no piece, as before each space that ends
-a word. Parts are kept by a worker: Viterbi passes from both ends give a part's best segmentation and its loss to the
+a word. Words and parts are kept by a worker: Viterbi passes from both ends give a part's best segmentation and its loss to the
 second best (the best path through any edge beside the best one), and the A-star search lists its others when a text
-needs them. The N best of a text are those of its parts' combinations: only the N-1 parts with the smallest loss to their
+needs them. The N best of a text are those of its words' combinations: only the N-1 words with the smallest loss to their
 second best can differ from their best.
 
 Texts are normalised as the vocabulary says: one space in front, spaces as they are. Decoding gives the text back exactly,
@@ -38,7 +38,9 @@ from pyspark.sql import types as T
 from pantryline.llm.common import text_batches
 
 MARK, UNKNOWN, LEAST = "▁", 10.0, float("-inf")
-KEPT_PARTS = 300_000
+KEPT_WORDS = 600_000
+#: Longer parts are searched one by one.
+LONGEST = 24
 
 
 def packed(ids: tuple[int, ...]) -> bytes:
@@ -46,6 +48,21 @@ def packed(ids: tuple[int, ...]) -> bytes:
     return struct.pack(f"<{len(ids)}i", *ids)
 
 
+def codes(names: list[str], size: int) -> np.ndarray:
+    """Code points of strings of one size, a row each."""
+    return np.frombuffer("".join(names).encode("utf-32-le"), "<u4").reshape(-1, size).astype(np.uint64)
+
+
+def hashes(text: np.ndarray) -> list[np.ndarray]:
+    """64-bit hashes of the first 1, 2, ... columns."""
+    out, h = [], np.full(len(text), 7, np.uint64)
+    for k in range(text.shape[1]):
+        h = (h ^ text[:, k]) * np.uint64(0x9E3779B97F4A7C15)
+        h ^= h >> np.uint64(29)
+        out.append(h)
+    return out
+
+
 class Lattice:
     """A vocabulary's pieces, with spaces for their marks."""
 
@@ -63,6 +80,16 @@ class Lattice:
         self.byte = {int(sp.id_to_piece(i)[1:-1], 16): i for i in every if sp.is_byte(i)}
         self.bytes_of = {i: p.encode() for i, p in names.items()} | {i: bytes([b]) for b, i in self.byte.items()}
         self.lowest = min(s for _, s in self.pieces.values() if s > -1e8) - UNKNOWN  # some pieces have a far lower placeholder
+        # by length: hashes in order, scores and ids, for many parts at once
+        self.by_size: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = [(np.zeros(0, np.uint64),) * 3]
+        for size in range(1, 1 + max(map(len, self.pieces))):
+            names = [x for x in self.pieces if len(x) == size] or ["\0" * size]
+            h = hashes(codes(names, size))[-1]
+            order = np.argsort(h)
+            if len(np.unique(h)) < len(h):
+                raise AssertionError("two pieces share a hash")
+            score, number = (np.array([self.pieces.get(x, (-1, LEAST))[k] for x in names])[order] for k in (1, 0))
+            self.by_size.append((h[order], score.astype(float), number.astype(np.int32)))
         within = re.escape("".join(sorted({c for p in self.pieces if len(p) > 1 for c in p} - {" "})))
         self.parts = re.compile(f" *[{within}]+| +|[^ {within}]", re.DOTALL)
 
@@ -121,6 +148,63 @@ class Lattice:
         second = max((most[i] + s + rest[j] for k, (i, j, _, s) in enumerate(edges) if k not in on), default=LEAST) if len(edges) > len(on) else LEAST
         return most[n], tuple(chain.from_iterable(reversed(path))), most[n] - second
 
+    def viterbi_of(self, names: list[str]) -> list[tuple[float, bytes, float]]:
+        """Of many parts: (score, ids as bytes, loss), as ``viterbi`` gives them; parts of one length go together."""
+        out: dict[str, tuple[float, bytes, float]] = {}
+        by_length: dict[int, list[str]] = {}
+        for x in names:
+            by_length.setdefault(len(x), []).append(x)
+        for n, group in by_length.items():
+            for lo in range(0, len(group), 4096):
+                part = group[lo : lo + 4096]
+                if n <= LONGEST and len(part) >= 16:
+                    out.update(zip(part, self._together(part, n), strict=True))
+        for x in names:
+            if out.get(x) is None:
+                score, ids, loss = self.viterbi(x)
+                out[x] = (score, packed(ids), loss)
+        return [out[x] for x in names]
+
+    def _together(self, names: list[str], n: int) -> list[tuple[float, bytes, float] | None]:
+        """Parts of ``n`` characters; None for those that need a byte's piece."""
+        m, text = len(names), codes(names, n)
+        most, rest = np.full((n + 1, m), LEAST), np.full((n + 1, m), LEAST)
+        most[0] = rest[n] = 0.0
+        size, number = np.zeros((n + 1, m), np.int64), np.zeros((n + 1, m), np.int32)
+        plain, edges = np.ones(m, bool), {}
+        for i in range(n):
+            for k, h in enumerate(hashes(text[:, i : i + len(self.by_size) - 1]), 1):
+                known, scores, ids = self.by_size[k]
+                at = np.minimum(np.searchsorted(known, h), len(known) - 1)
+                s = np.where(known[at] == h, scores[at], LEAST)
+                if k == 1:
+                    plain &= s > LEAST
+                if not (s > LEAST).any():
+                    continue
+                edges[i, k] = s
+                x = most[i] + s
+                better = x > most[i + k]
+                most[i + k][better], size[i + k][better], number[i + k][better] = x[better], k, ids[at][better]
+        for (i, k), s in reversed(edges.items()):
+            np.maximum(rest[i], s + rest[i + k], out=rest[i])
+        # the best path's pieces by the place where they start
+        rows, end = np.arange(m), np.full(m, n)
+        used, chosen = np.zeros((n, m), np.int64), np.zeros((n, m), np.int32)
+        while (open_rows := rows[(end > 0) & plain]).size:
+            j = end[open_rows]
+            k = size[j, open_rows]
+            used[j - k, open_rows], chosen[j - k, open_rows] = k, number[j, open_rows]
+            end[open_rows] = j - k
+        second = np.full(m, LEAST)
+        for (i, k), s in edges.items():
+            np.maximum(second, np.where(used[i] == k, LEAST, most[i] + s + rest[i + k]), out=second)
+        flat = chosen.T[used.T > 0].astype("<i4").tobytes()
+        ends = np.cumsum((used > 0).sum(0)) * 4
+        starts = np.concatenate(([0], ends[:-1]))
+        with np.errstate(invalid="ignore"):
+            loss = most[n] - second
+        return [(x, flat[a:b], y) if ok else None for x, a, b, y, ok in zip(most[n].tolist(), starts.tolist(), ends.tolist(), loss.tolist(), plain.tolist(), strict=True)]
+
     def best(self, text: str, n: int) -> list[tuple[float, tuple[int, ...]]]:
         """The ``n`` best (score, ids) of a part, best first."""
         edges, most = self.edges(text), [0.0]
@@ -153,77 +237,73 @@ def lattice(model: str) -> Lattice:
     return Lattice(model)
 
 
-class Parts:
-    """What a worker keeps: words by their parts' numbers; by number a part's name, best ids as bytes, score and loss."""
+class Words:
+    """What a worker keeps of words: their best ids as bytes, score and loss, and the N best of those that were asked for."""
 
     def __init__(self, lattice: Lattice, n: int) -> None:
         self.lattice, self.n = lattice, n
-        self.words: dict[str, tuple[int, ...]] = {}
+        self.parts: dict[str, tuple[float, bytes, float]] = {}
         self.number: dict[str, int] = {}
-        self.names: list[str] = []
-        self.ids: list[bytes] = []
-        self.decoded: list[bytes] = []
+        self.ids: dict[str, bytes] = {}
         self.score, self.loss = np.zeros(1024), np.zeros(1024)
-        self.others: dict[int, list[tuple[float, bytes]]] = {}
-
-    def _add(self, name: str) -> int:
-        i = self.number[name] = len(self.names)
-        score, ids, loss = self.lattice.viterbi(name)
-        self.names.append(name)
-        self.ids.append(packed(ids))
-        self.decoded.append(b"".join(map(self.lattice.bytes_of.__getitem__, ids)))
-        if i >= len(self.loss):
+        self.others: dict[str, list[tuple[float, bytes]]] = {}
+
+    def add(self, texts: list[str]) -> list[list[str]]:
+        """The words of texts, each with its spaces. New ones are added, all together."""
+        split = [self.lattice.parts.findall(f" {x}") if x else [] for x in texts]
+        new = {w: self.lattice.cut(w) for w in set(chain.from_iterable(split)).difference(self.number)}
+        fresh = list(set(chain.from_iterable(new.values())).difference(self.parts))
+        for name, found in zip(fresh, self.lattice.viterbi_of(fresh), strict=True):
+            ids = struct.unpack(f"<{len(found[1]) // 4}i", found[1])
+            if b"".join(map(self.lattice.bytes_of.__getitem__, ids)) != name.encode():
+                raise AssertionError(f"{name!r} does not decode")
+            self.parts[name] = found
+        while len(self.loss) < len(self.ids) + len(new):
             self.score, self.loss = np.concatenate([self.score, self.score]), np.concatenate([self.loss, self.loss])
-        self.score[i], self.loss[i] = score, loss
-        return i
-
-    def of(self, text: str) -> list[int]:
-        """A text's parts by number."""
-        names = self.lattice.parts.findall(f" {text}") if text else []
-        words = self.words
-        for x in names:
-            if x not in words:
-                words[x] = tuple(self.number[y] if y in self.number else self._add(y) for y in self.lattice.cut(x))
-        return list(chain.from_iterable(map(words.__getitem__, names)))
-
-    def decode(self, parts: list[int]) -> str:
-        """What the best segmentation decodes to."""
-        return b"".join(map(self.decoded.__getitem__, parts)).decode().removeprefix(" ")
-
-    def _best_of(self, part: int) -> list[tuple[float, bytes]]:
-        """(loss, ids) of a part's N best."""
-        if part not in self.others:
-            best = self.lattice.best(self.names[part], self.n)
-            # of equals the Viterbi pass's goes first
-            rest = [(best[0][0] - s, packed(ids)) for s, ids in best]
-            mine = self.ids[part]
-            self.others[part] = ([(0.0, mine)] + [x for x in rest if x[1] != mine])[: self.n]
-        return self.others[part]
-
-    def segmentations(self, parts: list[int]) -> Iterator[tuple[float, bytes]]:
+        for w, names in new.items():
+            i = self.number[w] = len(self.ids)
+            found = [self.parts[x] for x in names]
+            self.ids[w] = b"".join(x[1] for x in found)
+            self.score[i], self.loss[i] = sum(x[0] for x in found), min(x[2] for x in found)
+        return split
+
+    def _best_of(self, word: str) -> list[tuple[float, bytes]]:
+        """(loss, ids) of a word's N best, from those of its parts."""
+        if word not in self.others:
+            ways: list[tuple[float, bytes]] = [(0.0, b"")]
+            for part in self.lattice.cut(word):
+                score, mine, loss = self.parts[part]
+                rest = [] if loss == np.inf else [(score - s, packed(ids)) for s, ids in self.lattice.best(part, self.n)]
+                # of equals the Viterbi pass's goes first
+                every = [(0.0, mine), *(x for x in rest if x[1] != mine)][: self.n]
+                ways = sorted(((d + e, way + x) for d, way in ways for e, x in every), key=lambda x: x[0])[: self.n]
+            self.others[word] = ways
+        return self.others[word]
+
+    def segmentations(self, words: list[str]) -> Iterator[tuple[float, bytes]]:
         """The N best of a text: (score, ids as little-endian 32-bit integers)."""
-        score = float(self.score[parts].sum())
-        best = list(map(self.ids.__getitem__, parts))
-        loss = self.loss[parts]
-        few = min(self.n - 1, len(parts))
-        # the parts of least loss, the earlier of equals
-        at = sorted(np.flatnonzero(loss <= np.partition(loss, few - 1)[few - 1]).tolist(), key=lambda k: (loss[k], k))[:few] if few else []
+        at = np.fromiter(map(self.number.__getitem__, words), np.int64, len(words))
+        score, loss = float(self.score[at].sum()), self.loss[at]
+        best = list(map(self.ids.__getitem__, words))
+        few = min(self.n - 1, len(words))
+        # the words of least loss, the earlier of equals
+        few_at = sorted(np.flatnonzero(loss <= np.partition(loss, few - 1)[few - 1]).tolist(), key=lambda k: (loss[k], k))[:few] if few else []
         ways: list[tuple[float, tuple]] = [(0.0, ())]
-        for k in sorted(at):
+        for k in sorted(few_at):
             if loss[k] < np.inf:
-                ways = sorted(((d + e, (*way, (k, r))) for d, way in ways for r, (e, _) in enumerate(self._best_of(parts[k]))), key=lambda x: x[0])[: self.n]
+                ways = sorted(((d + e, (*way, (k, r))) for d, way in ways for r, (e, _) in enumerate(self._best_of(words[k]))), key=lambda x: x[0])[: self.n]
         for d, way in ways:
             mine = best
             for k, r in way:
                 if r:
                     mine = mine[:] if mine is best else mine
-                    mine[k] = self._best_of(parts[k])[r][1]
+                    mine[k] = self._best_of(words[k])[r][1]
             yield score - d, b"".join(mine)
 
 
 @cache
-def _parts(model: str, n: int) -> list[Parts]:
-    return [Parts(lattice(model), n)]
+def _words(model: str, n: int) -> list[Words]:
+    return [Words(lattice(model), n)]
 
 
 def encode(docs: DataFrame, model: str, n: int = 4, ids_of: int = 1, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -241,15 +321,15 @@ def encode(docs: DataFrame, model: str, n: int = 4, ids_of: int = 1, key: str =
         return pa.array(np.cumsum([0, *sizes]), pa.int32())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in text_batches(batches, "_text", 1 << 20):
-            kept = _parts(model, n)
-            if len(kept[0].words) > KEPT_PARTS:
-                kept[0] = Parts(lattice(model), n)
+        for batch in text_batches(batches, "_text", 4 << 20):
+            kept = _words(model, n)
+            if len(kept[0].ids) > KEPT_WORDS:
+                kept[0] = Words(lattice(model), n)
             best, back = [], []
-            for x in batch.column(1).to_pylist():
-                parts = kept[0].of(x)
-                back.append(kept[0].decode(parts) == x)
-                best.append(list(kept[0].segmentations(parts)))
+            texts = batch.column(1).to_pylist()
+            for x, words in zip(texts, kept[0].add(texts), strict=True):
+                back.append("".join(words).removeprefix(" ") == x)  # each part's best was decoded when it was added
+                best.append(list(kept[0].segmentations(words)))
             at = ends(list(map(len, best)))
             flat = [y for x in best for y in x]
             cols = [batch.column(0), pa.array(back, pa.bool_())]

@@ -95,13 +95,23 @@ def test_lattice_search_is_exact():
         assert b"".join(lattice.bytes_of[i] for i in ids).decode() == text
 
 
+def test_many_parts_at_once():
+    lattice, rng = pieces.lattice(PIECES), random.Random(5)
+    names = ["".join(rng.choice("theinarést日") for _ in range(rng.randrange(1, 9))) for _ in range(3000)] + ["x" * 40, "日本語"]
+    for name, (score, ids, loss) in zip(names, lattice.viterbi_of(names), strict=True):
+        want = lattice.viterbi(name)
+        assert (score, loss) == (want[0], want[2])
+        numbers = [int.from_bytes(ids[i : i + 4], "little") for i in range(0, len(ids), 4)]
+        assert b"".join(lattice.bytes_of[i] for i in numbers).decode() == name
+
+
 def test_texts_parts_combine_exactly():
     lattice, rng = pieces.lattice(PIECES), random.Random(4)
     for _ in range(30):
         text = " ".join("".join(rng.choice("thein\n") for _ in range(rng.randrange(1, 4))) for _ in range(rng.randrange(1, 4)))
         n = rng.choice([1, 2, 5])
-        parts = pieces.Parts(lattice, n)
-        got = [s for s, _ in parts.segmentations(parts.of(text))]
+        kept = pieces.Words(lattice, n)
+        got = [s for s, _ in kept.segmentations(kept.add([text])[0])]
         assert got == brute(lattice, " " + text)[:n], text
 
 
