@@ -81,14 +81,14 @@ def price_context(df: DataFrame, key: str, content: str, around: int = 100, firs
     low = F.greatest(F.col("_at") - around, F.lit(0))
     before = F.substring(F.col(content), low + 1, F.col("_at") - low)
     after = F.substring(F.col(content), F.col("_end") + 1, F.lit(around))
-    filled = lambda c: F.filter(F.transform(F.split(c, "\n"), F.trim), lambda x: x != "")
+    filled = lambda c: F.filter(F.transform(F.split(c, "\n"), lambda x: F.trim(x)), lambda x: x != "")
     return rows.select(key, "pos", "price", F.try_element_at(filled(before), F.lit(-1)).alias("name"), F.get(filled(after), F.lit(0)).alias("description"))
 
 
 def review_mentions(df: DataFrame, key: str, content: Column, patterns: list[str], most_words: int = 4) -> DataFrame:
     """P8. (key, pos, dish) of dishes that reviews name by the patterns' group 1, of ``most_words`` words at most."""
     found = F.flatten(F.array(*(F.regexp_extract_all(content, F.lit(p), 1) for p in patterns)))
-    return df.select(key, F.posexplode(F.transform(found, F.trim)).alias("pos", "dish")).filter((F.col("dish") != "") & (F.size(F.split("dish", r"\s+")) <= most_words))
+    return df.select(key, F.posexplode(F.transform(found, lambda x: F.trim(x))).alias("pos", "dish")).filter((F.col("dish") != "") & (F.size(F.split("dish", r"\s+")) <= most_words))
 
 
 def class_blocks(df: DataFrame, key: str, html: str, classes: str = "item|dish|food") -> DataFrame:

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from pantryline.functions import text
 
@@ -42,7 +41,7 @@ def latest_snapshot(spark: SparkSession, path: str, patterns: tuple[str, ...] =
     return row["path"] if row else None
 
 
-OSM = T.StructType.fromDDL("elements array<struct<type:string,id:bigint,lat:double,lon:double,center:struct<lat:double,lon:double>,tags:map<string,string>>>")
+OSM = "elements array<struct<type:string,id:bigint,lat:double,lon:double,center:struct<lat:double,lon:double>,tags:map<string,string>>>"
 
 
 def normalise_osm(df: DataFrame, keep_nameless: bool = False) -> DataFrame:
