@@ -14,6 +14,7 @@ from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from pantryline.functions import geo, text
+from pantryline.sources.shared import written
 
 
 def _cells(df: DataFrame, lat: str, lon: str, dlat: float, dlon: float) -> DataFrame:
@@ -87,45 +88,37 @@ def merge_stats(n_a: int, n_b: int, matches: DataFrame) -> DataFrame:
     )
 
 
-def independent_set(nodes: DataFrame, edges: DataFrame, shared: str) -> DataFrame:
-    """Nodes (id) that a pass in the order of ids keeps, when it drops each node with an edge to a kept earlier one.
+def independent_set(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """Nodes (id, key) that a pass in the order of ids keeps, when it drops each node that has an edge to a kept earlier
+    one, or the key of one.
 
-    ``edges``: (lo, hi), lo before hi. Rounds: an undecided node without undecided earlier neighbours is kept, and its
-    later neighbours go. Each round is written below ``shared``. The rounds are as many as the longest rising chain.
+    ``edges``: (lo, hi), lo before hi. Rounds: a node is kept that is the first undecided one of its key and has no
+    undecided earlier neighbour; its key's others and its neighbours go. Each round is written to the shared folder. There
+    are as many rounds as the longest rising chain is long, and no pairs are made within a key.
     """
-    import uuid
-
-    spark, i = nodes.sparkSession, 0
-
-    def cut(df: DataFrame, name: str) -> DataFrame:
-        path = f"{shared.rstrip('/')}/{name}-{i}-{uuid.uuid4().hex}"
-        df.write.parquet(path)
-        return spark.read.schema(df.schema).parquet(path)
-
-    alone = nodes.join(edges.select(F.col("hi").alias("id")).unionByName(edges.select(F.col("lo").alias("id"))).distinct(), "id", "left_anti")
-    kept, left = [alone], cut(edges.select("lo", "hi").distinct(), "edges")
-    open_nodes = cut(left.select(F.col("lo").alias("id")).unionByName(left.select(F.col("hi").alias("id"))).distinct(), "open")
+    ends = edges.select(F.col("hi").alias("id")).unionByName(edges.select(F.col("lo").alias("id"))).distinct()
+    busy = nodes.join(nodes.join(ends, "id", "left_semi").select("key").distinct(), "key", "left_semi")
+    calm = nodes.join(busy.select("key").distinct(), "key", "left_anti").groupBy("key").agg(F.min("id").alias("id"))
+    kept, left, open_nodes = calm.select("id"), written(edges.select("lo", "hi").distinct(), "edges"), written(busy.select("id", "key"), "open")
     while not open_nodes.isEmpty():
-        i += 1
-        take = cut(open_nodes.join(left.select(F.col("hi").alias("id")), "id", "left_anti"), "take")
-        gone = left.join(take.withColumnRenamed("id", "lo"), "lo", "left_semi").select(F.col("hi").alias("id")).distinct()
-        done = cut(take.unionByName(gone), "done")
-        kept.append(take)
-        open_nodes = cut(open_nodes.join(done, "id", "left_anti"), "open")
+        first = open_nodes.groupBy("key").agg(F.min("id").alias("id"))
+        take = written(first.join(left.select(F.col("hi").alias("id")), "id", "left_anti").select("id", "key"), "take")
+        near = left.join(take.select(F.col("id").alias("lo")), "lo", "left_semi").select(F.col("hi").alias("id"))
+        fellows = open_nodes.join(take.select("key"), "key", "left_semi").select("id")
+        done = written(near.unionByName(fellows).distinct(), "done")
+        kept = kept.unionByName(take.select("id"))
+        open_nodes = written(open_nodes.join(done, "id", "left_anti").select("id", "key"), "open")
         for side in ("lo", "hi"):
             left = left.join(done.withColumnRenamed("id", side), side, "left_anti")
-        left = cut(left.select("lo", "hi"), "edges")
-    out = kept[0]
-    for x in kept[1:]:
-        out = out.unionByName(x)
-    return out
+        left = written(left.select("lo", "hi"), "edges")
+    return kept
 
 
-def union_dedupe(a: DataFrame, b: DataFrame, shared: str, degrees: float = 0.001) -> DataFrame:
+def union_dedupe(a: DataFrame, b: DataFrame, degrees: float = 0.001) -> DataFrame:
     """J5. All of ``a``, and the rows of ``b`` in order that duplicate neither ``a`` nor an accepted row of ``b``.
 
     (id, pos, name, lat, lon). A duplicate has the same plain name, or lies within ``degrees`` each way while one name
-    contains the other. Of ``b``'s rows with one name the first can stay alone, as the others fall to it or with it.
+    contains the other.
     """
     plain = lambda df: df.withColumn("_key", text.name_key_plain(F.col("name")))
     a, b = plain(a), plain(b)
@@ -136,14 +129,5 @@ def union_dedupe(a: DataFrame, b: DataFrame, shared: str, degrees: float = 0.001
     hit = _round(cells(fresh)).join(other(cells(a)), ["_cx", "_cy"]).filter(near).select("id").distinct()
     fresh = fresh.join(hit, "id", "left_anti")
     close = _round(cells(fresh)).join(other(cells(fresh)), ["_cx", "_cy"]).filter(near & (F.col("o_pos") < F.col("pos"))).select(F.col("o_pos").alias("lo"), F.col("pos").alias("hi"))
-    # rows with one name: each falls to any kept earlier one, so neighbours in order would not do; the set of all pairs of a
-    # name is avoided by deciding names first where no row of the name has a near neighbour
-    first = fresh.groupBy("_key").agg(F.min("pos").alias("_first"))
-    touched = close.select(F.col("hi").alias("pos")).unionByName(close.select(F.col("lo").alias("pos"))).distinct()
-    risky = fresh.join(touched, "pos", "left_semi").select("_key").distinct()
-    calm = fresh.join(risky, "_key", "left_anti").join(first, "_key").filter("pos = _first").drop("_first")
-    busy = fresh.join(risky, "_key", "left_semi")
-    same = busy.alias("x").join(busy.select(F.col("_key"), F.col("pos").alias("o_pos")), "_key").filter("o_pos < pos").select(F.col("o_pos").alias("lo"), F.col("pos").alias("hi"))
-    stay = independent_set(busy.select(F.col("pos").alias("id")), close.unionByName(same), shared).withColumnRenamed("id", "pos")
-    accepted = calm.select(*b.columns).unionByName(busy.join(stay, "pos", "left_semi").select(*b.columns))
-    return a.drop("_key").unionByName(accepted.drop("_key"))
+    stay = independent_set(fresh.select(F.col("pos").alias("id"), F.col("_key").alias("key")), close).withColumnRenamed("id", "pos")
+    return a.drop("_key").unionByName(fresh.join(stay, "pos", "left_semi").select(*b.columns).drop("_key"))

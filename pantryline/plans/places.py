@@ -106,3 +106,13 @@ def m2_grid_cells(t: Tables) -> DataFrame:
     """Places to the cells of a grid."""
     row, col = geo.cell_of(F.col("lat"), F.col("lon"), 41.65, -87.90, 41.96, -87.59, 8)
     return side_a(t).select("id", row.alias("row"), col.alias("col"))
+
+
+@query()
+def j5_union_dedupe(t: Tables) -> DataFrame:
+    """Places of the first source, and those of the second that duplicate none before them (checked against a loop)."""
+    # names with their keys, so that not every place of a kind is one
+    named = lambda df: df.withColumn("name", F.concat_ws(" ", "name", (F.col("id") % 40).cast("string")))
+    a, b = named(side_a(t)), named(side_b(t))
+    tagged = lambda df, x: df.withColumn("id", F.concat(F.lit(x), F.col("id").cast("string")))
+    return resolve.union_dedupe(tagged(a, "a"), tagged(b, "b")).select("id", "name")

@@ -11,10 +11,6 @@ from pantryline.functions import geo
 from pantryline.operators import dedupe, resolve, serve
 
 
-def shared(spark):
-    return spark.sparkContext.getConf().get("spark.checkpoint.dir")
-
-
 def test_similarity_dedupe_is_the_greedy_loop(spark):
     rng = random.Random(1)
     rows = [(g, i, list({rng.choice("abcdefgh") for _ in range(rng.randrange(1, 8))})) for g in range(6) for i in range(30)]
@@ -39,12 +35,13 @@ def test_merge_candidates(spark):
 def test_independent_set_is_the_greedy_pass(spark):
     rng = random.Random(2)
     edges = {tuple(sorted(rng.sample(range(60), 2))) for _ in range(90)} | {(i, i + 1) for i in range(100, 110)}
-    nodes = [*range(60), *range(100, 111), 500]
-    got = {r["id"] for r in resolve.independent_set(spark.createDataFrame([(i,) for i in nodes], "id long"), spark.createDataFrame(list(edges), "lo long, hi long"), shared(spark)).collect()}
-    kept = []
-    for i in nodes:
-        if not any((j, i) in edges for j in kept):
+    nodes = [(i, f"k{i % 45 if i < 60 else i}") for i in (*range(60), *range(100, 111), 500, 501)] + [(502, "k501")]
+    got = {r["id"] for r in resolve.independent_set(spark.createDataFrame(nodes, "id long, key string"), spark.createDataFrame(list(edges), "lo long, hi long")).collect()}
+    kept, keys = [], set()
+    for i, k in nodes:
+        if k not in keys and not any((j, i) in edges for j in kept):
             kept.append(i)
+            keys.add(k)
     assert got == set(kept)
 
 
@@ -67,7 +64,7 @@ def test_union_dedupe_is_the_loop(spark):
     for x in b:
         if not any(same(x, y) for y in kept):
             kept.append(x)
-    got = resolve.union_dedupe(spark.createDataFrame(a, PLACE), spark.createDataFrame(b, PLACE), shared(spark))
+    got = resolve.union_dedupe(spark.createDataFrame(a, PLACE), spark.createDataFrame(b, PLACE))
     assert sorted(r["id"] for r in got.collect()) == sorted(x[0] for x in kept)
 
 
