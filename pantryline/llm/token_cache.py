@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from pantryline.llm.common import text_batches
+from pantryline.llm.common import text_batches, written
 
 CACHE = T.StructType([T.StructField("content", T.BinaryType()), T.StructField("tokenizer", T.StringType()), T.StructField("n_tokens", T.LongType())])
 #: Words whose counts a worker keeps; then it starts anew.
@@ -94,4 +94,5 @@ def cached_counts(docs: DataFrame, vocabulary: str, cache_path: str, text: str =
     counted = new.mapInArrow(encode, CACHE).groupBy("content", "tokenizer").agg(F.max("n_tokens").alias("n_tokens"))
     counted.join(stored().select("content"), "content", "left_anti").select(*CACHE.names).write.mode("append").parquet(cache_path)
     thin = docs.withColumn("_content", digest(plain)).drop(text, "n_tokens")
-    return thin.join(stored(), F.col("_content") == F.col("content"), "left").drop("_content", "content")
+    # as a table of its own, so that a join whose one content has many rows can be split
+    return thin.join(written(stored(), "counts"), F.col("_content") == F.col("content"), "left").drop("_content", "content")
