@@ -273,7 +273,8 @@ def near_copies(docs: DataFrame, size: int = 4, ring: Ring = Ring(), block: int
     tied = own.join(repeated, "a", "left_semi")
     roots = classes(links(nodes, ring, block).unionByName(tied))
     found = nodes.join(roots, F.col("node") == F.col("a"), "left").select("fp", F.coalesce("b", "node").alias("component_id"))
-    out = fps.join(found, "fp", "left")
+    # as a table of its own, so that a join whose one fingerprint has many rows can be split
+    out = fps.join(written(found, "classes"), "fp", "left")
     return out.select("doc_id", "fp", F.when(F.col("doc_id").isNotNull(), F.col("component_id")).alias("component_id"))
 
 
