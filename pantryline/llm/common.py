@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -66,3 +67,9 @@ def text_batches(batches: Iterator[pa.RecordBatch], column: str, most: int) -> I
             size += x or 0
         if start < batch.num_rows:
             yield batch.slice(start)
+
+
+def freed() -> None:
+    """Gives back memory that a task held: the worker goes on to tasks of other kinds."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()

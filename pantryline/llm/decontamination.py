@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from pantryline.llm.common import text_batches, written
+from pantryline.llm.common import freed, text_batches, written
 
 TOKEN = re.compile(r"[^\W_]+")
 SIZE, RADIUS, BLOCKS, NEAR = 5, 23, 8, 2
@@ -184,7 +184,7 @@ def _blocks(items: DataFrame, key: str, text: str, most: int) -> Iterator[Items]
 def _scan(batches: Iterator[pa.RecordBatch], at: int, text: str, index: Items, least: float) -> Iterator[tuple[pa.RecordBatch, list[list[tuple]]]]:
     hashes = WordHashes()
     for batch in text_batches(batches, text, 4 << 20):
-        if len(hashes) > 400_000:
+        if len(hashes) > 300_000:
             hashes.clear()
         words = [hashes.of(x or "") for x in batch.column(at).to_pylist()]
         found: list[list[tuple]] = [[] for _ in words]
@@ -197,6 +197,8 @@ def _scan(batches: Iterator[pa.RecordBatch], at: int, text: str, index: Items, l
         for i in maybe:
             found[i] = index.find(words[i], least)
         yield batch, found
+    hashes.clear()
+    freed()
 
 
 def leaks(docs: DataFrame, items: DataFrame, least: float = 0.8, key: str = "doc_id", text: str = "text", item_key: str = "item_id", item_bytes: int = 16 << 20) -> DataFrame:

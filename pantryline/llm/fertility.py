@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from pantryline.llm.common import text_batches, written
+from pantryline.llm.common import freed, text_batches, written
 
 SYMBOLS, SPACE = b"#*$%&|<>", b" \t\n\r\x0b\x0c"
 KEPT_WORDS = 300_000
@@ -56,7 +56,7 @@ def _encoders(v: Vocabularies):
 
 
 class Words:
-    """Numbers for words, and what their tokens are. A worker keeps one and starts anew beyond ``KEPT_WORDS``."""
+    """Numbers for words, and what their tokens are. A task starts anew beyond ``KEPT_WORDS``."""
 
     def __init__(self, v: Vocabularies) -> None:
         self.pieces, self.bytes = _encoders(v)
@@ -160,6 +160,8 @@ def measure(docs: DataFrame, vocabularies: Vocabularies, text: str = "text") ->
             texts = [x or b"" for x in batch.column(at).cast(pa.binary()).to_pylist()]
             found = _measured(texts, words)
             yield pa.RecordBatch.from_arrays([*batch.columns, *(pa.array(found[x]) for x in own)], names=[*batch.schema.names, *own])
+        words.clear()
+        freed()
 
     return kept.mapInArrow(run, schema)
 

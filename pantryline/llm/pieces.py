@@ -6,7 +6,7 @@ score up to each place; a backward A-star search from the end takes those as its
 segmentations leave the queue in the order of their scores.
 
 The lattice falls apart between two characters that stand beside each other in no piece, as before each space that ends
-a word. Words and parts are kept by a worker: Viterbi passes from both ends give a part's best segmentation and its loss to the
+a word. Words and parts are kept by a task: Viterbi passes from both ends give a part's best segmentation and its loss to the
 second best (the best path through any edge beside the best one), and the A-star search lists its others when a text
 needs them. The N best of a text are those of its words' combinations: only the N-1 words with the smallest loss to their
 second best can differ from their best.
@@ -35,10 +35,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from pantryline.llm.common import text_batches
+from pantryline.llm.common import freed, text_batches
 
 MARK, UNKNOWN, LEAST = "▁", 10.0, float("-inf")
-KEPT_WORDS = 600_000
+KEPT_WORDS = 500_000
 #: Longer parts are searched one by one.
 LONGEST = 24
 
@@ -238,7 +238,7 @@ def lattice(model: str) -> Lattice:
 
 
 class Words:
-    """What a worker keeps of words: their best ids as bytes, score and loss, and the N best of those that were asked for."""
+    """What a task keeps of words: their best ids as bytes, score and loss, and the N best of those that were asked for."""
 
     def __init__(self, lattice: Lattice, n: int) -> None:
         self.lattice, self.n = lattice, n
@@ -301,11 +301,6 @@ class Words:
             yield score - d, b"".join(mine)
 
 
-@cache
-def _words(model: str, n: int) -> list[Words]:
-    return [Words(lattice(model), n)]
-
-
 def encode(docs: DataFrame, model: str, n: int = 4, ids_of: int = 1, key: str = "doc_id", text: str = "text") -> DataFrame:
     """A row for each row of ``docs``: its ``n`` best segmentations (fewer, if there are fewer), best first.
 
@@ -321,15 +316,15 @@ def encode(docs: DataFrame, model: str, n: int = 4, ids_of: int = 1, key: str =
         return pa.array(np.cumsum([0, *sizes]), pa.int32())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in text_batches(batches, "_text", 4 << 20):
-            kept = _words(model, n)
-            if len(kept[0].ids) > KEPT_WORDS:
-                kept[0] = Words(lattice(model), n)
+        kept = Words(lattice(model), n)
+        for batch in text_batches(batches, "_text", 2 << 20):
+            if len(kept.ids) > KEPT_WORDS:
+                kept = Words(lattice(model), n)
             best, back = [], []
             texts = batch.column(1).to_pylist()
-            for x, words in zip(texts, kept[0].add(texts), strict=True):
+            for x, words in zip(texts, kept.add(texts), strict=True):
                 back.append("".join(words).removeprefix(" ") == x)  # each part's best was decoded when it was added
-                best.append(list(kept[0].segmentations(words)))
+                best.append(list(kept.segmentations(words)))
             at = ends(list(map(len, best)))
             flat = [y for x in best for y in x]
             cols = [batch.column(0), pa.array(back, pa.bool_())]
@@ -340,6 +335,8 @@ def encode(docs: DataFrame, model: str, n: int = 4, ids_of: int = 1, key: str =
                 inner = pa.ListArray.from_arrays(ends([len(y) // 4 for y in first]), pa.array(np.frombuffer(b"".join(first), "<i4"), pa.int32()))
                 cols.append(pa.ListArray.from_arrays(ends([min(ids_of, len(x)) for x in best]), inner))
             yield pa.RecordBatch.from_arrays(cols, names=schema.names)
+        del kept
+        freed()
 
     return rows.mapInArrow(run, schema)
 

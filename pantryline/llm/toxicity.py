@@ -30,7 +30,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from pantryline.llm.common import text_batches
+from pantryline.llm.common import freed, text_batches
 
 #: Kinds of identity terms; within a kind each can stand for another. Replace or extend for other languages.
 IDENTITY = (
@@ -168,7 +168,7 @@ def fit(x: list[np.ndarray], y: np.ndarray, changed: list[tuple[int, np.ndarray]
     return Model({int(i): float(z) for i, z in zip(chosen, w, strict=True) if z}, float(bias))
 
 
-def train(docs: DataFrame, labels: DataFrame, usable: Column, target: str = "toxic", most: int = 6_000, vocabulary: int = 4096, penalty: float = 1.0, kinds: tuple[tuple[str, ...], ...] = IDENTITY) -> Model:
+def train(docs: DataFrame, labels: DataFrame, usable: Column, target: str = "toxic", most: int = 5_000, vocabulary: int = 4096, penalty: float = 1.0, kinds: tuple[tuple[str, ...], ...] = IDENTITY) -> Model:
     """A model from ``docs`` (doc_id, text) and ``labels`` (doc_id, target) where ``usable`` holds.
 
     At most ``most`` rows of each label are read, those whose ids hash lowest, so at most twice as many reach one task.
@@ -195,6 +195,8 @@ def train(docs: DataFrame, labels: DataFrame, usable: Column, target: str = "tox
         x = [np.frombuffer(b, np.uint32) for b in pdf["x"]]
         changed = [(i, np.frombuffer(b, np.uint32)) for i, s in enumerate(pdf["swaps"]) for b in s]
         model = fit(x, pdf["y"].to_numpy(), changed, share, must, vocabulary, penalty)
+        del x, changed
+        freed()
         return pd.DataFrame({"f": [*model.weights, -1], "w": [*model.weights.values(), model.intercept]})
 
     rows = texts.mapInArrow(extract, schema).groupBy().applyInPandas(learn, "f long, w double").collect()
@@ -214,8 +216,10 @@ def score(docs: DataFrame, model: Model, text: str = "text", name: str = "score"
         known: dict[str, tuple] = {}
         for batch in text_batches(batches, text, 4 << 20):
             z = np.array([model.logit(Counter(TOKEN.findall((s or "").lower())), known) for s in batch.column(at).to_pylist()])
-            if len(known) > 300_000:
+            if len(known) > 200_000:
                 known.clear()
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(1 / (1 + np.exp(-np.clip(z, -500, 500))))], names=[*batch.schema.names, name])
+        known.clear()
+        freed()
 
     return kept.mapInArrow(run, T.StructType([*kept.schema, T.StructField(name, T.DoubleType())]))
