@@ -278,14 +278,150 @@ def near_copies(docs: DataFrame, size: int = 4, ring: Ring = Ring(), block: int
     return out.select("doc_id", "fp", F.when(F.col("doc_id").isNotNull(), F.col("component_id")).alias("component_id"))
 
 
+NODE = [T.StructField("node", T.LongType()), T.StructField("fp", T.BinaryType())]
+CANDIDATE = T.StructType([T.StructField("k", T.LongType()), T.StructField("node", T.LongType())])
+
+
+def _set_number(h: np.ndarray) -> int:
+    """A number for a set of hashes (ascending)."""
+    return int(np.array([xxhash.xxh64_intdigest(h.tobytes(), SEED)], np.uint64).view(np.int64)[0])
+
+
+def shingle_sets(docs: DataFrame, size: int, ring: Ring) -> DataFrame:
+    """(doc_id, node, fp) of every row; ``node``: a number for its shingle set; ``fp``: of the set, so repeats don't count."""
+    rows = docs.select("doc_id", F.coalesce("text", F.lit("")).cast("binary").alias("_text"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in text_batches(batches, "_text", 8 << 20):
+            sets = [np.unique(shingle_hashes(x, size)) for x in batch.column(1).to_pylist()]
+            columns = [pa.array([_set_number(h) for h in sets], pa.int64()), pa.array([simhash(h, ring.words) for h in sets], pa.binary())]
+            yield pa.RecordBatch.from_arrays([batch.column(0), *columns], names=["doc_id", "node", "fp"])
+
+    return rows.mapInArrow(run, T.StructType([rows.schema[0], *NODE]))
+
+
+def _hashes(docs: DataFrame, wanted: DataFrame, size: int) -> DataFrame:
+    """(node, h) of the ``wanted`` (doc_id, node): the shingle set itself. A row whose text has another set is left out."""
+    rows = docs.join(wanted, "doc_id").select("node", F.coalesce("text", F.lit("")).cast("binary").alias("_text"))
+    schema = T.StructType([NODE[0], T.StructField("h", T.ArrayType(T.LongType()))])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in text_batches(batches, "_text", 2 << 20):
+            sets = [(n, np.unique(shingle_hashes(x, size))) for n, x in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True)]
+            sets = [(n, h) for n, h in sets if _set_number(h) == n]
+            yield pa.RecordBatch.from_arrays([pa.array([n for n, _ in sets], pa.int64()), pa.array([h.view(np.int64) for _, h in sets], pa.list_(pa.int64()))], names=["node", "h"])
+
+    return rows.mapInArrow(run, schema)
+
+
+def _proposed(group: np.ndarray, node: np.ndarray, fp: np.ndarray, root: np.ndarray, radius: int, most: int | None) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs within the radius among rows of equal ``group`` and unequal ``root``; of each row the first ``most``. Rows lie group by group."""
+    n = len(group)
+    alive, hits = np.arange(n), np.zeros(n, np.int64)
+    out = [(node[:0], node[:0])]
+    for shift in range(1, n):
+        alive = alive[alive + shift < n]
+        alive = alive[group[alive] == group[alive + shift]]
+        if most is not None:
+            alive = alive[hits[alive] < most]
+        if not len(alive):
+            break
+        a = alive[root[alive] != root[alive + shift]]
+        a = a[np.bitwise_count(fp[a] ^ fp[a + shift]).sum(1) <= radius]
+        hits[a] += 1
+        out.append((np.maximum(node[a], node[a + shift]), np.minimum(node[a], node[a + shift])))
+    return np.concatenate([x for x, _ in out]), np.concatenate([y for _, y in out])
+
+
+def _proposals(cells: DataFrame, ring: Ring, most: int | None) -> DataFrame:
+    """Distinct pairs (a, b < a) of ``cells`` (k, cell, node, fp, root) by ``_proposed``, unit by unit."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple] = []
+
+        def work(k, cell, node, fp, root):
+            a, b = _proposed(np.cumsum(np.concatenate(([0], (k[1:] != k[:-1]) | (cell[1:] != cell[:-1])))), node, fp, root, ring.radius, most)
+            if len(a):
+                yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=EDGE.names)
+
+        def joined():
+            return [np.concatenate([x[i] for x in held]) for i in range(5)]
+
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            c = dict(zip(batch.schema.names, batch.columns, strict=True))
+            held.append((c["k"].to_numpy(), c["cell"].to_numpy(), c["node"].to_numpy(), _words(c["fp"], ring.words), c["root"].to_numpy()))
+            if sum(len(x[0]) for x in held) < 50_000:
+                continue
+            k, cell, *rest = joined()
+            cut = len(k) - int(np.argmax(((k != k[-1]) | (cell != cell[-1]))[::-1])) if (k[0], cell[0]) != (k[-1], cell[-1]) else 0
+            if cut:
+                yield from work(k[:cut], cell[:cut], *(x[:cut] for x in rest))
+            held = [(k[cut:], cell[cut:], *(x[cut:] for x in rest))]
+        if held:
+            yield from work(*joined())
+
+    return cells.repartition("k", "cell").sortWithinPartitions("k", "cell", "node").mapInArrow(run, EDGE).distinct()
+
+
+def verified(docs: DataFrame, pairs: DataFrame, nodes: DataFrame, size: int, least: tuple[int, int]) -> DataFrame:
+    """The ``pairs`` (a, b) of which the shingle sets have a Jaccard similarity of ``least`` (a fraction) or more."""
+    ends = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+    sets = written(_hashes(docs, nodes.join(ends, "node", "left_semi").select("doc_id", "node"), size), "sets")
+    both = pairs.join(sets.select(F.col("node").alias("a"), F.col("h").alias("x")), "a").join(sets.select(F.col("node").alias("b"), F.col("h").alias("y")), "b")
+    same = F.size(F.array_intersect("x", "y"))
+    return both.filter(least[1] * same >= least[0] * (F.size("x") + F.size("y") - same)).select("a", "b").distinct()
+
+
+def similar_texts(docs: DataFrame, size: int, ring: Ring, least: tuple[int, int] = (4, 5), block: int = 4096, rounds: tuple[int | None, ...] = (1, 16, None)) -> DataFrame:
+    """(doc_id, component_id) of every row with an id: classes of what pairs with a similarity of ``least`` or more connect.
+
+    Fingerprints only propose; each link is a pair whose shingle sets are as similar. Equal sets are one node. A pair that
+    verified links connect already need not be tested, so rounds propose a few pairs of each node first and all that are
+    left, between classes, last: a dense class costs as many tests as it has nodes, and no pair is left out.
+    """
+    rows = written(shingle_sets(docs.filter("doc_id is not null"), size, ring), "shingle-sets")
+    nodes = written(rows.groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.first("fp").alias("fp")), "nodes")
+    keys = candidate_keys(nodes, ring)
+    shared = keys.groupBy("k").agg(F.count("*").alias("n")).filter("n > 1")
+    parts = F.ceil(F.col("n") / block).cast("long")
+    own = F.pmod(F.xxhash64("node"), parts)
+    pairs = F.transform(F.sequence(F.lit(0).cast("long"), parts - 1), lambda y: F.least(F.col("_own"), y) * (1 << 20) + F.greatest(F.col("_own"), y))
+    cells = keys.join(shared, "k").withColumn("_own", own).withColumn("cell", F.explode(pairs)).select("k", "cell", "node")
+    cells = written(cells.join(nodes.select("node", "fp"), "node"), "cells")
+    # rows of one id are one node
+    several = rows.groupBy("doc_id").agg(F.min("node").alias("b"), F.max("node").alias("_m")).filter("b != _m").select("doc_id", "b")
+    edges = written(rows.join(several, "doc_id").select(F.col("node").alias("a"), "b").filter("a != b").distinct(), "tied")
+    tested, roots = None, classes(edges)
+    for most in rounds:
+        known = cells.join(roots.select(F.col("a").alias("node"), F.col("b").alias("_root")), "node", "left").withColumn("root", F.coalesce("_root", "node"))
+        found = _proposals(known.select("k", "cell", "node", "fp", "root"), ring, most)
+        found = written(found if tested is None else found.join(tested, ["a", "b"], "left_anti"), "proposals")
+        if found.isEmpty():
+            continue
+        edges = written(edges.unionByName(verified(docs, found, nodes, size, least)), "verified")
+        tested = found if tested is None else tested.unionByName(found)
+        roots = classes(edges)
+    least_id = nodes.join(roots, F.col("node") == F.col("a"), "left").select("node", F.coalesce("b", "node").alias("root"), "doc_id")
+    named = least_id.groupBy("root").agg(F.min("doc_id").alias("component_id"))
+    # as a table of its own, so that a join whose one node has many rows can be split
+    found = written(least_id.select("node", "root").join(named, "root").select("node", "component_id"), "classes")
+    return rows.select("doc_id", "node").join(found, "node").select("doc_id", "component_id")
+
+
+def candidate_keys(nodes: DataFrame, ring: Ring) -> DataFrame:
+    """(k, node): nodes that share a ``k`` are compared."""
+    return _key_rows(nodes, ring).select("k", "node")
+
+
 def one_of_each(docs: DataFrame, size: int = 5, ring: Ring = Ring(words=4, radius=46, segments=21), block: int = 4096) -> DataFrame:
     """``docs`` without near copies: of each class the row with the least id stays (of repeated ids, one row).
 
-    The standard ring takes shingles of five words and 256 bits. Bits differ with the angle between the shingle counts:
-    at a similarity of 0.8 in 38.8 of 256 (deviation 5.7), so 46 keeps nearly all such pairs and none that are unrelated.
-    Rows without id stay.
+    A class is what pairs with a similarity of 0.8 or more connect: Jaccard, over sets of ``size``-word shingles, tested
+    exactly for each pair that the fingerprints propose. Rows without id stay.
     """
-    found = near_copies(docs.select("doc_id", "text"), size, ring, block).select("doc_id", "component_id")
+    found = written(similar_texts(docs.select("doc_id", "text"), size, ring, block=block), "found")
     leave = found.filter("doc_id is not null and doc_id != component_id").select("doc_id").distinct()
     out = docs.join(leave, "doc_id", "left_anti").select(docs.columns)
     repeated = written(found.filter("doc_id = component_id").groupBy("doc_id").agg(F.count("*").alias("n")).filter("n > 1").select("doc_id"), "repeated")

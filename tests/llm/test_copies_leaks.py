@@ -143,3 +143,34 @@ def test_leaks_are_those_of_brute_force(spark):
     assert decontamination.leaks(df, bench.limit(0)).count() == 0 and decontamination.without_leaks(df.limit(0), bench).count() == 0
     assert decontamination.without_leaks(df, bench.limit(0)).count() == len(rows)
     assert decontamination.leaks(df.withColumn("item_id", F.lit("clash")), bench).count() == len(got)
+
+
+def jaccard(x: str, y: str, k: int = 5) -> float:
+    a, b = ({tuple(w[i : i + k]) for i in range(len(w) - k + 1)} for w in (x.split(), y.split()))
+    return len(a & b) / len(a | b)
+
+
+def edited(rng: random.Random, text: str, at_most: float) -> str:
+    """Words changed one by one until the similarity is ``at_most`` or less."""
+    w, n = text.split(), 0
+    free = list(range(4, len(w) - 4))
+    rng.shuffle(free)
+    while jaccard(text, " ".join(w)) > at_most:
+        w[free[n]] = f"z{n}"
+        n += 1
+    return " ".join(w)
+
+
+def test_texts_that_are_less_similar_stay(spark):
+    rng = random.Random(12)
+    rows = []
+    for i in range(120):
+        x = words(rng, rng.choice([100, 300]), 3000)
+        y = edited(rng, x, rng.choice([0.5, 0.6, 0.7, 0.76, 0.78]))
+        rows += [(i, x, "en", "s", 0), (1000 + i, y, "en", "s", 0)]
+        assert 0.4 < jaccard(x, y) < 0.8
+    base = words(rng, 300, 3000)
+    chain = [base, edited(rng, base, 0.88), edited(rng, base, 0.87), edited(rng, base, 0.86)]  # each like the first
+    rows += [(2000 + i, x, "en", "s", 0) for i, x in enumerate(chain)]
+    got = {r["doc_id"] for r in simhash.one_of_each(docs(spark, rows)).collect()}
+    assert got == {r[0] for r in rows} - {2001, 2002, 2003}
