@@ -174,3 +174,17 @@ def test_texts_that_are_less_similar_stay(spark):
     rows += [(2000 + i, x, "en", "s", 0) for i, x in enumerate(chain)]
     got = {r["doc_id"] for r in simhash.one_of_each(docs(spark, rows)).collect()}
     assert got == {r[0] for r in rows} - {2001, 2002, 2003}
+
+
+def test_every_isolated_pair_over_the_limit_is_found(spark):
+    rng, rows = random.Random(13), []
+    for i in range(400):
+        x = words(rng, rng.choice([60, 100, 300]), 3000)
+        w = x.split()
+        for n, k in enumerate(rng.sample(range(len(w)), 30)):  # down to just over 0.8
+            v = [*w[:k], f"y{n}", *w[k + 1 :]]
+            w = v if jaccard(x, " ".join(v)) >= 0.8 else w
+        assert 0.8 <= jaccard(x, " ".join(w)) < 0.9
+        rows += [(i, x, "en", "s", 0), (1000 + i, " ".join(w), "en", "s", 0)]
+    got = {r["doc_id"] for r in simhash.one_of_each(docs(spark, rows)).collect()}
+    assert got == set(range(400))
