@@ -3,8 +3,8 @@
 Public vocabularies measure each text word by word: characters per token (a SentencePiece vocabulary and a byte-level
 one), the share of byte-fallback tokens, and the entropy of the text's token counts. A band per language and length
 class is learned from all texts that pass the base rules: the median plus and minus ``width`` robust deviations, taken
-from the quartiles and never under a floor. A text outside a band of its class is rejected. Classes with under
-``least`` texts use the bands of their length class over all languages, and those with under ``least`` there reject nothing.
+from the quartiles and never under a floor. A text outside a band of its class is rejected. Classes with under ``least`` texts
+back off, to the language's nearest length class first; no text goes without bands.
 
 Base rules: under 50 words, or over half of the words in repeated windows of three words.
 
@@ -188,27 +188,42 @@ def _ratios(measured: DataFrame) -> DataFrame:
 def bands(measured: DataFrame, language: str = "lang", width: float = 5.0, least: int = 100) -> DataFrame:
     """A row for each language and length class that texts have: (language, length_class, MEASURE_low, MEASURE_high).
 
-    From all texts that pass the base rules; without ``least`` of them a class has those of all languages, or nulls.
+    From the texts that pass the base rules: those of the class; without ``least`` of them those of the language's nearest
+    length class with as many (the shorter of two), as much wider as it is farther; else of the language over all lengths, if
+    it has a tenth of ``least``; else of the nearest length class over all languages; else of all texts. Under ``least``
+    texts the spread grows by sqrt(least / texts). Bands are null only if no text passes the base rules.
     """
+    names = [f"{x}_{e}" for x in MEASURES for e in ("low", "high")]
 
     def of(df: DataFrame, *group: str) -> DataFrame:
         cols = [F.percentile_approx(x, [0.25, 0.5, 0.75], 1000).alias(f"_{x}") for x in MEASURES]
-        out = df.groupBy(*group).agg(F.count("*").alias("_n"), *cols).filter(F.col("_n") >= least)
+        out = df.groupBy(*group).agg(F.count("*").alias("_n"), *cols).filter("_n > 0")
+        wider = F.sqrt(F.greatest(least / F.col("_n"), F.lit(1.0)))
         for x, floor in MEASURES.items():
             q = F.col(f"_{x}")
-            spread = F.greatest((q[2] - q[0]) / 1.349, F.lit(floor))
+            spread = F.greatest((q[2] - q[0]) / 1.349, F.lit(floor)) * wider
             out = out.withColumns({f"{x}_low": q[1] - width * spread, f"{x}_high": q[1] + width * spread})
-        return out.select(*group, *(f"{x}_{e}" for x in MEASURES for e in ("low", "high")))
+        return out.select(*group, "_n", *names)
 
     fine = _ratios(measured).withColumn("_lang", F.coalesce(language, F.lit("")))
     good = fine.filter(~base_failed())
     each = fine.select("_lang", "length_class").distinct()
-    own = of(good, "_lang", "length_class")
-    every = of(good, "length_class")
-    names = [f"{x}_{e}" for x in MEASURES for e in ("low", "high")]
-    every = every.withColumnsRenamed({x: f"_all_{x}" for x in names})
-    both = each.join(own, ["_lang", "length_class"], "left").join(every, "length_class", "left")
-    return both.select("_lang", "length_class", *(F.coalesce(x, f"_all_{x}").alias(x) for x in names))
+    steps = F.abs(F.col("length_class") - F.col("_class"))
+    wide = lambda x: steps * (F.col(f"{x}_high") - F.col(f"{x}_low")) / 2
+    moved = F.struct(*(y for x in MEASURES for y in ((F.col(f"{x}_low") - wide(x)).alias(f"{x}_low"), (F.col(f"{x}_high") + wide(x)).alias(f"{x}_high"))))
+
+    def nearest(name: str, *group: str) -> DataFrame:
+        # languages times 40 rows at most
+        full = of(good, *group, "length_class").filter(F.col("_n") >= least).withColumnRenamed("length_class", "_class")
+        pairs = each.join(full, list(group)) if group else each.select("length_class").distinct().crossJoin(full)
+        return pairs.groupBy(*group, "length_class").agg(F.min_by(moved, F.struct(steps, "_class")).alias(name))
+
+    language_wide = of(good, "_lang").filter(10 * F.col("_n") >= least).select("_lang", F.struct(*names).alias("_language"))
+    every = of(good).select(F.struct(*names).alias("_every"))
+    both = each.join(nearest("_near", "_lang"), ["_lang", "length_class"], "left").join(language_wide, "_lang", "left")
+    both = both.join(nearest("_near_all"), "length_class", "left").join(F.broadcast(every), how="left")
+    found = F.coalesce("_near", "_language", "_near_all", "_every")
+    return both.select("_lang", "length_class", *(found[x].alias(x) for x in names))
 
 
 def judge(measured: DataFrame, limits: DataFrame, language: str = "lang") -> DataFrame:

@@ -137,6 +137,21 @@ def test_bands_reject_what_is_odd_for_its_language(spark):
     assert fertility.quality(docs(spark, clean).limit(0), queries.vocabularies()).count() == 0
 
 
+def test_no_class_goes_without_bands(spark):
+    rng = random.Random(14)
+    known = "the house under their water between people morning window letter history another children country question small paper music river garden together thought always something mountain picture answer summer evening teacher village".split()
+    prose = lambda n: " ".join(rng.choice(known) for _ in range(n))
+    junk = lambda n: " ".join(rng.choice(known) + rng.choice(["***", "$$$", "%%%"]) for _ in range(n))
+    clean = [(i, prose(200), "en", "s", 0) for i in range(300)]
+    rare = [(1000 + i, prose(700), "xx", "s", 0) for i in range(30)] + [(1100, prose(700), "yy", "s", 0)]
+    odd = [(2000, junk(5000), "en", "s", 0), (2001, junk(700), "xx", "s", 0), (2002, junk(5000), "yy", "s", 0)]
+    got = {r["doc_id"]: r for r in fertility.quality(docs(spark, clean + rare + odd), queries.vocabularies()).collect()}
+    assert not any(got[i]["base_failed"] or got[i]["kept"] for i in (2000, 2001, 2002))
+    assert all(got[i]["kept"] for i in [*range(1000, 1030), 1100])
+    alone = [r["kept"] for r in fertility.quality(docs(spark, clean[:20] + odd[:1]), queries.vocabularies()).collect() if r["doc_id"] == 2000]
+    assert alone == [False]
+
+
 def toxic_fixture(rng):
     insults, groups = ["idiot", "scum", "moron"], ["muslim", "christian", "jewish", "hindu"]
     rows, labels = [], []
