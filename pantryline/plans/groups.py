@@ -110,6 +110,38 @@ def u5_source_fallback(t: Tables) -> DataFrame:
     return dedupe.source_fallback(rows, "page", "source", "name", "prio", "event_id").select("page", "event_id", "label")
 
 
+USER_CAND = "(SELECT event_id, user_id * 100 + day(ts) // 2 AS page, event_type AS name, (event_id % 5)::BIGINT AS prio FROM events)"
+
+
+def user_candidates(t: Tables) -> DataFrame:
+    """All events as extraction candidates, a page for two days of a user."""
+    return t.events.select("event_id", (F.col("user_id") * 100 + F.floor(F.dayofmonth("ts") / 2)).alias("page"), F.col("event_type").alias("name"), (F.col("event_id") % 5).alias("prio"))
+
+
+@query(f"""
+WITH c AS (SELECT page, event_id, (event_id % 3)::INT AS strategy_rank FROM {USER_CAND}),
+n AS (SELECT page, count(*) FILTER (strategy_rank = 0) AS n0, count(*) FILTER (strategy_rank = 1) AS n1 FROM c GROUP BY 1)
+SELECT page, event_id FROM c JOIN n USING (page) WHERE strategy_rank = 0 OR (strategy_rank = 1 AND n0 < 2) OR (strategy_rank = 2 AND n0 + CASE WHEN n0 < 2 THEN n1 ELSE 0 END < 3)
+""")
+def u2_cascade_whole(t: Tables) -> DataFrame:
+    """U2 over all events."""
+    rows = user_candidates(t).select("page", "event_id", (F.col("event_id") % 3).cast("int").alias("strategy_rank"))
+    return dedupe.cascade(rows, ["page"], "strategy_rank", [0, 2, 3]).select("page", "event_id")
+
+
+@query(f"""
+WITH c AS (SELECT page, event_id, name, prio, CASE WHEN event_id % 2 = 0 THEN 'primary' ELSE 'fallback' END AS source FROM {USER_CAND}),
+n AS (SELECT page, count(*) FILTER (source = 'primary') AS p, count(*) FILTER (source = 'fallback') AS f FROM c GROUP BY 1),
+l AS (SELECT c.*, CASE WHEN p >= 5 THEN 'primary_url' WHEN f > p THEN 'fallback_website' WHEN f > 0 THEN 'combined' ELSE 'primary_url_only' END AS label FROM c JOIN n USING (page))
+SELECT page, event_id, label FROM l WHERE (label LIKE 'primary%' AND source = 'primary') OR (label = 'fallback_website' AND source = 'fallback')
+UNION ALL SELECT page, event_id, label FROM (SELECT *, row_number() OVER (PARTITION BY page, name, prio ORDER BY event_id) AS r FROM l WHERE label = 'combined') WHERE r = 1
+""")
+def u5_source_fallback_whole(t: Tables) -> DataFrame:
+    """U5 over all events."""
+    rows = user_candidates(t).withColumn("source", F.when(F.col("event_id") % 2 == 0, "primary").otherwise("fallback"))
+    return dedupe.source_fallback(rows, "page", "source", "name", "prio", "event_id").select("page", "event_id", "label")
+
+
 PARTS = "(WITH g AS (SELECT l_partkey, list(DISTINCT l_returnflag) AS labels FROM lineitem GROUP BY 1) SELECT p_partkey, p_brand, p_type, CASE WHEN p_size > 40 THEN 'high' WHEN p_size > 20 THEN 'medium' WHEN p_size > 10 THEN 'low' ELSE 'unknown' END AS risk, coalesce(labels, []) AS labels FROM part LEFT JOIN g ON l_partkey = p_partkey)"
 
 

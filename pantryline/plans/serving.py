@@ -172,6 +172,24 @@ def j10_snapshot_diff(t: Tables) -> DataFrame:
     return serve.snapshot_diff(side(F.col("ts") < day, 11), side(F.col("ts") >= day, 13), "user_id", ["phone"], ["website"], "n")
 
 
+WHOLE_SNAPSHOTS = SNAPSHOTS.replace("SELECT user_id,", "SELECT user_id * 100 + hour(ts) AS user_id,").replace(" AND user_id % 11 <> 0", "").replace(" AND user_id % 13 <> 0", "")
+
+
+@query(f"""
+WITH {WHOLE_SNAPSHOTS}, b AS (SELECT coalesce(o.user_id, n.user_id) AS user_id, o.user_id AS ou, n.user_id AS nu, o.n AS on_, n.n AS nn, o.phone AS op, n.phone AS np, o.website AS ow, n.website AS nw FROM o FULL OUTER JOIN n ON o.user_id = n.user_id)
+SELECT user_id, 'new' AS change_type, NULL::VARCHAR AS field, NULL::VARCHAR AS old_value, NULL::VARCHAR AS new_value FROM b WHERE ou IS NULL
+UNION ALL SELECT user_id, 'removed', NULL, NULL, NULL FROM b WHERE nu IS NULL
+UNION ALL SELECT user_id, 'updated', 'phone', op, np FROM b WHERE ou IS NOT NULL AND nu IS NOT NULL AND op IS DISTINCT FROM np
+UNION ALL SELECT user_id, 'updated', 'website', ow, nw FROM b WHERE ou IS NOT NULL AND nu IS NOT NULL AND ow IS DISTINCT FROM nw
+UNION ALL SELECT user_id, 'menu_changed', 'n', on_::VARCHAR, nn::VARCHAR FROM b WHERE ou IS NOT NULL AND nu IS NOT NULL AND on_ <> nn
+""")
+def j10_snapshot_diff_whole(t: Tables) -> DataFrame:
+    """J10 over all events, by user and hour of the day."""
+    side = lambda c: t.events.filter(c).groupBy((F.col("user_id") * 100 + F.hour("ts")).alias("user_id")).agg(F.count("*").alias("n"), F.max("event_type").alias("phone"), F.min("event_type").alias("website"))
+    day = F.lit("2024-01-10").cast("timestamp")
+    return serve.snapshot_diff(side(F.col("ts") < day), side(F.col("ts") >= day), "user_id", ["phone"], ["website"], "n")
+
+
 @query("""
 WITH d(keyword, label, weight) AS (VALUES ('red', 'warm', 0.9), ('hot', 'warm', 0.7), ('cold', 'cool', 0.8), ('ring', 'round', 0.6), ('gear', 'round', 0.9))
 SELECT p_partkey, label, max(weight)::DOUBLE AS weight FROM (SELECT p_partkey, unnest(string_split(p_name, ' ')) AS keyword FROM part) JOIN d USING (keyword) GROUP BY ALL
