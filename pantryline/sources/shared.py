@@ -1,4 +1,4 @@
-"""The folder that driver and executors share."""
+"""The folder that driver and executors share, and what a session writes there."""
 
 from __future__ import annotations
 
@@ -9,16 +9,36 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """``spark.checkpoint.dir``; a temporary folder only where it is unset, as in tests."""
+    """``spark.checkpoint.dir``. Where it is unset, a local session gets a temporary folder; a cluster's raises ValueError."""
     sc = spark.sparkContext
-    if not (found := sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()):
-        sc.setCheckpointDir("file://" + tempfile.mkdtemp(prefix="spark-shared-"))
-        found = sc.getCheckpointDir()
+    found = sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
+    if not found:
+        if not sc.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        found = "file://" + tempfile.mkdtemp(prefix="spark-shared-")
+    if not sc.getCheckpointDir():
+        sc.setCheckpointDir(found)
     return found.rstrip("/")
 
 
+def session_dir(spark: SparkSession) -> str:
+    """The one folder of this session within the shared one."""
+    return f"{shared_dir(spark)}/pantryline-{spark.sparkContext.applicationId}"
+
+
+def new_path(spark: SparkSession, name: str) -> str:
+    """A path in the session's folder that nobody has used."""
+    return f"{session_dir(spark)}/{name}-{uuid.uuid4().hex}"
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
-    """``df`` written to the shared folder and read again, so that its lineage ends there."""
-    path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
+    """``df`` written to the session's folder and read again: its lineage ends there and it is computed once."""
+    path = new_path(df.sparkSession, name)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def drop_session(spark: SparkSession) -> None:
+    """Removes all that this session wrote to the shared folder; tables that came from ``written`` can't be read any more."""
+    folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(session_dir(spark))
+    folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
