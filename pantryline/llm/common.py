@@ -1,43 +1,50 @@
-"""What several operators of this folder share: the shared folder, words, Arrow batches."""
+"""What several operators of this folder share: words, folds, Arrow batches, and column names that don't clash."""
 
 from __future__ import annotations
 
 import gc
-import tempfile
-import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from pantryline.sources.shared import new_path, shared_dir, written
+
+__all__ = ["WORD", "apart", "fold", "freed", "lower_ascii", "new_path", "shared_dir", "text_batches", "text_bytes", "whole_number", "written"]
 
 #: A word is a run of anything but ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share (``spark.checkpoint.dir``); a temporary one only where it is unset."""
-    sc = spark.sparkContext
-    if found := sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir():
-        if not sc.getCheckpointDir():
-            sc.setCheckpointDir(found)
-        return found
-    sc.setCheckpointDir("file://" + tempfile.mkdtemp(prefix="spark-shared-"))
-    return sc.getCheckpointDir()
+def apart(df: DataFrame, *needed: str, own: tuple[str, ...] = ()) -> tuple[DataFrame, Callable[..., DataFrame]]:
+    """``df`` with the ``needed`` columns under their names and all others as ``_c0``, ``_c1``, ... by place, and the way back.
+
+    So no name that an operator uses inside can clash with a caller's column, whatever that is called and in whatever
+    case. The way back takes the result and gives the caller's columns in their order, then the columns ``own`` that the
+    operator adds, under the names given (``back(out, score="points")`` calls the column ``score`` ``points``). A caller's
+    column with the name of an added one gives way to it.
+    """
+    names = {c: i for i, c in reversed(list(enumerate(df.columns)))}
+    at = {names[x]: x for x in needed}
+    plain = df.toDF(*(at.get(i, f"_c{i}") for i in range(len(df.columns))))
+    inner, outer = plain.columns, df.columns
 
+    def back(out: DataFrame, **renamed: str) -> DataFrame:
+        added = {x: renamed.get(x, x) for x in own}
+        taken = {x.lower() for x in added.values()}
+        mine = [F.col(i).alias(o) for i, o in zip(inner, outer, strict=True) if o.lower() not in taken and i in out.columns]
+        return out.select(*mine, *(F.col(x).alias(y) for x, y in added.items()))
 
-def new_path(spark: SparkSession, name: str) -> str:
-    """A path in the shared folder that nobody has used."""
-    return f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    return plain, back
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
-    """``df`` written to the shared folder and read again: its lineage ends there and it is computed once."""
-    path = new_path(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+def whole_number(kind: T.DataType) -> bool:
+    """Whether values are integers that a long holds."""
+    return isinstance(kind, T.ByteType | T.ShortType | T.IntegerType | T.LongType)
 
 
 def lower_ascii(text: Column) -> Column:

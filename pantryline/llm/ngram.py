@@ -7,22 +7,26 @@ are learned by expectation-maximisation on held-out counts: part of the training
 the counts, its tokens are binned by bucket and by the estimates' size, and each bucket's weights are fitted to them. The
 final estimates come from all training texts.
 
-Flow. Each scan task cuts its texts into units of about ``unit_bytes``. A unit's distinct n-grams go as sorted 64-bit
-hashes with their counts, cut by their leading bits, to parts: there counts are summed and answered in the order asked. A
-second exchange brings the answers and the unit's token numbers together; those come from a second scan, which is less
-than to shuffle them twice (a checksum holds both scans to the same units; an input that is not read alike twice must
-be written first). So a frequent n-gram travels once a unit, not once a text or token, and the work in a part or a unit
-is bounded. The answered units are written to the shared folder once; weights and scores are taken from them.
-
-Hashes stand for words and n-grams: two of n distinct ones share a hash with a probability of about n*n / 2**65.
-
-Nulls: a null text counts as empty: one token, the end. A null condition counts as false. Repeated rows are scored and
-counted each. Without training texts every probability is that of one unknown token, 1. An empty table gives no rows.
+Flow. Each scan task cuts its texts into units of about ``unit_bytes``. A unit's distinct n-grams go as sorted hashes with
+their counts, cut by their leading bits, to parts: there counts are summed and answered in the order asked. A second
+exchange brings the answers and the unit's token numbers together. So a frequent n-gram travels once a unit, not once a
+text or token, and the work in a part or a unit is bounded. The answered units are written to the shared folder once;
+weights and scores are taken from them. The input is read once for that (and once for its size); one whose order a shuffle
+made should be written first, as a lost task must cut it into the same units again (a checksum tells if it did not).
+
+Hashes stand for words and n-grams. Words have 64 bits: two of n distinct ones share one with a probability of about
+n*n / 2**65. N-grams have 16 bits more than the text has bytes, so that fewer than one in 65,536 shares its hash whatever
+the input's size, and at most 64.
+
+Nulls: a null text counts as empty: one token, the end. A null condition counts as false, a null id stays null. Repeated rows
+are scored and counted each, whatever their ids. Ids of any type come back as they are. Other columns are neither read nor
+returned, so none can clash. Without training texts every probability is that of one unknown token, 1. An empty table gives
+no rows.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
@@ -33,20 +37,23 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from pantryline.llm.common import text_batches, text_bytes, written
+from pantryline.llm.common import freed, text_batches, text_bytes, whole_number, written
 
 A, B = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 REQUEST, UNIT, STATS, CELLS = 0, 1, 2, 3
-#: Bins of an estimate in an octave, for the held-out counts.
-FINE = 8
+#: Bins of an estimate in an octave, for the held-out counts; a cell's estimates count by their means.
+FINE = 2
 NONE = np.zeros(0, np.uint64)
 LONGS = ("dest", "unit", "kind", "level", "part", "n", "check")
-ROW = T.StructType(
-    [T.StructField(x, T.LongType()) for x in LONGS]
-    + [T.StructField(x, T.BinaryType()) for x in ("p0", "p1", "p2", "p3")]
-    + [T.StructField("ids", T.ArrayType(T.LongType()))]
-)
-ARROW = pa.schema([(x, pa.int64()) for x in LONGS] + [(x, pa.binary()) for x in ("p0", "p1", "p2", "p3")] + [("ids", pa.list_(pa.int64()))])
+BYTES = ("p0", "p1", "p2", "p3")
+BEGIN, END = b"\x00 begin", b"\x00 end"  # no word has a space
+
+
+def _schema(ids: T.DataType) -> tuple[T.StructType, pa.Schema]:
+    """Of the rows that travel: unit, request, sums and cells alike."""
+    fields = [T.StructField(x, T.LongType()) for x in LONGS] + [T.StructField(x, T.BinaryType()) for x in BYTES]
+    arrow = [(x, pa.int64()) for x in LONGS] + [(x, pa.binary()) for x in BYTES]
+    return T.StructType([*fields, T.StructField("ids", T.ArrayType(ids))]), pa.schema([*arrow, ("ids", pa.list_(pa.int64() if isinstance(ids, T.LongType) else pa.string()))])
 
 
 def pack(x: np.ndarray) -> bytes:
@@ -65,10 +72,6 @@ def unpack(b: bytes, n: int) -> np.ndarray:
     return out.reshape(-1).view(np.uint64)
 
 
-def _batch(rows: list[dict]) -> pa.RecordBatch:
-    return pa.RecordBatch.from_pylist(rows, schema=ARROW)
-
-
 def _row(**x) -> dict:
     return {"dest": 0, "unit": 0, "kind": 0, "level": 0, "part": 0, "n": 0, "check": 0, "p0": b"", "p1": b"", "p2": b"", "p3": b"", "ids": None} | x
 
@@ -94,16 +97,20 @@ class Tokens:
     @classmethod
     def of(cls, order: int, texts: list[bytes]) -> Tokens:
         """From texts."""
-        number: dict[bytes, int] = {b"\x00 begin": 0, b"\x00 end": 1}  # no word has a space
-        get, out, lengths = number.setdefault, [], []
+        words, sizes = [], []
         for x in texts:
-            words = x.lower().split()
-            lengths.append(len(words) + 1)
-            out += [0] * (order - 1)
-            out += [get(w, len(number)) for w in words]
-            out.append(1)
-        hashes = np.fromiter(map(xxhash.xxh64_intdigest, number), np.uint64, len(number))
-        return cls(order, np.array(out, np.int64), np.array(lengths, np.int64), hashes)
+            w = x.lower().split()
+            sizes.append(len(w))
+            words += w
+        coded = pa.array(words, pa.binary()).dictionary_encode()
+        names = [BEGIN, END, *coded.dictionary.to_pylist()]
+        hashes = np.fromiter(map(xxhash.xxh64_intdigest, names), np.uint64, len(names))
+        sizes = np.array(sizes, np.int64)
+        first = np.cumsum(sizes + order) - sizes - order  # where each text begins
+        numbers = np.zeros(int((sizes + order).sum()), np.int64)
+        numbers[np.arange(len(words)) + np.repeat(first + order - 1 - (np.cumsum(sizes) - sizes), sizes)] = coded.indices.to_numpy() + 2
+        numbers[first + order - 1 + sizes] = 1
+        return cls(order, numbers, sizes + 1, hashes)
 
     def at(self, level: int) -> np.ndarray:
         """Where n-grams of this order are counted: at tokens, and as contexts at the last beginnings."""
@@ -124,8 +131,8 @@ class Tokens:
             key ^= key >> np.uint64(32)
             yield level, key
 
-    def distinct(self) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
-        """(order, places, distinct hashes in order, number of each place's hash)."""
+    def distinct(self, bits: int = 64) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
+        """(order, places, distinct hashes in order, number of each place's hash); ``bits``: of hashes from order 2 on."""
         order = np.argsort(self.hashes, kind="stable")
         rank = np.empty(len(order), np.int64)
         rank[order] = np.arange(len(order))
@@ -133,43 +140,32 @@ class Tokens:
         yield 1, at, self.hashes[order], rank[self.numbers[at]]
         for level, key in self.keys():
             at = self.at(level)
-            yield level, at, *np.unique(key[at], return_inverse=True)
-
-
-def _units(docs: DataFrame, order: int, unit_bytes: int) -> DataFrame:
-    """A row for each unit with its token numbers."""
+            yield level, at, *np.unique(key[at] >> np.uint64(64 - bits), return_inverse=True)
 
-    def rows(name: int, check: int, tokens: Tokens, ids: list, train: np.ndarray, out: np.ndarray) -> Iterator[pa.RecordBatch]:
-        yield _batch([_row(dest=name, unit=name, kind=UNIT, n=len(tokens.numbers), check=check, p0=pack(tokens.numbers), p1=pack(tokens.lengths), p2=tokens.hashes.tobytes(), p3=pack(train + 2 * out), ids=ids)])
 
-    return _by_unit(docs, order, unit_bytes, rows)
+def _units(docs: DataFrame, order: int, unit_bytes: int, parts_bits: int, bits: int, ids_kind: T.DataType) -> DataFrame:
+    """A row for each unit with its token numbers, and rows of its distinct n-grams with their counts in training and
+    deleted texts, one for each order and part. Units go past the parts by destinations below zero."""
+    schema, arrow = _schema(ids_kind)
 
-
-def _requests(docs: DataFrame, order: int, unit_bytes: int, parts_bits: int) -> DataFrame:
-    """Units' distinct n-grams with their counts in training and deleted texts, a row for each unit, order and part."""
-
-    def rows(name: int, check: int, tokens: Tokens, ids: list, train: np.ndarray, out: np.ndarray) -> Iterator[pa.RecordBatch]:
-        for level, at, keys, place in tokens.distinct():
+    def rows(name: int, tokens: Tokens, ids: list, train: np.ndarray, out: np.ndarray) -> Iterator[pa.RecordBatch]:
+        check = xxhash.xxh64_intdigest(tokens.numbers.tobytes() + tokens.hashes.tobytes()) >> 1
+        yield pa.RecordBatch.from_pylist([_row(dest=-1 - name, unit=name, kind=UNIT, n=len(tokens.numbers), check=check, p0=pack(tokens.numbers), p1=pack(tokens.lengths), p2=tokens.hashes.tobytes(), p3=pack(train + 2 * out), ids=ids)], schema=arrow)
+        for level, at, keys, place in tokens.distinct(bits):
             doc = tokens.doc[at]
             every = np.bincount(place, weights=train[doc], minlength=len(keys)).astype(np.uint64)
             deleted = np.bincount(place, weights=out[doc], minlength=len(keys)).astype(np.uint64)
-            part = (keys >> np.uint64(64 - parts_bits)).astype(np.int64) if parts_bits else np.zeros(len(keys), np.int64)
+            part = (keys >> np.uint64((64 if level == 1 else bits) - parts_bits)).astype(np.int64) if parts_bits else np.zeros(len(keys), np.int64)
             cuts = np.flatnonzero(np.diff(part, prepend=-1)).tolist() + [len(keys)]
-            yield _batch([_row(dest=int(part[a]), unit=name, kind=REQUEST, level=level, part=int(part[a]), n=b - a, check=check, p0=pack(np.diff(keys[a:b])), p1=pack(every[a:b]), p2=pack(deleted[a:b]), p3=keys[a : a + 1].tobytes()) for a, b in zip(cuts[:-1], cuts[1:], strict=True)])
-
-    return _by_unit(docs, order, unit_bytes, rows)
-
+            yield pa.RecordBatch.from_pylist([_row(dest=int(part[a]), unit=name, kind=REQUEST, level=level, part=int(part[a]), n=b - a, check=check, p0=pack(np.diff(keys[a:b])), p1=pack(every[a:b]), p2=pack(deleted[a:b]), p3=keys[a : a + 1].tobytes()) for a, b in zip(cuts[:-1], cuts[1:], strict=True)], schema=arrow)
 
-def _by_unit(docs: DataFrame, order: int, unit_bytes: int, rows: Callable[..., Iterator[pa.RecordBatch]]) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         number, held, size = 0, [], 0
 
         def unit() -> Iterator[pa.RecordBatch]:
             ids, texts, train, out = ([y for x in held for y in x[i]] for i in range(4))
-            tokens = Tokens.of(order, texts)
-            train, out = np.array(train, np.int64), np.array(out, np.int64) * np.array(train, np.int64)
-            check = xxhash.xxh64_intdigest(tokens.numbers.tobytes() + tokens.hashes.tobytes()) >> 1
-            yield from rows((held[0][4] << 24) + number, check, tokens, ids, train, out)
+            train = np.array(train, np.int64)
+            yield from rows((held[0][4] << 24) + number, Tokens.of(order, texts), ids, train, np.array(out, np.int64) * train)
 
         for batch in text_batches(batches, "_text", unit_bytes):
             part = batch.to_pydict()
@@ -180,20 +176,26 @@ def _by_unit(docs: DataFrame, order: int, unit_bytes: int, rows: Callable[..., I
                 number, held, size = number + 1, [], 0
         if held:
             yield from unit()
+        held = []
+        freed()
 
     # the number of the scan's own partition, whatever stands above it in a plan
-    return docs.withColumn("_part", F.spark_partition_id()).mapInArrow(run, ROW)
+    return docs.withColumn("_part", F.spark_partition_id()).mapInArrow(run, schema)
 
 
-def _answered(requests: DataFrame) -> DataFrame:
-    """Requests summed and answered, part by part."""
+def _answered(units: DataFrame, ids_kind: T.DataType) -> DataFrame:
+    """Requests summed and answered, part by part; units as they are."""
+    schema, arrow = _schema(ids_kind)
 
     def run(table: pa.Table) -> pa.Table:
+        if table.column("kind")[0].as_py() == UNIT:
+            return table.set_column(0, "dest", table.column("unit"))
         rows, out = table.to_pylist(), []
         for level in sorted({r["level"] for r in rows}):
             mine = [r for r in rows if r["level"] == level]
             keys = np.concatenate([np.cumsum(np.concatenate((np.frombuffer(r["p3"], np.uint64), unpack(r["p0"], r["n"] - 1)))) for r in mine])
             distinct, place = np.unique(keys, return_inverse=True)
+            del keys
             every = np.bincount(place, weights=np.concatenate([unpack(r["p1"], r["n"]) for r in mine])).astype(np.uint64)
             deleted = np.bincount(place, weights=np.concatenate([unpack(r["p2"], r["n"]) for r in mine])).astype(np.uint64)
             a = 0
@@ -202,20 +204,20 @@ def _answered(requests: DataFrame) -> DataFrame:
                 a += r["n"]
                 out.append(_row(dest=r["unit"], unit=r["unit"], kind=REQUEST, level=level, part=r["part"], n=r["n"], check=r["check"], p1=pack(every[at]), p2=pack(deleted[at])))
             if level == 1:
-                real = distinct != np.uint64(xxhash.xxh64_intdigest(b"\x00 begin"))
-                sums = [int(every[real].sum()), int((every[real] > 0).sum()), int(deleted[real].sum())]
-                out.append(_row(dest=-1 - rows[0]["dest"], unit=-1, kind=STATS, n=1, ids=sums))
-        return pa.Table.from_pylist(out, schema=ARROW)
+                real = distinct != np.uint64(xxhash.xxh64_intdigest(BEGIN))
+                n, v, lost = every[real].sum(), (every[real] > 0).sum(), deleted[real].sum()
+                out.append(_row(dest=-1 - rows[0]["dest"], unit=-1, kind=STATS, n=int(n), level=int(v), part=int(lost)))  # all, distinct, deleted
+        return pa.Table.from_pylist(out, schema=arrow)
 
-    return requests.groupBy("dest").applyInArrow(run, ROW)
+    return units.groupBy("dest").applyInArrow(run, schema)
 
 
-def _buckets(ctx: list[np.ndarray]) -> np.ndarray:
-    """64 times the number of orders whose context is there, plus the octave of the longest one's count.
+def _buckets(ctx: list[np.ndarray], n: int) -> np.ndarray:
+    """Of ``n`` tokens: 64 times the number of orders whose context is there, plus the octave of the longest one's count.
 
     ``ctx``: counts of the contexts of orders 2, 3, ...; a longer one is there only if the shorter ones are.
     """
-    out = np.zeros(len(ctx[0]) if ctx else 0, np.int64)
+    out = np.zeros(n, np.int64)
     for k, c in enumerate(ctx, 1):
         with np.errstate(divide="ignore"):
             octave = np.floor(np.log2(c.astype(float)))
@@ -239,8 +241,18 @@ def _counts(tokens: Tokens, by_level: dict[int, np.ndarray]) -> tuple[list[np.nd
     return [x[at] for x in full], [x[at - 1] for x in full[:-1]]
 
 
-def _joined(answered: DataFrame, order: int) -> DataFrame:
+def cell_code(bucket: np.ndarray, estimates: list[np.ndarray]) -> np.ndarray:
+    """A number for a bucket and the bins of the estimates; bin 0 is an estimate of zero."""
+    code = bucket
+    for x in estimates:
+        with np.errstate(divide="ignore"):
+            code = code * 1200 + np.where(x > 0, np.round(FINE * np.log2(np.where(x > 0, x, 1))) + 600, 0).astype(np.int64)
+    return code
+
+
+def _joined(answered: DataFrame, order: int, bits: int, ids_kind: T.DataType) -> DataFrame:
     """One row for each unit with the counts at its places, and rows of its held-out tokens by bucket and bin."""
+    schema, arrow = _schema(ids_kind)
 
     def run(table: pa.Table) -> pa.Table:
         rows = table.to_pylist()
@@ -249,32 +261,26 @@ def _joined(answered: DataFrame, order: int) -> DataFrame:
         unit = next((r for r in rows if r["kind"] == UNIT), {"check": None, "ids": []})
         docs = len(unit["ids"])
         if {r["check"] for r in rows} != {unit["check"]}:
-            raise ValueError("the input was not read alike twice; write it first")
+            raise ValueError("a lost task's input was not read in the same order again; write it first")
         tokens = Tokens(order, unpack(unit["p0"], unit["n"]).astype(np.int64), unpack(unit["p1"], docs).astype(np.int64), np.frombuffer(unit["p2"], np.uint64))
         every, kept = {}, {}
-        for level, _, _, place in tokens.distinct():
+        for level, _, _, place in tokens.distinct(bits):
             mine = sorted((r for r in rows if r["kind"] == REQUEST and r["level"] == level), key=lambda r: r["part"])
-            every[level] = np.concatenate([unpack(r["p1"], r["n"]) for r in mine])[place]
-            kept[level] = every[level] - np.concatenate([unpack(r["p2"], r["n"]) for r in mine])[place]
+            found = np.concatenate([unpack(r["p1"], r["n"]) for r in mine])
+            every[level] = found[place]
+            kept[level] = (found - np.concatenate([unpack(r["p2"], r["n"]) for r in mine]))[place]
         out = [unit | {"dest": 0, "p0": pack(every[1]), "p2": pack(every.get(2, NONE)), "p3": pack(every.get(3, NONE))}]
         event, ctx = _counts(tokens, kept)
         held = (unpack(unit["p3"], docs) >= 2)[tokens.doc[tokens.event]]
         event, ctx = [x[held] for x in event], [x[held] for x in ctx]
         if len(event[0]):
             ml = [event[0], *_estimates(event, ctx)]  # the first is a count: the number of all tokens is not known yet
-            code = _buckets(ctx) if ctx else np.zeros(len(event[0]), np.int64)
-            bins = []
-            for x in ml:
-                with np.errstate(divide="ignore"):
-                    bins.append(np.where(x > 0, np.round(FINE * np.log2(np.where(x > 0, x, 1))) + 600, 0).astype(np.int64))
-            for x in bins:
-                code = code * 1200 + x
-            cell, place, n = np.unique(code, return_inverse=True, return_counts=True)
+            cell, place, n = np.unique(cell_code(_buckets(ctx, len(event[0])), ml), return_inverse=True, return_counts=True)
             sums = np.stack([np.bincount(place, weights=x) for x in ml])
             out.append(_row(kind=CELLS, n=len(cell), p0=cell.tobytes(), p1=n.astype(np.int64).tobytes(), p2=sums.tobytes()))
-        return pa.Table.from_pylist(out, schema=ARROW)
+        return pa.Table.from_pylist(out, schema=arrow)
 
-    return answered.groupBy("dest").applyInArrow(run, ROW)
+    return answered.groupBy("dest").applyInArrow(run, schema)
 
 
 def em_weights(n: np.ndarray, ml: np.ndarray, rounds: int = 500) -> np.ndarray:
@@ -318,6 +324,9 @@ def mixture_weights(table: DataFrame, order: int, tokens: int, vocabulary: int)
     for r in every.groupBy("bucket").applyInPandas(fit, "bucket long, k long, w double").collect():  # at most 64 buckets an order
         found.setdefault(r["bucket"], {})[r["k"]] = r["w"]
     out = np.zeros((64 * order, order + 1))
+    if not vocabulary:  # nothing was trained: one unknown token is all that there is
+        out[:, 0] = 1
+        return out
     for b in range(len(out)):
         near = sorted((x for x in found if x // 64 == b // 64), key=lambda x: abs(x - b))
         if near:
@@ -327,8 +336,8 @@ def mixture_weights(table: DataFrame, order: int, tokens: int, vocabulary: int)
     return out
 
 
-def interpolated_scores(docs: DataFrame, train: Column, heldout: Column, order: int = 2, key: str = "doc_id", text: str = "text", unit_bytes: int = 8 << 20) -> DataFrame:
-    """(key long, n_tokens, n_known, train_tokens, base_score, score) of every row of ``docs``.
+def interpolated_scores(docs: DataFrame, train: Column, heldout: Column, order: int = 3, key: str = "doc_id", text: str = "text", unit_bytes: int = 8 << 20) -> DataFrame:
+    """(key, n_tokens, n_known, train_tokens, base_score, score) of every row of ``docs``.
 
     ``train``: rows to learn from; ``heldout``: of those, the rows whose counts are deleted to learn the mixture weights.
     ``score``: log10 of the text's probability; ``base_score``: that of single tokens with 0.5 added to counts; ``n_known``:
@@ -336,15 +345,18 @@ def interpolated_scores(docs: DataFrame, train: Column, heldout: Column, order:
     """
     if order not in (1, 2, 3):
         raise ValueError("order must be 1, 2 or 3")
+    kind = docs.select(F.col(key)).schema[0].dataType
+    ids_kind = T.LongType() if whole_number(kind) else T.StringType()
     flag = lambda c: F.coalesce(c, F.lit(False)).cast("int")
-    rows = docs.select(F.col(key).cast("long").alias("_id"), F.coalesce(F.col(text), F.lit("")).cast("binary").alias("_text"), flag(train).alias("_train"), flag(heldout).alias("_out"))
-    bits = max(0, int(text_bytes(docs, text) / unit_bytes).bit_length())
-    answered = _answered(_requests(rows, order, unit_bytes, bits))
-    table = written(_joined(answered.unionByName(_units(rows, order, unit_bytes)), order), "ngram-units")
-    sums = table.filter(F.col("kind") == STATS).agg(*(F.coalesce(F.sum(F.col("ids")[i]), F.lit(0)) for i in range(3))).first()
-    n, v, deleted = map(int, sums)
+    rows = docs.select(F.col(key).cast(ids_kind).alias("_id"), F.coalesce(F.col(text), F.lit("")).cast("binary").alias("_text"), flag(train).alias("_train"), flag(heldout).alias("_out"))
+    size = text_bytes(docs, text)
+    parts_bits, bits = (size // (2 * unit_bytes)).bit_length(), min(64, max(40, size.bit_length() + 16))
+    answered = _answered(_units(rows, order, unit_bytes, parts_bits, bits, ids_kind), ids_kind)
+    table = written(_joined(answered, order, bits, ids_kind), "ngram-units")
+    n, v, deleted = table.filter(F.col("kind") == STATS).agg(*(F.coalesce(F.sum(x), F.lit(0)) for x in ("n", "level", "part"))).first()
     weights = mixture_weights(table, order, n - deleted, v)
-    schema = T.StructType([T.StructField(key, T.LongType()), *(T.StructField(x, T.LongType()) for x in ("n_tokens", "n_known", "train_tokens")), *(T.StructField(x, T.DoubleType()) for x in ("base_score", "score"))])
+    schema = T.StructType([T.StructField(key, ids_kind), *(T.StructField(x, T.LongType()) for x in ("n_tokens", "n_known", "train_tokens")), *(T.StructField(x, T.DoubleType()) for x in ("base_score", "score"))])
+    arrow = _schema(ids_kind)[1].field("ids").type.value_type
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -353,7 +365,7 @@ def interpolated_scores(docs: DataFrame, train: Column, heldout: Column, order:
                 lengths = unpack(r["p1"], len(ids)).astype(np.int64)
                 tokens = Tokens(order, np.zeros(int(lengths.sum()) + (order - 1) * len(ids), np.int64), lengths, NONE)
                 event, ctx = _counts(tokens, {k: unpack(r[p], len(tokens.at(k))) for k, p in zip(range(1, order + 1), ("p0", "p2", "p3"), strict=False)})
-                mine = weights[_buckets(ctx) if ctx else np.zeros(len(event[0]), np.int64)]
+                mine = weights[_buckets(ctx, len(event[0]))]
                 p = mine[:, 0] / (v + 1) + mine[:, 1] * event[0] / max(1, n)
                 for k, ml in enumerate(_estimates(event, ctx), 2):
                     p += mine[:, k] * ml
@@ -361,6 +373,8 @@ def interpolated_scores(docs: DataFrame, train: Column, heldout: Column, order:
                 by_doc = lambda x: np.bincount(doc, weights=x, minlength=len(ids))  # noqa: B023, E731
                 base = by_doc(np.log10((event[0] + 0.5) / (n + 0.5 * (v + 1))))
                 known = by_doc(event[0] > 0).astype(np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(lengths), pa.array(known), pa.array(np.full(len(ids), n)), pa.array(base), pa.array(by_doc(np.log10(p)))], names=schema.names)
+                yield pa.RecordBatch.from_arrays([pa.array(ids, arrow), pa.array(lengths), pa.array(known), pa.array(np.full(len(ids), n)), pa.array(base), pa.array(by_doc(np.log10(p)))], names=schema.names)
+        freed()
 
-    return table.filter(F.col("kind") == UNIT).select("ids", "p0", "p1", "p2", "p3").mapInArrow(score, schema)
+    scored = table.filter(F.col("kind") == UNIT).select("ids", "p0", "p1", "p2", "p3").mapInArrow(score, schema)
+    return scored.withColumn(key, F.col(key).cast(kind)) if kind != ids_kind else scored

@@ -26,7 +26,7 @@ def vocabularies() -> fertility.Vocabularies:
 
 
 def op1_deleted_interpolation(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every document's score; fold 1 teaches nothing, and fold 2 is deleted from the counts to learn the weights."""
+    """Every document's score by trigrams; fold 1 teaches nothing, and fold 2 is deleted from the counts to learn the weights."""
     docs, of = table(spark, sf_dir, "documents").select("doc_id", "text"), fold(F.col("doc_id"))
     scores = ngram.interpolated_scores(docs, of != 1, of == 2)
     return scores.select("doc_id", (of == 1).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
