@@ -8,8 +8,12 @@ back off, to the language's nearest length class first; no text goes without ban
 
 Base rules: under 50 words, or over half of the words in repeated windows of three words.
 
-Nulls: a null text has no words and fails the base rules; a null language is a language of its own. Repeated rows are
-measured alike. An empty table gives no rows.
+Quartiles are those of the measures to three decimals, counted exactly: they do not depend on how rows are dealt to tasks.
+
+Nulls: a null text has no words and fails the base rules; a null language is a language of its own, and so is an empty one.
+Empty and very long texts have measures like any other. Repeated rows are measured alike, and equal measures are judged
+alike. Other columns come back as they are, whatever their names; one that is called like an added column gives way to it.
+An empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -17,6 +21,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import cache
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -24,10 +29,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from pantryline.llm.common import freed, text_batches, written
+from pantryline.llm.common import apart, freed, text_batches, written
 
 SYMBOLS, SPACE = b"#*$%&|<>", b" \t\n\r\x0b\x0c"
-KEPT_WORDS = 300_000
+#: Words, and bytes of them, that a task keeps.
+KEPT_WORDS, KEPT_BYTES = 300_000, 24 << 20
 LONGS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_pieces", "n_byte_pieces", "n_byte_tokens")
 #: Measure: least deviation, so that a class of equal texts doesn't reject its neighbours.
 MEASURES = {"chars_per_piece": 0.02, "chars_per_byte_token": 0.02, "byte_share": 0.01, "entropy_rate": 0.02}
@@ -56,7 +62,7 @@ def _encoders(v: Vocabularies):
 
 
 class Words:
-    """Numbers for words, and what their tokens are. A task starts anew beyond ``KEPT_WORDS``."""
+    """Numbers for words, and what their tokens are. A task starts anew beyond ``KEPT_WORDS`` or ``KEPT_BYTES``."""
 
     def __init__(self, v: Vocabularies) -> None:
         self.pieces, self.bytes = _encoders(v)
@@ -66,17 +72,19 @@ class Words:
     def clear(self) -> None:
         """Forgets all words."""
         self.number: dict[bytes, int] = {}
+        self.size = 0
         self.start, self.ids = np.zeros(1, np.int64), np.zeros(0, np.int32)
         self.byte_tokens, self.byte_pieces = np.zeros(0, np.int64), np.zeros(0, np.int64)
 
     def numbers(self, texts: list[list[bytes]]) -> list[np.ndarray]:
         """Each text's words by number; new words are encoded."""
-        if len(self.number) > KEPT_WORDS:
+        if len(self.number) > KEPT_WORDS or self.size > KEPT_BYTES:
             self.clear()
         known = len(self.number)
         get = self.number.setdefault
         out = [np.fromiter((get(w, len(self.number)) for w in x), np.int64, len(x)) for x in texts]
-        if new := [w.decode() for w in list(self.number)[known:]]:
+        if new := [w.decode() for w in islice(self.number, known, None)]:
+            self.size += sum(map(len, new))
             ids, encode = self.pieces.encode(new, num_threads=1), self.bytes.encode_ordinary
             sizes = np.fromiter(map(len, ids), np.int64, len(ids))
             flat = np.fromiter((i for x in ids for i in x), np.int32, int(sizes.sum()))
@@ -145,14 +153,11 @@ def _measured(texts: list[bytes], words: Words) -> dict[str, np.ndarray]:
 
 
 def measure(docs: DataFrame, vocabularies: Vocabularies, text: str = "text") -> DataFrame:
-    """``docs`` with the base counts (long), n_pieces, n_byte_pieces, n_byte_tokens and entropy (bits) beside its columns.
-
-    A column of ``docs`` that has one of these names is replaced.
-    """
-    own = [*LONGS, "entropy"]
-    kept = docs.drop(*own)
-    schema = T.StructType([*kept.schema, *(T.StructField(x, T.DoubleType() if x == "entropy" else T.LongType()) for x in own)])
-    at = kept.columns.index(text)
+    """``docs`` with the base counts (long), n_pieces, n_byte_pieces, n_byte_tokens and entropy (bits) beside its columns."""
+    own = (*LONGS, "entropy")
+    plain, back = apart(docs, text, own=own)
+    schema = T.StructType([*plain.schema, *(T.StructField(x, T.DoubleType() if x == "entropy" else T.LongType()) for x in own)])
+    at = plain.columns.index(text)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = _worker_words(vocabularies)
@@ -163,7 +168,7 @@ def measure(docs: DataFrame, vocabularies: Vocabularies, text: str = "text") ->
         words.clear()
         freed()
 
-    return kept.mapInArrow(run, schema)
+    return back(plain.mapInArrow(run, schema))
 
 
 def base_failed() -> Column:
@@ -185,6 +190,11 @@ def _ratios(measured: DataFrame) -> DataFrame:
     )
 
 
+def _language(column: str) -> Column:
+    """A language's key; null and empty ones have keys of their own."""
+    return F.coalesce(F.concat(F.lit("="), F.col(column)), F.lit(""))
+
+
 def bands(measured: DataFrame, language: str = "lang", width: float = 5.0, least: int = 100) -> DataFrame:
     """A row for each language and length class that texts have: (language, length_class, MEASURE_low, MEASURE_high).
 
@@ -196,7 +206,8 @@ def bands(measured: DataFrame, language: str = "lang", width: float = 5.0, least
     names = [f"{x}_{e}" for x in MEASURES for e in ("low", "high")]
 
     def of(df: DataFrame, *group: str) -> DataFrame:
-        cols = [F.percentile_approx(x, [0.25, 0.5, 0.75], 1000).alias(f"_{x}") for x in MEASURES]
+        # a map of at most some ten thousand values for each group, filled from partial ones
+        cols = [F.percentile(F.round(x, 3), [0.25, 0.5, 0.75]).alias(f"_{x}") for x in MEASURES]
         out = df.groupBy(*group).agg(F.count("*").alias("_n"), *cols).filter("_n > 0")
         wider = F.sqrt(F.greatest(least / F.col("_n"), F.lit(1.0)))
         for x, floor in MEASURES.items():
@@ -205,7 +216,7 @@ def bands(measured: DataFrame, language: str = "lang", width: float = 5.0, least
             out = out.withColumns({f"{x}_low": q[1] - width * spread, f"{x}_high": q[1] + width * spread})
         return out.select(*group, "_n", *names)
 
-    fine = _ratios(measured).withColumn("_lang", F.coalesce(language, F.lit("")))
+    fine = _ratios(measured.select(_language(language).alias("_lang"), *LONGS, "entropy"))
     good = fine.filter(~base_failed())
     each = fine.select("_lang", "length_class").distinct()
     steps = F.abs(F.col("length_class") - F.col("_class"))
@@ -226,15 +237,19 @@ def bands(measured: DataFrame, language: str = "lang", width: float = 5.0, least
     return both.select("_lang", "length_class", *(found[x].alias(x) for x in names))
 
 
+JUDGED = (*MEASURES, "base_failed", "kept")
+
+
 def judge(measured: DataFrame, limits: DataFrame, language: str = "lang") -> DataFrame:
-    """``measured`` with base_failed and kept. ``limits``: of ``bands``; their number, languages times 40 at most, is checked."""
+    """``measured`` with its measures, base_failed and kept. ``limits``: of ``bands``; their number, languages times 40 at most, is checked."""
     limits = F.broadcast(limits) if limits.count() <= 100_000 else limits
-    fine = _ratios(measured).withColumn("_lang", F.coalesce(language, F.lit("")))
+    plain, back = apart(measured, language, *LONGS, "entropy", own=JUDGED)
+    fine = _ratios(plain.withColumn("_lang", _language(language)))
     inside = F.lit(True)
     for x in MEASURES:
         inside = inside & F.coalesce(F.col(x).between(F.col(f"{x}_low"), F.col(f"{x}_high")), F.lit(True))
     out = fine.join(limits, ["_lang", "length_class"], "left").withColumn("base_failed", base_failed())
-    return out.withColumn("kept", ~F.col("base_failed") & inside)
+    return back(out.withColumn("kept", ~F.col("base_failed") & inside))
 
 
 def quality(docs: DataFrame, vocabularies: Vocabularies, language: str = "lang", width: float = 5.0) -> DataFrame:
@@ -242,6 +257,6 @@ def quality(docs: DataFrame, vocabularies: Vocabularies, language: str = "lang",
 
     The measured rows are written once to the shared folder, as the bands are learned from them and then judge them.
     """
-    measured = written(measure(docs, vocabularies), "measured")
-    names = [language, *LONGS, "entropy"]
-    return judge(measured, written(bands(measured.select(*names), language, width), "bands"), language)
+    plain, back = apart(docs, "text", language, own=(*LONGS, "entropy", *JUDGED))
+    measured = written(measure(plain, vocabularies), "measured")
+    return back(judge(measured, written(bands(measured, language, width), "bands"), language))
