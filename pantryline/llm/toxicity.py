@@ -10,9 +10,11 @@ frequencies.
 Sample, features (``vocabulary`` at most) and weights are bounded whatever the input's size; scoring passes over all texts
 without a shuffle, with the weights in the closure.
 
-Nulls: a null text counts as empty and gets the score of the intercept. Rows with a null label or id teach nothing; of
-repeated labels for one id the largest counts. Without rows of both labels every score is the share of label 1 (0.5
-without any).
+Nulls: a null text counts as empty and gets the score of the intercept, as an empty one does; a long text is scored whole.
+Rows with a null label or id teach nothing; of repeated labels for one id the largest counts, and of repeated texts for one id
+the first by their features. Without rows of both labels every score is the share of label 1 (0.5 without any). Equal texts
+score alike. Other columns come back as they are, whatever their names; one that is called like the score gives way to it. An
+empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -30,7 +32,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from pantryline.llm.common import freed, text_batches
+from pantryline.llm.common import apart, freed, text_batches
 
 #: Kinds of identity terms; within a kind each can stand for another. Replace or extend for other languages.
 IDENTITY = (
@@ -54,6 +56,8 @@ TOKEN = re.compile(r"\w+")
 
 #: A feature is dense in a text that has it twice or more and in one of so many words at least.
 DENSE, SPACE = 128, 1 << 24
+#: Words, and characters of them, that a task keeps.
+KEPT_WORDS, KEPT_BYTES = 200_000, 16 << 20
 
 
 def stems(word: str) -> tuple[str, ...]:
@@ -191,7 +195,7 @@ def train(docs: DataFrame, labels: DataFrame, usable: Column, target: str = "tox
     must = {i for kind in kinds for w in kind for x in stems(w) for i in (number(x), number(x, True))}
 
     def learn(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("doc_id", kind="stable").drop_duplicates("doc_id")
+        pdf = pdf.sort_values(["doc_id", "x"], kind="stable").drop_duplicates("doc_id")
         x = [np.frombuffer(b, np.uint32) for b in pdf["x"]]
         changed = [(i, np.frombuffer(b, np.uint32)) for i, s in enumerate(pdf["swaps"]) for b in s]
         model = fit(x, pdf["y"].to_numpy(), changed, share, must, vocabulary, penalty)
@@ -208,18 +212,18 @@ def train(docs: DataFrame, labels: DataFrame, usable: Column, target: str = "tox
 
 
 def score(docs: DataFrame, model: Model, text: str = "text", name: str = "score") -> DataFrame:
-    """``docs`` with a double column ``name`` from 0 to 1 in place of any that it has."""
-    kept = docs.drop(name)
-    at = kept.columns.index(text)
+    """``docs`` with a double column ``name`` from 0 to 1."""
+    plain, back = apart(docs, text, own=("_score",))
+    at = plain.columns.index(text)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known: dict[str, tuple] = {}
         for batch in text_batches(batches, text, 4 << 20):
             z = np.array([model.logit(Counter(TOKEN.findall((s or "").lower())), known) for s in batch.column(at).to_pylist()])
-            if len(known) > 200_000:
+            if len(known) > KEPT_WORDS or sum(map(len, known)) > KEPT_BYTES:
                 known.clear()
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(1 / (1 + np.exp(-np.clip(z, -500, 500))))], names=[*batch.schema.names, name])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(1 / (1 + np.exp(-np.clip(z, -500, 500))))], names=[*batch.schema.names, "_score"])
         known.clear()
         freed()
 
-    return kept.mapInArrow(run, T.StructType([*kept.schema, T.StructField(name, T.DoubleType())]))
+    return back(plain.mapInArrow(run, T.StructType([*plain.schema, T.StructField("_score", T.DoubleType())])), _score=name)
