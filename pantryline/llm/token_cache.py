@@ -1,13 +1,15 @@
 """Token counts with a digest cache.
 
 The cache is a Parquet table (content, tokenizer, n_tokens): the SHA-256 of a text with each run of ASCII white space
-as one space, the SHA-256 of the vocabulary file, and the count. ``cached_counts`` digests all texts over thin rows,
-takes those digests that the cache lacks for this tokenizer, encodes one text for each and appends the counts; then
-every row gets its count by its digest. The white-space form counts alike because the vocabulary drops white space
-and no token spans it; for another kind of vocabulary pass ``normalise=None``, and the text itself is digested.
-
-Nulls: a null text counts as empty, with no tokens. Equal texts are encoded once, whatever their ids; repeated rows
-stay. An empty table appends nothing.
+as one space, the SHA-256 of the vocabulary file, and the count. ``cached_counts`` digests each text once, into thin
+rows, takes those digests that the cache lacks for this tokenizer, encodes one text for each and appends the counts; then
+every row gets its count by its digest. Where all digests are stored, no text is read again. The white-space form counts alike
+because the vocabulary drops white space and no token spans it; for another kind of vocabulary pass ``normalise=None``, and
+the text itself is digested.
+
+Nulls: a null text counts as empty, with no tokens; a null id stays null. A long text is encoded whole. Equal texts are encoded
+once, whatever their ids (of equals the row with the least id as text); repeated rows stay. Other columns come back as they
+are, whatever their names; one called n_tokens gives way to the count. An empty table appends nothing and gives no rows.
 """
 
 from __future__ import annotations
@@ -21,11 +23,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from pantryline.llm.common import text_batches, written
+from pantryline.llm.common import apart, text_batches, written
 
 CACHE = T.StructType([T.StructField("content", T.BinaryType()), T.StructField("tokenizer", T.StringType()), T.StructField("n_tokens", T.LongType())])
-#: Words whose counts a worker keeps; then it starts anew.
-KEPT_WORDS = 400_000
+#: Words, and bytes of them, whose counts a worker keeps; then it starts anew.
+KEPT_WORDS, KEPT_BYTES = 400_000, 24 << 20
 
 
 def single_spaced(text: Column) -> Column:
@@ -55,7 +57,7 @@ def word_counter(path: str) -> Callable[[list[bytes]], list[int]]:
     tokenizer, known = Tokenizer.from_file(path), {}
 
     def count(texts: list[bytes]) -> list[int]:
-        if len(known) > KEPT_WORDS:
+        if len(known) > KEPT_WORDS or sum(map(len, known)) > KEPT_BYTES:
             known.clear()
         split = [x.split() for x in texts]  # of bytes: ASCII white space alone
         if new := list({w for x in split for w in x if w not in known}):
@@ -65,34 +67,53 @@ def word_counter(path: str) -> Callable[[list[bytes]], list[int]]:
     return count
 
 
+#: Of so many ids at most a set is broadcast (some 8 MB).
+FEW = 100_000
+ROW = ("_key", "_a", "_b")
+
+
+def _row(key: str, text: str) -> list[Column]:
+    """What tells a row with its text: the id and 128 bits of hashes."""
+    return [F.coalesce(F.concat(F.lit("="), F.col(key).cast("string")), F.lit("")).alias("_key"), F.xxhash64(text).alias("_a"), F.xxhash64(F.lit(1), text).alias("_b")]
+
+
 def cached_counts(docs: DataFrame, vocabulary: str, cache_path: str, text: str = "text", key: str = "doc_id", normalise: Callable[[Column], Column] | None = single_spaced) -> DataFrame:
     """``docs`` with n_tokens (long) in place of its text; the counts of new texts are appended to ``cache_path``.
 
     ``vocabulary``: a ``tokenizers`` file whose pre-tokenizer drops white space, at one path on every machine.
     """
     spark, version = docs.sparkSession, file_digest(vocabulary)
-    plain = F.coalesce(F.col(text), F.lit(""))
-
-    def digest(of: Column) -> Column:
-        return F.unhex(F.sha2((normalise(of) if normalise else of).cast("binary"), 256))
+    plain, back = apart(docs, text, key, own=("n_tokens",))
 
     def stored() -> DataFrame:
         return spark.read.schema(CACHE).parquet(cache_path).filter(F.col("tokenizer") == version).groupBy("content").agg(F.max("n_tokens").alias("n_tokens"))
 
     spark.createDataFrame([], CACHE).write.mode("ignore").parquet(cache_path)
-    # one row stands for each digest; only such rows, of digests that miss, are shuffled with their texts
-    row = F.coalesce(F.col(key).cast("string"), F.concat(F.lit("null "), F.hex(digest(plain)))).alias("_row")
-    firsts = docs.select(digest(plain).alias("_content"), row).groupBy("_content").agg(F.min("_row").alias("_row")).join(stored(), F.col("_content") == F.col("content"), "left_anti")
-    missing = docs.select(row, plain.alias("_text")).join(firsts.select("_row").distinct(), "_row", "left_semi")
-    new = missing.select(F.col("_text").cast("binary").alias("_text"), digest(F.col("_text")).alias("content"))
-
-    def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        count = word_counter(vocabulary)
-        for batch in text_batches(batches, "_text", 4 << 20):
-            yield pa.RecordBatch.from_arrays([batch.column(1), pa.array([version] * batch.num_rows), pa.array(count(batch.column(0).to_pylist()), pa.int64())], names=CACHE.names)
-
-    counted = new.mapInArrow(encode, CACHE).groupBy("content", "tokenizer").agg(F.max("n_tokens").alias("n_tokens"))
-    counted.join(stored().select("content"), "content", "left_anti").select(*CACHE.names).write.mode("append").parquet(cache_path)
-    thin = docs.withColumn("_content", digest(plain)).drop(text, "n_tokens")
+    full = plain.withColumn(text, F.coalesce(text, F.lit("")))
+    content = F.unhex(F.sha2((normalise(F.col(text)) if normalise else F.col(text)).cast("binary"), 256)).alias("_content")
+    # the one pass that digests; what follows joins thin rows by digest
+    thin = written(full.select("*", content, *_row(key, text)).drop(text), "digests")
+    firsts = thin.groupBy("_content").agg(F.min(F.struct(*ROW)).alias("_row")).join(stored(), F.col("_content") == F.col("content"), "left_anti")
+    misses = written(firsts.select("_content", "_row.*"), "misses")
+    if (n := misses.count()):
+        texts = full.select(*_row(key, text), F.col(text).cast("binary").alias("_text"))
+        # one row stands for each missing digest: its text is encoded where it is scanned if the set of rows to take, or that of
+        # rows to leave, is small; else texts meet the set by a shuffle
+        if n <= FEW:
+            taken = texts.join(F.broadcast(misses.select(*ROW)), list(ROW), "left_semi")
+        else:
+            rest = thin.select(*ROW).join(misses.select(*ROW), list(ROW), "left_anti").distinct().limit(FEW + 1)
+            rest = written(rest, "leave")
+            taken = texts.join(F.broadcast(rest), list(ROW), "left_anti") if rest.count() <= FEW else texts.join(misses.select(*ROW), list(ROW), "left_semi")
+
+        def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            count = word_counter(vocabulary)
+            for batch in text_batches(batches, "_text", 4 << 20):
+                yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(count(batch.column(3).to_pylist()), pa.int64())], names=[*ROW, "n_tokens"])
+
+        counted = taken.mapInArrow(encode, "_key string, _a long, _b long, n_tokens long").groupBy(*ROW).agg(F.max("n_tokens").alias("n_tokens"))
+        new = counted.join(misses, list(ROW)).select(F.col("_content").alias("content"), F.lit(version).alias("tokenizer"), "n_tokens")
+        new.write.mode("append").parquet(cache_path)
     # as a table of its own, so that a join whose one content has many rows can be split
-    return thin.join(written(stored(), "counts"), F.col("_content") == F.col("content"), "left").drop("_content", "content")
+    found = thin.join(written(stored(), "counts"), F.col("_content") == F.col("content"), "left")
+    return back(found)

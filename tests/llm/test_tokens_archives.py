@@ -132,3 +132,15 @@ def test_encode_and_decode(spark):
 def test_pieces_never_hold_a_space_behind_a_letter():
     assert all(" " not in p.lstrip(" ") for p in pieces.lattice(PIECES).pieces)
     assert all(len(c) == 1 for c in itertools.islice(pieces.lattice(PIECES).pieces, 0, 0))
+
+
+def test_counts_where_texts_meet_misses_by_a_shuffle(spark, monkeypatch):
+    rows = corpus()
+    df = docs(spark, rows)
+    want = sorted((str(r[0]), r[-1]) for r in token_cache.cached_counts(df, WORD_BPE, new_path(spark, "c")).collect())
+    for few in (0, 65):  # neither set is small; only that of the rows to leave
+        monkeypatch.setattr(token_cache, "FEW", few)
+        clash = df.withColumns({x: F.lit("clash") for x in ("content", "_content", "_key", "_a", "_row", "tokenizer", "n_tokens")})
+        got = token_cache.cached_counts(clash, WORD_BPE, new_path(spark, "c"))
+        assert got.columns == ["doc_id", "lang", "source", "n_chars", "content", "_content", "_key", "_a", "_row", "tokenizer", "n_tokens"]
+        assert sorted((str(r[0]), r[-1]) for r in got.collect()) == want and got.filter("content = 'clash'").count() == len(rows)
