@@ -7,6 +7,7 @@ import itertools
 import random
 
 import public_tokenizers
+import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
@@ -38,7 +39,7 @@ def test_token_counts(spark):
     assert token_cache.cached_counts(df.limit(0), WORD_BPE, cache).count() == 0
 
 
-def test_archives(spark):
+def test_archives(spark, monkeypatch):
     big, small = "b" * 1000, "s" * 999
     huge = "héllo wörld\r\n\r\n" * 20_000
     rows = [(1, "http://a/1", big), (2, "http://a/2", big), (3, None, big), (4, "u\r\nX: y", small), (5, "u", small), (6, "u", None), (7, "u", ""), (8, "u", huge), (8, "u", huge), (9, "u", huge), (9, "u", huge), (None, "u", big), (None, "u", "x" * 2000), (None, "u", "x" * 2000)]
@@ -67,6 +68,11 @@ def test_archives(spark):
     body = {c["chunk"]: bytes(c["data"]) for c in chunks}
     assert b"".join(body[k] for k in sorted(body)) == whole
     assert sum(c["is_last"] for c in chunks) == 2
+    assert warc.read_chunks(files, path).filter("is_last and record_type = 'response'").select("verified").distinct().collect() == [(True,)]
+    monkeypatch.setattr(warc, "FEW", 0)
+    by_shuffle = new_path(spark, "archives")
+    again = written(warc.write_archives(warc.decide_records(pages), by_shuffle), "files")
+    assert sorted((str(r[0]), *r[1:]) for r in warc.page_records(again, by_shuffle).collect()) == got
     none = written(warc.write_archives(warc.decide_records(pages.limit(0)), new_path(spark, "none")), "none")
     assert none.count() == 0
 
@@ -144,3 +150,27 @@ def test_counts_where_texts_meet_misses_by_a_shuffle(spark, monkeypatch):
         got = token_cache.cached_counts(clash, WORD_BPE, new_path(spark, "c"))
         assert got.columns == ["doc_id", "lang", "source", "n_chars", "content", "_content", "_key", "_a", "_row", "tokenizer", "n_tokens"]
         assert sorted((str(r[0]), r[-1]) for r in got.collect()) == want and got.filter("content = 'clash'").count() == len(rows)
+
+
+def test_archives_of_others(spark, tmp_path):
+    import gzip
+
+    def record(head, block):
+        lines = ["WARC/1.0", *head, f"content-length: {len(block)}"]
+        return gzip.compress("\r\n".join(lines).encode() + b"\r\n\r\n" + block + b"\r\n\r\n")
+
+    page, sha1 = b"<p>x</p>" * 50, hashlib.sha1(b"<p>x</p>" * 50).hexdigest()
+    http = b"HTTP/1.1 200 OK\r\nA: b\r\n\r\n"
+    body = record(["WARC-Type: warcinfo", "WARC-Record-ID: <urn:1>"], b"software: x\r\n\r\nmore")
+    body += record(["warc-type: request", "warc-record-id: <urn:2>", "content-type: application/http; msgtype=request"], b"GET / HTTP/1.1\r\n\r\n")
+    body += record(["WARC-TYPE: response", "WARC-Record-ID: <urn:3>", "Content-Type: application/http; msgtype=response", f"WARC-Payload-Digest: sha1:{sha1}", "WARC-Target-URI: http://a/?q=1:2"], http + page)
+    body += record(["WARC-Type: response", "WARC-Record-ID: <urn:4>", "Content-Type: application/http", "WARC-Payload-Digest: sha1:" + "A" * 32], http + page)
+    body += record(["WARC-Type: resource", "WARC-Record-ID: <urn:5>", "WARC-Payload-Digest: md5:00"], b"")
+    (tmp_path / "o.warc.gz").write_bytes(body)
+    files = spark.createDataFrame([(str(tmp_path / "o.warc.gz"),)], "path string")
+    got = {r["record_id"]: r for r in warc.read_chunks(files, str(tmp_path), chunk_bytes=64).filter("is_last").collect()}
+    assert [got[f"<urn:{i}>"]["bytes_so_far"] for i in range(1, 6)] == [19, 0, 400, 400, 0]
+    assert [got[f"<urn:{i}>"]["verified"] for i in range(1, 6)] == [None, None, True, False, None]
+    assert got["<urn:3>"]["url"] == "http://a/?q=1:2" and got["<urn:3>"]["page_id"] is None and got["<urn:3>"]["chunk"] == 6
+    with pytest.raises(Exception, match="damaged payload"):
+        warc.page_records(files, str(tmp_path)).collect()
