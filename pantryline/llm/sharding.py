@@ -6,10 +6,13 @@ files of Spark's exchange are the buckets. Pass 2 puts each bucket in a fixed or
 record knows its place in the whole order: shard ``k`` of ``n`` holds the places from ``k/n`` to ``(k+1)/n``, which is
 the law ``rows`` (counts at most one apart), and slots have no gaps.
 
-A bucket can outgrow its size only by records that are equal in every column. If one does, the rows are first written
-with a row number each, which then is hashed too, and so equal records spread.
+A bucket can outgrow its size only by records that are equal in every column. If one does, equal records are numbered from 0,
+and the number is hashed too, so they spread; which copy gets which number makes no difference. So the seed and the records
+fix the order, however the input is dealt to tasks.
 
-Nulls: hashed as such; a null text has no bytes. An empty input writes no shard and gives no rows.
+Nulls: hashed as such; a null text has no bytes. Empty and long texts, ties and repeated rows are records like any other. Other
+columns come back as they are, whatever their names; one called shard or slot gives way to the shuffle's. An empty input
+writes no shard and gives no rows.
 """
 
 from __future__ import annotations
@@ -18,53 +21,62 @@ import math
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
-from pantryline.llm.common import new_path, text_bytes, written
-
-OWN = ("shard", "slot", "_salt", "_bucket", "_row")
+from pantryline.llm.common import apart, new_path, text_bytes, written
 
 
 def external_shuffle(df: DataFrame, path: str, shards: int = 8, seed: int = 42, bucket_bytes: int = 32 << 20, least_buckets: int = 64, text: str = "text") -> DataFrame:
     """Writes ``df`` to ``path`` as ``shard=K`` folders of Parquet in shuffled order; returns the rows as read again.
 
-    Columns: those of ``df``, then slot (long, from 0 in each shard) and shard (int). ``df`` must not have columns
-    called shard, slot, _salt, _bucket or _row.
+    Columns: those of ``df``, then slot (long, from 0 in each shard) and shard (int).
     """
-    if clash := {x.lower() for x in df.columns} & set(OWN):
-        raise ValueError(f"columns with names that the shuffle needs: {sorted(clash)}")
+    df, back = apart(df, text, own=("slot", "shard"))
     buckets = max(least_buckets, math.ceil(text_bytes(df, text) / bucket_bytes))
-    sizes = _sizes(df, text, seed, buckets)
+    record = df.select(F.struct(*df.columns).alias("_row"), F.lit(0).cast("long").alias("_copy"))
+    sizes = _sizes(record, text, seed, buckets)
     largest = sizes.agg(F.max("bytes").alias("bytes"), F.sum("n").alias("n")).first()
     if largest["bytes"] and largest["bytes"] > 4 * bucket_bytes and buckets > 1:
-        df = written(df.withColumn("_salt", F.monotonically_increasing_id()), "salted")
-        sizes = _sizes(df, text, seed, buckets)
+        record = _numbered(record)
+        sizes = _sizes(record, text, seed, buckets)
     total = largest["n"] or 0
     offsets = written(sizes, "bucket-sizes")  # a row for each bucket, so the ordered sum below stays small
     offsets = offsets.selectExpr("_bucket", "sum(n) over (order by _bucket) - n as first")
-    arrays = df.withColumn("_bucket", _bucket(df, seed, buckets)).repartition(buckets, "_bucket").groupBy("_bucket").agg(F.sort_array(F.collect_list(F.struct(*df.columns))).alias("rows"))
+    # a task for each bucket
+    dealt = record.withColumn("_bucket", _bucket(seed, buckets)).repartitionById(buckets, F.col("_bucket"))
+    arrays = dealt.groupBy("_bucket").agg(F.sort_array(F.collect_list(F.struct("_row", "_copy"))).alias("rows"))
     if buckets <= 1 << 20:  # 16 bytes each
         offsets = F.broadcast(offsets)
-    # with the buckets of a task in order, the permutation follows from the seed and the task's number alone
-    mixed = arrays.join(offsets, "_bucket").sortWithinPartitions("_bucket").select("first", F.shuffle("rows", F.lit(seed)).alias("rows"))
-    out = mixed.select("first", F.posexplode("rows").alias("at", "_row")).withColumn("at", F.col("first") + F.col("at"))
+    # a task has one bucket, so the permutation follows from the seed and the bucket's number alone
+    mixed = arrays.join(offsets, "_bucket").select("first", F.shuffle("rows", F.lit(seed)).alias("rows"))
+    out = mixed.select("first", F.posexplode("rows").alias("at", "_r")).withColumn("at", F.col("first") + F.col("at"))
     shard = F.expr(f"(at * {shards} + {shards} - 1) div {max(total, 1)}")
     start = F.expr(f"(shard * {total}) div {shards}")
     # the shard k with floor(k*total/shards) <= at < floor((k+1)*total/shards)
     out = out.withColumn("shard", F.least(shard, F.lit(shards - 1))).withColumn("shard", F.when(start > F.col("at"), F.col("shard") - 1).otherwise(F.col("shard")))
     out = out.withColumn("slot", F.col("at") - start).withColumn("shard", F.col("shard").cast("int"))
-    names = [x for x in df.columns if x != "_salt"]
-    out = out.select(*(F.col("_row")[x].alias(x) for x in names), "slot", "shard")
+    out = back(out.select(*(F.col("_r")["_row"][x].alias(x) for x in df.columns), "slot", "shard"))
     out.sortWithinPartitions("shard", "slot").write.partitionBy("shard").parquet(path)
     return df.sparkSession.read.schema(out.schema).parquet(path)
 
 
-def _bucket(df: DataFrame, seed: int, buckets: int) -> Column:
-    return F.pmod(F.xxhash64(F.lit(seed), *df.columns), F.lit(buckets)).cast("int")
+def _numbered(record: DataFrame) -> DataFrame:
+    """``record`` with ``_copy`` from 0 among equal rows: numbers within each input partition, plus those of the ones before it."""
+    parts = written(record.withColumns({"_h": F.xxhash64("_row"), "_p": F.spark_partition_id()}), "equal-rows")
+    counts = parts.groupBy("_h", "_p").agg(F.count("*").alias("n"))
+    # a row for each partition that has the record
+    first = counts.withColumn("_first", F.sum("n").over(Window.partitionBy("_h").orderBy("_p")) - F.col("n")).drop("n")
+    inside = parts.withColumn("_at", F.row_number().over(Window.partitionBy("_h", "_p").orderBy("_h")) - 1)
+    return written(inside.join(first, ["_h", "_p"]).select("_row", (F.col("_first") + F.col("_at")).cast("long").alias("_copy")), "numbered")
+
+
+def _bucket(seed: int, buckets: int) -> Column:
+    return F.pmod(F.xxhash64(F.lit(seed), "_row", "_copy"), F.lit(buckets)).cast("int")
 
 
-def _sizes(df: DataFrame, text: str, seed: int, buckets: int) -> DataFrame:
-    size = F.coalesce(F.octet_length(text), F.lit(0)).cast("long")
-    return df.select(_bucket(df, seed, buckets).alias("_bucket"), size.alias("size")).groupBy("_bucket").agg(F.count("*").alias("n"), F.sum("size").alias("bytes"))
+def _sizes(record: DataFrame, text: str, seed: int, buckets: int) -> DataFrame:
+    size = F.coalesce(F.octet_length(F.col("_row")[text]), F.lit(0)).cast("long")
+    return record.select(_bucket(seed, buckets).alias("_bucket"), size.alias("size")).groupBy("_bucket").agg(F.count("*").alias("n"), F.sum("size").alias("bytes"))
 
 
 def shard_rows(documents: DataFrame, shards: int = 8, seed: int = 42) -> DataFrame:

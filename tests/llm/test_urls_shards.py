@@ -71,5 +71,10 @@ def test_shards_of_equal_records(spark):
     assert out.columns == ["doc_id", "text", "lang", "source", "n_chars", "slot", "shard"]
     got = out.select("doc_id", (F.coalesce(F.octet_length("text"), F.lit(0)) + 1).alias("size"), F.crc32(F.coalesce("text", F.lit("")).cast("binary")).alias("text_crc32"), "shard", "slot").collect()
     check_shards(rows, got, 8)
-    with pytest.raises(ValueError, match="slot"):
-        sharding.external_shuffle(docs(spark, rows).withColumn("Slot", F.lit(1)), new_path(spark, "t"))
+    other = sharding.external_shuffle(docs(spark, rows).repartition(7, "text"), new_path(spark, "t"), 8, 3, bucket_bytes=200, least_buckets=4)
+    order = lambda x: sorted((r["shard"], r["slot"], str(r["doc_id"]), r["text"] or "") for r in x.collect())
+    assert order(other) == order(out)  # however rows are dealt to tasks
+    clash = docs(spark, rows).withColumns({x: F.lit(x) for x in ("Slot", "_bucket", "_row", "_salt", "rows", "at", "first")})
+    named = sharding.external_shuffle(clash, new_path(spark, "t"))
+    assert named.columns == ["doc_id", "text", "lang", "source", "n_chars", "_bucket", "_row", "_salt", "rows", "at", "first", "slot", "shard"]
+    assert named.filter("first = 'first' and rows = 'rows'").count() == len(rows) and named.agg(F.max("slot")).first()[0] < len(rows)
