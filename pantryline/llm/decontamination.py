@@ -4,15 +4,18 @@ Words are runs of letters and digits, lower-cased; shingles have five words (an
 shingle), and repeats count as weights. For an item of ``m`` words every window of ``m`` words of a text is meant (the
 whole text, if it is shorter). Windows that share no shingle with an item of their size have a similarity of zero, so
 only the others are fingerprinted. A window's 64-bit fingerprint is looked up in eight blocks of eight bits: if it is
-within ``radius`` = 23 bits of an item's, one block is within two, and the blocks list all items that near. What stays
-within the radius is verified by the exact weighted Jaccard similarity of the shingle counts. At a similarity of 0.8
+within ``radius`` = 23 bits of an item's, one block is within two, and each block's sorted list gives all items that near. What
+stays within the radius is verified by the exact weighted Jaccard similarity of the shingle counts. At a similarity of 0.8
 fingerprints differ in 10 bits (deviation 3), so the radius is beyond four deviations.
 
 Texts pass through once, without a shuffle. Items go to the tasks in blocks of at most ``item_bytes`` of text, a pass
-over the texts for each block.
+over the texts for each block. An index holds some 50 bytes for each word of its items, all in flat arrays; windows are looked
+up in slices of a bounded number of shingles, and of windows times items.
 
-Nulls: a null text or item counts as empty, and an item without words is nowhere. Repeated items and rows are reported
-each. Empty tables give no rows.
+Nulls: a null text or item counts as empty, and an item without words is nowhere. Empty texts hold nothing; long ones are read
+whole. Repeated items and rows are reported each; of a text's windows the best is, the first of equals. Ids of any type come back
+as they are. Other columns, whatever their names, are not read by ``leaks`` and come back as they are from ``without_leaks``.
+Empty tables give no rows.
 """
 
 from __future__ import annotations
@@ -20,7 +23,7 @@ from __future__ import annotations
 import re
 from collections import Counter
 from collections.abc import Callable, Iterator
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 from functools import reduce
 
 import numpy as np
@@ -29,14 +32,17 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
 from pantryline.llm.common import freed, text_batches, written
 
 TOKEN = re.compile(r"[^\W_]+")
 SIZE, RADIUS, BLOCKS, NEAR = 5, 23, 8, 2
 ODD = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F], np.uint64)
-#: Bytes that differ from a byte in two bits or fewer.
-NEIGHBOURS = np.bitwise_count(np.arange(256, dtype=np.uint8)[:, None] ^ np.arange(256, dtype=np.uint8)[None, :]) <= NEAR
+#: Bytes that differ from each byte in two bits or fewer.
+NEIGHBOURS = [np.flatnonzero(np.bitwise_count(np.arange(256, dtype=np.uint8) ^ np.uint8(x)) <= NEAR) for x in range(256)]
+#: Shingles whose bits are summed at once, cells of windows times items, and characters of words that a task keeps.
+SPAN, CELLS, KEPT = 1 << 16, 1 << 22, 16 << 20
 
 
 class WordHashes(dict):
@@ -75,51 +81,81 @@ def similarity(a: np.ndarray, b: np.ndarray) -> float:
     return (x & y).total() / max(1, (x | y).total())
 
 
-@dataclass
-class Sized:
-    """The items of one number of words."""
-
-    ids: list = field(default_factory=list)
-    shingles: list[np.ndarray] = field(default_factory=list)
-    prints: np.ndarray | None = None
+def _bit_sums(h: np.ndarray, starts: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """How often each bit is set in the ``n`` hashes from each start; at most ``SPAN`` hashes and a window are open at once."""
+    out, lo = np.zeros((len(starts), 64), np.int64), 0
+    unpacked = lambda a, b: np.unpackbits(h[a:b].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
+    while lo < len(starts):
+        base = int(starts[lo])
+        hi = lo + max(1, int(np.searchsorted(starts[lo:], base + SPAN)))
+        end = int((starts[lo:hi] + n[lo:hi]).max())
+        if hi - lo == 1:
+            for a in range(base, end, SPAN):
+                out[lo] += unpacked(a, min(end, a + SPAN)).sum(0, dtype=np.int64)
+        else:  # windows near each other share their sums
+            sums = np.zeros((end - base + 1, 64), np.int32)
+            np.cumsum(unpacked(base, end), axis=0, dtype=np.int32, out=sums[1:])
+            out[lo:hi] = sums[starts[lo:hi] - base + n[lo:hi]] - sums[starts[lo:hi] - base]
+        lo = hi
+    return out
 
-    def close(self) -> None:
-        """Fills the fingerprints and the blocks' lists."""
-        bits = np.stack([np.unpackbits(x.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64) for x in self.shingles])
-        self.prints = _fingerprints(bits, np.array([len(x) for x in self.shingles]))
-        self.blocks = [NEIGHBOURS[:, self.prints[:, b]] for b in range(BLOCKS)]  # byte value by item
 
-    def near(self, prints: np.ndarray) -> list[tuple[int, int, int]]:
-        """(distance, window, item) of fingerprints within the radius, nearest first."""
-        listed = np.zeros((len(prints), len(self.ids)), bool)
-        for b in range(BLOCKS):
-            listed |= self.blocks[b][prints[:, b]]
-        w, i = np.nonzero(listed)
-        d = np.bitwise_count(prints[w] ^ self.prints[i]).sum(1, dtype=np.int64)
-        ok = d <= RADIUS
-        return sorted(zip(d[ok].tolist(), w[ok].tolist(), i[ok].tolist(), strict=True))
+@dataclass
+class Sized:
+    """The items of one number of words: ids, shingles one item after the other, ``n`` each, and blocks of fingerprints."""
+
+    ids: list
+    shingles: np.ndarray
+    n: int
+
+    def __post_init__(self) -> None:
+        at = np.arange(len(self.ids)) * self.n
+        self.prints = _fingerprints(_bit_sums(self.shingles, at, np.full(len(at), self.n)), np.full(len(at), self.n))
+        #: of each block: the items in the order of their bytes, and where each byte begins
+        self.order = np.argsort(self.prints, axis=0, kind="stable").astype(np.int32)
+        self.first = np.stack([np.searchsorted(self.prints[self.order[:, b], b], np.arange(257)) for b in range(BLOCKS)]).astype(np.int32)
+
+    def of(self, item: int) -> np.ndarray:
+        """An item's shingles."""
+        return self.shingles[item * self.n : (item + 1) * self.n]
+
+    def listed(self, block: int, byte: int) -> np.ndarray:
+        """Items whose byte in the block is near ``byte``."""
+        order, first = self.order[:, block], self.first[block]
+        return np.concatenate([order[first[x] : first[x + 1]] for x in NEIGHBOURS[byte].tolist()])
+
+    def near(self, prints: np.ndarray) -> Iterator[tuple[int, int, int]]:
+        """(distance, window, item) of fingerprints within the radius, for windows in slices, nearest first in each."""
+        step = max(1, CELLS // len(self.ids))
+        for lo in range(0, len(prints), step):
+            part = prints[lo : lo + step]
+            some = np.zeros((len(part), len(self.ids)), bool)
+            for b in range(BLOCKS):
+                for byte in np.unique(part[:, b]).tolist():
+                    some[np.ix_(part[:, b] == byte, self.listed(b, byte))] = True
+            w, i = np.nonzero(some)
+            d = np.bitwise_count(part[w].view(np.uint64)[:, 0] ^ self.prints[i].view(np.uint64)[:, 0]).astype(np.int64)
+            ok = d <= RADIUS
+            yield from sorted(zip(d[ok].tolist(), (w[ok] + lo).tolist(), i[ok].tolist(), strict=True))
 
 
 class Items:
     """An index of benchmark items."""
 
     def __init__(self, rows: list[tuple[object, str]]) -> None:
-        hashes = WordHashes()
-        self.by_size: dict[int, Sized] = {}
-        owners: dict[int, set[int]] = {}
+        hashes, by_size = WordHashes(), {}
         for item, text in rows:
             words = hashes.of(text or "")
-            if not len(words):
-                continue
-            mine = self.by_size.setdefault(len(words), Sized())
-            mine.ids.append(item)
-            mine.shingles.append(shingles(words))
-            for x in mine.shingles[-1].tolist():
-                owners.setdefault(x, set()).add(len(words))
-        for x in self.by_size.values():
-            x.close()
-        self.known = np.array(sorted(owners), np.uint64)
-        self.sizes = [sorted(owners[x]) for x in self.known.tolist()]
+            if len(words):
+                by_size.setdefault(len(words), []).append((item, shingles(words)))
+        self.by_size = {m: Sized([i for i, _ in x], np.concatenate([h for _, h in x]), len(x[0][1])) for m, x in by_size.items()}
+        # the sizes of items that have a shingle: flat, with the place where each shingle's begin
+        pairs = [(h := np.unique(x.shingles), np.full(len(h), m, np.int32)) for m, x in sorted(self.by_size.items())]
+        every = np.concatenate([h for h, _ in pairs]) if pairs else np.zeros(0, np.uint64)
+        order = np.argsort(every, kind="stable")
+        self.sizes = np.concatenate([m for _, m in pairs])[order] if pairs else np.zeros(0, np.int32)
+        self.known, self.first = np.unique(every[order], return_index=True)
+        self.first = np.append(self.first, len(self.sizes)).astype(np.int64)
         self.spans = sorted({min(SIZE, m) for m in self.by_size})  # words of a shingle: under five for short items
 
     def hits(self, h: np.ndarray) -> np.ndarray:
@@ -127,48 +163,49 @@ class Items:
         at = np.minimum(np.searchsorted(self.known, h), max(0, len(self.known) - 1))
         return np.where(self.known[at] == h, at, -1) if len(self.known) else np.full(len(h), -1)
 
+    def windows(self, h: np.ndarray, span: int, n_words: int) -> Iterator[tuple[int, int, np.ndarray]]:
+        """(item size, shingles of a window, starts) of the windows that share a shingle with an item of that size."""
+        at = self.hits(h)
+        where = np.flatnonzero(at >= 0)
+        many = self.first[at[where] + 1] - self.first[at[where]]
+        place = np.repeat(where, many)
+        size = self.sizes[np.repeat(self.first[at[where]] - (np.cumsum(many) - many), many) + np.arange(len(place))]
+        for m in np.unique(size).tolist():
+            if min(SIZE, m) == span or n_words < span:
+                n = min(m - span + 1, len(h)) if m >= span else 1
+                p = place[size == m]
+                # starts from p - n + 1 to p, within the text
+                edge = np.zeros(len(h) + 1, np.int32)
+                np.add.at(edge, np.maximum(0, p - n + 1), 1)
+                np.add.at(edge, np.minimum(p, len(h) - n) + 1, -1)
+                yield m, n, np.flatnonzero(np.cumsum(edge)[: len(h) - n + 1] > 0)
+
     def find(self, words: np.ndarray, least: float) -> list[tuple[object, int, int, int, float]]:
         """(item, first word, words, distance, similarity) of a text: the best window of each item found."""
         best: dict[tuple[int, int], tuple] = {}
         for span in self.spans:
             h = shingles(words, span)
-            at = self.hits(h)
-            starts: dict[int, set[int]] = {}
-            for p in np.flatnonzero(at >= 0).tolist():
-                for m in self.sizes[at[p]]:
-                    if min(SIZE, m) == span or len(words) < span:
-                        n = min(m - span + 1, len(h))
-                        starts.setdefault(m, set()).update(range(max(0, p - n + 1), min(p, len(h) - n) + 1))
-            for m, wanted in starts.items():
-                n = min(m - span + 1, len(h))
-                for s, w, d, i, j in self._verified(h, np.array(sorted(wanted)), n, m, least):
+            for m, n, starts in self.windows(h, span, len(words)):
+                for s, d, i, j in self._verified(h, starts, n, m, least):
                     row = (-j, d, s, min(m, len(words)) if len(h) == 1 else n + span - 1)
                     if (m, i) not in best or row < best[m, i]:
                         best[m, i] = row
         return [(self.by_size[m].ids[i], s, n, d, -j) for (m, i), (j, d, s, n) in sorted(best.items())]
 
     def _verified(self, h: np.ndarray, starts: np.ndarray, n: int, m: int, least: float) -> Iterator[tuple]:
-        sized = self.by_size[m]
+        sized, whole = self.by_size[m], {}
         for lo in range(0, len(starts), 4096):
             part = starts[lo : lo + 4096]
-            # windows near each other share their sums
-            base, end = part[0], part[-1] + n
-            if end - base > 16 * len(part) * n:
-                bits = np.stack([np.unpackbits(h[s : s + n].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64) for s in part])
-            else:
-                all_bits = np.unpackbits(h[base:end].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
-                sums = np.concatenate([np.zeros((1, 64), np.int32), np.cumsum(all_bits, axis=0, dtype=np.int32)])
-                bits = sums[part - base + n] - sums[part - base]
-            whole: set[int] = set()
-            for d, w, i in sized.near(_fingerprints(bits, np.full(len(part), n))):
-                if i in whole:
-                    continue
+            size = np.full(len(part), n)
+            for d, w, i in sized.near(_fingerprints(_bit_sums(h, part, size), size)):
                 s = int(part[w])
-                j = similarity(h[s : s + n], sized.shingles[i])
+                if whole.get(i, (65, 0)) <= (d, s):
+                    continue
+                j = similarity(h[s : s + n], sized.of(i))
                 if j >= least:
-                    yield s, w, d, i, j
+                    yield s, d, i, j
                 if j == 1:
-                    whole.add(i)
+                    whole[i] = d, s
 
 
 def _blocks(items: DataFrame, key: str, text: str, most: int) -> Iterator[Items]:
@@ -184,7 +221,7 @@ def _blocks(items: DataFrame, key: str, text: str, most: int) -> Iterator[Items]
 def _scan(batches: Iterator[pa.RecordBatch], at: int, text: str, index: Items, least: float) -> Iterator[tuple[pa.RecordBatch, list[list[tuple]]]]:
     hashes = WordHashes()
     for batch in text_batches(batches, text, 4 << 20):
-        if len(hashes) > 300_000:
+        if len(hashes) > 300_000 or sum(map(len, hashes)) > KEPT:
             hashes.clear()
         words = [hashes.of(x or "") for x in batch.column(at).to_pylist()]
         found: list[list[tuple]] = [[] for _ in words]
@@ -215,8 +252,8 @@ def leaks(docs: DataFrame, items: DataFrame, least: float = 0.8, key: str = "doc
             for batch, found in _scan(batches, 1, "_text", index, least):
                 at = [i for i, x in enumerate(found) for _ in x]
                 cols = list(zip(*(y for x in found for y in x), strict=True)) or [()] * 5
-                kinds = (None, pa.int64(), pa.int64(), pa.int32(), pa.float64())
-                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(at, pa.int64())), *(pa.array(c, k) for c, k in zip(cols, kinds, strict=True))], names=schema.names) if at else pa.RecordBatch.from_arrays([batch.column(0).slice(0, 0), *(pa.array([], t) for t in (_arrow(kind), *kinds[1:]))], names=schema.names)
+                kinds = (to_arrow_type(kind), pa.int64(), pa.int64(), pa.int32(), pa.float64())
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(at, pa.int64())), *(pa.array(c, k) for c, k in zip(cols, kinds, strict=True))], names=schema.names) if at else pa.RecordBatch.from_arrays([batch.column(0).slice(0, 0), *(pa.array([], t) for t in (to_arrow_type(kind), *kinds[1:]))], names=schema.names)
 
         return rows.mapInArrow(run, schema)
 
@@ -224,10 +261,6 @@ def leaks(docs: DataFrame, items: DataFrame, least: float = 0.8, key: str = "doc
     return reduce(DataFrame.unionByName, parts) if parts else docs.sparkSession.createDataFrame([], schema)
 
 
-def _arrow(kind: T.DataType) -> pa.DataType:
-    return {"long": pa.int64(), "integer": pa.int32(), "string": pa.string()}[kind.typeName()]
-
-
 def without_leaks(docs: DataFrame, items: DataFrame, least: float = 0.8, text: str = "text", item_key: str = "item_id", item_bytes: int = 16 << 20) -> DataFrame:
     """``docs`` without the rows that hold an item."""
     out, at = docs, docs.columns.index(text)

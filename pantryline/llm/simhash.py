@@ -10,9 +10,9 @@ and the second differs in at most one bit, so one of its halves is equal. The in
 with either half of the next one; every pair within the radius shares a key, and under it the chain's budgets are
 tested from that segment on, before the full Hamming check.
 
-A wide fingerprint (``words`` > 1, radius >= segments) is indexed by equal single segments, which finds a pair with a
-probability that the caller's numbers set; there the full check is cheaper than the chain test, and takes its place.
-``one_of_each`` takes keys of least hashes instead, and its links are tested on the shingle sets.
+A wide fingerprint with a radius beyond its segments, as ``one_of_each`` takes, has no keys that meet every pair and let few
+others through: there keys of least hashes propose pairs, the ring's chains prune them before the full Hamming check, and the
+shingle sets themselves decide.
 
 Scale. Equal fingerprints are one node. Keys with over ``block`` nodes are cut into blocks, and each pair of blocks is
 a unit of its own, so no task holds more than two blocks of a key and no pair is lost. Each unit gives a spanning forest
@@ -20,7 +20,10 @@ of its links, not the links, so output grows with nodes. Classes come from alter
 rounds, each written to the shared folder.
 
 Nulls: a null text counts as empty; all texts without words have fingerprint zero and link like any other. A row without
-id gets a fingerprint but no class, and joins nothing. Rows of one id are one node. An empty table gives no rows.
+id gets a fingerprint but no class, and joins nothing. In ``near_copies`` rows of one id are one node; in ``one_of_each`` each
+text is one. Ids of any ordered type come back as they are; the least of equals stays. Long texts are taken whole. Columns other
+than the id and the text are not read; ``one_of_each`` returns them as they are, whatever their names. An empty table gives no
+rows.
 """
 
 from __future__ import annotations
@@ -35,7 +38,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from pantryline.llm.common import text_batches, written
+from pantryline.llm.common import apart, text_batches, written
 
 SEED = 42
 BITS = np.uint64(64)
@@ -84,6 +87,24 @@ class Ring:
         b = self.bounds
         return [(self.mask(b[start], b[start + k]), k * self.radius // self.segments) for k in range(2, self.segments)]
 
+    def chained(self, x: np.ndarray) -> np.ndarray:
+        """Whether rows of differing bits have a chain: a segment from which all runs of segments stay within their budgets.
+
+        Every row within the radius has one. Rows without drop out as soon as no segment is left to start from.
+        """
+        b = self.bounds
+        counts = np.stack([np.bitwise_count(x & self.mask(b[i], b[i + 1])).sum(1, dtype=np.int32) for i in range(self.segments)], axis=1)
+        rows, run = np.arange(len(x)), counts.copy()
+        starts = run * self.segments <= self.radius
+        for k in range(1, self.segments):
+            some = starts.any(1)
+            rows, run, starts, counts = rows[some], run[some], starts[some], counts[some]
+            run += np.roll(counts, -k, axis=1)
+            starts &= run * self.segments <= (k + 1) * self.radius
+        out = np.zeros(len(x), bool)
+        out[rows[starts.any(1)]] = True
+        return out
+
 
 def shingle_hashes(text: bytes, size: int) -> np.ndarray:
     """XXH64 of each shingle of ``size`` words, A-Z lower-cased; of all words if there are fewer; none without words."""
@@ -121,15 +142,20 @@ def simhash(h: np.ndarray, words: int = 1) -> bytes:
     return np.packbits(2 * counts > len(h), bitorder="little").tobytes()
 
 
+def _number(fp: bytes) -> int:
+    """A number for a fingerprint: its own bits, or a hash of more than 64."""
+    return int.from_bytes(fp if len(fp) == 8 else xxhash.xxh64_digest(fp, SEED), "little", signed=True)
+
+
 def fingerprints(docs: DataFrame, size: int = 4, words: int = 1, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """(key, fp binary) of every row; ``fp`` has 8 bytes a word, little-endian."""
+    """(key, fp binary, node long) of every row; ``fp`` has 8 bytes a word, little-endian; ``node``: a number for it."""
     rows = docs.select(F.col(key), F.coalesce(F.col(text), F.lit("")).cast("binary").alias("_text"))
-    schema = T.StructType([rows.schema[0], T.StructField("fp", T.BinaryType())])
+    schema = T.StructType([rows.schema[0], T.StructField("fp", T.BinaryType()), T.StructField("node", T.LongType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in text_batches(batches, "_text", 8 << 20):
             fps = [simhash(shingle_hashes(x, size), words) for x in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fps, pa.binary())], names=[key, "fp"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fps, pa.binary()), pa.array(map(_number, fps), pa.int64())], names=schema.names)
 
     return rows.mapInArrow(run, schema)
 
@@ -266,16 +292,16 @@ def classes(edges: DataFrame) -> DataFrame:
 def near_copies(docs: DataFrame, size: int = 4, ring: Ring = Ring(), block: int = 4096) -> DataFrame:
     """(doc_id, fp, component_id) for every row of ``docs`` (doc_id, text); component_id: the least id of the class."""
     fps = written(fingerprints(docs, size, ring.words), "fingerprints")
-    nodes = fps.filter("doc_id is not null").groupBy("fp").agg(F.min(F.col("doc_id").cast("long")).alias("node"))
-    nodes = written(nodes, "nodes")
-    # an id with several fingerprints is a node of its own
-    own = fps.filter("doc_id is not null").select(F.col("doc_id").cast("long").alias("a"), "fp").join(nodes, "fp").filter("a != node").select("a", F.col("node").alias("b"))
-    repeated = fps.filter("doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("n")).filter("n > 1").select(F.col("doc_id").cast("long").alias("a"))
-    tied = own.join(repeated, "a", "left_semi")
+    known = fps.filter("doc_id is not null")
+    nodes = written(known.groupBy("node").agg(F.first("fp").alias("fp"), F.min("doc_id").alias("least")), "nodes")
+    # an id with several fingerprints connects them
+    several = known.groupBy("doc_id").agg(F.min("node").alias("b"), F.max("node").alias("_m")).filter("b != _m").select("doc_id", "b")
+    tied = known.join(several, "doc_id").select(F.col("node").alias("a"), "b").filter("a != b")
     roots = classes(links(nodes, ring, block).unionByName(tied))
-    found = nodes.join(roots, F.col("node") == F.col("a"), "left").select("fp", F.coalesce("b", "node").alias("component_id"))
+    found = nodes.join(roots, F.col("node") == F.col("a"), "left").select("node", F.coalesce("b", "node").alias("root"), "least")
+    named = found.groupBy("root").agg(F.min("least").alias("component_id"))
     # as a table of its own, so that a join whose one fingerprint has many rows can be split
-    out = fps.join(written(found, "classes"), "fp", "left")
+    out = fps.join(written(found.join(named, "root").select("node", "component_id"), "classes"), "node", "left")
     return out.select("doc_id", "fp", F.when(F.col("doc_id").isNotNull(), F.col("component_id")).alias("component_id"))
 
 
@@ -320,6 +346,18 @@ def shingle_sets(docs: DataFrame, size: int, ring: Ring) -> DataFrame:
     return rows.mapInArrow(run, T.StructType([rows.schema[0], *NODE]))
 
 
+def _numbered(docs: DataFrame, size: int) -> DataFrame:
+    """``docs`` with ``_node``, the number of each row's shingle set."""
+    at = docs.columns.index("text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in text_batches(batches, "text", 8 << 20):
+            texts = batch.column(at).cast(pa.binary()).to_pylist()
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array([_set_number(np.unique(shingle_hashes(x or b"", size))) for x in texts], pa.int64())], names=[*batch.schema.names, "_node"])
+
+    return docs.mapInArrow(run, T.StructType([*docs.schema, T.StructField("_node", T.LongType())]))
+
+
 def _hashes(docs: DataFrame, wanted: DataFrame, size: int) -> DataFrame:
     """(node, h) of the ``wanted`` (doc_id, node): the shingle set itself. A row whose text has another set is left out."""
     rows = docs.join(wanted, "doc_id").select("node", F.coalesce("text", F.lit("")).cast("binary").alias("_text"))
@@ -334,8 +372,11 @@ def _hashes(docs: DataFrame, wanted: DataFrame, size: int) -> DataFrame:
     return rows.mapInArrow(run, schema)
 
 
-def _proposed(group: np.ndarray, node: np.ndarray, fp: np.ndarray, root: np.ndarray, radius: int, most: int | None) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs within the radius among rows of equal ``group`` and unequal ``root``; of each row the first ``most``. Rows lie group by group."""
+def _proposed(group: np.ndarray, node: np.ndarray, fp: np.ndarray, root: np.ndarray, ring: Ring, most: int | None) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs within the radius among rows of equal ``group`` and unequal ``root``; of each row the first ``most``. Rows lie group by group.
+
+    Pairs without a chain round the ring are pruned before the full Hamming check.
+    """
     n = len(group)
     alive, hits = np.arange(n), np.zeros(n, np.int64)
     out = [(node[:0], node[:0])]
@@ -347,7 +388,10 @@ def _proposed(group: np.ndarray, node: np.ndarray, fp: np.ndarray, root: np.ndar
         if not len(alive):
             break
         a = alive[root[alive] != root[alive + shift]]
-        a = a[np.bitwise_count(fp[a] ^ fp[a + shift]).sum(1) <= radius]
+        x = fp[a] ^ fp[a + shift]
+        chained = ring.chained(x)
+        a, x = a[chained], x[chained]
+        a = a[np.bitwise_count(x).sum(1) <= ring.radius]
         hits[a] += 1
         out.append((np.maximum(node[a], node[a + shift]), np.minimum(node[a], node[a + shift])))
     return np.concatenate([x for x, _ in out]), np.concatenate([y for _, y in out])
@@ -360,7 +404,7 @@ def _proposals(cells: DataFrame, ring: Ring, most: int | None) -> DataFrame:
         held: list[tuple] = []
 
         def work(k, cell, node, fp, root):
-            a, b = _proposed(np.cumsum(np.concatenate(([0], (k[1:] != k[:-1]) | (cell[1:] != cell[:-1])))), node, fp, root, ring.radius, most)
+            a, b = _proposed(np.cumsum(np.concatenate(([0], (k[1:] != k[:-1]) | (cell[1:] != cell[:-1])))), node, fp, root, ring, most)
             if len(a):
                 yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=EDGE.names)
 
@@ -395,7 +439,9 @@ def verified(docs: DataFrame, pairs: DataFrame, nodes: DataFrame, size: int, lea
 
 
 def similar_texts(docs: DataFrame, size: int, ring: Ring, least: tuple[int, int] = (4, 5), block: int = 4096, rounds: tuple[int | None, ...] = (1, 16, None)) -> DataFrame:
-    """(doc_id, component_id) of every row with an id: classes of what pairs with a similarity of ``least`` or more connect.
+    """(doc_id, node, leader) of every row with an id: classes of what pairs with a similarity of ``least`` or more connect.
+
+    ``node``: a number for the row's shingle set; ``leader``: struct (doc_id, node) of the class's row with the least id.
 
     Sets that share a key of least hashes are compared, those with fingerprints within ``ring.radius`` of each other are
     proposed, and each link is a proposed pair whose shingle sets are as similar. Equal sets are one node. A pair that
@@ -411,10 +457,8 @@ def similar_texts(docs: DataFrame, size: int, ring: Ring, least: tuple[int, int]
     pairs = F.transform(F.sequence(F.lit(0).cast("long"), parts - 1), lambda y: F.least(F.col("_own"), y) * (1 << 20) + F.greatest(F.col("_own"), y))
     cells = keys.join(shared, "k").withColumn("_own", own).withColumn("cell", F.explode(pairs)).select("k", "cell", "node")
     cells = written(cells.join(nodes.select("node", "fp"), "node"), "cells")
-    # rows of one id are one node
-    several = rows.groupBy("doc_id").agg(F.min("node").alias("b"), F.max("node").alias("_m")).filter("b != _m").select("doc_id", "b")
-    edges = written(rows.join(several, "doc_id").select(F.col("node").alias("a"), "b").filter("a != b").distinct(), "tied")
-    tested, roots = None, classes(edges)
+    edges = docs.sparkSession.createDataFrame([], EDGE)
+    tested, roots = None, edges
     for most in rounds:
         known = cells.join(roots.select(F.col("a").alias("node"), F.col("b").alias("_root")), "node", "left").withColumn("root", F.coalesce("_root", "node"))
         found = _proposals(known.select("k", "cell", "node", "fp", "root"), ring, most)
@@ -424,27 +468,34 @@ def similar_texts(docs: DataFrame, size: int, ring: Ring, least: tuple[int, int]
         edges = written(edges.unionByName(verified(docs, found, nodes, size, least)), "verified")
         tested = found if tested is None else tested.unionByName(found)
         roots = classes(edges)
-    least_id = nodes.join(roots, F.col("node") == F.col("a"), "left").select("node", F.coalesce("b", "node").alias("root"), "doc_id")
-    named = least_id.groupBy("root").agg(F.min("doc_id").alias("component_id"))
+    each = nodes.join(roots, F.col("node") == F.col("a"), "left").select("node", F.coalesce("b", "node").alias("root"), "doc_id")
+    leaders = each.groupBy("root").agg(F.min(F.struct("doc_id", "node")).alias("leader"))
     # as a table of its own, so that a join whose one node has many rows can be split
-    found = written(least_id.select("node", "root").join(named, "root").select("node", "component_id"), "classes")
-    return rows.select("doc_id", "node").join(found, "node").select("doc_id", "component_id")
+    found = written(each.select("node", "root").join(leaders, "root").select("node", "leader"), "classes")
+    return rows.select("doc_id", "node").join(found, "node")
 
 
-def one_of_each(docs: DataFrame, size: int = 5, ring: Ring = Ring(words=4, radius=80), block: int = 4096) -> DataFrame:
-    """``docs`` without near copies: of each class the row with the least id stays (of repeated ids, one row).
+def one_of_each(docs: DataFrame, size: int = 5, ring: Ring = Ring(words=4, radius=80, segments=8), block: int = 4096) -> DataFrame:
+    """``docs`` without near copies: of each class the row with the least id stays.
 
     A class is what pairs with a similarity of 0.8 or more connect: Jaccard, over sets of ``size``-word shingles, tested
     exactly for each pair that keys and fingerprints propose. Bits differ with the angle between the sets: at 0.8 in 38.8
     of 256 (deviation 5.7), between unrelated texts in 128 (8), so a radius of 80 leaves out no pair that counts. Exact ring
     keys for it are no filter: a first segment of nine bits that may differ in two lets a tenth of all pairs through.
-    Rows without id stay.
+
+    Rows without id stay. Rows of one id are judged by their own texts: with texts that are not alike each can stay; of rows of
+    one id with one shingle set at most one stays, that with the least hash of all its columns.
     """
-    found = written(similar_texts(docs.select("doc_id", "text"), size, ring, block=block), "found")
-    leave = found.filter("doc_id is not null and doc_id != component_id").select("doc_id").distinct()
-    out = docs.join(leave, "doc_id", "left_anti").select(docs.columns)
-    repeated = written(found.filter("doc_id = component_id").groupBy("doc_id").agg(F.count("*").alias("n")).filter("n > 1").select("doc_id"), "repeated")
-    if repeated.isEmpty():
-        return out
-    again = out.join(repeated, "doc_id", "left_semi").select(docs.columns).dropDuplicates(["doc_id"])
-    return out.join(repeated, "doc_id", "left_anti").select(docs.columns).unionByName(again)
+    plain, back = apart(docs, "doc_id", "text")
+    found = written(similar_texts(plain.select("doc_id", "text"), size, ring, block=block), "found")
+    found = found.withColumn("_first", (F.col("leader.doc_id") == F.col("doc_id")) & (F.col("leader.node") == F.col("node")))
+    ids = written(found.groupBy("doc_id").agg(F.count("*").alias("_n"), F.max("_first").alias("_first")), "ids")
+    several = written(ids.filter("_n > 1").select("doc_id"), "repeated")
+    out = plain.join(ids.filter("_n > 1 or not _first").select("doc_id"), "doc_id", "left_anti").select(plain.columns)
+    if several.isEmpty():
+        return back(out)
+    keep = found.filter("_first").join(several, "doc_id").select("doc_id", F.col("node").alias("_node")).distinct()
+    again = _numbered(plain.join(several, "doc_id", "left_semi").select(plain.columns), size).join(keep, ["doc_id", "_node"], "left_semi")
+    row = F.struct(*plain.columns)
+    again = again.groupBy("doc_id", "_node").agg(F.min_by(row, F.xxhash64(F.to_json(row))).alias("_r")).select("_r.*")
+    return back(out.unionByName(again))

@@ -75,6 +75,35 @@ def test_every_link_shares_a_key_and_passes_its_chain():
         assert any(all(np.bitwise_count(x & m).sum() <= most for m, most in ring.chains(i)) for i in met)
 
 
+def test_every_pair_within_the_radius_has_a_chain():
+    rng, ring = np.random.default_rng(6), simhash.Ring(words=4, radius=80, segments=8)
+    x = np.zeros((4000, 256), np.uint8)
+    for row in x:
+        row[rng.choice(256, rng.integers(40, 140), replace=False)] = 1
+    x = np.packbits(x, axis=1, bitorder="little").view(np.uint64)
+    bits, chained = np.bitwise_count(x).sum(1), ring.chained(x)
+    assert chained[bits <= 80].all() and (~chained)[bits > 110].mean() > 0.9
+    for row, found in zip(x[:300], chained[:300], strict=True):
+        n = [int(np.bitwise_count(row & ring.mask(32 * i, 32 * i + 32)).sum()) for i in range(8)] * 2
+        assert found == any(all(sum(n[i : i + k]) * 8 <= k * 80 for k in range(1, 9)) for i in range(8))
+
+
+def test_ids_as_text_and_repeated_ids(spark):
+    rng = random.Random(15)
+    base = [words(rng, 300, 3000) for _ in range(6)]
+    near = lambda x: x.replace(" ", " zz ", 1)
+    rows = [("a", base[0]), ("a", base[1]), ("b", near(base[1])), ("c", base[2]), ("c", base[2]), ("c", near(base[2])), ("d", base[3]), (None, base[3]), ("e", near(base[3])), ("f", base[4])]
+    df = spark.createDataFrame(rows, "doc_id string, text string").withColumns({x: F.lit(x) for x in ("node", "fp", "_first", "leader", "_node", "_n", "K")})
+    got = simhash.one_of_each(df)
+    assert got.columns == df.columns and got.filter("fp = 'fp' and leader = 'leader' and k = 'K'").count() == got.count()
+    assert sorted((str(r["doc_id"]), r["text"]) for r in got.collect() if r["doc_id"] != "c") == sorted([("a", base[0]), ("a", base[1]), ("d", base[3]), ("None", base[3]), ("f", base[4])])
+    assert [r["text"] for r in got.filter("doc_id = 'c'").collect()][0] in (base[2], near(base[2])) and got.filter("doc_id = 'c'").count() == 1
+    again = simhash.one_of_each(df.repartition(5, "text")).collect()
+    assert sorted(map(str, again)) == sorted(map(str, got.collect()))
+    named = {(r["doc_id"], r["component_id"]) for r in simhash.near_copies(df).collect()}
+    assert {i for i, _ in named} == {"a", "b", "c", "d", "e", "f", None} and (None, None) in named
+
+
 def test_near_copies_go(spark):
     rng = random.Random(7)
     base = [words(rng, 400, 3000) for _ in range(12)]
@@ -145,6 +174,33 @@ def test_leaks_are_those_of_brute_force(spark):
     assert decontamination.leaks(df.withColumn("item_id", F.lit("clash")), bench).count() == len(got)
 
 
+def test_slices_change_nothing(monkeypatch):
+    rng = random.Random(16)
+    items = [(f"i{k}", words(rng, rng.choice([12, 30]), 40)) for k in range(40)] + [("tiny", "w1 w2"), ("long", words(rng, 300, 400))]
+    texts = [words(rng, 400, 40) + " " + items[k][1] + " " + words(rng, 50, 40) for k in range(0, 40, 5)] + [items[-1][1] + " x", "w1 w2", "w1"]
+    index = decontamination.Items(items)
+    find = lambda: [index.find(decontamination.WordHashes().of(x), 0.8) for x in texts]
+    want = find()
+    assert all(any(i == items[5 * k][0] and j == 1 for i, *_, j in want[k]) for k in range(8)) and want[8][0][0] == "long"
+    monkeypatch.setattr(decontamination, "SPAN", 7)
+    monkeypatch.setattr(decontamination, "CELLS", 50)
+    index = decontamination.Items(items)
+    assert find() == want
+
+
+def test_item_ids_of_any_type(spark):
+    rng = random.Random(17)
+    item = words(rng, 30)
+    df = spark.createDataFrame([("a", item + " tail"), ("b", "clean " * 20), (None, item)], "doc_id string, text string").withColumns({x: F.lit("x") for x in ("_text", "item_id", "similarity", "key")})
+    for kind in ("string", "short", "decimal(5,0)", "date"):
+        value = F.lit("2024-01-01") if kind == "date" else F.lit("7")
+        bench = spark.createDataFrame([(item,)], "text string").withColumn("item_id", value.cast(kind))
+        got = decontamination.leaks(df, bench)
+        assert got.schema["item_id"].dataType == bench.schema["item_id"].dataType and {r["doc_id"] for r in got.collect()} == {"a", None}
+    clean = decontamination.without_leaks(df, bench)
+    assert clean.columns == df.columns and [r["doc_id"] for r in clean.collect()] == ["b"]
+
+
 def jaccard(x: str, y: str, k: int = 5) -> float:
     a, b = ({tuple(w[i : i + k]) for i in range(len(w) - k + 1)} for w in (x.split(), y.split()))
     return len(a & b) / len(a | b)
