@@ -15,8 +15,10 @@ Texts are normalised as the vocabulary says: one space in front, spaces as they
 also with U+2581 in it, which is spelled in bytes. Ties of score: the order of the search, which depends on the part
 alone, then the earlier part.
 
-Nulls: a null text counts as empty; an empty text has one segmentation of no pieces and score 0. Repeated rows give
-repeated results. An empty table gives no rows.
+Nulls: a null text counts as empty; an empty text has one segmentation of no pieces and score 0; a null id stays null. Long texts
+are segmented whole. Repeated rows give repeated results. Columns other than the id and the text are not read by ``encode``, so
+none can clash; ``decode`` returns them as they are, whatever their names, but for one called like the text, which gives way to
+it. An empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -35,10 +37,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from pantryline.llm.common import freed, text_batches
+from pantryline.llm.common import apart, freed, text_batches
 
 MARK, UNKNOWN, LEAST = "▁", 10.0, float("-inf")
-KEPT_WORDS = 500_000
+#: Words, and characters of words and parts, that a task keeps.
+KEPT_WORDS, KEPT_CHARS = 500_000, 24 << 20
 #: Longer parts are searched one by one.
 LONGEST = 24
 
@@ -247,12 +250,14 @@ class Words:
         self.ids: dict[str, bytes] = {}
         self.score, self.loss = np.zeros(1024), np.zeros(1024)
         self.others: dict[str, list[tuple[float, bytes]]] = {}
+        self.chars = 0
 
     def add(self, texts: list[str]) -> list[list[str]]:
         """The words of texts, each with its spaces. New ones are added, all together."""
         split = [self.lattice.parts.findall(f" {x}") if x else [] for x in texts]
         new = {w: self.lattice.cut(w) for w in set(chain.from_iterable(split)).difference(self.number)}
         fresh = list(set(chain.from_iterable(new.values())).difference(self.parts))
+        self.chars += sum(map(len, new)) + sum(map(len, fresh))
         for name, found in zip(fresh, self.lattice.viterbi_of(fresh), strict=True):
             ids = struct.unpack(f"<{len(found[1]) // 4}i", found[1])
             if b"".join(map(self.lattice.bytes_of.__getitem__, ids)) != name.encode():
@@ -268,16 +273,20 @@ class Words:
         return split
 
     def _best_of(self, word: str) -> list[tuple[float, bytes]]:
-        """(loss, ids) of a word's N best, from those of its parts."""
+        """(loss, ids) of a word's N best, from those of its parts; only the N-1 parts of least loss can differ from their best."""
         if word not in self.others:
-            ways: list[tuple[float, bytes]] = [(0.0, b"")]
-            for part in self.lattice.cut(word):
-                score, mine, loss = self.parts[part]
-                rest = [] if loss == np.inf else [(score - s, packed(ids)) for s, ids in self.lattice.best(part, self.n)]
+            parts = self.lattice.cut(word)
+            loss = [self.parts[x][2] for x in parts]
+            few = set(sorted((k for k in range(len(parts)) if loss[k] < np.inf), key=lambda k: (loss[k], k))[: self.n - 1])
+            ways: list[tuple[float, tuple]] = [(0.0, ())]
+            for k in sorted(few):
+                score, mine, _ = self.parts[parts[k]]
+                rest = [(score - s, packed(ids)) for s, ids in self.lattice.best(parts[k], self.n)]
                 # of equals the Viterbi pass's goes first
                 every = [(0.0, mine), *(x for x in rest if x[1] != mine)][: self.n]
-                ways = sorted(((d + e, way + x) for d, way in ways for e, x in every), key=lambda x: x[0])[: self.n]
-            self.others[word] = ways
+                ways = sorted(((d + e, (*way, (k, x))) for d, way in ways for e, x in every), key=lambda x: x[0])[: self.n]
+            best = [self.parts[x][1] for x in parts]
+            self.others[word] = [(d, b"".join({**dict(enumerate(best)), **dict(way)}.values())) for d, way in ways]
         return self.others[word]
 
     def segmentations(self, words: list[str]) -> Iterator[tuple[float, bytes]]:
@@ -318,7 +327,7 @@ def encode(docs: DataFrame, model: str, n: int = 4, ids_of: int = 1, key: str =
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kept = Words(lattice(model), n)
         for batch in text_batches(batches, "_text", 2 << 20):
-            if len(kept.ids) > KEPT_WORDS:
+            if len(kept.ids) > KEPT_WORDS or kept.chars > KEPT_CHARS:
                 kept = Words(lattice(model), n)
             best, back = [], []
             texts = batch.column(1).to_pylist()
@@ -343,12 +352,12 @@ def encode(docs: DataFrame, model: str, n: int = 4, ids_of: int = 1, key: str =
 
 def decode(encoded: DataFrame, model: str, ids: str = "ids", name: str = "text") -> DataFrame:
     """``encoded`` with the text of its ids in place of any column ``name``; null ids give a null text."""
-    kept = encoded.drop(name)
-    at = kept.columns.index(ids)
+    plain, back = apart(encoded, ids, own=("_text",))
+    at = plain.columns.index(ids)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = [None if x is None else lattice(model).decode(x) for x in batch.column(at).to_pylist()]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(texts, pa.string())], names=[*batch.schema.names, name])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(texts, pa.string())], names=[*batch.schema.names, "_text"])
 
-    return kept.mapInArrow(run, T.StructType([*kept.schema, T.StructField(name, T.StringType())]))
+    return back(plain.mapInArrow(run, T.StructType([*plain.schema, T.StructField("_text", T.StringType())])), _text=name)

@@ -9,22 +9,30 @@ Filters are blocked: a key's bits lie in one block of 32,768 bits. A level of up
 the probing query as one scalar subquery of that size, so the probed rows meet no join and no shuffle. A larger level
 is kept as a table of blocks, which the probed rows meet by block number.
 
+Up to ``IN_PLAN`` rules are an expression in the plan; more are a table that distinct hosts and paths meet by the host's
+suffixes.
+
 Nulls: a null key counts as the empty key. Repeated keys count once, as listed if any of them is. An empty universe
-gives a cascade of no levels, which lists nothing.
+gives a cascade of no levels, which lists nothing. A null url has an empty host and path, an empty one too; a long one is taken
+whole. Repeated pages are judged each, equal urls alike; of rules of one length the first given wins. ``judge_urls`` reads two
+columns and ``is_listed`` returns all as they are, whatever their names. An empty table gives no rows.
 """
 
 from __future__ import annotations
 
 import math
 from dataclasses import dataclass
+from itertools import count
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pantryline.llm.common import lower_ascii, new_path, written
+from pantryline.llm.common import apart, lower_ascii, new_path, written
 
 BLOCK_WORDS = 512
 BLOCK_BITS = 64 * BLOCK_WORDS
+IN_PLAN = 1000
+KEY = "key of the cascade"
 
 
 def host_of(url: Column) -> Column:
@@ -45,11 +53,9 @@ def _rest(url: Column) -> Column:
 def longest_rule(host: Column, path: Column, rules: list[tuple[str, str]]) -> Column:
     """struct<rule, verdict> of the longest rule that fits, else null.
 
-    ``rules``: (verdict, ``host/path``). A rule fits its host and all subdomains if the path starts with the rule's.
-    Of rules of one length the first given wins. The list is written into the plan, so at most 1,000 are taken.
+    ``rules``: (verdict, ``host/path``), written into the plan. A rule fits its host and all subdomains if the path starts with the
+    rule's. Of rules of one length the first given wins.
     """
-    if len(rules) > 1000:
-        raise ValueError("more than 1,000 rules")
     kind = "struct<rule:string,verdict:string>"
     out = F.lit(None).cast(kind)
     for verdict, rule in sorted(rules, key=lambda x: len(x[1])):
@@ -60,6 +66,21 @@ def longest_rule(host: Column, path: Column, rules: list[tuple[str, str]]) -> Co
     return out
 
 
+def with_rules(df: DataFrame, rules: list[tuple[str, str]]) -> DataFrame:
+    """``df`` (host, path, ...) with ``_rule``, the struct of ``longest_rule``."""
+    if len(rules) <= IN_PLAN:
+        return df.withColumn("_rule", longest_rule(F.col("host"), F.col("path"), rules))
+    table = df.sparkSession.createDataFrame([(i, v, r) for i, (v, r) in enumerate(rules)], "_n long, verdict string, rule string")
+    table = table.withColumns({"_end": F.substring_index("rule", "/", 1), "_from": F.expr("substr(rule, instr(concat(rule, '/'), '/'))")})
+    labels = F.split("host", r"\.")
+    ends = F.transform(F.sequence(F.lit(1), F.size(labels)), lambda i: F.array_join(F.slice(labels, i, F.size(labels)), "."))
+    each = df.select("host", "path").distinct().withColumn("_end", F.explode(ends))
+    fits = each.join(table, "_end").filter(F.startswith("path", "_from"))
+    best = fits.groupBy("host", "path").agg(F.max_by(F.struct("rule", "verdict"), F.struct(F.length("rule"), -F.col("_n"))).alias("_rule"))
+    # as a table of its own, so that a join whose one url has many rows can be split
+    return df.join(written(best, "rules"), ["host", "path"], "left")
+
+
 @dataclass(frozen=True)
 class Level:
     """One Bloom filter: its number from 1, its blocks and hashes, and the table of its words."""
@@ -110,11 +131,11 @@ def _level(keys: DataFrame, number: int, n: int, bits_per_key: float, max_words:
     return Level(number, blocks, level.hashes, spark.read.parquet(path), whole)
 
 
-def build_cascade(universe: DataFrame, bits_per_key: float = 10.0, max_words: int = 1 << 20, max_levels: int = 64) -> list[Level]:
+def build_cascade(universe: DataFrame, bits_per_key: float = 10.0, max_words: int = 1 << 20) -> list[Level]:
     """Levels over ``universe`` (key string, listed boolean). ``max_words``: of one level that a query takes whole (8 MB)."""
     keys = universe.groupBy(F.coalesce("key", F.lit("")).alias("key")).agg(F.max(F.coalesce("listed", F.lit(False))).alias("listed"))
     alive, levels = written(keys, "universe"), []
-    for number in range(1, max_levels + 1):
+    for number in count(1):  # each level lets through a small part of what the one before did
         encoded = F.col("listed") if number % 2 else ~F.col("listed")
         n = alive.filter(encoded).count()
         if not n:
@@ -122,18 +143,18 @@ def build_cascade(universe: DataFrame, bits_per_key: float = 10.0, max_words: in
         level = _level(alive.filter(encoded), number, n, bits_per_key, max_words)
         levels.append(level)
         alive = written(level.passes(alive, F.col("key"), "_pass").filter("_pass").drop("_pass"), "alive")
-    raise RuntimeError("the cascade did not end")
+    return levels
 
 
 def is_listed(df: DataFrame, key: Column, levels: list[Level], name: str = "listed") -> DataFrame:
     """``df`` with the boolean ``name``. Exact for keys of the universe that the cascade was built over."""
     out = F.lit(len(levels) % 2 == 1)
-    df = df.withColumn("_key", F.coalesce(key, F.lit("")))
+    plain, back = apart(df.withColumn(KEY, F.coalesce(key, F.lit(""))), KEY, own=("_listed",))
     for level in levels:
-        df = level.passes(df, F.col("_key"), f"_p{level.number}")
+        plain = level.passes(plain, F.col(KEY), f"_p{level.number}")
     for level in reversed(levels):
         out = F.when(~F.col(f"_p{level.number}"), F.lit(level.number % 2 == 0)).otherwise(out)
-    return df.withColumn(name, out).drop("_key", *(f"_p{x.number}" for x in levels))
+    return back(plain.withColumn("_listed", out), _listed=name).drop(KEY)
 
 
 def judge_urls(pages: DataFrame, listed: Column, rules: list[tuple[str, str]], bits_per_key: float = 10.0, max_words: int = 1 << 20) -> DataFrame:
@@ -145,6 +166,7 @@ def judge_urls(pages: DataFrame, listed: Column, rules: list[tuple[str, str]], b
     parts = pages.select("page_id", host_of(F.coalesce("url", F.lit(""))).alias("host"), path_of(F.coalesce("url", F.lit(""))).alias("path"), F.coalesce(listed, F.lit(False)).alias("_listed"))
     key = F.concat("host", "path")
     levels = build_cascade(parts.select(key.alias("key"), F.col("_listed").alias("listed")), bits_per_key, max_words)
-    found = is_listed(parts.drop("_listed"), key, levels, "_block").withColumn("_rule", longest_rule(F.col("host"), F.col("path"), rules))
+    found = is_listed(parts.drop("_listed"), key, levels, "_block")
+    found = with_rules(found, rules)
     method = F.when(F.col("_block"), "block").otherwise("allow")
     return found.select("page_id", "host", "path", F.col("_rule.rule").alias("rule"), F.coalesce(F.col("_rule.verdict"), method).alias("verdict"))

@@ -24,6 +24,8 @@ def test_cascade_is_exact(spark, max_words):
     for k, v in rows:
         want[k or ""] = want.get(k or "", False) or bool(v)
     assert {k or "": v for k, v in got.items()} == want
+    named = universe.limit(5).withColumns({x: F.lit(x) for x in ("_key", "_p1", "__pass_at", "found", "block", "words")})
+    assert url_filter.is_listed(named, F.col("key"), levels, "found").columns == ["key", "listed", "_key", "_p1", "__pass_at", "block", "words", "found"]
 
 
 def test_judge_urls(spark):
@@ -40,6 +42,12 @@ def test_judge_urls(spark):
     assert got[10] == got[11] == ("y.net", "/p", None, "block")
     assert got[13][:2] == ("h", "")
     assert url_filter.judge_urls(pages.limit(0), F.lit(True), RULES).count() == 0
+    # many rules meet the urls in a join
+    many = [*RULES, *(("block", f"h{i}.test/") for i in range(url_filter.IN_PLAN)), ("allow", "a.org")]
+    joined = {r["page_id"]: tuple(r)[1:] for r in url_filter.judge_urls(pages, F.col("url").contains("utm_source="), many).collect()}
+    assert joined == got | {2: ("a.org", "", "a.org", "allow"), 3: ("a.org", "/", "a.org", "allow")}
+    some = url_filter.judge_urls(pages, F.lit(False), [*RULES, ("allow", "a.org")]).filter("page_id in (2, 3)").select("rule").distinct().collect()
+    assert some == [("a.org",)]
 
 
 def check_shards(rows, got, n):
