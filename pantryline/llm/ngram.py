@@ -9,14 +9,15 @@ final estimates come from all training texts.
 
 Flow. Each scan task cuts its texts into units of about ``unit_bytes``. A unit's distinct n-grams go as sorted hashes with
 their counts, cut by their leading bits, to parts: there counts are summed and answered in the order asked. A second
-exchange brings the answers and the unit's token numbers together. So a frequent n-gram travels once a unit, not once a
-text or token, and the work in a part or a unit is bounded. The answered units are written to the shared folder once;
-weights and scores are taken from them. The input is read once for that (and once for its size); one whose order a shuffle
-made should be written first, as a lost task must cut it into the same units again (a checksum tells if it did not).
+exchange brings the answers and the unit's token numbers together; those come from a second scan, which is less than to shuffle
+them twice. So a frequent n-gram travels once a unit, not once a text or token, and the work in a part or a unit is bounded. The
+answered units are written to the shared folder once; weights and scores are taken from them. Both scans must cut the same
+units, as scans of files do (a checksum tells if they did not); for rows whose order a shuffle made, ``write_first`` writes
+them to the shared folder before.
 
 Hashes stand for words and n-grams. Words have 64 bits: two of n distinct ones share one with a probability of about
-n*n / 2**65. N-grams have 16 bits more than the text has bytes, so that fewer than one in 65,536 shares its hash whatever
-the input's size, and at most 64.
+n*n / 2**65. N-grams have 10 bits more than the number of the text's bytes (64 at most), so that of the distinct ones fewer
+than one in a thousand shares its hash, whatever the input's size.
 
 Nulls: a null text counts as empty: one token, the end. A null condition counts as false, a null id stays null. Repeated rows
 are scored and counted each, whatever their ids. Ids of any type come back as they are. Other columns are neither read nor
@@ -26,7 +27,7 @@ no rows.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -143,14 +144,21 @@ class Tokens:
             yield level, at, *np.unique(key[at] >> np.uint64(64 - bits), return_inverse=True)
 
 
-def _units(docs: DataFrame, order: int, unit_bytes: int, parts_bits: int, bits: int, ids_kind: T.DataType) -> DataFrame:
-    """A row for each unit with its token numbers, and rows of its distinct n-grams with their counts in training and
-    deleted texts, one for each order and part. Units go past the parts by destinations below zero."""
+def _units(docs: DataFrame, order: int, unit_bytes: int, ids_kind: T.DataType) -> DataFrame:
+    """A row for each unit with its token numbers."""
     schema, arrow = _schema(ids_kind)
 
-    def rows(name: int, tokens: Tokens, ids: list, train: np.ndarray, out: np.ndarray) -> Iterator[pa.RecordBatch]:
-        check = xxhash.xxh64_intdigest(tokens.numbers.tobytes() + tokens.hashes.tobytes()) >> 1
-        yield pa.RecordBatch.from_pylist([_row(dest=-1 - name, unit=name, kind=UNIT, n=len(tokens.numbers), check=check, p0=pack(tokens.numbers), p1=pack(tokens.lengths), p2=tokens.hashes.tobytes(), p3=pack(train + 2 * out), ids=ids)], schema=arrow)
+    def rows(name: int, check: int, tokens: Tokens, ids: list, train: np.ndarray, out: np.ndarray) -> Iterator[pa.RecordBatch]:
+        yield pa.RecordBatch.from_pylist([_row(dest=name, unit=name, kind=UNIT, n=len(tokens.numbers), check=check, p0=pack(tokens.numbers), p1=pack(tokens.lengths), p2=tokens.hashes.tobytes(), p3=pack(train + 2 * out), ids=ids)], schema=arrow)
+
+    return _by_unit(docs, order, unit_bytes, schema, rows)
+
+
+def _requests(docs: DataFrame, order: int, unit_bytes: int, parts_bits: int, bits: int, ids_kind: T.DataType) -> DataFrame:
+    """Units' distinct n-grams with their counts in training and deleted texts, a row for each unit, order and part."""
+    schema, arrow = _schema(ids_kind)
+
+    def rows(name: int, check: int, tokens: Tokens, ids: list, train: np.ndarray, out: np.ndarray) -> Iterator[pa.RecordBatch]:
         for level, at, keys, place in tokens.distinct(bits):
             doc = tokens.doc[at]
             every = np.bincount(place, weights=train[doc], minlength=len(keys)).astype(np.uint64)
@@ -159,13 +167,19 @@ def _units(docs: DataFrame, order: int, unit_bytes: int, parts_bits: int, bits:
             cuts = np.flatnonzero(np.diff(part, prepend=-1)).tolist() + [len(keys)]
             yield pa.RecordBatch.from_pylist([_row(dest=int(part[a]), unit=name, kind=REQUEST, level=level, part=int(part[a]), n=b - a, check=check, p0=pack(np.diff(keys[a:b])), p1=pack(every[a:b]), p2=pack(deleted[a:b]), p3=keys[a : a + 1].tobytes()) for a, b in zip(cuts[:-1], cuts[1:], strict=True)], schema=arrow)
 
+    return _by_unit(docs, order, unit_bytes, schema, rows)
+
+
+def _by_unit(docs: DataFrame, order: int, unit_bytes: int, schema: T.StructType, rows: Callable[..., Iterator[pa.RecordBatch]]) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         number, held, size = 0, [], 0
 
         def unit() -> Iterator[pa.RecordBatch]:
             ids, texts, train, out = ([y for x in held for y in x[i]] for i in range(4))
             train = np.array(train, np.int64)
-            yield from rows((held[0][4] << 24) + number, Tokens.of(order, texts), ids, train, np.array(out, np.int64) * train)
+            tokens = Tokens.of(order, texts)
+            check = xxhash.xxh64_intdigest(tokens.numbers.tobytes() + tokens.hashes.tobytes()) >> 1
+            yield from rows((held[0][4] << 24) + number, check, tokens, ids, train, np.array(out, np.int64) * train)
 
         for batch in text_batches(batches, "_text", unit_bytes):
             part = batch.to_pydict()
@@ -183,13 +197,11 @@ def _units(docs: DataFrame, order: int, unit_bytes: int, parts_bits: int, bits:
     return docs.withColumn("_part", F.spark_partition_id()).mapInArrow(run, schema)
 
 
-def _answered(units: DataFrame, ids_kind: T.DataType) -> DataFrame:
-    """Requests summed and answered, part by part; units as they are."""
+def _answered(requests: DataFrame, ids_kind: T.DataType) -> DataFrame:
+    """Requests summed and answered, part by part."""
     schema, arrow = _schema(ids_kind)
 
     def run(table: pa.Table) -> pa.Table:
-        if table.column("kind")[0].as_py() == UNIT:
-            return table.set_column(0, "dest", table.column("unit"))
         rows, out = table.to_pylist(), []
         for level in sorted({r["level"] for r in rows}):
             mine = [r for r in rows if r["level"] == level]
@@ -209,7 +221,7 @@ def _answered(units: DataFrame, ids_kind: T.DataType) -> DataFrame:
                 out.append(_row(dest=-1 - rows[0]["dest"], unit=-1, kind=STATS, n=int(n), level=int(v), part=int(lost)))  # all, distinct, deleted
         return pa.Table.from_pylist(out, schema=arrow)
 
-    return units.groupBy("dest").applyInArrow(run, schema)
+    return requests.groupBy("dest").applyInArrow(run, schema)
 
 
 def _buckets(ctx: list[np.ndarray], n: int) -> np.ndarray:
@@ -261,7 +273,7 @@ def _joined(answered: DataFrame, order: int, bits: int, ids_kind: T.DataType) ->
         unit = next((r for r in rows if r["kind"] == UNIT), {"check": None, "ids": []})
         docs = len(unit["ids"])
         if {r["check"] for r in rows} != {unit["check"]}:
-            raise ValueError("a lost task's input was not read in the same order again; write it first")
+            raise ValueError("the input was not read in the same order twice; pass write_first")
         tokens = Tokens(order, unpack(unit["p0"], unit["n"]).astype(np.int64), unpack(unit["p1"], docs).astype(np.int64), np.frombuffer(unit["p2"], np.uint64))
         every, kept = {}, {}
         for level, _, _, place in tokens.distinct(bits):
@@ -336,7 +348,7 @@ def mixture_weights(table: DataFrame, order: int, tokens: int, vocabulary: int)
     return out
 
 
-def interpolated_scores(docs: DataFrame, train: Column, heldout: Column, order: int = 3, key: str = "doc_id", text: str = "text", unit_bytes: int = 8 << 20) -> DataFrame:
+def interpolated_scores(docs: DataFrame, train: Column, heldout: Column, order: int = 3, key: str = "doc_id", text: str = "text", unit_bytes: int = 12 << 20, write_first: bool = False) -> DataFrame:
     """(key, n_tokens, n_known, train_tokens, base_score, score) of every row of ``docs``.
 
     ``train``: rows to learn from; ``heldout``: of those, the rows whose counts are deleted to learn the mixture weights.
@@ -350,9 +362,10 @@ def interpolated_scores(docs: DataFrame, train: Column, heldout: Column, order:
     flag = lambda c: F.coalesce(c, F.lit(False)).cast("int")
     rows = docs.select(F.col(key).cast(ids_kind).alias("_id"), F.coalesce(F.col(text), F.lit("")).cast("binary").alias("_text"), flag(train).alias("_train"), flag(heldout).alias("_out"))
     size = text_bytes(docs, text)
-    parts_bits, bits = (size // (2 * unit_bytes)).bit_length(), min(64, max(40, size.bit_length() + 16))
-    answered = _answered(_units(rows, order, unit_bytes, parts_bits, bits, ids_kind), ids_kind)
-    table = written(_joined(answered, order, bits, ids_kind), "ngram-units")
+    parts_bits, bits = (size // (2 * unit_bytes)).bit_length(), min(64, max(40, size.bit_length() + 10))
+    rows = written(rows, "ngram-rows") if write_first else rows
+    answered = _answered(_requests(rows, order, unit_bytes, parts_bits, bits, ids_kind), ids_kind)
+    table = written(_joined(answered.unionByName(_units(rows, order, unit_bytes, ids_kind)), order, bits, ids_kind), "ngram-units")
     n, v, deleted = table.filter(F.col("kind") == STATS).agg(*(F.coalesce(F.sum(x), F.lit(0)) for x in ("n", "level", "part"))).first()
     weights = mixture_weights(table, order, n - deleted, v)
     schema = T.StructType([T.StructField(key, ids_kind), *(T.StructField(x, T.LongType()) for x in ("n_tokens", "n_known", "train_tokens")), *(T.StructField(x, T.DoubleType()) for x in ("base_score", "score"))])

@@ -113,6 +113,8 @@ def test_ids_of_any_type_and_other_columns(spark):
     df = docs(spark, rows)
     flags = fold(F.col("doc_id")) != 1, fold(F.col("doc_id")) == 2
     want = sorted((str(r[0]), r[-1]) for r in ngram.interpolated_scores(df, *flags, unit_bytes=2000).collect())
+    shuffled = ngram.interpolated_scores(df.repartition(3, "text"), *flags, unit_bytes=2000, write_first=True).collect()
+    assert sorted((str(r[0]), r[-1]) for r in shuffled) == [(i, pytest.approx(x)) for i, x in want]
     for kind in ("string", "int"):
         other = df.withColumn("doc_id", F.col("doc_id").cast(kind)).withColumns({x: F.lit("clash") for x in ("_id", "_text", "_part", "dest", "score", "unit")})
         got = ngram.interpolated_scores(other, *flags, unit_bytes=2000)
