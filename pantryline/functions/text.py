@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from pantryline.functions import vocab
+from pantryline.functions import profiles, vocab
 
 
 def present(c: Column, kind: str = "string") -> Column:
@@ -153,6 +153,12 @@ def ingredients(text: Column, patterns: list[str] = vocab.INGREDIENTS) -> Column
     return F.sort_array(F.array_distinct(F.flatten(F.array(*(F.regexp_extract_all(text, F.lit(p), 1) for p in patterns)))))
 
 
+def ingredient_phrases(text: Column, patterns: list[str] = profiles.INGREDIENT_PHRASES) -> Column:
+    """T5. What follows "with", "served with", "includes" and alike up to a comma or full stop, of 3 to 49 characters."""
+    found = F.flatten(F.array(*(F.regexp_extract_all(text, F.lit(f"(?i){p}"), 1) for p in patterns)))
+    return F.filter(F.transform(found, lambda x: F.trim(x)), lambda x: F.length(x).between(3, 49))
+
+
 def category(name: Column, table: list[tuple[str, list[str]]] = vocab.CATEGORIES, default: str = "other") -> Column:
     """T6. The first category of which a keyword is in the lower-cased name."""
     low, out = F.lower(name), None
@@ -161,18 +167,67 @@ def category(name: Column, table: list[tuple[str, list[str]]] = vocab.CATEGORIES
     return out.otherwise(default)
 
 
+def category_by(text: Column, profile: str) -> Column:
+    """T6. By a named profile. ``improved`` knows two more rules: a cooking verb with a meat or fish, and a price over 15."""
+    table, default = profiles.CATEGORY[profile]
+    out = category(text, table, default)
+    if profile != "improved":
+        return out
+    low, price = F.lower(text), F.regexp_extract(text, r"\$(\d+)", 1).try_cast("int")
+    cooked = low.rlike(r"\b(grilled|fried|baked|roasted)\b")
+    more = F.when(cooked & any_hit(low, ["chicken", "beef", "pork", "lamb"]), "meat").when(cooked & any_hit(low, ["fish", "salmon", "tuna"]), "seafood").when(price > 15, "mains").otherwise(default)
+    return F.when(out == default, more).otherwise(out)
+
+
 def confidence(text: Column, has_price: Column, has_labels: Column, words: list[str] = vocab.CONFIDENT_WORDS) -> Column:
     """T7. 0.5, and 0.2 for a price, 0.1 each for labels, a length from 20 to 150 and a food word; at most 1."""
     one = lambda c, w: F.when(c, F.lit(w)).otherwise(0.0)
     return F.least(F.lit(0.5) + one(has_price, 0.2) + one(has_labels, 0.1) + one(F.length(text).between(20, 150), 0.1) + one(any_hit(F.lower(text), words), 0.1), F.lit(1.0))
 
 
+def evidence(name: Column, description: Column, price: Column, category: Column, labels: Column, tags: Column, words: list[str]) -> dict[str, Column]:
+    """T7. What the profiles of confidence weigh, by name."""
+    both = F.lower(F.concat_ws(" ", name, description))
+    given = {"price": present(price.cast("string")), "description": present(description), "categorised": category != "other", "labels": F.size(labels) > 0, "tags": F.size(tags) > 0, "food": any_hit(both, words), "name from 5 to 50": F.length(name).between(5, 50)}
+    longer = {f"{kind} over {n}": F.length(c) > n for kind, c, sizes in (("name", name, (5, 10)), ("description", description, (10, 20, 30))) for n in sizes}
+    return {k: F.coalesce(c, F.lit(False)) for k, c in (given | longer).items()}
+
+
+def confidence_by(found: dict[str, Column], profile: str, base: Column | None = None, scores: Column | None = None) -> Column:
+    """T7. By a named profile, from ``evidence``. ``base``: in place of the profile's; ``scores``: of labels, whose mean counts half."""
+    start, most, weights = profiles.CONFIDENCE[profile]
+    total = (base if base is not None else F.lit(start)) + additive(*((found[k], w) for k, w in weights))
+    if scores is not None:
+        total = F.coalesce((total + mean_of(F.map_values(scores))) / 2, total)
+    return F.least(total, F.lit(most))
+
+
+def mean_of(values: Column) -> Column:
+    """The mean of a list of numbers; null of an empty one."""
+    return F.try_divide(F.aggregate(values, F.lit(0.0), lambda a, x: a + x), F.size(values))
+
+
+def confidence_basic(name: Column, description: Column, price: Column, words: list[str] = profiles.FOOD_FINAL[:20]) -> Column:
+    """T7. 0.3 for a price, 0.2 each for a description over 5 and a name from 5 to 50 characters, 0.05 a food word up to 0.2."""
+    food = F.least(hits(F.lower(F.concat_ws(" ", name, description)), words) * 0.05, F.lit(0.2))
+    return F.least(additive((present(price), 0.3), (F.length(description) > 5, 0.2), (F.length(name).between(5, 50), 0.2)) + food, F.lit(1.0))
+
+
+def confidence_weighted(name: Column, description: Column, price: Column, labels: dict[str, list[str]], words: list[str] = profiles.FOOD_FINAL) -> Column:
+    """T7. 0.3 for a price from 1 to 200, 0.2 for a description over 10 characters and 0.1 more from five words on, 0.2 for a name from 5
+    to 50, a share of 0.2 for food words (of ten) and of 0.1 for hits among each label's words (of five)."""
+    both = F.lower(F.concat_ws(" ", name, description))
+    number = F.regexp_extract(price, r"\d+(?:\.\d{2})?", 0).try_cast("double")
+    long = F.length(description) > 10
+    base = additive((number.between(1, 200), 0.3), (long, 0.2), (long & (F.size(words_of(description)) >= 5), 0.1), (F.length(name).between(5, 50), 0.2))
+    return F.least(base + F.least(hits(both, words) / 10, F.lit(1.0)) * 0.2 + F.least(hits(both, [w for x in labels.values() for w in x]) / 5, F.lit(1.0)) * 0.1, F.lit(1.0))
+
+
 def item_confidence(scores: Column, risk: Column) -> Column:
     """T7. Mean score times the risk's factor; 0.5 without scores."""
     factor = F.create_map(*(x for k, v in vocab.RISK_FACTOR.items() for x in (F.lit(k), F.lit(v))))
     v = F.map_values(scores)
-    mean = F.aggregate(v, F.lit(0.0), lambda a, x: a + x) / F.size(v)
-    return F.when(F.size(v) == 0, F.lit(0.5)).otherwise(mean * F.coalesce(factor[risk], F.lit(0.5)))
+    return F.when(F.size(v) == 0, F.lit(0.5)).otherwise(mean_of(v) * F.coalesce(factor[risk], F.lit(0.5)))
 
 
 def item_likelihood(text: Column, words: list[str] = vocab.LIKELY_WORDS) -> Column:
@@ -180,6 +235,16 @@ def item_likelihood(text: Column, words: list[str] = vocab.LIKELY_WORDS) -> Colu
     return F.when(text.rlike(r"\$\d+"), 4).otherwise(0) + hits(F.lower(text), words) + F.when(F.length(text).between(10, 100), 1).otherwise(0)
 
 
+def likelihood_by(text: Column, profile: str) -> Column:
+    """T8. By a named profile; ``profiles.LIKELIHOOD`` has the score that is enough."""
+    p, low = profiles.LIKELIHOOD[profile], F.lower(text)
+    words, weight, most = p["food"]
+    food = F.least(hits(low, words) * weight, F.lit(most))
+    bad, minus = p["excluded"]
+    score = F.when(any_pattern(text, p["prices"]), p["price"]).otherwise(0) + food + F.when(F.length(text).between(*p["length"]), 1).otherwise(0)
+    return score + F.when(any_hit(low, bad), minus).otherwise(0) if bad else score
+
+
 # ---- prices and items
 
 
@@ -204,6 +269,59 @@ def parse_item(text: Column) -> Column:
     return F.when(F.length(name) >= 3, F.struct(name.alias("name"), price.alias("price"), description.alias("description")))
 
 
+def _without(text: Column, patterns: list[str]) -> Column:
+    for p in patterns:
+        text = F.regexp_replace(text, p, "")
+    return text
+
+
+def _item(name: Column, price: Column, description: Column, least: int) -> Column:
+    return F.when(F.length(name) >= least, F.struct(name.alias("name"), price.alias("price"), F.nullif(description, F.lit("")).alias("description")))
+
+
+def parse_item_block(text: Column, best_of: int = 1, prices: list[str] = profiles.PRICE_FINAL, words: list[str] = profiles.FOOD_FINAL[:10]) -> Column:
+    """T11. A block of lines: the name is the first line, or the best of the first ``best_of`` by length, lack of a price, a food word and a
+    capital; the description is the rest without prices, if it has over ten characters."""
+    lines = F.filter(F.transform(F.split(text, "\n"), lambda x: F.trim(x)), lambda x: x != "")
+
+    def score(x: Column) -> Column:
+        points = [(F.length(x).between(6, 49), 2), (~x.rlike(r"\$\d+"), 2), (any_hit(F.lower(x), words), 1), (x.rlike(r"^\p{Lu}"), 1)]
+        return sum((F.when(c, w).otherwise(0) for c, w in points), F.lit(0))
+
+    start = F.struct(F.lit(0).alias("s"), F.get(lines, F.lit(0)).alias("x"))
+    best = F.aggregate(F.slice(lines, 1, best_of), start, lambda a, x: F.when(score(x) > a["s"], F.struct(score(x).alias("s"), x.alias("x"))).otherwise(a), lambda a: a["x"]) if best_of > 1 else F.get(lines, F.lit(0))
+    name = F.substring(F.trim(F.regexp_replace(F.coalesce(best, F.lit("Unknown Item")), r"\$\d+(?:\.\d{2})?", "")), 1, 100)
+    rest = F.trim(F.regexp_replace(_without(_cut(text, name), prices), r"\s+", " "))
+    return _item(name, extract_price(text, [f"({p})" for p in prices]), F.when(F.length(rest) > 10, F.substring(rest, 1, 500)), 1)
+
+
+def _cut(text: Column, part: Column) -> Column:
+    """``text`` without the first occurrence of ``part``."""
+    at = F.instr(text, part)
+    return F.when((part != "") & (at > 0), F.concat(F.substring(text, F.lit(1), at - 1), F.substring(text, at + F.length(part), F.length(text)))).otherwise(text)
+
+
+def parse_item_line(text: Column, prices: list[str] = profiles.PRICE_PRIORITY, longer: int = 30, under: int = 50, bullets: str = r"[\-•*]+\s*") -> Column:
+    """T11. A line: price, bullets and double spaces out; split at `` - ``, or at the first ``. `` of a name over ``longer`` characters if
+    what stands before it has under ``under``."""
+    found = F.coalesce(*(F.nullif(F.regexp_extract(text, p, 0), F.lit("")) for p in prices))
+    price = F.regexp_replace(extract_price(text, prices), r"[^\d.,]", "")
+    name = F.trim(F.regexp_replace(F.replace(text, F.coalesce(found, F.lit("\x00")), F.lit("")), r"\s+", " "))
+    name = F.regexp_replace(F.regexp_replace(name, f"^{bullets}", ""), r"\s*[\-•*]+$", "")
+    dash, stop = F.split(name, " - ", 2), F.split(name, r"\. ", 2)
+    by_stop = (F.size(stop) > 1) & (F.length(name) > longer) & (F.length(stop[0]) < under)
+    first = F.when(F.size(dash) > 1, F.trim(dash[0])).when(by_stop, F.trim(stop[0])).otherwise(name)
+    rest = F.when(F.size(dash) > 1, F.trim(F.get(dash, F.lit(1)))).when(by_stop, F.trim(F.get(stop, F.lit(1))))
+    return F.when(F.length(name) >= 3, _item(first, price, rest, 0))
+
+
+def parse_item_parens(text: Column, prices: list[str] = profiles.PRICE_DYNAMIC) -> Column:
+    """T11. All prices and one pair of parentheses at the end out; the description is what stands before the price, if it differs."""
+    name = F.trim(F.regexp_replace(F.trim(_without(text, prices)), r"\s*\([^)]*\)\s*$", ""))
+    before = F.coalesce(*(F.nullif(F.trim(F.regexp_extract(text, rf"^([^$]+?)\s*{p}", 1)), F.lit("")) for p in prices))
+    return _item(name, extract_price(text, prices), F.when(before != name, before), 3)
+
+
 # ---- names, phones, places
 
 
@@ -249,10 +367,10 @@ def token_jaccard(a: Column, b: Column) -> Column:
 
 
 def build_address(number: Column, street: Column, city: Column, state: Column, postcode: Column) -> Column:
-    """T16. ``12 Street, City, ST 60601``; null if nothing is given."""
+    """T16. ``12 Street, City, ST 60601``; a number only before a street, a postcode only after a state; null if nothing is given."""
     n = lambda c: F.nullif(c, F.lit(""))
-    line = F.nullif(F.concat_ws(" ", F.when(n(street).isNotNull(), n(number)), n(street)), F.lit(""))
-    end = F.nullif(F.concat_ws(" ", n(state), n(postcode)), F.lit(""))
+    line = F.when(n(street).isNotNull(), F.concat_ws(" ", n(number), n(street)))
+    end = F.when(n(state).isNotNull(), F.concat_ws(" ", n(state), n(postcode)))
     return F.nullif(F.concat_ws(", ", line, n(city), end), F.lit(""))
 
 
@@ -274,10 +392,20 @@ def row_checksum(*names: str) -> Column:
     return F.md5(F.to_json(F.struct(*sorted(names)), {"ignoreNullFields": "false"}))
 
 
-def low_score_warnings(scores: Column, under: float = 0.6) -> Column:
-    """T20. A line for each label scored under ``under``."""
-    low = F.filter(F.map_entries(scores), lambda e: e["value"] < under)
-    return F.transform(low, lambda e: F.concat(F.lit("Low confidence detection for "), e["key"]))
+def detection_reasons(text: Column, label: str, dictionary: dict = vocab.ALLERGENS) -> Column:
+    """T20. The dictionary's words of a label that are in the lower-cased text, each with its tier."""
+    words = [(f"{profiles.TIER_NAMES[tier]}: {k}", k) for tier, found in dictionary[label].items() for k in found]
+    entries = F.array(*(F.struct(F.lit(r).alias("r"), F.lit(k).alias("k")) for r, k in words))
+    return F.transform(F.filter(entries, lambda e: F.contains(text, e["k"])), lambda e: e["r"])
+
+
+def low_score_warnings(scores: Column, under: float = 0.6, text: Column | None = None, dictionary: dict = vocab.ALLERGENS) -> Column:
+    """T20. A line for each label scored under ``under``; with the lower-cased ``text`` also why it was found."""
+    if text is None:
+        low = F.filter(F.map_entries(scores), lambda e: e["value"] < under)
+        return F.transform(low, lambda e: F.concat(F.lit("Low confidence detection for "), e["key"]))
+    lines = [F.when(scores[x] < under, F.concat(F.lit(f"Low confidence detection for {x}: "), F.array_join(detection_reasons(text, x, dictionary), ", "))) for x in dictionary]
+    return F.filter(F.array(*lines), lambda x: x.isNotNull())
 
 
 def additive(*evidence: tuple[Column, float]) -> Column:
@@ -298,6 +426,20 @@ def valid_item(name: Column, low: int = 2, high: int = 100, blocked: list[str] =
     return F.coalesce(ok & needs if needs is not None else ok, F.lit(False))
 
 
+def valid_item_by(profile: str, name: Column, price: Column, description: Column, score: Column) -> Column:
+    """F11. By a named profile. ``score``: the item's confidence, of which some profiles need 0.4."""
+    low, high, blocked, anchored = profiles.VALID[profile]
+    food = {"website": profiles.FOOD_WEBSITE, "priority_final": profiles.FOOD_PRIORITY_FINAL}.get(profile, [])
+    needs = {
+        "final": confidence_basic(name, description, price) > 0.2,
+        "ml": score >= 0.4,
+        "allergen": score >= 0.4,
+        "website": any_hit(F.lower(name), food) | present(price) | F.coalesce(F.length(description) > 10, F.lit(False)),
+        "priority_final": any_hit(F.lower(name), food) | price.isNotNull(),
+    }.get(profile)
+    return valid_item(name if profile in ("production", "final", "ubereats", "doordash") else F.trim(name), low, high, blocked, anchored, needs)
+
+
 def food_score(text: Column, excluded: list[str], tiers: list[tuple[str, list[str], float]], each: bool, least: float) -> Column:
     """F12. struct<valid, score, reason>: nothing if an excluded word is found; else tiers' weights, for each hit or once."""
     low = F.lower(text)
@@ -310,6 +452,37 @@ def food_score(text: Column, excluded: list[str], tiers: list[tuple[str, list[st
     return F.struct((score >= least).alias("valid"), score.alias("score"), reason.alias("reason"))
 
 
+def food_score_by(text: Column, profile: str) -> Column:
+    """F12. struct<valid, score, reason> by a named profile: exclusions, then words by tier, a price, the length and capitals, each with its
+    reason (``strong_soup``, ``has_price``, ``good_length``, ``proper_caps``)."""
+    p, low = profiles.FOOD_SCORE[profile], F.trim(F.lower(text))
+    found, score = [], F.lit(0.0)
+    for tier, words, weight in p["tiers"]:
+        mine = F.filter(strings(words), lambda k: F.contains(low, k))
+        mine = mine if p["each"] else F.slice(mine, 1, 1)
+        prefix = F.lit(f"{tier}_")
+        found.append(F.transform(mine, lambda k: F.concat(prefix, k)))  # noqa: B023  called at once
+        score = score + F.size(mine) * weight
+    patterns, price = p["prices"]
+    a, b, length = p["length"]
+    body = text if p["each"] else F.trim(text)
+    more = [("has_price", any_pattern(text, patterns), price), ("good_length", F.length(body).between(a, b), length), ("proper_caps", text.rlike("[A-Z][a-z]"), p["caps"])]
+    reasons = F.array_join(F.flatten(F.array(*found, labels_by({k: c for k, c, _ in more}))), "_")
+    score = score + additive(*((c, w) for _, c, w in more))
+    least, enough = p["least"]
+    nothing = lambda why: F.struct(F.lit(False).alias("valid"), F.lit(0.0).alias("score"), F.lit(why).alias("reason"))
+    out = F.when(F.length(F.trim(text)) < least, nothing("too_short"))
+    for kind, words in p["excluded"]:
+        out = out.when(any_hit(low, words), nothing(f"excluded_{kind}"))
+    if p["patterns"]:
+        out = out.when(any_pattern(low, p["patterns"]), nothing("excluded"))
+    why, names = p["names"]
+    if names:
+        out = out.when(low.isin(names), nothing(why))
+    # sums of tenths: to nine decimals, so that 0.1 + 0.2 reaches 0.3
+    return out.otherwise(F.struct((F.round(score, 9) >= enough).alias("valid"), F.least(F.round(score, 9), F.lit(1.0)).alias("score"), F.when(reasons == "", p["none"]).otherwise(reasons).alias("reason")))
+
+
 def potential_item(text: Column, excluded: list[str], wanted: list[str], food: list[str]) -> Column:
     """F13. No excluded pattern, and a wanted pattern, a food word, or two to five words that all begin upper-case."""
     words = words_of(text)
@@ -324,6 +497,20 @@ def page_gate(html: Column, challenge: list[str], indicators: list[str] = vocab.
     return F.coalesce(~any_hit(low, challenge) & (score >= least), F.lit(False))
 
 
+def page_gate_by(profile: str, html: Column, text: Column, elements: Column | None = None) -> Column:
+    """F15. By a named profile; ``text``: the page's visible text; ``elements``: how many menu-like elements it has (P2, P3, P9)."""
+    low, seen, n = F.lower(html), F.lower(text), elements if elements is not None else F.lit(0)
+    prices = lambda patterns: sum((F.size(F.regexp_extract_all(text, F.lit(p), 0)) for p in patterns), F.lit(0))
+    ok = {
+        "production": lambda: ~any_hit(low, profiles.CHALLENGE_PRODUCTION),
+        "ultimate": lambda: ~any_hit(low, profiles.CHALLENGE_ULTIMATE),
+        "final": lambda: ~any_hit(low, profiles.CHALLENGE_FINAL) & (hits(low, profiles.PAGE_FINAL) >= 3),
+        "dynamic": lambda: hits(low, profiles.PAGE_DYNAMIC) + hits(seen, profiles.PAGE_DYNAMIC) + 3 * prices([r"\$\d+(?:\.\d{2})?"]) + 2 * n >= 10,
+        "priority": lambda: hits(seen, profiles.FOOD_PRIORITY) + 2 * prices(profiles.PRICE_PRIORITY) + hits(seen, profiles.PAGE_PRIORITY) + 0.5 * n >= 8,
+    }[profile]()
+    return F.coalesce(ok, F.lit(False))
+
+
 def usable_url(url: Column, blocked: list[str]) -> Column:
     """F16. Neither a script nor a fragment, and of no blocked domain."""
     return F.coalesce(~url.rlike(r"^(?i:javascript:|#)") & ~any_hit(F.lower(url), blocked), F.lit(False))

@@ -6,6 +6,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from pantryline.operators.resolve import independent_set
+from pantryline.sources.shared import written
+
 
 def first_wins(df: DataFrame, keys: list[Column | str], ordinal: str) -> DataFrame:
     """W3. The first row of each key."""
@@ -22,22 +25,32 @@ def first_wins_backfill(df: DataFrame, keys: list[str], ordinal: str, column: st
 
 
 def best_per_group(df: DataFrame, keys: list[str], value: str, confidence: str, sources: str, ordinal: str) -> DataFrame:
-    """W1. Of each key the ``value`` with the highest (confidence, number of sources), the first of equals, and all sources."""
-    order = F.struct(F.col(confidence), F.size(sources), -F.col(ordinal))
-    every = F.sort_array(F.array_distinct(F.flatten(F.collect_list(sources))))
-    return df.groupBy(*keys).agg(F.max_by(value, order).alias(value), F.max(confidence).alias(confidence), every.alias(sources))
+    """W1. Of each key the ``value`` with the highest (confidence, number of sources), the first of equals, and all sources.
+
+    Sources are exploded, so a key's set is merged from partial ones and holds each source once.
+    """
+    rows = df.withColumn("_size", F.size(sources)).withColumn("_source", F.explode_outer(sources))
+    order = F.struct(F.col(confidence), F.col("_size"), -F.col(ordinal))
+    return rows.groupBy(*keys).agg(F.max_by(value, order).alias(value), F.max(confidence).alias(confidence), F.sort_array(F.collect_set("_source")).alias(sources))
 
 
-def merge_candidates(df: DataFrame, keys: list[str], fields: list[str], priority: str, confidence: str, labels: str, ordinal: str, boost: float = 0.1) -> DataFrame:
+def merge_candidates(df: DataFrame, keys: list[str], fields: list[str], priority: str, confidence: str, labels: str, ordinal: str, boost: float = 0.1, skip: dict[str, str] | None = None) -> DataFrame:
     """W2. One row a key: each field's first given value by (confidence, priority, ordinal), all labels, a higher confidence.
 
-    Each further candidate adds ``boost``, up to 1. A group is a page's candidates of one name.
+    Each further candidate adds ``boost``, up to 1. ``skip``: field: the value that counts as not given beside null and '' (as ``other``
+    of a category); a field that no candidate gives is that value. Every field is an aggregate of its own, merged from partial ones.
     """
-    row = F.struct((-F.col(confidence)).alias("c"), (-F.col(priority)).alias("p"), F.col(ordinal).alias("o"), *fields)
-    g = df.groupBy(*keys).agg(F.sort_array(F.collect_list(row)).alias("_rows"), F.sort_array(F.array_distinct(F.flatten(F.collect_list(labels)))).alias(labels))
-    given = lambda f: F.get(F.filter(F.transform("_rows", lambda r: r[f]), lambda v: v.isNotNull() & (v.cast("string") != "")), F.lit(0))
-    best = F.least(-F.col("_rows")[0]["c"] + boost * (F.size("_rows") - 1), F.lit(1.0))
-    return g.select(*keys, *(given(f).alias(f) for f in fields), labels, best.alias(confidence), F.size("_rows").alias("n_candidates"))
+    skip = skip or {}
+    order = F.struct(-F.col(confidence), -F.col(priority), F.col(ordinal))
+
+    def first_given(f: str) -> Column:
+        given = F.col(f).isNotNull() & ~F.col(f).cast("string").isin("", *([skip[f]] if f in skip else []))
+        found = F.min_by(f, F.when(given, order))
+        return (F.coalesce(found, F.lit(skip[f])) if f in skip else found).alias(f)
+
+    rows = df.select("*", F.posexplode_outer(labels).alias("_at", "_label"))
+    n = F.count_if(F.coalesce("_at", F.lit(0)) == 0)
+    return rows.groupBy(*keys).agg(*map(first_given, fields), F.sort_array(F.collect_set("_label")).alias(labels), F.least(F.max(confidence) + boost * (n - 1), F.lit(1.0)).alias(confidence), n.cast("int").alias("n_candidates"))
 
 
 def top_n(df: DataFrame, keys: list[str], order: list[Column], n: int) -> DataFrame:
@@ -74,18 +87,27 @@ def batches(df: DataFrame, order: list[str], size: int, partition: list[str] | N
 def similarity_dedupe(df: DataFrame, keys: list[str], words: str, ordinal: str, over: float = 0.8) -> DataFrame:
     """W9. Per key, rows in order, each dropped if its word set has a Jaccard similarity over ``over`` with a kept one.
 
-    A key's rows are a page's items. Out: keys, ordinal and words of the kept rows.
+    Without keys over all rows. Out: keys, ordinal and words of the kept rows; ordinals are unique. Rows with one word set are one
+    node, the first. Nodes are compared if they share one of their rarest words, as many as a pair over the limit must share one
+    of (prefix filter), so no pair is lost; the greedy pass is then solved in rounds.
     """
-    item = F.struct(F.col(ordinal).alias("o"), F.col(words).alias("w"))
-    rows = df.groupBy(*keys).agg(F.sort_array(F.collect_list(item)).alias("_rows"))
-    kind = f"array<struct<o:{df.schema[ordinal].dataType.simpleString()},w:array<string>>>"
-
-    def similar(x: Column, y: Column) -> Column:
-        both = F.size(F.array_union(x["w"], y["w"]))
-        return F.when(both == 0, F.lit(1.0)).otherwise(F.size(F.array_intersect(x["w"], y["w"])) / both) > over
-
-    kept = F.aggregate("_rows", F.array().cast(kind), lambda acc, e: F.when(F.exists(acc, lambda k: similar(k, e)), acc).otherwise(F.array_append(acc, e)))
-    return rows.select(*keys, F.explode(kept).alias("_k")).select(*keys, F.col("_k.o").alias(ordinal), F.col("_k.w").alias(words))
+    words_of = F.sort_array(F.array_distinct(words))
+    rows = df.select(*keys, F.col(ordinal).alias("_o"), F.col(words).alias("_w"), words_of.alias("_set"))
+    nodes = written(rows.groupBy(*keys, "_set").agg(F.min("_o").alias("_o")), "word-sets")
+    each = nodes.select(*keys, "_o", F.size("_set").alias("_n"), F.explode("_set").alias("_t"))
+    often = each.groupBy(*keys, "_t").agg(F.count("*").alias("_f"))
+    ranked = each.join(often, [*keys, "_t"]).groupBy(*keys, "_o", "_n").agg(F.sort_array(F.collect_list(F.struct("_f", "_t"))).alias("_r"))
+    prefix = F.slice("_r", F.lit(1), F.col("_n") - F.ceil(F.col("_n") * over).cast("int") + 1)
+    keyed = written(ranked.select(*keys, "_o", "_n", F.explode(F.transform(prefix, lambda x: x["_t"])).alias("_t")), "prefixes")
+    other = keyed.select(*keys, "_t", F.col("_o").alias("_hi"), F.col("_n").alias("_m"))
+    near = (F.col("_o") < F.col("_hi")) & (F.least("_n", "_m") >= F.greatest("_n", "_m") * over)
+    pairs = keyed.join(other, [*keys, "_t"]).filter(near).select(F.col("_o").alias("lo"), F.col("_hi").alias("hi")).distinct()
+    side = lambda o, w: nodes.select(F.col("_o").alias(o), F.col("_set").alias(w))
+    both = pairs.join(side("lo", "_x"), "lo").join(side("hi", "_y"), "hi")
+    alike = F.size(F.array_intersect("_x", "_y")) / F.size(F.array_union("_x", "_y")) > over
+    stay = independent_set(nodes.select(F.col("_o").alias("id"), F.col("_o").cast("string").alias("key")), both.filter(alike).select("lo", "hi"))
+    kept = rows.join(stay.withColumnRenamed("id", "_o"), "_o", "left_semi")
+    return kept.select(*keys, F.col("_o").alias(ordinal), F.col("_w").alias(words))
 
 
 def cascade(df: DataFrame, keys: list[str], rank: str, thresholds: list[int]) -> DataFrame:

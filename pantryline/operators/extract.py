@@ -9,6 +9,9 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
+
+from pantryline.functions import profiles, text
 
 PRICE = r"\$\d+(?:\.\d{2})?"
 ENTITIES = {"&nbsp;": " ", "&lt;": "<", "&gt;": ">", "&quot;": '"', "&amp;": "&"}
@@ -63,10 +66,16 @@ def links(df: DataFrame, key: str, html: str) -> DataFrame:
     return df.select(key, F.posexplode(both).alias("pos", "_l")).select(key, "pos", F.col("_l.href").alias("href"), F.col("_l.text").alias("text"))
 
 
-def name_price_pairs(df: DataFrame, key: str, content: Column, pattern: str = r"([A-Z][A-Za-z ,&'-]{2,60}?)[ .]*\$(\d+(?:\.\d{2})?)") -> DataFrame:
-    """P5. (key, pos, name, price) of "name ... $price" in text."""
+def name_price_pairs(df: DataFrame, key: str, content: Column, pattern: str = r"([A-Z][A-Za-z ,&'-]{2,60}?)[ .]*\$(\d+(?:\.\d{2})?)", needs: list[str] | None = None, without: list[str] | None = None, longer: int = 0) -> DataFrame:
+    """P5. (key, pos, name, price) of "name ... $price" in text.
+
+    ``needs``, ``without``: words of which the lower-cased name has one, and none; ``longer``: than so many characters.
+    """
     both = F.arrays_zip(F.regexp_extract_all(content, F.lit(pattern), 1).alias("name"), F.regexp_extract_all(content, F.lit(pattern), 2).alias("price"))
-    return df.select(key, F.posexplode(both).alias("pos", "_p")).select(key, "pos", F.trim("_p.name").alias("name"), F.col("_p.price").alias("price"))
+    rows = df.select(key, F.posexplode(both).alias("pos", "_p")).select(key, "pos", F.trim("_p.name").alias("name"), F.col("_p.price").alias("price"))
+    low = F.lower("name")
+    fits = (F.length("name") > longer) & (text.any_hit(low, needs) if needs else F.lit(True)) & (~text.any_hit(low, without) if without else F.lit(True))
+    return rows.filter(fits)
 
 
 def price_context(df: DataFrame, key: str, content: str, around: int = 100, first: int = 20, price: str = PRICE) -> DataFrame:
@@ -91,6 +100,15 @@ def review_mentions(df: DataFrame, key: str, content: Column, patterns: list[str
     return df.select(key, F.posexplode(F.transform(found, lambda x: F.trim(x))).alias("pos", "dish")).filter((F.col("dish") != "") & (F.size(F.split("dish", r"\s+")) <= most_words))
 
 
+def mention_confidence(dish: Column, review: Column, categories: list[tuple[str, list[str]]] = profiles.CATEGORY_REVIEWS) -> Column:
+    """P8. 0.5, 0.1 for each cue in the review, 0.2 for a price in it, 0.15 for a dish of a known category, 0.3 less for one that is no
+    food; from 0 to 1. Mentions over 0.3 count."""
+    low = F.lower(dish)
+    known = text.any_hit(low, [w for _, words in categories for w in words])
+    score = F.lit(0.5) + text.hits(F.lower(review), profiles.CUES) * 0.1 + F.when(review.rlike(r"\$\d+"), 0.2).otherwise(0.0) + F.when(known, 0.15).otherwise(0.0) - F.when(text.any_hit(low, profiles.NOT_FOOD), 0.3).otherwise(0.0)
+    return F.least(F.greatest(score, F.lit(0.0)), F.lit(1.0))
+
+
 def class_blocks(df: DataFrame, key: str, html: str, classes: str = "item|dish|food") -> DataFrame:
     """P9. (key, pos, name, description, price) of elements whose class has one of the words."""
     blocks = F.regexp_extract_all(html, F.lit(rf'(?is)<(div|article|section|li)\b[^>]*class="[^"]*(?:{classes})[^"]*"[^>]*>(.*?)</\1>'), 2)
@@ -121,6 +139,25 @@ def jsonld_items(df: DataFrame, key: str, html: str) -> DataFrame:
     return rows.select(key, "script_no", get("$.name").alias("name"), get("$.description").alias("description"), F.coalesce(get("$.offers.price"), get("$.offers[0].price")).alias("price"), F.lit(0.9).alias("confidence")).filter("name is not null")
 
 
+def jsonld_items_anywhere(df: DataFrame, key: str, html: str, depth: int = 8) -> DataFrame:
+    """P10. (key, script_no, name, description, price, confidence) of all lists or objects under ``hasMenuItem``, however deep they lie.
+
+    Each of ``depth`` steps opens the objects and lists of the one before; Catalyst sees one plan of so many generators.
+    """
+    level = _scripts(df, key, html, r'[^>]*type="application/ld\+json"').select(key, "script_no", "_v", F.lit("").alias("_name"))
+    found = []
+    for _ in range(depth):
+        opened = level.lateralJoin(df.sparkSession.tvf.variant_explode(F.col("_v").outer()).toDF("_pos", "_k", "_next"))
+        level = opened.select(key, "script_no", F.col("_next").alias("_v"), F.coalesce(F.nullif(F.col("_k"), F.lit("")), F.col("_name")).alias("_name"))
+        # a list's elements keep the name that the list stands under
+        found.append(level.filter("_name = 'hasMenuItem' and schema_of_variant(_v) like 'OBJECT%'").select(key, "script_no", F.col("_v").alias("_i")))
+        level = level.filter("schema_of_variant(_v) like 'OBJECT%' or schema_of_variant(_v) like 'ARRAY%'")
+        level = level.withColumn("_name", F.when(F.expr("schema_of_variant(_v) like 'ARRAY%'"), F.col("_name")).otherwise(""))
+    rows = reduce(DataFrame.unionByName, found)
+    get = lambda p: F.try_variant_get("_i", p, "string")
+    return rows.select(key, "script_no", get("$.name").alias("name"), get("$.description").alias("description"), F.coalesce(get("$.offers.price"), get("$.offers[0].price")).alias("price"), F.lit(0.9).alias("confidence")).filter("name is not null")
+
+
 def microdata_items(df: DataFrame, key: str, html: str) -> DataFrame:
     """P11. (key, pos, name, description, price) of elements with an itemtype of MenuItem or Food."""
     blocks = F.regexp_extract_all(html, F.lit(r'(?is)<(div|article|section|li)\b[^>]*itemtype="[^"]*(?:MenuItem|Food)[^"]*"[^>]*>(.*?)</\1>'), 2)
@@ -160,6 +197,26 @@ def rank_links(found: DataFrame, words: list[str], exact: list[str], least: int
     return found.filter("text != '' and href != ''").withColumn("score", score).filter(F.col("score") >= least)
 
 
+def rank_links_by(found: DataFrame, profile: str) -> DataFrame:
+    """S5. By a named profile of patterns, exact texts and address parts."""
+    p = profiles.LINKS[profile]
+    label, href, score = F.lower(F.trim("text")), F.lower("href"), F.lit(0)
+    for pattern in p["patterns"]:
+        score = score + F.when(label.rlike(pattern), 3).otherwise(0) + F.when(href.rlike(pattern), 2).otherwise(0)
+    exact, points = p["exact"]
+    parts, each = p["parts"]
+    score = score + F.when(label.isin(*exact), points).otherwise(0) + text.hits(href, parts) * each
+    return found.filter("text != '' and href != ''").withColumn("score", score).filter(F.col("score") >= p["least"])
+
+
+def word_links(found: DataFrame, key: str, words: list[str] = profiles.LINK_WORDS, under: int = 50, first: int = 5) -> DataFrame:
+    """S5. The ``first`` different addresses of each key whose link's text has a word and under ``under`` characters, in their order."""
+    label = F.lower(F.trim("text"))
+    some = found.filter((F.col("href") != "") & (label != "") & text.any_hit(label, words) & (F.length(label) < under))
+    distinct = some.groupBy(key, "href").agg(F.min("pos").alias("pos"))
+    return distinct.withColumn("_r", F.row_number().over(Window.partitionBy(key).orderBy("pos"))).filter(F.col("_r") <= first).drop("_r")
+
+
 def pick_website(found: DataFrame, key: str, score: Column, first: int = 15, over: float = 3) -> DataFrame:
     """S6. Of each key's ``first`` links the one with the highest score over ``over``, the first of equals."""
     some = found.filter(F.col("pos") < first).withColumn("score", score).filter(F.col("score") > over)

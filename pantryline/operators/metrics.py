@@ -66,6 +66,22 @@ def corpus_analysis(items: DataFrame, key: str, risk: str, labels: str, tiers: t
     return out.withColumn("readiness", tier)
 
 
+def analysis_summary(items: DataFrame, key: str, risk: str, labels: str, top: int = 10) -> DataFrame:
+    """A12. One row: places and items, the percentage of each with labels, items by risk level, and the ``top`` most frequent labels.
+
+    Levels and labels are vocabularies, so their maps are small.
+    """
+    by_place = items.groupBy(key).agg(F.count("*").alias("n"), F.count_if(F.size(labels) > 0).alias("w"))
+    share = lambda a, b: F.coalesce(F.try_divide(a * 100.0, b), F.lit(0.0))
+    base = by_place.agg(F.count("*").alias("n_places"), F.coalesce(F.sum("n"), F.lit(0)).alias("n_items"), share(F.count_if(F.col("w") > 0), F.count("*")).alias("labelled_places_pct"), share(F.sum("w"), F.sum("n")).alias("labelled_items_pct"))
+    pairs = lambda order: F.map_from_entries(F.transform(F.sort_array(F.collect_list(F.struct(*order, "n"))), lambda x: F.struct(x["value"], x["n"])))
+    risks = value_counts(items, F.col(risk), default="unknown").agg(pairs(["value"]).alias("risk_distribution"))
+    frequent = top_counts(array_value_counts(items, F.col(labels)), "value", top).withColumn("_o", -F.col("n"))
+    labelled = frequent.agg(pairs(["_o", "value"]).alias("top_labels"))
+    one = F.lit(1).alias("_k")
+    return base.select("*", one).join(risks.select("*", one), "_k").join(labelled.select("*", one), "_k").drop("_k")
+
+
 def health_score(items: DataFrame, key: str, labels: str, tags: str, category: str) -> DataFrame:
     """A11. The mean of label transparency, 20 a tag, 15 a category (each at most 100) and a component that stays 0."""
     tagged = items.select(key, F.explode(tags).alias("_t")).groupBy(key).agg(F.count_distinct("_t").alias("n_tags"))
@@ -81,8 +97,46 @@ def item_quality(name: Column, price: Column, description: Column, labels: Colum
     return one(F.length(name) > 3, 0.3) + one(price.isNotNull(), 0.2) + one(F.length(description) > 10, 0.2) + one(F.size(labels) > 0, 0.15) + one(F.size(tags) > 0, 0.1) + one(category != "other", 0.05)
 
 
-def run_metrics(df: DataFrame, success: Column, items: Column, seconds: Column, priced: Column) -> DataFrame:
-    """A14, A15. One row: totals, success rate, items a success, times, throughput, and recommendations."""
+def extraction_quality(items: DataFrame, keys: list[str], profile: str, price: Column, description: Column, labels: Column, category: Column, confidence: Column) -> DataFrame:
+    """A13. Mean quality of each key's items by a named profile.
+
+    ``weighted``: 0.3 a price, 0.3 a description over 10 characters, 0.2 labels, 0.2 of the confidence. ``shares``: half of the mean
+    confidence, 0.3 of the share with a price, 0.2 of that with a category. ``mean``: of confidence, price and description shares.
+    """
+    one = lambda c: F.coalesce(c, F.lit(False)).cast("double")
+    some = lambda c: one(c.isNotNull() & (c.cast("string") != ""))
+    sure = F.coalesce(confidence, F.lit(0.0))
+    parts = {
+        "weighted": [(some(price), 0.3), (one(F.length(description) > 10), 0.3), (one(F.size(labels) > 0), 0.2), (sure, 0.2)],
+        "shares": [(sure, 0.5), (some(price), 0.3), (one(category != "other"), 0.2)],
+        "mean": [(sure, 1 / 3), (some(price), 1 / 3), (some(description), 1 / 3)],
+    }[profile]
+    total = F.lit(0.0)
+    for c, w in parts:
+        total = total + c * w
+    return items.groupBy(*keys).agg(F.avg(total).alias("quality"))
+
+
+def error_histogram(df: DataFrame, error: Column) -> DataFrame:
+    """A14, A4. Rows of each class of error, what stands before the first ``:``; rows without an error are left out."""
+    return value_counts(df.filter(F.coalesce(error != "", F.lit(False))), F.split(error, ":")[0], "error")
+
+
+def session_metrics(items: DataFrame, price: Column, labels: Column, confidence: Column, method: Column) -> DataFrame:
+    """A15. One row: items, those with a price and with labels, the mean of the confidences that are numbers (text with ``$`` and ``,``
+    counts), and items by method."""
+    number = F.regexp_replace(F.trim(confidence.cast("string")), r"[$,]", "").try_cast("double")
+    base = items.agg(F.count("*").alias("total_items"), F.count_if((price.cast("string") != "") & (price.cast("string") != "0")).alias("items_with_prices"), F.count_if(F.size(labels) > 0).alias("items_with_labels"), F.coalesce(F.avg(number), F.lit(0.0)).alias("average_confidence"))
+    methods = value_counts(items, method, default="unknown").agg(F.map_from_entries(F.sort_array(F.collect_list(F.struct("value", "n")))).alias("extraction_methods"))
+    one = F.lit(1).alias("_k")
+    return base.select("*", one).join(methods.select("*", one), "_k").drop("_k")
+
+
+def run_metrics(df: DataFrame, success: Column, items: Column, seconds: Column, priced: Column, labels: Column | None = None) -> DataFrame:
+    """A14. One row: totals, success rate, items a success, times, throughput, and recommendations.
+
+    ``labels``: how many labels a row found; adds successes with any and the mean over successes.
+    """
     took = F.when(seconds > 0, seconds)
     out = df.agg(
         F.count("*").alias("total"),
@@ -92,6 +146,7 @@ def run_metrics(df: DataFrame, success: Column, items: Column, seconds: Column,
         F.coalesce(F.min(took), F.lit(0.0)).alias("fastest"),
         F.coalesce(F.max(took), F.lit(0.0)).alias("slowest"),
         F.count_if(success & priced).alias("with_prices"),
+        *([] if labels is None else [F.count_if(success & (labels > 0)).alias("with_labels"), F.coalesce(F.avg(F.when(success, labels)), F.lit(0.0)).alias("labels_per_success")]),
     )
     out = out.withColumn("success_rate", F.coalesce(F.try_divide(F.col("successful") * 100.0, F.col("total")), F.lit(0.0)))
     return out.withColumns(

@@ -1,7 +1,8 @@
 """Entity resolution of places across sources.
 
-Pairs are found by a grid: a cell is at least the distance wide, so both places of a pair lie in one cell or in neighbours;
-one side is given once for each of the nine cells round it, and the join is on the cell. AQE splits cells that are crowded.
+Pairs are found by a grid of latitude bands, each cut into as many cells of equal longitude as are wide enough for it, all round
+the globe: both places of a pair lie in one cell or in neighbours, across the 180th meridian and near the poles too. One side is
+given once for each cell that can hold its partners, and the join is on the cell. AQE splits cells that are crowded.
 """
 
 from __future__ import annotations
@@ -27,6 +28,34 @@ def _round(df: DataFrame) -> DataFrame:
     return df.withColumn("_dx", F.explode(step)).withColumn("_dy", F.explode(step)).withColumns({"_cx": F.col("_cx") + F.col("_dx"), "_cy": F.col("_cy") + F.col("_dy")}).drop("_dx", "_dy")
 
 
+def _bands(lat: Column, within_m: float) -> Column:
+    """The latitude band of a point; a pair lies in one or in two beside each other."""
+    return F.floor(lat / (within_m / geo.M_PER_DEGREE * 1.0001))
+
+
+def _cells_of_band(band: Column, within_m: float) -> Column:
+    """How many cells a band has: each as wide as a pair within the distance can be apart in longitude there."""
+    height = within_m / geo.M_PER_DEGREE * 1.0001
+    top = F.least(F.greatest(F.abs(band - 1), F.abs(band + 2)) * height, F.lit(90.0))
+    half = F.lit(math.sin(within_m / 2 / geo.EARTH_M) * 1.0001) / F.greatest(F.cos(F.radians(top)), F.lit(1e-12))
+    width = F.when(half < 1, F.degrees(F.asin(F.least(half, F.lit(1.0))) * 2)).otherwise(360.0)
+    return F.greatest(F.floor(F.lit(360.0) / width), F.lit(1))
+
+
+def _cell(lon: Column, cells: Column) -> Column:
+    return F.pmod(F.floor((lon + 180) / 360 * cells), cells)
+
+
+def geo_cells(df: DataFrame, lat: str, lon: str, within_m: float, partners: bool) -> DataFrame:
+    """``df`` with (_band, _cell): its own, or with ``partners`` a row for each that places within the distance can lie in."""
+    own = _bands(F.col(lat), within_m)
+    if not partners:
+        return df.withColumn("_band", own).withColumn("_cell", _cell(F.col(lon), _cells_of_band(F.col("_band"), within_m)))
+    rows = df.withColumn("_band", F.explode(F.array(own - 1, own, own + 1))).withColumn("_n", _cells_of_band(F.col("_band"), within_m))
+    at = _cell(F.col(lon), F.col("_n"))
+    return rows.withColumn("_cell", F.explode(F.array_distinct(F.array(*(F.pmod(at + d, F.col("_n")) for d in (-1, 0, 1)))))).drop("_n")
+
+
 def geo_fuzzy_match(a: DataFrame, b: DataFrame, within_m: float = 100.0, weights: tuple[float, float, float] = (0.4, 0.4, 0.2), least: float = 0.5) -> DataFrame:
     """J1. Pairs within a distance with name, phone and nearness weighed into a confidence of ``least`` or more.
 
@@ -35,13 +64,7 @@ def geo_fuzzy_match(a: DataFrame, b: DataFrame, within_m: float = 100.0, weights
     """
     cols = lambda df, p: df.filter("lat is not null and lon is not null").select(F.col("id").alias(f"{p}_id"), F.col("pos").alias(f"{p}_pos"), F.col("lat").alias(f"{p}_lat"), F.col("lon").alias(f"{p}_lon"), text.name_key(F.col("name")).alias(f"{p}_name"), text.phone_key(F.col("phone")).alias(f"{p}_phone"))
     left, right = cols(a, "a"), cols(b, "b")
-    top = left.select(F.max(F.abs("a_lat")).alias("m")).unionByName(right.select(F.max(F.abs("b_lat")).alias("m"))).agg(F.max("m")).first()[0]
-    if top is None:
-        top = 0.0
-    dlat = within_m / geo.M_PER_DEGREE * 1.0001
-    # the widest a cell must be in degrees is at the highest latitude
-    dlon = dlat / max(math.cos(math.radians(min(89.0, top + dlat))), 1e-6)
-    pairs = _cells(left, "a_lat", "a_lon", dlat, dlon).join(_round(_cells(right, "b_lat", "b_lon", dlat, dlon)), ["_cx", "_cy"])
+    pairs = geo_cells(left, "a_lat", "a_lon", within_m, False).join(geo_cells(right, "b_lat", "b_lon", within_m, True), ["_band", "_cell"])
     pairs = pairs.withColumn("distance_m", geo.haversine_m(F.col("a_lat"), F.col("a_lon"), F.col("b_lat"), F.col("b_lon"))).filter(F.col("distance_m") <= within_m)
     pairs = pairs.withColumns({"name_similarity": text.name_similarity(F.col("a_name"), F.col("b_name")), "phone_match": F.when((F.col("a_phone") != "") & (F.col("a_phone") == F.col("b_phone")), 1.0).otherwise(0.0)})
     name, phone, near = weights
@@ -77,14 +100,16 @@ def unmatched(side: DataFrame, matches: DataFrame, key: str, label: str) -> Data
     return side.join(matches.select(F.col(key).alias("id")), "id", "left_anti").withColumn("data_sources", F.array(F.lit(label)))
 
 
-def merge_stats(n_a: int, n_b: int, matches: DataFrame) -> DataFrame:
+def merge_stats(a: DataFrame, b: DataFrame, matches: DataFrame) -> DataFrame:
     """A21. Matches, the rest of each side, the rate against the smaller side (null if one is empty) and the mean confidence."""
-    return matches.agg(F.count("*").alias("n_matches"), F.avg("confidence").alias("mean_confidence")).select(
-        "n_matches",
-        (F.lit(n_a) - F.col("n_matches")).alias("a_only"),
-        (F.lit(n_b) - F.col("n_matches")).alias("b_only"),
-        (F.try_divide(F.col("n_matches"), F.lit(min(n_a, n_b))) * 100).alias("match_rate"),
-        F.coalesce("mean_confidence", F.lit(0.0)).alias("mean_confidence"),
+    counted = [df.select(F.lit(x).alias("side"), (F.col("confidence") if x == "m" else F.lit(None)).cast("double").alias("c")) for x, df in (("a", a), ("b", b), ("m", matches))]
+    n = {x: F.count_if(F.col("side") == x) for x in "abm"}
+    return counted[0].unionByName(counted[1]).unionByName(counted[2]).agg(
+        n["m"].alias("n_matches"),
+        (n["a"] - n["m"]).alias("a_only"),
+        (n["b"] - n["m"]).alias("b_only"),
+        (F.try_divide(n["m"], F.least(n["a"], n["b"])) * 100).alias("match_rate"),
+        F.coalesce(F.avg("c"), F.lit(0.0)).alias("mean_confidence"),
     )
 
 

@@ -67,6 +67,17 @@ def dim_lookup(df: DataFrame, names: str, dim: DataFrame, dim_name: str, dim_id:
     return each.join(dim.select(dim_name, dim_id), dim_name).select(key, dim_id)
 
 
+def box_lookup(points: DataFrame, boxes: DataFrame, step: float = 0.25) -> DataFrame:
+    """J9. Each point (lat, lon, ...) with the columns of each box (south, west, north, east, ...) that holds it, north and east excluded.
+
+    Boxes are cut into cells of ``step`` degrees and met by cell, so neither side is compared with all of the other.
+    """
+    cells = lambda lo, hi: F.sequence(F.floor(F.col(lo) / step), F.floor(F.col(hi) / step))
+    cut = boxes.withColumn("_x", F.explode(cells("south", "north"))).withColumn("_y", F.explode(cells("west", "east")))
+    inside = (F.col("lat") >= F.col("south")) & (F.col("lat") < F.col("north")) & (F.col("lon") >= F.col("west")) & (F.col("lon") < F.col("east"))
+    return points.withColumns({"_x": F.floor(F.col("lat") / step), "_y": F.floor(F.col("lon") / step)}).join(cut, ["_x", "_y"]).filter(inside).drop("_x", "_y")
+
+
 def enrich(base: DataFrame, detail: DataFrame, key: str) -> DataFrame:
     """J8. Rows with their details; a detail that is given wins."""
     d = detail.withColumnsRenamed({c: f"_d_{c}" for c in detail.columns if c != key})

@@ -78,27 +78,33 @@ def w8_recent(t: Tables) -> DataFrame:
     return t.events.orderBy(F.desc("ts"), F.desc("event_id")).limit(10).select("event_id", "ts")
 
 
-@query()
+@query("""
+WITH RECURSIVE p AS (SELECT p_brand, p_partkey, list_distinct(list_append(string_split(p_name, ' '), p_type)) AS w, row_number() OVER (PARTITION BY p_brand ORDER BY p_partkey) AS i FROM part),
+g AS (SELECT p_brand, i, p_partkey AS kept_key, [w] AS kept FROM p WHERE i = 1
+  UNION ALL SELECT p.p_brand, p.i, CASE WHEN s THEN NULL ELSE p.p_partkey END, CASE WHEN s THEN kept ELSE list_append(kept, w) END
+  FROM (SELECT g.p_brand, p.i, p.w, p.p_partkey, g.kept, len(list_filter(g.kept, lambda k: len(list_intersect(k, p.w)) / len(list_distinct(list_concat(k, p.w))) > 0.8)) > 0 AS s FROM g JOIN p ON p.p_brand = g.p_brand AND p.i = g.i + 1) p)
+SELECT p_brand, kept_key AS p_partkey FROM g WHERE kept_key IS NOT NULL
+""")
 def w9_similarity_dedupe(t: Tables) -> DataFrame:
-    """Items of a brand without near copies of earlier kept ones (checked against a loop in the tests)."""
+    """Items of a brand without near copies of earlier kept ones."""
     rows = t.part.select("p_brand", "p_partkey", F.array_distinct(F.concat(F.split("p_name", " "), F.array(F.col("p_type")))).alias("words"))
     return dedupe.similarity_dedupe(rows, ["p_brand"], "words", "p_partkey").select("p_brand", "p_partkey")
 
 
 @query(f"""
-WITH c AS (SELECT page, event_id, (event_id % 3)::INT AS strategy_rank FROM {CAND} WHERE event_id % 3 <> 0 OR page % 4 <> 0 OR event_id % 9 = 0),
+WITH c AS (SELECT page, event_id, (event_id % 3)::INT AS strategy_rank FROM {CAND}),
 n AS (SELECT page, count(*) FILTER (strategy_rank = 0) AS n0, count(*) FILTER (strategy_rank = 1) AS n1 FROM c GROUP BY 1)
 SELECT page, event_id FROM c JOIN n USING (page) WHERE strategy_rank = 0 OR (strategy_rank = 1 AND n0 < 100) OR (strategy_rank = 2 AND n0 + CASE WHEN n0 < 100 THEN n1 ELSE 0 END < 30)
 """)
 def u2_cascade(t: Tables) -> DataFrame:
     """Later strategies only where earlier ones gave little."""
     i = F.col("event_id")
-    rows = candidates(t).filter((i % 3 != 0) | (F.col("page") % 4 != 0) | (i % 9 == 0)).select("page", "event_id", (i % 3).cast("int").alias("strategy_rank"))
+    rows = candidates(t).select("page", "event_id", (i % 3).cast("int").alias("strategy_rank"))
     return dedupe.cascade(rows, ["page"], "strategy_rank", [0, 100, 30]).select("page", "event_id")
 
 
 @query(f"""
-WITH c AS (SELECT page, event_id, name, prio, CASE WHEN event_id % (page + 2) = 0 THEN 'primary' ELSE 'fallback' END AS source FROM {CAND} WHERE event_id < 120),
+WITH c AS (SELECT page, event_id, name, prio, CASE WHEN event_id % (page + 2) = 0 THEN 'primary' ELSE 'fallback' END AS source FROM {CAND}),
 n AS (SELECT page, count(*) FILTER (source = 'primary') AS p, count(*) FILTER (source = 'fallback') AS f FROM c GROUP BY 1),
 l AS (SELECT c.*, CASE WHEN p >= 5 THEN 'primary_url' WHEN f > p THEN 'fallback_website' WHEN f > 0 THEN 'combined' ELSE 'primary_url_only' END AS label FROM c JOIN n USING (page))
 SELECT page, event_id, label FROM l WHERE (label LIKE 'primary%' AND source = 'primary') OR (label = 'fallback_website' AND source = 'fallback')
@@ -106,7 +112,7 @@ UNION ALL SELECT page, event_id, label FROM (SELECT *, row_number() OVER (PARTIT
 """)
 def u5_source_fallback(t: Tables) -> DataFrame:
     """Two sources a page."""
-    rows = candidates(t).filter("event_id < 120").withColumn("source", F.when(F.col("event_id") % (F.col("page") + 2) == 0, "primary").otherwise("fallback"))
+    rows = candidates(t).withColumn("source", F.when(F.col("event_id") % (F.col("page") + 2) == 0, "primary").otherwise("fallback"))
     return dedupe.source_fallback(rows, "page", "source", "name", "prio", "event_id").select("page", "event_id", "label")
 
 

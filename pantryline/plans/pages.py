@@ -25,9 +25,16 @@ def p1_text_lines(t: Tables) -> DataFrame:
     return extract.text_lines(t.pages, "page_id", extract.page_text(F.col("html")), 5, 200)
 
 
-@query()
+ITEM = "trim(regexp_replace(replace(replace(replace(replace(replace(regexp_replace(y, '<[^>]*>', '', 'g'), '&nbsp;', ' '), '&lt;', '<'), '&gt;', '>'), '&quot;', '\"'), '&amp;', '&'), '\\s+', ' ', 'g'))"
+
+
+@query(f"""
+WITH l AS (SELECT page_id, generate_subscripts(u, 1) - 1 AS list_no, unnest(u) AS u FROM (SELECT page_id, regexp_extract_all(html, '(?is)<ul\\b[^>]*>(.*?)</ul>', 1) AS u FROM pages)),
+i AS (SELECT page_id, list_no, list_transform(regexp_extract_all(u, '(?is)<li\\b[^>]*>(.*?)</li>', 1), lambda y: {ITEM}) AS items FROM l)
+SELECT page_id, list_no, generate_subscripts(items, 1) - 1 AS item_no, unnest(items) AS item FROM i WHERE len(list_filter(items[1:5], lambda x: regexp_matches(x, '(?i)the|on|en'))) >= 2
+""")
 def p2_list_items(t: Tables) -> DataFrame:
-    """Items of lists with links that show evidence (nested patterns: checked on a fixture)."""
+    """Items of lists that show evidence."""
     return extract.list_items(t.pages, "page_id", "html", r"(?i)the|on|en")
 
 
@@ -67,16 +74,23 @@ def f16_f17_url_filters(t: Tables) -> DataFrame:
     return rows.select("page_id", text.usable_url(url, ["example.net"]).alias("usable"), text.name_in_url(url, F.lit("my blog feed")).alias("named"))
 
 
-@query("SELECT page_id, pos, price, nullif(name, '') AS name FROM (SELECT page_id, generate_subscripts(p, 1) - 1 AS pos, unnest(p) AS price, unnest(n) AS name FROM (SELECT page_id, regexp_extract_all(html, '([a-z]+) \\$(\\d+(?:\\.\\d{2})?)', 2) AS p, regexp_extract_all(html, '([a-z]+) \\$(\\d+(?:\\.\\d{2})?)', 1) AS n FROM pages))")
+@query("SELECT page_id, pos, price, name FROM (SELECT page_id, generate_subscripts(p, 1) - 1 AS pos, unnest(p) AS price, trim(unnest(n)) AS name FROM (SELECT page_id, regexp_extract_all(x, '([a-z]+) \\$(\\d+(?:\\.\\d{2})?)', 2) AS p, regexp_extract_all(x, '([a-z]+) \\$(\\d+(?:\\.\\d{2})?)', 1) AS n FROM (SELECT page_id, html || ' soup $' || page_id || '.50, tea $3' AS x FROM pages)))")
 def p5_name_price_pairs(t: Tables) -> DataFrame:
-    """Words before prices."""
-    return extract.name_price_pairs(t.pages, "page_id", F.col("html"), r"([a-z]+) \$(\d+(?:\.\d{2})?)").select("page_id", "pos", "price", "name")
+    """Words before prices, of pages that end with a line of a menu."""
+    content = F.concat("html", F.lit(" soup $"), F.col("page_id").cast("string"), F.lit(".50, tea $3"))
+    return extract.name_price_pairs(t.pages, "page_id", content, r"([a-z]+) \$(\d+(?:\.\d{2})?)").select("page_id", "pos", "price", "name")
 
 
-@query()
+@query("""
+SELECT page_id, 0 AS pos, '$' || page_id AS price, 'Soup of day ' || page_id AS name, 'with bread' AS description FROM pages
+UNION ALL SELECT page_id, 1, '$2.50', 'Tea', 'hot' FROM pages
+""")
 def p6_price_context(t: Tables) -> DataFrame:
-    """Lines round prices (offsets: checked on a fixture)."""
-    return extract.price_context(t.pages.select("page_id", extract.page_text(F.col("html")).alias("content")), "page_id", "content")
+    """Lines round prices of a menu below each page."""
+    n = F.col("page_id").cast("string")
+    below = F.concat(F.repeat(F.lit("x"), 150), F.lit("\nSoup of day "), n, F.lit("\n$"), n, F.lit("\nwith bread\n"), F.repeat(F.lit("y"), 150), F.lit("\nTea $2.50\nhot"))
+    content = F.concat(F.replace(F.replace(extract.page_text(F.col("html")), F.lit("$"), F.lit("")), F.lit("\n"), F.lit(" ")), below)
+    return extract.price_context(t.pages.select("page_id", content.alias("content")), "page_id", "content")
 
 
 @query(r"SELECT conv_id, turn, generate_subscripts(d, 1) - 1 AS pos, trim(unnest(d)) AS dish FROM (SELECT conv_id, turn, regexp_extract_all(text, '(?:the|of) ([a-z]+) (?:is|was)', 1) AS d FROM conversations)")

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from pantryline.functions import text
 from pantryline.operators import metrics
-from pantryline.plans import groups, pages, places, serving, tagging  # noqa: F401  they register themselves
+from pantryline.plans import groups, landing, menus, pages, places, serving, tagging  # noqa: F401  they register themselves
 from pantryline.plans.base import QUERIES, SQL, Tables
 
 __all__ = ["QUERIES", "SQL", "flagship"]

@@ -45,10 +45,19 @@ def labelled_parts(t: Tables) -> DataFrame:
     return serve.items_with_details(t.part, [(links, "label")], "p_partkey")
 
 
-@query(f"{LABELLED} SELECT p_partkey, p_name FROM x WHERE NOT list_contains(labels, 'R')")
+FINE = LABELLED.replace("l_returnflag", "l_returnflag || l_linenumber")
+
+
+def finely_labelled(t: Tables) -> DataFrame:
+    """Parts with the return flags and line numbers that their lines have: labels that not every part has."""
+    links = t.lineitem.select(F.col("l_partkey").alias("p_partkey"), F.concat("l_returnflag", F.col("l_linenumber").cast("string")).alias("label"))
+    return serve.items_with_details(t.part, [(links, "label")], "p_partkey")
+
+
+@query(f"{FINE} SELECT p_partkey, p_name FROM x WHERE NOT list_contains(labels, 'R1')")
 def f5_exclude_labels(t: Tables) -> DataFrame:
     """Items without a label."""
-    return serve.exclude_labels(labelled_parts(t), "labels", ["R"]).select("p_partkey", "p_name")
+    return serve.exclude_labels(finely_labelled(t), "labels", ["R1"]).select("p_partkey", "p_name")
 
 
 @query(f"{LABELLED} SELECT p_partkey, p_name FROM x WHERE list_contains(labels, 'R') AND list_contains(labels, 'A')")
@@ -57,10 +66,10 @@ def f6_require_labels(t: Tables) -> DataFrame:
     return serve.require_labels(labelled_parts(t), "labels", ["R", "A"]).select("p_partkey", "p_name")
 
 
-@query(f"{LABELLED} SELECT p_partkey, p_name, p_type FROM x WHERE contains(lower(p_name), 'red') AND NOT list_contains(labels, 'N') AND p_type = 'SMALL' ORDER BY p_partkey LIMIT 50")
+@query(f"{FINE} SELECT p_partkey, p_name, p_type FROM x WHERE contains(lower(p_name), 'e') AND NOT list_contains(labels, 'N2') AND p_type = 'SMALL' ORDER BY p_partkey LIMIT 50")
 def f7_search_menu(t: Tables) -> DataFrame:
     """The search request: all conditions, and then the first 50."""
-    found = serve.exclude_labels(serve.search_text(labelled_parts(t), "red", "p_name"), "labels", ["N"])
+    found = serve.exclude_labels(serve.search_text(finely_labelled(t), "E", "p_name"), "labels", ["N2"])
     return serve.eq_filters(found, p_type="SMALL").orderBy("p_partkey").limit(50).select("p_partkey", "p_name", "p_type")
 
 
@@ -145,15 +154,14 @@ WITH c(city, south, west, north, east) AS (VALUES ('north', 41.80, -87.90, 41.96
 SELECT s_suppkey, city FROM {POINTS} JOIN c ON lat >= south AND lat < north AND lon >= west AND lon < east
 """)
 def j9_city_lookup(t: Tables) -> DataFrame:
-    """Places to the city whose box holds them; cities are a configuration of a few rows."""
+    """Places to the city whose box holds them."""
     cities = t.spark.createDataFrame([("north", 41.80, -87.90, 41.96, -87.60), ("south", 41.65, -87.90, 41.80, -87.60)], "city string, south double, west double, north double, east double")
-    inside = (F.col("lat") >= F.col("south")) & (F.col("lat") < F.col("north")) & (F.col("lon") >= F.col("west")) & (F.col("lon") < F.col("east"))
-    return points(t).join(F.broadcast(cities), inside).select("s_suppkey", "city")
+    return serve.box_lookup(points(t), cities).select("s_suppkey", "city")
 
 
 SNAPSHOTS = """
-o AS (SELECT user_id, count(*) AS n, max(event_type) AS phone, min(event_type) AS website FROM events WHERE ts < TIMESTAMP '2024-01-10' AND user_id % 11 <> 0 GROUP BY 1),
-n AS (SELECT user_id, count(*) AS n, max(event_type) AS phone, min(event_type) AS website FROM events WHERE ts >= TIMESTAMP '2024-01-10' AND user_id % 13 <> 0 GROUP BY 1)
+o AS (SELECT user_id, count(*) AS n, max(event_type) AS phone, min(event_type) AS website FROM events WHERE ts < TIMESTAMP '2024-01-10' GROUP BY 1),
+n AS (SELECT user_id, count(*) AS n, max(event_type) AS phone, min(event_type) AS website FROM events WHERE ts >= TIMESTAMP '2024-01-10' GROUP BY 1)
 """
 
 
@@ -167,12 +175,12 @@ UNION ALL SELECT user_id, 'menu_changed', 'n', on_::VARCHAR, nn::VARCHAR FROM b
 """)
 def j10_snapshot_diff(t: Tables) -> DataFrame:
     """Changes between two snapshots of the users."""
-    side = lambda c, m: t.events.filter(c & (F.col("user_id") % m != 0)).groupBy("user_id").agg(F.count("*").alias("n"), F.max("event_type").alias("phone"), F.min("event_type").alias("website"))
+    side = lambda c: t.events.filter(c).groupBy("user_id").agg(F.count("*").alias("n"), F.max("event_type").alias("phone"), F.min("event_type").alias("website"))
     day = F.lit("2024-01-10").cast("timestamp")
-    return serve.snapshot_diff(side(F.col("ts") < day, 11), side(F.col("ts") >= day, 13), "user_id", ["phone"], ["website"], "n")
+    return serve.snapshot_diff(side(F.col("ts") < day), side(F.col("ts") >= day), "user_id", ["phone"], ["website"], "n")
 
 
-WHOLE_SNAPSHOTS = SNAPSHOTS.replace("SELECT user_id,", "SELECT user_id * 100 + hour(ts) AS user_id,").replace(" AND user_id % 11 <> 0", "").replace(" AND user_id % 13 <> 0", "")
+WHOLE_SNAPSHOTS = SNAPSHOTS.replace("SELECT user_id,", "SELECT user_id * 100 + hour(ts) AS user_id,")
 
 
 @query(f"""

@@ -174,11 +174,11 @@ def t14_t15_similarity(t: Tables) -> DataFrame:
     return a.join(b, "b").select("a", "b", F.round(text.name_similarity(x, y), 6).alias("name_similarity"), F.round(text.token_jaccard(F.split(x, " "), F.split(y, " ")), 6).alias("jaccard"))
 
 
-@query("SELECT s_suppkey, nullif(concat_ws(', ', CASE WHEN s_suppkey % 3 > 0 THEN concat_ws(' ', s_suppkey::VARCHAR, 'Main St') END, 'City' || s_nationkey, CASE WHEN s_suppkey % 2 = 0 THEN 'IL 606' ELSE 'IL' END), '') AS address FROM supplier")
+@query("SELECT s_suppkey, nullif(concat_ws(', ', CASE WHEN s_suppkey % 3 > 0 THEN concat_ws(' ', s_suppkey::VARCHAR, 'Main St') END, 'City' || s_nationkey, CASE WHEN s_suppkey % 5 > 0 THEN CASE WHEN s_suppkey % 2 = 0 THEN 'IL 606' ELSE 'IL' END END), '') AS address FROM supplier")
 def t16_address(t: Tables) -> DataFrame:
     """Addresses of what parts are given."""
     k = F.col("s_suppkey")
-    return t.supplier.select("s_suppkey", text.build_address(k.cast("string"), F.when(k % 3 > 0, "Main St"), F.concat(F.lit("City"), F.col("s_nationkey").cast("string")), F.lit("IL"), F.when(k % 2 == 0, "606")).alias("address"))
+    return t.supplier.select("s_suppkey", text.build_address(k.cast("string"), F.when(k % 3 > 0, "Main St"), F.concat(F.lit("City"), F.col("s_nationkey").cast("string")), F.when(k % 5 > 0, "IL"), F.when(k % 2 == 0, "606")).alias("address"))
 
 
 @query("SELECT event_id, md5('{\"event_type\":\"' || event_type || '\",\"user_id\":' || user_id || '}') AS checksum FROM events")

@@ -41,11 +41,14 @@ def latest_snapshot(spark: SparkSession, path: str, patterns: tuple[str, ...] =
     return row["path"] if row else None
 
 
-OSM = "elements array<struct<type:string,id:bigint,lat:double,lon:double,center:struct<lat:double,lon:double>,tags:map<string,string>>>"
+OSM = "elements array<struct<type:string,id:bigint,timestamp:string,lat:double,lon:double,center:struct<lat:double,lon:double>,tags:map<string,string>>>"
 
 
-def normalise_osm(df: DataFrame, keep_nameless: bool = False) -> DataFrame:
-    """SRC3. Elements (``elements`` column) to places. A way takes its centre. Nameless ones go, or are called Unknown."""
+def normalise_osm(df: DataFrame, keep_nameless: bool = False, keep_unplaced: bool = True) -> DataFrame:
+    """SRC3. Elements (``elements`` column) to places. A way takes its centre. Nameless ones go, or are called Unknown.
+
+    ``keep_unplaced``: whether named ones without coordinates stay, with null ones.
+    """
     e = df.select(F.posexplode("elements").alias("source_pos", "e")).select("source_pos", "e.*")
     t = lambda k: F.nullif(F.try_element_at("tags", F.lit(k)), F.lit(""))
     lat, lon = F.coalesce("lat", "center.lat"), F.coalesce("lon", "center.lon")
@@ -65,8 +68,10 @@ def normalise_osm(df: DataFrame, keep_nameless: bool = False) -> DataFrame:
         *(t(x).alias(x) for x in ("opening_hours", "wheelchair", "outdoor_seating", "takeaway", "delivery")),
         text.tag_flags(F.col("tags"), PAYMENT).alias("payment_methods"),
         text.tag_flags(F.col("tags"), DIET).alias("dietary_options"),
+        F.col("timestamp").try_cast("timestamp").alias("last_modified"),
     )
-    return out.filter("name is not null and lat is not null and lon is not null")
+    named = out.filter("name is not null")
+    return named if keep_unplaced else named.filter("lat is not null and lon is not null")
 
 
 YELP = "id string, name string, rating double, review_count int, price string, phone string, url string, is_closed boolean, categories array<struct<alias:string,title:string>>, location struct<display_address:array<string>,city:string,state:string,zip_code:string>, coordinates struct<latitude:double,longitude:double>"
@@ -129,3 +134,20 @@ def dataset_inventory(spark: SparkSession, path: str, classes: dict[str, str]) -
     name = F.element_at(F.split("path", "/"), -1)
     label: Column = F.coalesce(*(F.when(name.rlike(p), F.lit(x)) for x, p in classes.items()), F.lit("other"))
     return files.groupBy(label.alias("class")).agg(F.count("*").alias("n_files"), F.sum("length").alias("bytes"), F.max("modificationTime").alias("newest"))
+
+
+def newest_files(spark: SparkSession, path: str, n: int = 5) -> DataFrame:
+    """A23. The ``n`` newest files: path, bytes, time; of one time the first by path."""
+    files = spark.read.format("binaryFile").load(path).select("path", F.col("length").alias("bytes"), F.col("modificationTime").alias("modified"))
+    return files.orderBy(F.desc("modified"), "path").limit(n)
+
+
+def dataset_rows(spark: SparkSession, path: str) -> DataFrame:
+    """A23. (path, n_rows) of each file of JSON: the records of its envelope or list; an envelope that only counts them counts. Null for
+    what is neither."""
+    schema = _struct(restaurants="array<variant>", merged_restaurants="array<variant>", total_restaurants="bigint")
+    docs = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("path"), F.trim("value").alias("value"))
+    one = F.from_json("value", schema)
+    size = lambda c: F.when(c.isNotNull(), F.size(c))
+    listed = F.when(F.startswith("value", F.lit("[")), size(F.from_json("value", "array<variant>")))
+    return docs.select("path", F.coalesce(listed, size(one["restaurants"]), size(one["merged_restaurants"]), one["total_restaurants"]).cast("long").alias("n_rows"))

@@ -9,21 +9,25 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
+from pantryline.sources.store import upsert_by_key
+
 CHANGE = "place_id string, change_type string, field string, old_value string, new_value string, seq long"
 
 
 class ChangeProcessor(StatefulProcessor):
-    """ST1. The last (seq, fields) of a place. First sight is silent; a row that is not later than the last is ignored.
+    """ST1. The last (seq, fields) of a place. A row that is not later than the last is ignored.
 
-    ``fields`` are compared as text; volatile columns are left out of them.
+    ``fields`` are compared as text; volatile columns are left out of them. First sight is silent, or with ``announce`` a ``new`` row;
+    a row whose ``removed`` is true forgets the place, and with ``announce`` gives a ``removed`` row. A place not seen for ``ttl_ms``
+    is forgotten too.
     """
 
-    def __init__(self, fields: list[str], count: str | None = None) -> None:
-        self.fields, self.count = fields, count
+    def __init__(self, fields: list[str], count: str | None = None, announce: bool = False, ttl_ms: int | None = None) -> None:
+        self.fields, self.count, self.announce, self.ttl_ms = fields, count, announce, ttl_ms
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         """Opens the state."""
-        self.last = handle.getValueState("last", "seq long, " + ", ".join(f"`{f}` string" for f in self.fields))
+        self.last = handle.getValueState("last", "seq long, " + ", ".join(f"`{f}` string" for f in self.fields), self.ttl_ms)
 
     def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues: object) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
         """Changes in the order of ``seq``."""
@@ -31,25 +35,39 @@ class ChangeProcessor(StatefulProcessor):
         last, out = self.last.get() if self.last.exists() else None, []
         for r in every.to_dict("records"):
             now = [None if pd.isna(r[f]) else str(r[f]) for f in self.fields]
-            if last is not None and r["seq"] <= last[0]:
+            seq = int(r["seq"])
+            if last is not None and seq <= last[0]:
+                continue
+            if r["removed"]:
+                if last is not None and self.announce:
+                    out.append((key[0], "removed", None, None, None, seq))
+                last = None
                 continue
-            if last is not None:
-                for f, old, new in zip(self.fields, last[1:], now, strict=True):
-                    if old != new:
-                        out.append((key[0], "menu_changed" if f == self.count else "updated", f, old, new, int(r["seq"])))
-            last = (int(r["seq"]), *now)
+            if last is None and self.announce:
+                out.append((key[0], "new", None, None, None, seq))
+            for f, old, new in zip(self.fields, last[1:] if last is not None else now, now, strict=True):
+                if old != new:
+                    out.append((key[0], "menu_changed" if f == self.count else "updated", f, old, new, seq))
+            last = (seq, *now)
         if last is not None:
             self.last.update(tuple(last))
+        elif self.last.exists():
+            self.last.clear()
         yield pd.DataFrame(out, columns=["place_id", "change_type", "field", "old_value", "new_value", "seq"])
 
     def close(self) -> None:
         """Nothing is open."""
 
 
-def change_feed(rows: DataFrame, fields: list[str], count: str | None = None) -> DataFrame:
-    """ST1. ``rows``: a stream of (place_id, seq, fields ...). Needs the RocksDB state store."""
-    text = rows.select("place_id", F.col("seq").cast("long").alias("seq"), *(F.col(f).cast("string").alias(f) for f in fields))
-    return text.groupBy("place_id").transformWithStateInPandas(statefulProcessor=ChangeProcessor(fields, count), outputStructType=CHANGE, outputMode="Append", timeMode="None")
+def change_feed(rows: DataFrame, fields: list[str], count: str | None = None, announce: bool = False, ttl_ms: int | None = None) -> DataFrame:
+    """ST1. ``rows``: a stream of (place_id, seq, fields ..., perhaps removed). Needs the RocksDB state store.
+
+    With ``ttl_ms`` a place's state ends so long after it was last written, so the store is bounded by what is seen in that time.
+    """
+    removed = F.coalesce(F.col("removed").cast("boolean"), F.lit(False)) if "removed" in rows.columns else F.lit(False)
+    text = rows.select(F.col("place_id").cast("string").alias("place_id"), F.col("seq").cast("long").alias("seq"), *(F.col(f).cast("string").alias(f) for f in fields), removed.alias("removed"))
+    processor = ChangeProcessor(fields, count, announce, ttl_ms)
+    return text.groupBy("place_id").transformWithStateInPandas(statefulProcessor=processor, outputStructType=CHANGE, outputMode="Append", timeMode="ProcessingTime" if ttl_ms else "None")
 
 
 def cycle_sink(path: str, metrics: Callable[[DataFrame], DataFrame] | None = None) -> Callable[[DataFrame, int], None]:
@@ -74,3 +92,22 @@ def run_cycles(changes: DataFrame, path: str, checkpoint: str, every: str | None
     """ST2. Starts the feed into ``cycle_sink``: every ``every`` (as "15 minutes"), or all that is there, once."""
     writer = changes.writeStream.foreachBatch(cycle_sink(path, metrics)).option("checkpointLocation", checkpoint)
     return (writer.trigger(processingTime=every) if every else writer.trigger(availableNow=True)).start()
+
+
+def row_sink(path: str, key: str, updated: str, created: str) -> Callable[[DataFrame, int], None]:
+    """ST3. A ``foreachBatch`` writer that keeps the table of places: batch ``N`` upserts its rows into the snapshot of ``N - 1`` and
+    writes the whole as ``N``. A batch that is run again reads the same snapshot and writes its own once more."""
+
+    def write(batch: DataFrame, number: int) -> None:
+        old = batch.limit(0)
+        if number:
+            old = batch.sparkSession.read.schema(batch.schema).parquet(f"{path}/batch_id={number - 1}")
+        upsert_by_key(old, batch, key, updated, created).write.mode("overwrite").parquet(f"{path}/batch_id={number}")
+
+    return write
+
+
+def run_rows(rows: DataFrame, path: str, checkpoint: str, key: str, updated: str, created: str, every: str | None = None):
+    """ST2, ST3. Starts the table of places beside the feed of changes, on the same trigger."""
+    writer = rows.writeStream.foreachBatch(row_sink(path, key, updated, created)).option("checkpointLocation", checkpoint)
+    return (writer.trigger(processingTime=every) if every else writer.trigger(availableNow=True)).start()
