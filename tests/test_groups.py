@@ -14,14 +14,15 @@ from pantryline.operators import dedupe, resolve, serve
 def test_similarity_dedupe_is_the_greedy_loop(spark):
     rng = random.Random(1)
     rows = [(g, i, list({rng.choice("abcdefgh") for _ in range(rng.randrange(1, 8))})) for g in range(6) for i in range(30)]
-    rows += [(9, 0, ["a", "b", "c", "d"]), (9, 1, ["a", "b", "c", "d", "e"])]  # exactly 0.8: kept
+    rows += [(9, 0, ["a", "b", "c", "d"]), (9, 1, ["a", "b", "c", "d", "e"]), (8, 0, []), (8, 1, []), (8, 2, ["a"])]  # exactly 0.8: kept; of empty ones the first
+    rows = [(g, 100 * g + i, w) for g, i, w in rows]
     got = {(r["g"], r["i"]) for r in dedupe.similarity_dedupe(spark.createDataFrame(rows, "g int, i int, w array<string>"), ["g"], "w", "i").collect()}
     want, kept = set(), {}
     for g, i, w in rows:
-        if not any(len(set(w) & set(v)) / len(set(w) | set(v)) > 0.8 for v in kept.setdefault(g, [])):
+        if not any(len(set(w) & set(v)) / max(1, len(set(w) | set(v))) > 0.8 or not w and not v for v in kept.setdefault(g, [])):
             kept[g].append(w)
             want.add((g, i))
-    assert got == want and (9, 1) in got
+    assert got == want and (9, 901) in got and (8, 801) not in got
 
 
 def test_merge_candidates(spark):
@@ -30,6 +31,8 @@ def test_merge_candidates(spark):
     got = {r["name"]: r for r in dedupe.merge_candidates(df, ["page", "name"], ["description", "price"], "prio", "conf", "labels", "o").collect()}
     assert (got["x"]["description"], got["x"]["price"], got["x"]["labels"], got["x"]["n_candidates"]) == ("desc", "7", ["a", "b"], 3)
     assert got["x"]["conf"] == 1.0 and got["y"]["conf"] == 0.95
+    skipped = dedupe.merge_candidates(df, ["page"], ["description"], "prio", "conf", "labels", "o", skip={"description": "desc"}).first()
+    assert skipped["description"] == "desc" and skipped["labels"] == ["a", "b"] and skipped["n_candidates"] == 4
 
 
 def test_independent_set_is_the_greedy_pass(spark):
@@ -81,6 +84,12 @@ def test_geo_match_is_the_loop(spark):
     got = resolve.geo_fuzzy_match(spark.createDataFrame(a, PLACE), spark.createDataFrame(b, PLACE), least=0.0).collect()
     want = {(x[0], y[0]) for x in a for y in b if x[3] is not None and far(x, y) <= 100}
     assert {(r["a_id"], r["b_id"]) for r in got} == want and len(want) > 20
+    # across the 180th meridian, beside the pole and on it, and a row far from all that changes no cell
+    spots = [(0.0, 179.9998), (0.0, -179.9998), (12.0, 180.0), (12.0003, -179.9999), (89.9, 10.0), (89.9, 10.4), (89.9999, 0.0), (89.9999, 170.0), (-89.9995, -90.0), (-89.9999, 95.0), (-45.0, 0.0)]
+    edge = [(f"e{i}", i, "Luna", lat, lon, "") for i, (lat, lon) in enumerate(spots)]
+    found = resolve.geo_fuzzy_match(spark.createDataFrame([*a, *edge], PLACE), spark.createDataFrame([*edge, *b], PLACE), least=0.0).collect()
+    want |= {(x[0], y[0]) for x in edge for y in edge if far(x, y) <= 100}
+    assert {(r["a_id"], r["b_id"]) for r in found} == want and {("e0", "e1"), ("e2", "e3"), ("e4", "e5"), ("e6", "e7"), ("e8", "e9")} <= want
     pairs = resolve.geo_fuzzy_match(spark.createDataFrame(a, PLACE), spark.createDataFrame(b, PLACE))
     best, taken = {}, {}
     for r in sorted(pairs.collect(), key=lambda r: (r["a_pos"], -r["confidence"], r["b_pos"])):

@@ -35,7 +35,8 @@ def test_normalise(spark, tmp_path):
     osm = [{"type": "node", "id": 1, "lat": 41.0, "lon": -87.0, "tags": {"name": "Luna", "addr:street": "Main", "addr:housenumber": "5", "payment:cash": "yes", "diet:vegan": "yes", "diet:halal": "no"}}, {"type": "way", "id": 2, "center": {"lat": 42.0, "lon": -88.0}, "tags": {"name": "Sol"}}, {"type": "node", "id": 3, "lat": 1.0, "lon": 1.0, "tags": {}}, {"type": "way", "id": 4, "tags": {"name": "nowhere"}}]
     (tmp_path / "o.json").write_text(json.dumps({"elements": osm}))
     df = spark.read.schema(places.OSM).json(str(tmp_path / "o.json"), multiLine=True)
-    got = places.normalise_osm(df).orderBy("place_id").collect()
+    assert places.normalise_osm(df).filter("lat is null").select("name").count() == places.normalise_osm(df).count() - 2
+    got = places.normalise_osm(df, keep_unplaced=False).orderBy("place_id").collect()
     assert [r["place_id"] for r in got] == ["osm_node_1", "osm_way_2"]
     assert (got[0]["address"], got[0]["payment_methods"], got[0]["dietary_options"], got[1]["lat"], got[1]["cuisine"]) == ("5 Main", ["cash"], ["vegan"], 42.0, "unknown")
     assert places.normalise_osm(df, keep_nameless=True).filter("name = 'Unknown'").count() == 1
@@ -49,6 +50,48 @@ def test_normalise(spark, tmp_path):
     assert (f["phone"], f["price_tier"], f["categories"]) == ("123", "$$$", ["Bar"])
 
 
+def test_change_kinds():
+    import pandas as pd
+
+    class State:
+        def __init__(self):
+            self.value = None
+
+        def exists(self):
+            return self.value is not None
+
+        def get(self):
+            return self.value
+
+        def update(self, value):
+            self.value = value
+
+        def clear(self):
+            self.value = None
+
+    def run(processor, *rows):
+        frame = pd.DataFrame(rows, columns=["seq", "phone", "removed"])
+        return [tuple(r)[1:5] for r in next(processor.handleInputRows(("a",), iter([frame]), None)).itertuples(index=False)]
+
+    loud, quiet = changes.ChangeProcessor(["phone"], announce=True), changes.ChangeProcessor(["phone"])
+    loud.last, quiet.last = State(), State()
+    rows = [(1, "1", False), (2, "2", False), (3, "2", True), (4, "3", False)]
+    assert run(loud, *rows) == [("new", None, None, None), ("updated", "phone", "1", "2"), ("removed", None, None, None), ("new", None, None, None)]
+    assert run(quiet, *rows) == [("updated", "phone", "1", "2")] and quiet.last.value == (4, "3")
+    assert run(quiet, (5, "3", True)) == [] and not quiet.last.exists()
+
+
+def test_counts_of_files(spark, tmp_path):
+    (tmp_path / "a.json").write_text(json.dumps([1, {}]))
+    (tmp_path / "b.json").write_text(json.dumps({"merged_restaurants": [{}]}))
+    (tmp_path / "c.json").write_text(json.dumps({"total_restaurants": 7}))
+    (tmp_path / "d.json").write_text("no json")
+    got = {r["path"][-6:]: r["n_rows"] for r in places.dataset_rows(spark, str(tmp_path)).collect()}
+    assert got == {"a.json": 2, "b.json": 1, "c.json": 7, "d.json": None}
+    os.utime(tmp_path / "c.json", (2e9, 2e9))
+    assert [r["path"][-6:] for r in places.newest_files(spark, str(tmp_path), 1).collect()] == ["c.json"]
+
+
 def test_sinks(spark, tmp_path):
     df = spark.createDataFrame([("1", "luna", "chi", ["milk"]), ("2", "sol", "nyc", [])], "id string, name string, city string, labels array<string>")
     store.write_report(df, metrics.coverage(df, named=F.col("name") != ""), f"{tmp_path}/report")
