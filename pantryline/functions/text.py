@@ -467,6 +467,8 @@ def food_score_by(text: Column, profile: str) -> Column:
     a, b, length = p["length"]
     body = text if p["each"] else F.trim(text)
     more = [("has_price", any_pattern(text, patterns), price), ("good_length", F.length(body).between(a, b), length), ("proper_caps", text.rlike("[A-Z][a-z]"), p["caps"])]
+    several = F.size(words_of(text)) >= 2
+    more += [("multi_word", several, p["several"])] * bool(p["several"])
     reasons = F.array_join(F.flatten(F.array(*found, labels_by({k: c for k, c, _ in more}))), "_")
     score = score + additive(*((c, w) for _, c, w in more))
     least, enough = p["least"]
@@ -480,7 +482,7 @@ def food_score_by(text: Column, profile: str) -> Column:
     if names:
         out = out.when(low.isin(names), nothing(why))
     # sums of tenths: to nine decimals, so that 0.1 + 0.2 reaches 0.3
-    return out.otherwise(F.struct((F.round(score, 9) >= enough).alias("valid"), F.least(F.round(score, 9), F.lit(1.0)).alias("score"), F.when(reasons == "", p["none"]).otherwise(reasons).alias("reason")))
+    return out.otherwise(F.struct(((F.round(score, 9) >= enough) | (several if p["several"] else F.lit(False))).alias("valid"), F.least(F.round(score, 9), F.lit(1.0)).alias("score"), F.when(reasons == "", p["none"]).otherwise(reasons).alias("reason")))
 
 
 def potential_item(text: Column, excluded: list[str], wanted: list[str], food: list[str]) -> Column:

@@ -138,6 +138,7 @@ def _score_sql(profile: str) -> str:
     hits = [number("l", words) if p["each"] else f"{some('l', words)}::INT" for _, words, _ in p["tiers"]]
     total = " + ".join(f"{h} * {w}" for h, (_, _, w) in zip(hits, p["tiers"], strict=True))
     more = [("has_price", match("x", patterns), price), ("good_length", f"length(x) BETWEEN {a} AND {b}", length), ("proper_caps", "regexp_matches(x, '[A-Z][a-z]')", p["caps"])]
+    more += [("multi_word", "len(list_filter(string_split_regex(trim(x), '\\s+'), lambda y: y <> '')) >= 2", p["several"])] * bool(p["several"])
     total += "".join(f" + CASE WHEN {c} THEN {w} ELSE 0 END" for _, c, w in more)
     if p["each"]:
         words = [f"CASE WHEN contains(l, {q(w)}) THEN {q(f'{tier}_{w}')} END" for tier, found, _ in p["tiers"] for w in found]
