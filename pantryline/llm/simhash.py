@@ -11,8 +11,9 @@ with either half of the next one; every pair within the radius shares a key, and
 tested from that segment on, before the full Hamming check.
 
 A wide fingerprint with a radius beyond its segments, as ``one_of_each`` takes, has no keys that meet every pair and let few
-others through: there keys of least hashes propose pairs, the ring's chains prune them before the full Hamming check, and the
-shingle sets themselves decide.
+others through: there keys of least hashes propose pairs, the ring's chains prune them before the full Hamming check, parity
+bitmaps of the sets prune what is surely under the similarity (published as bitmap filter for exact set joins), and the shingle
+sets themselves decide.
 
 Scale. Equal fingerprints are one node. Keys with over ``block`` nodes are cut into blocks, and each pair of blocks is
 a unit of its own, so no task holds more than two blocks of a key and no pair is lost. Each unit gives a spanning forest
@@ -305,7 +306,9 @@ def near_copies(docs: DataFrame, size: int = 4, ring: Ring = Ring(), block: int
     return out.select("doc_id", "fp", F.when(F.col("doc_id").isNotNull(), F.col("component_id")).alias("component_id"))
 
 
-NODE = [T.StructField("node", T.LongType()), T.StructField("fp", T.BinaryType()), T.StructField("keys", T.ArrayType(T.LongType()))]
+NODE = [T.StructField("node", T.LongType()), T.StructField("fp", T.BinaryType()), T.StructField("bits", T.BinaryType()), T.StructField("size", T.LongType()), T.StructField("keys", T.ArrayType(T.LongType()))]
+#: Bits of a set's bitmap: bit ``i`` tells whether an odd number of the set's hashes is ``i`` modulo their number.
+PARITY = 2048
 #: Keys of a set, and least hashes in each: a pair of similarity s shares no key with a probability of (1 - s ** 4) ** 30, 1.4e-7 at 0.8.
 BANDS, ROWS = 30, 4
 _XOR, _TIMES = np.random.default_rng(SEED).integers(0, 1 << 64, (2, 1, BANDS * ROWS), np.uint64)
@@ -330,18 +333,25 @@ def _set_number(h: np.ndarray) -> int:
     return int(np.array([xxhash.xxh64_intdigest(h.tobytes(), SEED)], np.uint64).view(np.int64)[0])
 
 
+def parity(h: np.ndarray) -> bytes:
+    """The bitmap of a set of hashes. Where two sets' bitmaps differ, the sets do: they differ in that many hashes or more."""
+    odd = np.bincount((h % np.uint64(PARITY)).astype(np.int64), minlength=PARITY) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").tobytes()
+
+
 def shingle_sets(docs: DataFrame, size: int, ring: Ring) -> DataFrame:
-    """(doc_id, node, fp, keys) of every row.
+    """(doc_id, node, fp, bits, size, keys) of every row.
 
-    ``node``: a number for its shingle set; ``fp`` and ``keys``: of the set, so repeats don't count.
+    ``node``: a number for its shingle set; ``fp``, ``bits``, ``size`` and ``keys``: of the set, so repeats don't count.
     """
     rows = docs.select("doc_id", F.coalesce("text", F.lit("")).cast("binary").alias("_text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in text_batches(batches, "_text", 8 << 20):
             sets = [np.unique(shingle_hashes(x, size)) for x in batch.column(1).to_pylist()]
-            columns = [pa.array([_set_number(h) for h in sets], pa.int64()), pa.array([simhash(h, ring.words) for h in sets], pa.binary()), pa.array([least_hash_keys(h) for h in sets], pa.list_(pa.int64()))]
-            yield pa.RecordBatch.from_arrays([batch.column(0), *columns], names=["doc_id", "node", "fp", "keys"])
+            of = lambda f, kind: pa.array([f(h) for h in sets], kind)  # noqa: B023, E731
+            columns = [of(_set_number, pa.int64()), of(lambda h: simhash(h, ring.words), pa.binary()), of(parity, pa.binary()), of(len, pa.int64()), of(least_hash_keys, pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays([batch.column(0), *columns], names=["doc_id", *(x.name for x in NODE)])
 
     return rows.mapInArrow(run, T.StructType([rows.schema[0], *NODE]))
 
@@ -372,50 +382,72 @@ def _hashes(docs: DataFrame, wanted: DataFrame, size: int) -> DataFrame:
     return rows.mapInArrow(run, schema)
 
 
-def _proposed(group: np.ndarray, node: np.ndarray, fp: np.ndarray, root: np.ndarray, ring: Ring, most: int | None) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs within the radius among rows of equal ``group`` and unequal ``root``; of each row the first ``most``. Rows lie group by group.
+@dataclass
+class Unit:
+    """Rows that are compared with each other where ``group`` is equal; they lie group by group. ``bits`` are empty in the first round."""
 
-    Pairs without a chain round the ring are pruned before the full Hamming check.
-    """
-    n = len(group)
-    alive, hits = np.arange(n), np.zeros(n, np.int64)
-    out = [(node[:0], node[:0])]
-    for shift in range(1, n):
-        alive = alive[alive + shift < n]
-        alive = alive[group[alive] == group[alive + shift]]
-        if most is not None:
-            alive = alive[hits[alive] < most]
-        if not len(alive):
-            break
-        a = alive[root[alive] != root[alive + shift]]
-        x = fp[a] ^ fp[a + shift]
-        chained = ring.chained(x)
-        a, x = a[chained], x[chained]
-        a = a[np.bitwise_count(x).sum(1) <= ring.radius]
-        hits[a] += 1
-        out.append((np.maximum(node[a], node[a + shift]), np.minimum(node[a], node[a + shift])))
-    return np.concatenate([x for x, _ in out]), np.concatenate([y for _, y in out])
+    group: np.ndarray
+    node: np.ndarray
+    root: np.ndarray
+    size: np.ndarray
+    fp: np.ndarray
+    bits: np.ndarray
 
+    def pairs(self, ring: Ring, most: int | None, least: tuple[int, int]) -> tuple[np.ndarray, np.ndarray]:
+        """(larger node, smaller node) of unequal roots that may be ``least`` similar; of each row the first ``most``.
 
-def _proposals(cells: DataFrame, ring: Ring, most: int | None) -> DataFrame:
-    """Distinct pairs (a, b < a) of ``cells`` (k, cell, node, fp, root) by ``_proposed``, unit by unit."""
+        Pairs without a chain round the ring are pruned before the full Hamming check; then those whose bitmaps differ in more
+        bits than sets of that similarity differ in hashes: of ``a + b`` hashes at most a share of (1 - s) / (1 + s).
+        """
+        n = len(self.group)
+        alive, hits = np.arange(n), np.zeros(n, np.int64)
+        out = [(self.node[:0], self.node[:0])]
+        up, down = least[1] + least[0], least[1] - least[0]
+        for shift in range(1, n):
+            alive = alive[alive + shift < n]
+            alive = alive[self.group[alive] == self.group[alive + shift]]
+            if most is not None:
+                alive = alive[hits[alive] < most]
+            if not len(alive):
+                break
+            a = alive[self.root[alive] != self.root[alive + shift]]
+            if not len(a):
+                continue
+            x = self.fp[a] ^ self.fp[a + shift]
+            chained = ring.chained(x)
+            a, x = a[chained], x[chained]
+            a = a[np.bitwise_count(x).sum(1) <= ring.radius]
+            if self.bits.shape[1] and len(a):
+                apart = np.bitwise_count(self.bits[a] ^ self.bits[a + shift]).sum(1, dtype=np.int64)
+                a = a[apart * up <= (self.size[a] + self.size[a + shift]) * down]
+            hits[a] += 1
+            out.append((np.maximum(self.node[a], self.node[a + shift]), np.minimum(self.node[a], self.node[a + shift])))
+        return np.concatenate([x for x, _ in out]), np.concatenate([y for _, y in out])
+
+
+def _proposals(cells: DataFrame, ring: Ring, most: int | None, least: tuple[int, int]) -> DataFrame:
+    """Distinct pairs (a, b < a) of ``cells`` (k, cell, at, node, root, size, fp, bits), unit by unit; ``at``: the order in a unit."""
+    names = ("k", "cell", "node", "root", "size", "fp", "bits")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple] = []
 
-        def work(k, cell, node, fp, root):
-            a, b = _proposed(np.cumsum(np.concatenate(([0], (k[1:] != k[:-1]) | (cell[1:] != cell[:-1])))), node, fp, root, ring, most)
+        def work(k, cell, *rest):
+            a, b = Unit(np.cumsum(np.concatenate(([0], (k[1:] != k[:-1]) | (cell[1:] != cell[:-1])))), *rest).pairs(ring, most, least)
             if len(a):
                 yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=EDGE.names)
 
         def joined():
-            return [np.concatenate([x[i] for x in held]) for i in range(5)]
+            return [np.concatenate([x[i] for x in held]) for i in range(len(names))]
+
+        def words(column: pa.Array) -> np.ndarray:
+            return np.frombuffer(b"".join(column.to_pylist()), np.uint64).reshape(len(column), -1)
 
         for batch in batches:
             if not batch.num_rows:
                 continue
             c = dict(zip(batch.schema.names, batch.columns, strict=True))
-            held.append((c["k"].to_numpy(), c["cell"].to_numpy(), c["node"].to_numpy(), _words(c["fp"], ring.words), c["root"].to_numpy()))
+            held.append((*(c[x].to_numpy() for x in names[:5]), *(words(c[x]) for x in names[5:])))
             if sum(len(x[0]) for x in held) < 50_000:
                 continue
             k, cell, *rest = joined()
@@ -426,7 +458,36 @@ def _proposals(cells: DataFrame, ring: Ring, most: int | None) -> DataFrame:
         if held:
             yield from work(*joined())
 
-    return cells.repartition("k", "cell").sortWithinPartitions("k", "cell", "node").mapInArrow(run, EDGE).distinct()
+    return cells.repartition("k", "cell").sortWithinPartitions("k", "cell", "at").select(*names).mapInArrow(run, EDGE).distinct()
+
+
+def _neighbours(known: DataFrame, nodes: DataFrame, block: int) -> DataFrame:
+    """Cells of the first round: a key's nodes in blocks, in one of three orders, so that each meets others in each of them."""
+    own = F.pmod(F.xxhash64("node"), F.ceil(F.col("n") / block))
+    cells = known.select("k", own.cast("long").alias("cell"), F.xxhash64("node", F.pmod("k", F.lit(3))).alias("at"), "node", "root")
+    return cells.join(nodes.select("node", "size", "fp", F.lit(b"").alias("bits")), "node")
+
+
+def _between_roots(known: DataFrame, nodes: DataFrame, block: int) -> DataFrame:
+    """Cells of later rounds: of keys that nodes of several roots share, all pairs of blocks but those within one root.
+
+    A root with over ``block`` nodes of a key has blocks of its own; the others of a key share blocks.
+    """
+    spread = written(known.groupBy("k", "root").agg(F.count("*").alias("c")), "roots")
+    still = spread.groupBy("k").agg(F.count("*").alias("roots"), F.sum("c").alias("m")).filter("roots > 1").select("k", "m")
+    rows = written(known.select("k", "node", "root").join(still, "k").join(spread, ["k", "root"]), "open")
+    large = rows.filter(F.col("m") > block)
+    small = rows.filter(F.col("m") <= block).select("k", F.lit(0).cast("long").alias("cell"), "node", "root")
+    heavy = F.col("c") > block
+    own = F.when(heavy, F.xxhash64("root", F.pmod(F.xxhash64("node"), F.ceil(F.col("c") / block)))).otherwise(F.xxhash64(F.lit("shared"), F.pmod(F.xxhash64("root"), F.ceil(F.col("m") / block))))
+    large = large.select("k", "node", "root", own.alias("own"), F.when(heavy, F.col("root")).alias("alone"))
+    # some entries for each ``block`` nodes of a key
+    blocks = large.select("k", "own", "alone").distinct().groupBy("k").agg(F.collect_list(F.struct("own", "alone")).alias("blocks"))
+    met = F.filter("blocks", lambda b: ~F.coalesce(b["alone"] == F.col("alone"), F.lit(False)))
+    cell = F.transform(met, lambda b: F.xxhash64(F.least(b["own"], F.col("own")), F.greatest(b["own"], F.col("own"))))
+    crossed = large.join(blocks, "k").select("k", F.explode(F.array_distinct(cell)).alias("cell"), "node", "root")
+    cells = small.unionByName(crossed).withColumn("at", F.col("node"))
+    return cells.join(nodes.select("node", "size", "fp", "bits"), "node")
 
 
 def verified(docs: DataFrame, pairs: DataFrame, nodes: DataFrame, size: int, least: tuple[int, int]) -> DataFrame:
@@ -449,24 +510,21 @@ def similar_texts(docs: DataFrame, size: int, ring: Ring, least: tuple[int, int]
     left, between classes, last: a dense class costs as many tests as it has nodes, and no pair is left out.
     """
     rows = written(shingle_sets(docs.filter("doc_id is not null"), size, ring), "shingle-sets")
-    nodes = written(rows.groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.first("fp").alias("fp")), "nodes")
+    nodes = written(rows.groupBy("node").agg(F.min("doc_id").alias("doc_id"), *(F.first(x).alias(x) for x in ("fp", "bits", "size"))), "nodes")
     keys = rows.select(F.explode("keys").alias("k"), "node").distinct()
     shared = keys.groupBy("k").agg(F.count("*").alias("n")).filter("n > 1")
-    parts = F.ceil(F.col("n") / block).cast("long")
-    own = F.pmod(F.xxhash64("node"), parts)
-    pairs = F.transform(F.sequence(F.lit(0).cast("long"), parts - 1), lambda y: F.least(F.col("_own"), y) * (1 << 20) + F.greatest(F.col("_own"), y))
-    cells = keys.join(shared, "k").withColumn("_own", own).withColumn("cell", F.explode(pairs)).select("k", "cell", "node")
-    cells = written(cells.join(nodes.select("node", "fp"), "node"), "cells")
+    keys = written(keys.join(shared, "k"), "keys")
     edges = docs.sparkSession.createDataFrame([], EDGE)
     tested, roots = None, edges
     for most in rounds:
-        known = cells.join(roots.select(F.col("a").alias("node"), F.col("b").alias("_root")), "node", "left").withColumn("root", F.coalesce("_root", "node"))
-        found = _proposals(known.select("k", "cell", "node", "fp", "root"), ring, most)
+        known = keys.join(roots.select(F.col("a").alias("node"), F.col("b").alias("_root")), "node", "left").withColumn("root", F.coalesce("_root", "node"))
+        cells = _neighbours(known, nodes, block) if tested is None else _between_roots(known, nodes, block)
+        found = _proposals(cells, ring, most, least)
         found = written(found if tested is None else found.join(tested, ["a", "b"], "left_anti"), "proposals")
+        tested = found if tested is None else tested.unionByName(found)
         if found.isEmpty():
             continue
         edges = written(edges.unionByName(verified(docs, found, nodes, size, least)), "verified")
-        tested = found if tested is None else tested.unionByName(found)
         roots = classes(edges)
     each = nodes.join(roots, F.col("node") == F.col("a"), "left").select("node", F.coalesce("b", "node").alias("root"), "doc_id")
     leaders = each.groupBy("root").agg(F.min(F.struct("doc_id", "node")).alias("leader"))

@@ -232,6 +232,43 @@ def test_texts_that_are_less_similar_stay(spark):
     assert got == {r[0] for r in rows} - {2001, 2002, 2003}
 
 
+def test_bitmaps_prune_no_pair_that_counts():
+    rng = np.random.default_rng(4)
+    for n in (5, 150, 3000):
+        x = rng.integers(0, 1 << 63, n).astype(np.uint64)
+        for share in (0.0, 0.05, 0.1, 0.11, 0.3):
+            y = x.copy()
+            y[: int(share * n)] = rng.integers(0, 1 << 63, int(share * n)).astype(np.uint64)
+            same = len(np.intersect1d(x, y))
+            bits = [np.frombuffer(simhash.parity(z), np.uint64) for z in (x, y)]
+            apart = int(np.bitwise_count(bits[0] ^ bits[1]).sum())
+            assert apart <= 2 * (n - same)
+            if same / (2 * n - same) >= 0.8:
+                assert 9 * apart <= 2 * n
+
+
+@pytest.mark.parametrize("block", [4096, 8])
+def test_a_dense_family_falls_into_its_exact_classes(spark, block):
+    """Copies of one text with many edits each: some alike, most not; blocks of a key are met by each other."""
+    rng, base = random.Random(18), words(random.Random(17), 120, 3000)
+    rows = [(i, edited(rng, base, rng.choice([0.95, 0.9, 0.85, 0.8, 0.75, 0.7])), "en", "s", 0) for i in range(90)]
+    sets = {i: {tuple(x.split()[k : k + 5]) for k in range(len(x.split()) - 4)} for i, x, *_ in rows}
+    root = {i: i for i in sets}
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for i in sets:
+        for j in range(i):
+            if 5 * len(sets[i] & sets[j]) >= 4 * len(sets[i] | sets[j]):
+                a, b = find(i), find(j)
+                root[max(a, b)] = min(a, b)
+    got = {r["doc_id"] for r in simhash.one_of_each(docs(spark, rows), block=block).collect()}
+    assert got == {i for i in sets if find(i) == i} and 1 < len(got) < 80
+
+
 def test_every_isolated_pair_over_the_limit_is_found(spark):
     rng, rows = random.Random(13), []
     for i in range(400):

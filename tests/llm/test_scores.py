@@ -218,6 +218,87 @@ def test_no_class_goes_without_bands(spark):
     assert alone == [False]
 
 
+def plain_bands(rows, width=5.0, least=100):
+    """{(language, length class): {measure: (low, high)}} by loops; ``rows``: measured ones."""
+    from decimal import ROUND_HALF_UP, Decimal
+
+    def measures(r):
+        share = lambda a, b: a / b if b else 0.0
+        return {"chars_per_piece": share(r["word_chars"], r["n_pieces"]), "chars_per_byte_token": share(r["word_chars"], r["n_byte_tokens"]), "byte_share": share(r["n_byte_pieces"], r["n_pieces"]), "entropy_rate": share(r["entropy"], math.log2(max(1, r["n_pieces"])))}
+
+    def place(r):
+        return r["lang"], int(math.log2(max(1, r["n_words"])))
+
+    def band(some):
+        out = {}
+        for x, floor in fertility.MEASURES.items():
+            values = [float(Decimal(repr(float(measures(r)[x]))).quantize(Decimal("0.001"), ROUND_HALF_UP)) for r in some]
+            q = np.percentile(values, [25, 50, 75])
+            spread = max((q[2] - q[0]) / 1.349, floor) * max(1.0, math.sqrt(least / len(some)))
+            out[x] = (q[1] - width * spread, q[1] + width * spread)
+        return out
+
+    good = [r for r in rows if r["n_words"] >= 50 and 100 * r["n_repeat_words"] <= 50 * r["n_words"]]
+    lists = {}
+    for r in good:
+        for k in (place(r), (r["lang"],), ("any length", place(r)[1]), "all"):
+            lists.setdefault(k, []).append(r)
+    limits = {}
+    for lang, c in {place(r) for r in rows}:
+        for head in (lang, "any length"):
+            near = sorted((abs(k[1] - c), k[1]) for k, v in lists.items() if isinstance(k, tuple) and len(k) == 2 and k[0] == head and len(v) >= least)
+            if near:
+                steps, at = near[0]
+                limits[lang, c] = {x: (low - steps * (high - low) / 2, high + steps * (high - low) / 2) for x, (low, high) in band(lists[head, at]).items()}
+                break
+            if head == lang and 10 * len(lists.get((lang,), [])) >= least:
+                limits[lang, c] = band(lists[lang,])
+                break
+        else:
+            limits[lang, c] = band(lists["all"])
+    inside = lambda r: all(low <= measures(r)[x] <= high for x, (low, high) in limits[place(r)].items())
+    return {r["doc_id"]: r in good and inside(r) for r in rows}
+
+
+def test_verdicts_are_those_of_plain_bands(spark):
+    rng = random.Random(19)
+    rows = []
+    for i in range(700):
+        lang, n = rng.choice([("en", 90), ("en", 200), ("en", 700), ("de", 200), (None, 90), ("", 90), ("xx", 300), ("yy", 60)]) if i > 120 else ("en", 90)
+        if lang == "yy" and rng.random() < 0.9:
+            lang = "de"
+        w = words(rng, n, 4000).split()
+        for k in rng.sample(range(n), rng.choice([0, 0, n // 20, n // 6, n // 2])):
+            w[k] += rng.choice(["***", "日本", "=====", "qzx"])
+        rows.append((i, " ".join(w), lang, "s", 0))
+    rows += [(900, "too short", "en", "s", 0), (901, None, None, "s", 0), (902, words(rng, 60, 4000), "alone", "s", 0), (903, words(rng, 9000, 9000), "xx", "s", 0)]
+    df = docs(spark, rows)
+    want = plain_bands(fertility.measure(df, queries.vocabularies()).collect())
+    got = {r["doc_id"]: r["kept"] for r in fertility.quality(df, queries.vocabularies()).collect()}
+    assert got == want and 20 < sum(not x for x in want.values()) < 600
+
+
+def test_scores_are_sums_of_features(spark):
+    rows, labels = toxic_fixture(random.Random(12))
+    m = toxicity.train(docs(spark, rows), spark.createDataFrame(labels, "doc_id long, quality int, toxic int"), F.lit(True))
+    odd = [*corpus(6), *rows[:50], (9000, "idiot " * 3 + words(random.Random(1), 300), "en", "s", 0)]
+
+    def plain(text):
+        w = toxicity.TOKEN.findall((text or "").lower())
+        stems = [x for y in w for x in (y, *("^" + y[:n] for n in range(3, 8) if len(y) > n))]
+        z = m.intercept
+        for x in set(stems):
+            n = stems.count(x)
+            z += m.weights.get(toxicity.number(x), 0.0)
+            z += m.weights.get(toxicity.number(x, True), 0.0) if n > 1 and n * 128 >= len(w) else 0.0
+        return 1 / (1 + math.exp(-z))
+
+    got = toxicity.score(docs(spark, [r for r in odd if len(r[1] or "") < 5000]), m).collect()
+    assert len(m.weights) > 10
+    for r in got:
+        assert r["score"] == pytest.approx(plain(r["text"]), rel=1e-9)
+
+
 def toxic_fixture(rng):
     insults, groups = ["idiot", "scum", "moron"], ["muslim", "christian", "jewish", "hindu"]
     rows, labels = [], []

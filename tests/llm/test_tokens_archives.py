@@ -5,6 +5,7 @@ from __future__ import annotations
 import hashlib
 import itertools
 import random
+import zlib
 
 import public_tokenizers
 import pytest
@@ -121,6 +122,26 @@ def test_texts_parts_combine_exactly():
         assert got == brute(lattice, " " + text)[:n], text
 
 
+def test_ids_of_the_best_are_segmentations_of_their_scores(spark):
+    lattice, rng = pieces.lattice(PIECES), random.Random(6)
+    texts = [" ".join("".join(rng.choice("theinaé\n") for _ in range(rng.randrange(1, 5))) for _ in range(rng.randrange(1, 3))) for _ in range(40)] + ["", "日本 the"]
+
+    def every(text):
+        ways = {0: [(0.0, ())]}
+        for j in range(1, len(text) + 1):
+            ways[j] = [(s + x, (*p, *ids)) for i, ids, x in lattice.edges(text)[j] for s, p in ways[i]]
+        return ways[len(text)]
+
+    got = pieces.encode(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), PIECES, 5, ids_of=5).collect()
+    for r in got:
+        ways = every(" " + texts[r["doc_id"]] if texts[r["doc_id"]] else "")
+        score = {p: s for s, p in ways}
+        assert [round(x, 6) for x in r["scores"]] == [round(s, 6) for s, _ in sorted(ways, key=lambda w: -w[0])[:5]]
+        assert len({tuple(x) for x in r["ids"]}) == len(r["ids"]) == len(r["scores"])
+        for ids, s, n, crc in zip(r["ids"], r["scores"], r["n_pieces"], r["ids_crc32"], strict=True):
+            assert abs(score[tuple(ids)] - s) < 1e-6 and n == len(ids) and crc == zlib.crc32(pieces.packed(tuple(ids)))
+
+
 def test_encode_and_decode(spark):
     rows = corpus()
     df = docs(spark, rows)

@@ -50,3 +50,20 @@ def test_flagship_and_entry(spark):
     rows = e.entry(spark).collect()
     assert 0 < len(rows) <= 10 and set(rows[0].asDict()) == {"category", "n"}
     assert set(e.oracle_sql()) <= set(e.queries()) and set(registry.QUERIES) <= set(e.queries())
+
+
+def test_the_entry_stands_alone(tmp_path):
+    """Without the corpus operators and their pipeline, or with what is left of a deleted folder, all other queries are there."""
+    import shutil
+    import subprocess
+    import sys
+
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    shutil.copytree(f"{root}/pantryline", tmp_path / "pantryline", ignore=shutil.ignore_patterns("llm", "__pycache__"))
+    shutil.copy(f"{root}/__spark_entry__.py", tmp_path)
+    code = "import __spark_entry__ as e; q = e.queries(); assert len(q) > 100 and set(e.oracle_sql()) <= set(q) and not any(x.startswith('op') or x == 'pipeline' for x in q)"
+    for left in ((), ("pantryline/llm/__pycache__",)):
+        for x in left:
+            (tmp_path / x).mkdir(parents=True)
+        env = {k: v for k, v in os.environ.items() if k != "PYTHONPATH"}
+        subprocess.run([sys.executable, "-c", code], cwd=tmp_path, check=True, env=env)

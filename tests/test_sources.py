@@ -129,3 +129,20 @@ def test_change_feed(spark, tmp_path):
     counters = spark.read.parquet(f"{tmp_path}/out/counters")
     assert counters.agg(F.sum("n_changes"), F.sum("n_menu_changes")).first()[:] == (2, 1)
     assert spark.read.parquet(f"{tmp_path}/out/quality").agg(F.sum("n")).first()[0] == 2
+
+
+def test_a_cluster_needs_a_shared_folder(spark, tmp_path):
+    from types import SimpleNamespace as Fake
+
+    import pytest
+
+    from pantryline.sources import shared
+
+    seen = []
+    context = lambda master, given: Fake(master=master, applicationId="app-1", getConf=lambda: Fake(get=lambda _: given), getCheckpointDir=lambda: None, setCheckpointDir=seen.append)
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        shared.new_path(Fake(sparkContext=context("spark://h:7077", None)), "x")
+    assert shared.new_path(Fake(sparkContext=context("spark://h:7077", "hdfs://n/dir/")), "x").startswith("hdfs://n/dir/pantryline-app-1/x-")
+    assert shared.new_path(Fake(sparkContext=context("local[2]", None)), "x").startswith("file://") and len(seen) == 2
+    table = shared.written(spark.range(3), "three")
+    assert table.count() == 3 and table.inputFiles()[0].startswith(shared.session_dir(spark).replace("file://", "file:///").replace("////", "///"))
