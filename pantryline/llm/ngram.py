@@ -93,7 +93,7 @@ class Tokens:
             self.event[first + k] = False
         #: the last beginning of each text, which is a context
         self.start = first + order - 2
-        self.doc = np.repeat(np.arange(len(lengths)), size)
+        self.doc = np.repeat(np.arange(len(lengths), dtype=np.int32), size)
 
     @classmethod
     def of(cls, order: int, texts: list[bytes]) -> Tokens:
@@ -108,7 +108,7 @@ class Tokens:
         hashes = np.fromiter(map(xxhash.xxh64_intdigest, names), np.uint64, len(names))
         sizes = np.array(sizes, np.int64)
         first = np.cumsum(sizes + order) - sizes - order  # where each text begins
-        numbers = np.zeros(int((sizes + order).sum()), np.int64)
+        numbers = np.zeros(int((sizes + order).sum()), np.int32)
         numbers[np.arange(len(words)) + np.repeat(first + order - 1 - (np.cumsum(sizes) - sizes), sizes)] = coded.indices.to_numpy() + 2
         numbers[first + order - 1 + sizes] = 1
         return cls(order, numbers, sizes + 1, hashes)
@@ -125,23 +125,41 @@ class Tokens:
         """(order, hash of the n-gram that ends at each place) from order 2 on; a context is the key before."""
         h = self.hashes[self.numbers]
         key = h
+        h = h * B
         for level in range(2, self.order + 1):
-            before = np.concatenate((key[:1], key[:-1]))
-            key = (before ^ (before >> np.uint64(31))) * A + h * B + np.uint64(level)
-            key = (key ^ (key >> np.uint64(29))) * B
-            key ^= key >> np.uint64(32)
+            new = np.empty_like(key)
+            new[:1], new[1:] = key[:1], key[:-1]
+            key = new
+            for by, times in ((31, A), (29, B), (32, None)):
+                key ^= key >> np.uint64(by)
+                if times is not None:
+                    key *= times
+                if by == 31:
+                    key += h
+                    key += np.uint64(level)
             yield level, key
 
     def distinct(self, bits: int = 64) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
         """(order, places, distinct hashes in order, number of each place's hash); ``bits``: of hashes from order 2 on."""
         order = np.argsort(self.hashes, kind="stable")
-        rank = np.empty(len(order), np.int64)
+        rank = np.empty(len(order), np.int32)
         rank[order] = np.arange(len(order))
         at = self.at(1)
         yield 1, at, self.hashes[order], rank[self.numbers[at]]
         for level, key in self.keys():
             at = self.at(level)
-            yield level, at, *np.unique(key[at] >> np.uint64(64 - bits), return_inverse=True)
+            yield level, at, *_ranked(key[at] >> np.uint64(64 - bits))
+
+
+def _ranked(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct values in order, and each value's place among them."""
+    order = np.argsort(x)
+    x = x[order]
+    new = np.ones(len(x), bool)
+    new[1:] = x[1:] != x[:-1]
+    place = np.empty(len(x), np.int32)
+    place[order] = np.cumsum(new, dtype=np.int32) - 1
+    return x[new], place
 
 
 def _units(docs: DataFrame, order: int, unit_bytes: int, ids_kind: T.DataType) -> DataFrame:
@@ -206,7 +224,7 @@ def _answered(requests: DataFrame, ids_kind: T.DataType) -> DataFrame:
         for level in sorted({r["level"] for r in rows}):
             mine = [r for r in rows if r["level"] == level]
             keys = np.concatenate([np.cumsum(np.concatenate((np.frombuffer(r["p3"], np.uint64), unpack(r["p0"], r["n"] - 1)))) for r in mine])
-            distinct, place = np.unique(keys, return_inverse=True)
+            distinct, place = _ranked(keys)
             del keys
             every = np.bincount(place, weights=np.concatenate([unpack(r["p1"], r["n"]) for r in mine])).astype(np.uint64)
             deleted = np.bincount(place, weights=np.concatenate([unpack(r["p2"], r["n"]) for r in mine])).astype(np.uint64)
@@ -274,22 +292,27 @@ def _joined(answered: DataFrame, order: int, bits: int, ids_kind: T.DataType) ->
         docs = len(unit["ids"])
         if {r["check"] for r in rows} != {unit["check"]}:
             raise ValueError("the input was not read in the same order twice; pass write_first")
-        tokens = Tokens(order, unpack(unit["p0"], unit["n"]).astype(np.int64), unpack(unit["p1"], docs).astype(np.int64), np.frombuffer(unit["p2"], np.uint64))
-        every, kept = {}, {}
-        for level, _, _, place in tokens.distinct(bits):
+        tokens = Tokens(order, unpack(unit["p0"], unit["n"]).astype(np.int32), unpack(unit["p1"], docs).astype(np.int64), np.frombuffer(unit["p2"], np.uint64))
+        at = np.flatnonzero(tokens.event)
+        held = at[(unpack(unit["p3"], docs) >= 2)[tokens.doc[at]]]
+        every, event, ctx = {}, [], []
+        for level, at, _, place in tokens.distinct(bits):
             mine = sorted((r for r in rows if r["kind"] == REQUEST and r["level"] == level), key=lambda r: r["part"])
-            found = np.concatenate([unpack(r["p1"], r["n"]) for r in mine])
-            every[level] = found[place]
-            kept[level] = (found - np.concatenate([unpack(r["p2"], r["n"]) for r in mine]))[place]
-        out = [unit | {"dest": 0, "p0": pack(every[1]), "p2": pack(every.get(2, NONE)), "p3": pack(every.get(3, NONE))}]
-        event, ctx = _counts(tokens, kept)
-        held = (unpack(unit["p3"], docs) >= 2)[tokens.doc[tokens.event]]
-        event, ctx = [x[held] for x in event], [x[held] for x in ctx]
+            found, lost = (np.concatenate([unpack(r[p], r["n"]) for r in mine]) for p in ("p1", "p2"))
+            every[level] = pack(found[place])
+            # of held-out tokens alone: their n-grams, and those before them as contexts
+            kept = (found - lost).astype(float)
+            event.append(kept[place[np.searchsorted(at, held)]])
+            if level < order:
+                ctx.append(kept[place[np.searchsorted(at, held - 1)]])
+        out = [unit | {"dest": 0, "p0": every[1], "p2": every.get(2, b""), "p3": every.get(3, b"")}]
         if len(event[0]):
             ml = [event[0], *_estimates(event, ctx)]  # the first is a count: the number of all tokens is not known yet
             cell, place, n = np.unique(cell_code(_buckets(ctx, len(event[0])), ml), return_inverse=True, return_counts=True)
             sums = np.stack([np.bincount(place, weights=x) for x in ml])
             out.append(_row(kind=CELLS, n=len(cell), p0=cell.tobytes(), p1=n.astype(np.int64).tobytes(), p2=sums.tobytes()))
+        del tokens, event, ctx, every, rows
+        freed()
         return pa.Table.from_pylist(out, schema=arrow)
 
     return answered.groupBy("dest").applyInArrow(run, schema)
@@ -376,12 +399,12 @@ def interpolated_scores(docs: DataFrame, train: Column, heldout: Column, order:
             for r in batch.to_pylist():
                 ids = r["ids"]
                 lengths = unpack(r["p1"], len(ids)).astype(np.int64)
-                tokens = Tokens(order, np.zeros(int(lengths.sum()) + (order - 1) * len(ids), np.int64), lengths, NONE)
+                tokens = Tokens(order, np.zeros(int(lengths.sum()) + (order - 1) * len(ids), np.int8), lengths, NONE)
                 event, ctx = _counts(tokens, {k: unpack(r[p], len(tokens.at(k))) for k, p in zip(range(1, order + 1), ("p0", "p2", "p3"), strict=False)})
-                mine = weights[_buckets(ctx, len(event[0]))]
-                p = mine[:, 0] / (v + 1) + mine[:, 1] * event[0] / max(1, n)
+                bucket = _buckets(ctx, len(event[0]))
+                p = (weights[:, 0] / (v + 1))[bucket] + weights[:, 1][bucket] * event[0] / max(1, n)
                 for k, ml in enumerate(_estimates(event, ctx), 2):
-                    p += mine[:, k] * ml
+                    p += weights[:, k][bucket] * ml
                 doc = tokens.doc[tokens.event]
                 by_doc = lambda x: np.bincount(doc, weights=x, minlength=len(ids))  # noqa: B023, E731
                 base = by_doc(np.log10((event[0] + 0.5) / (n + 0.5 * (v + 1))))
