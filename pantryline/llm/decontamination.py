@@ -10,7 +10,7 @@ fingerprints differ in 10 bits (deviation 3), so the radius is beyond four devia
 
 Texts pass through once, without a shuffle. Items go to the tasks in blocks of at most ``item_bytes`` of text, a pass
 over the texts for each block. An index holds some 50 bytes for each word of its items, all in flat arrays; windows are looked
-up in slices of a bounded number of shingles, and of windows times items.
+up in slices of a bounded number of shingles, and of windows times the items that share a shingle with them.
 
 Nulls: a null text or item counts as empty, and an item without words is nowhere. Empty texts hold nothing; long ones are read
 whole. Repeated items and rows are reported each; of a text's windows the best is, the first of equals. Ids of any type come back
@@ -100,9 +100,15 @@ def _bit_sums(h: np.ndarray, starts: np.ndarray, n: np.ndarray) -> np.ndarray:
     return out
 
 
+def _runs(starts: np.ndarray, n: int) -> list[tuple[int, int]]:
+    """(first, last) start of each run of windows that touch."""
+    cut = np.flatnonzero(np.diff(starts) > n)
+    return list(zip(starts[np.append(0, cut + 1)].tolist(), starts[np.append(cut, len(starts) - 1)].tolist(), strict=True))
+
+
 @dataclass
 class Sized:
-    """The items of one number of words: ids, shingles one item after the other, ``n`` each, and blocks of fingerprints."""
+    """The items of one number of words: ids, shingles one item after the other, ``n`` each, and fingerprints."""
 
     ids: list
     shingles: np.ndarray
@@ -111,32 +117,44 @@ class Sized:
     def __post_init__(self) -> None:
         at = np.arange(len(self.ids)) * self.n
         self.prints = _fingerprints(_bit_sums(self.shingles, at, np.full(len(at), self.n)), np.full(len(at), self.n))
-        #: of each block: the items in the order of their bytes, and where each byte begins
-        self.order = np.argsort(self.prints, axis=0, kind="stable").astype(np.int32)
-        self.first = np.stack([np.searchsorted(self.prints[self.order[:, b], b], np.arange(257)) for b in range(BLOCKS)]).astype(np.int32)
+        #: of each shingle: its items, from ``first`` on
+        order = np.argsort(self.shingles, kind="stable")
+        self.items = (order // self.n).astype(np.int32)
+        self.known, first = np.unique(self.shingles[order], return_index=True)
+        self.first = np.append(first, len(order))
 
     def of(self, item: int) -> np.ndarray:
         """An item's shingles."""
         return self.shingles[item * self.n : (item + 1) * self.n]
 
-    def listed(self, block: int, byte: int) -> np.ndarray:
-        """Items whose byte in the block is near ``byte``."""
-        order, first = self.order[:, block], self.first[block]
-        return np.concatenate([order[first[x] : first[x + 1]] for x in NEIGHBOURS[byte].tolist()])
-
-    def near(self, prints: np.ndarray) -> Iterator[tuple[int, int, int]]:
-        """(distance, window, item) of fingerprints within the radius, for windows in slices, nearest first in each."""
-        step = max(1, CELLS // len(self.ids))
-        for lo in range(0, len(prints), step):
+    def sharing(self, h: np.ndarray) -> np.ndarray:
+        """The items that have one of the shingles; all others have a similarity of zero with them."""
+        h = np.unique(h)
+        at = np.minimum(np.searchsorted(self.known, h), len(self.known) - 1)
+        at = at[self.known[at] == h]
+        many = self.first[at + 1] - self.first[at]
+        return np.unique(self.items[np.repeat(self.first[at] - (np.cumsum(many) - many), many) + np.arange(int(many.sum()))])
+
+    def near(self, prints: np.ndarray, items: np.ndarray) -> Iterator[tuple[int, int, int]]:
+        """(distance, window, item) of fingerprints within the radius of those of ``items``, for windows in slices, nearest first in each.
+
+        Each block's list holds the items in the order of their bytes; a window looks up all bytes near its own.
+        """
+        mine = self.prints[items]
+        order = np.argsort(mine, axis=0, kind="stable").astype(np.int32)
+        first = [np.searchsorted(mine[order[:, b], b], np.arange(257)) for b in range(BLOCKS)]
+        step = max(1, CELLS // max(1, len(items)))
+        for lo in range(0, len(prints) if len(items) else 0, step):
             part = prints[lo : lo + step]
-            some = np.zeros((len(part), len(self.ids)), bool)
+            some = np.zeros((len(part), len(items)), bool)
             for b in range(BLOCKS):
                 for byte in np.unique(part[:, b]).tolist():
-                    some[np.ix_(part[:, b] == byte, self.listed(b, byte))] = True
+                    listed = np.concatenate([order[first[b][x] : first[b][x + 1], b] for x in NEIGHBOURS[byte].tolist()])
+                    some[np.ix_(part[:, b] == byte, listed)] = True
             w, i = np.nonzero(some)
-            d = np.bitwise_count(part[w].view(np.uint64)[:, 0] ^ self.prints[i].view(np.uint64)[:, 0]).astype(np.int64)
+            d = np.bitwise_count(part[w].view(np.uint64)[:, 0] ^ mine[i].view(np.uint64)[:, 0]).astype(np.int64)
             ok = d <= RADIUS
-            yield from sorted(zip(d[ok].tolist(), (w[ok] + lo).tolist(), i[ok].tolist(), strict=True))
+            yield from sorted(zip(d[ok].tolist(), (w[ok] + lo).tolist(), items[i[ok]].tolist(), strict=True))
 
 
 class Items:
@@ -197,7 +215,8 @@ class Items:
         for lo in range(0, len(starts), 4096):
             part = starts[lo : lo + 4096]
             size = np.full(len(part), n)
-            for d, w, i in sized.near(_fingerprints(_bit_sums(h, part, size), size)):
+            items = sized.sharing(np.concatenate([h[s : e + n] for s, e in _runs(part, n)]))
+            for d, w, i in sized.near(_fingerprints(_bit_sums(h, part, size), size), items):
                 s = int(part[w])
                 if whole.get(i, (65, 0)) <= (d, s):
                     continue
