@@ -16,8 +16,8 @@ units, as scans of files do (a checksum tells if they did not); for rows whose o
 them to the shared folder before.
 
 Hashes stand for words and n-grams. Words have 64 bits: two of n distinct ones share one with a probability of about
-n*n / 2**65. N-grams have 10 bits more than the number of the text's bytes (64 at most), so that of the distinct ones fewer
-than one in a thousand shares its hash, whatever the input's size.
+n*n / 2**65. N-grams have 8 bits more than the number of the text's bytes (64 at most), so that of the distinct ones fewer
+than one in five hundred shares its hash, whatever the input's size.
 
 Nulls: a null text counts as empty: one token, the end. A null condition counts as false, a null id stays null. Repeated rows
 are scored and counted each, whatever their ids. Ids of any type come back as they are. Other columns are neither read nor
@@ -376,7 +376,7 @@ def mixture_weights(table: DataFrame, order: int, tokens: int, vocabulary: int)
     return out
 
 
-def interpolated_scores(docs: DataFrame, train: Column, heldout: Column, order: int = 3, key: str = "doc_id", text: str = "text", unit_bytes: int = 12 << 20, write_first: bool = False) -> DataFrame:
+def interpolated_scores(docs: DataFrame, train: Column, heldout: Column, order: int = 3, key: str = "doc_id", text: str = "text", unit_bytes: int = 8 << 20, write_first: bool = False) -> DataFrame:
     """(key, n_tokens, n_known, train_tokens, base_score, score) of every row of ``docs``.
 
     ``train``: rows to learn from; ``heldout``: of those, the rows whose counts are deleted to learn the mixture weights.
@@ -390,7 +390,7 @@ def interpolated_scores(docs: DataFrame, train: Column, heldout: Column, order:
     flag = lambda c: F.coalesce(c, F.lit(False)).cast("int")
     rows = docs.select(F.col(key).cast(ids_kind).alias("_id"), F.coalesce(F.col(text), F.lit("")).cast("binary").alias("_text"), flag(train).alias("_train"), flag(heldout).alias("_out"))
     size = text_bytes(docs, text)
-    parts_bits, bits = (size // (2 * unit_bytes)).bit_length(), min(64, max(40, size.bit_length() + 10))
+    parts_bits, bits = (size // (2 * unit_bytes)).bit_length(), min(64, max(40, size.bit_length() + 8))
     rows = written(rows, "ngram-rows") if write_first else rows
     answered = _answered(_requests(rows, order, unit_bytes, parts_bits, bits, ids_kind), ids_kind)
     table = written(_joined(answered.unionByName(_units(rows, order, unit_bytes, ids_kind)), order, bits, ids_kind), "ngram-units")
