@@ -8,8 +8,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pantryline.llm import decontamination, fertility, ngram, pieces, sharding, simhash, token_cache, toxicity, url_filter, warc
-from pantryline.llm.common import fold, new_path, written
+from pantryline.llm import decontamination, fertility, negatives, ngram, periods, pieces, sharding, simhash, suffixes, token_cache, toxicity, url_filter, warc
+from pantryline.llm.common import WORD, fold, new_path, written
 
 RULES = [("allow", "org/"), ("block", "example.org/es/"), ("block", "example.org/en/1"), ("allow", "com/fr/"), ("block", "com/de/")]
 WORD_BPE, PIECES = public_tokenizers.path("word_bpe_49k.json"), public_tokenizers.path("piece_bpe_32k.model")
@@ -96,6 +96,54 @@ def op10_url_cascade(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judge_urls(table(spark, sf_dir, "pages"), F.col("url").contains("utm_source="), RULES)
 
 
+def op11_clustered_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hard negatives of every hundredth vector; where an id is divisible by 7 the label is the next one."""
+    df = table(spark, sf_dir, "embeddings")
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    rows = negatives.usable(df, "vec_id", label, "embedding", 256)
+    return negatives.hard_negatives(rows, F.col("vec_id") % 100 == 0, n_positives=5, n_negatives=10, low=30, high=90)
+
+
+def planted_periods(docs: DataFrame) -> DataFrame:
+    """(doc_id, text): in a tenth of the documents all words from some place on repeat those that come first there."""
+    h = F.crc32(F.col("doc_id").cast("string").cast("binary"))
+    words = F.when(h % 10 == 0, F.regexp_extract_all(F.coalesce("text", F.lit("")), F.lit(WORD), F.lit(0)))
+    rows = docs.select("doc_id", "text", h.alias("h"), words.alias("w"))
+    rows = rows.withColumns({"n": F.size("w").cast("long"), "g": F.floor(F.col("h") / 10)})
+    rows = rows.withColumn("a", F.expr("if(n > 0, g % n, 0)")).withColumn("p", F.expr("1 + (n - a) div (3 + g % 8)"))
+    again = F.flatten(F.array_repeat(F.slice("w", (F.col("a") + 1).cast("int"), F.col("p").cast("int")), F.expr("cast((n - a) div p + 1 as int)")))
+    periodic = F.slice(F.concat(F.slice("w", F.lit(1), F.col("a").cast("int")), again), F.lit(1), F.col("n").cast("int"))
+    return rows.select("doc_id", F.when(F.col("n") > 0, F.array_join(periodic, " ")).otherwise(F.col("text")).alias("text"))
+
+
+def op12_suffix_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Runs of every document, a tenth of which is made periodic, and digests of the runs and of what they leave."""
+    found = periods.periodic_runs(planted_periods(table(spark, sf_dir, "documents")))
+    first = F.aggregate(
+        "runs",
+        F.col("runs")[0],
+        lambda best, r: F.when(r["length"] * best["period"] > best["length"] * r["period"], r).otherwise(best),
+    )
+    one = F.when(F.size("runs") > 0, first)
+    lines = F.array_join(F.transform("runs", lambda r: F.concat_ws(",", r["start"], r["length"], r["period"])), "\n")
+    return found.select(
+        "doc_id",
+        F.size("runs").cast("long").alias("n_runs"),
+        one["start"].alias("start"),
+        one["length"].alias("length"),
+        one["period"].alias("period"),
+        F.floor(one["length"] * 1000 / one["period"]).alias("exponent_milli"),
+        F.sha2(F.when(F.size("runs") > 0, F.concat(lines, F.lit("\n"))).otherwise("").cast("binary"), 256).alias("runs_sha256"),
+        F.sha2(F.col("collapsed").cast("binary"), 256).alias("collapsed_sha256"),
+    )
+
+
+def op13_two_stage(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document without the bytes of 200-byte strings that start elsewhere too."""
+    found = suffixes.without_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"), "text", 200)
+    return found.select("doc_id", "n_bytes", "n_removed", F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+
+
 OP10_SQL = r"""
 WITH p AS (
   SELECT page_id, url, CASE WHEN position('://' IN coalesce(url, '')) > 0 THEN substr(url, position('://' IN url) + 3) ELSE '' END AS rest FROM pages
@@ -127,5 +175,19 @@ SELECT d.page_id, d.payload_bytes, d.payload_digest,
 FROM d LEFT JOIN w USING (payload_digest, payload_bytes)
 """
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_deleted_interpolation, op2_fertility, op3_warc_chunks, op4_toxicity, op5_nbest_pieces, op6_simhash_windows, op7_token_counts, op8_pigeonring, op9_external_shuffle, op10_url_cascade)}
-SQL: dict[str, str] = {"op3_warc_chunks": OP3_SQL, "op10_url_cascade": OP10_SQL}
+OP11_SQL = """
+WITH r AS (
+  SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS v
+  FROM embeddings WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), s AS (
+  SELECT a.vec_id AS anchor_id, a.label AS mine, b.vec_id, b.label, list_inner_product(a.v, b.v)::BIGINT AS score FROM r a, r b WHERE a.vec_id % 100 = 0 AND a.vec_id <> b.vec_id
+), p AS (
+  SELECT anchor_id, vec_id AS positive_id, score AS positive_score FROM s WHERE label = mine QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, vec_id) <= 5
+)
+SELECT anchor_id, positive_id, row_number() OVER (PARTITION BY anchor_id, positive_id ORDER BY score DESC, vec_id)::INTEGER AS rank, vec_id AS negative_id, positive_score, score AS negative_score
+FROM p JOIN s USING (anchor_id) WHERE label <> mine AND 30 * positive_score <= 100 * score AND 100 * score <= 90 * positive_score
+QUALIFY rank <= 10
+"""
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_deleted_interpolation, op2_fertility, op3_warc_chunks, op4_toxicity, op5_nbest_pieces, op6_simhash_windows, op7_token_counts, op8_pigeonring, op9_external_shuffle, op10_url_cascade, op11_clustered_lists, op12_suffix_trees, op13_two_stage)}
+SQL: dict[str, str] = {"op3_warc_chunks": OP3_SQL, "op10_url_cascade": OP10_SQL, "op11_clustered_lists": OP11_SQL}
