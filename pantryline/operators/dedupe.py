@@ -10,6 +10,13 @@ from pantryline.operators.resolve import independent_set
 from pantryline.sources.shared import written
 
 
+def join_by(df: DataFrame, other: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
+    """``df`` with the other columns of ``other``, joined by equal keys; null equals null."""
+    there = other.withColumnsRenamed({k: f"_key{i}" for i, k in enumerate(keys)})
+    on = [df[k].eqNullSafe(there[f"_key{i}"]) for i, k in enumerate(keys)]
+    return df.join(there, on, how).drop(*(f"_key{i}" for i in range(len(keys))))
+
+
 def first_wins(df: DataFrame, keys: list[Column | str], ordinal: str) -> DataFrame:
     """W3. The first row of each key."""
     w = Window.partitionBy(*keys).orderBy(ordinal)
@@ -20,7 +27,7 @@ def first_wins_backfill(df: DataFrame, keys: list[str], ordinal: str, column: st
     """W4. The first row of each key; where its ``column`` is unknown or null, the first known value after it."""
     known = F.when(F.col(column).isNotNull() & (F.col(column) != unknown), F.col(column))
     fill = df.groupBy(*keys).agg(F.min_by(known, F.when(known.isNotNull(), F.col(ordinal))).alias("_fill"))
-    out = first_wins(df, keys, ordinal).join(fill, keys, "left")
+    out = join_by(first_wins(df, keys, ordinal), fill, keys, "left")
     return out.withColumn(column, F.when(F.col(column).isNull() | (F.col(column) == unknown), F.coalesce("_fill", F.col(column))).otherwise(F.col(column))).select(df.columns)
 
 
@@ -70,14 +77,14 @@ def batches(df: DataFrame, order: list[str], size: int, partition: list[str] | N
     """W7. batch (from 1) and position in it of each row in order.
 
     Without ``partition`` the order is over all rows: ranges of it are numbered apart and their counts added, so no task
-    gets all rows.
+    gets all rows. The ranges are written before they are counted: two plans of them need not cut alike.
     """
     if partition:
         w = Window.partitionBy(*partition).orderBy(*order)
         out = df.withColumn("_n", F.row_number().over(w).cast("long"))
     else:
         ranged = df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_id", F.monotonically_increasing_id())
-        ranged = ranged.withColumns({"_part": F.shiftright("_id", 33), "_at": F.col("_id") % (1 << 33)})
+        ranged = written(ranged.withColumns({"_part": F.shiftright("_id", 33), "_at": F.col("_id") % (1 << 33)}), "ranges")
         counts = ranged.groupBy("_part").agg(F.count("*").alias("_c"))  # a row a partition
         first = counts.withColumn("_first", F.sum("_c").over(Window.orderBy("_part")) - F.col("_c")).drop("_c")
         out = ranged.join(F.broadcast(first), "_part").withColumn("_n", F.col("_first") + F.col("_at") + 1).drop("_id", "_part", "_at", "_first")
@@ -89,19 +96,12 @@ def similarity_dedupe(df: DataFrame, keys: list[str], words: str, ordinal: str,
 
     Without keys over all rows. Out: keys, ordinal and words of the kept rows; ordinals are unique. Rows with one word set are one
     node, the first. Nodes are compared if they share one of their rarest words, as many as a pair over the limit must share one
-    of (prefix filter), so no pair is lost; the greedy pass is then solved in rounds.
+    of (prefix filter), so no pair is lost; the greedy pass then goes over the links (``independent_set``). Null keys are a key.
     """
     words_of = F.sort_array(F.array_distinct(words))
     rows = df.select(*keys, F.col(ordinal).alias("_o"), F.col(words).alias("_w"), words_of.alias("_set"))
     nodes = written(rows.groupBy(*keys, "_set").agg(F.min("_o").alias("_o")), "word-sets")
-    each = nodes.select(*keys, "_o", F.size("_set").alias("_n"), F.explode("_set").alias("_t"))
-    often = each.groupBy(*keys, "_t").agg(F.count("*").alias("_f"))
-    ranked = each.join(often, [*keys, "_t"]).groupBy(*keys, "_o", "_n").agg(F.sort_array(F.collect_list(F.struct("_f", "_t"))).alias("_r"))
-    prefix = F.slice("_r", F.lit(1), F.col("_n") - F.ceil(F.col("_n") * over).cast("int") + 1)
-    keyed = written(ranked.select(*keys, "_o", "_n", F.explode(F.transform(prefix, lambda x: x["_t"])).alias("_t")), "prefixes")
-    other = keyed.select(*keys, "_t", F.col("_o").alias("_hi"), F.col("_n").alias("_m"))
-    near = (F.col("_o") < F.col("_hi")) & (F.least("_n", "_m") >= F.greatest("_n", "_m") * over)
-    pairs = keyed.join(other, [*keys, "_t"]).filter(near).select(F.col("_o").alias("lo"), F.col("_hi").alias("hi")).distinct()
+    pairs = word_set_candidates(nodes, keys, over)
     side = lambda o, w: nodes.select(F.col("_o").alias(o), F.col("_set").alias(w))
     both = pairs.join(side("lo", "_x"), "lo").join(side("hi", "_y"), "hi")
     alike = F.size(F.array_intersect("_x", "_y")) / F.size(F.array_union("_x", "_y")) > over
@@ -110,6 +110,28 @@ def similarity_dedupe(df: DataFrame, keys: list[str], words: str, ordinal: str,
     return kept.select(*keys, F.col("_o").alias(ordinal), F.col("_w").alias(words))
 
 
+def word_set_candidates(nodes: DataFrame, keys: list[str], over: float) -> DataFrame:
+    """W9. Pairs (lo, hi) of nodes (keys, _o, _set) of one key that can have a Jaccard similarity over ``over``; no such pair is missing.
+
+    Sets share one of their rarest words. At the first word that a pair shares, no more words are left to share than either set has
+    from there on (position filter); and words that only one of two sets has show in the sets' 64-bit signatures (suffix
+    bound). Both are tested as the index is joined.
+    """
+    bit = F.transform("_set", lambda w: F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod(F.xxhash64(w), F.lit(64)).cast("int")))
+    signature = F.aggregate(bit, F.lit(0).cast("long"), lambda s, x: s.bitwiseOR(x))
+    each = nodes.select(*keys, "_o", F.size("_set").alias("_n"), signature.alias("_b"), F.explode("_set").alias("_t"))
+    often = each.groupBy(*keys, "_t").agg(F.count("*").alias("_f"))
+    ranked = join_by(each, often, [*keys, "_t"]).groupBy(*keys, "_o", "_n", "_b").agg(F.sort_array(F.collect_list(F.struct("_f", "_t"))).alias("_r"))
+    prefix = F.slice("_r", F.lit(1), F.col("_n") - F.ceil(F.col("_n") * over).cast("int") + 1)
+    keyed = written(ranked.select(*keys, "_o", "_n", "_b", F.posexplode(F.transform(prefix, lambda x: x["_t"])).alias("_at", "_t")), "prefixes")
+    other = keyed.withColumnsRenamed({"_o": "_hi", "_n": "_m", "_b": "_c", "_at": "_to"})
+    most = F.least(F.col("_n") - F.col("_at"), F.col("_m") - F.col("_to"))
+    needed = (F.col("_n") + F.col("_m")) * (over / (1 + over)) - 1e-9
+    apart = F.bit_count(F.col("_b").bitwiseXOR(F.col("_c")))
+    near = (F.col("_o") < F.col("_hi")) & (F.least("_n", "_m") >= F.greatest("_n", "_m") * over) & (most >= needed) & (F.col("_n") + F.col("_m") - apart >= needed * 2)
+    return join_by(keyed, other, [*keys, "_t"]).filter(near).select(F.col("_o").alias("lo"), F.col("_hi").alias("hi")).distinct()
+
+
 def cascade(df: DataFrame, keys: list[str], rank: str, thresholds: list[int]) -> DataFrame:
     """U2. Strategies by rank from 0: strategy ``k`` counts only if the kept ones before it gave under ``thresholds[k]`` rows."""
     counts = df.groupBy(*keys).agg(*(F.count_if(F.col(rank) == k).alias(f"_n{k}") for k in range(len(thresholds))))
@@ -118,7 +140,7 @@ def cascade(df: DataFrame, keys: list[str], rank: str, thresholds: list[int]) ->
         use.append((total < least) if k else F.lit(True))
         total = total + F.when(use[k], F.col(f"_n{k}")).otherwise(0)
     flags = counts.select(*keys, F.array(*use).alias("_use"))
-    return df.join(flags, keys).filter(F.element_at("_use", (F.col(rank) + 1).cast("int"))).select(df.columns)
+    return join_by(df, flags, keys).filter(F.element_at("_use", (F.col(rank) + 1).cast("int"))).select(df.columns)
 
 
 def source_fallback(df: DataFrame, key: str, source: str, name: str, price: str, ordinal: str, enough: int = 5) -> DataFrame:
@@ -128,7 +150,7 @@ def source_fallback(df: DataFrame, key: str, source: str, name: str, price: str,
     """
     n = df.groupBy(key).agg(F.count_if(F.col(source) == "primary").alias("_p"), F.count_if(F.col(source) == "fallback").alias("_f"))
     label = F.when(F.col("_p") >= enough, "primary_url").when(F.col("_f") > F.col("_p"), "fallback_website").when(F.col("_f") > 0, "combined").otherwise("primary_url_only")
-    both = df.join(n.select(key, label.alias("label")), key)
+    both = join_by(df, n.select(key, label.alias("label")), [key])
     one = both.filter(((F.col("label").isin("primary_url", "primary_url_only")) & (F.col(source) == "primary")) | ((F.col("label") == "fallback_website") & (F.col(source) == "fallback")))
     mixed = first_wins(both.filter("label = 'combined'"), [key, name, price], ordinal)
     return one.unionByName(mixed)

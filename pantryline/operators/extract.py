@@ -1,6 +1,7 @@
 """Landed pages to candidate rows, by patterns alone (JVM side). A null page gives no rows.
 
-Blocks are matched by their tags as text: a block does not hold a block of its own tag.
+Elements are found by a pass over a page's tags with a stack (``elements``), within the row: blocks of the same tag lie inside each
+other as deep as they like.
 """
 
 from __future__ import annotations
@@ -40,30 +41,105 @@ def text_lines(df: DataFrame, key: str, content: Column, low: int, high: int) ->
     return df.select(key, F.posexplode(F.split(content, "\n")).alias("line_no", "line")).withColumn("line", F.trim("line")).filter(F.length("line").between(low, high))
 
 
-def _blocks(html: Column, tag: str) -> Column:
-    return F.regexp_extract_all(html, F.lit(rf"(?is)<{tag}\b[^>]*>(.*?)</{tag}>"), 1)
+#: Elements without content, and those that the next of their name ends if nothing else has.
+VOID = ("area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "source", "track", "wbr")
+ENDED_BY_NEXT = ("li", "p", "tr", "td", "th", "dt", "dd", "option")
+TAG = r"</?[A-Za-z][^>]*>"
+UNSEEN = r"(?is)<script\b.*?</script>|<style\b.*?</style>|<!--.*?-->"
+ELEMENT = "name string, tag string, start int, end int, up int"
+
+
+def elements(html: Column) -> Column:
+    """The elements of a page without scripts, styles and comments, in the order of their ends: (name, tag, start, end, up).
+
+    ``start`` and ``end`` are the places of the content, from 0; ``up`` is the start of the element round it, or -1. An end tag also ends
+    what was opened within and has no end; one without a beginning counts for nothing; what is still open at the end ends there.
+    """
+    gaps, tags = F.transform(F.split(html, TAG, -1), F.length), F.regexp_extract_all(html, F.lit(TAG), F.lit(0))
+
+    def tag(x: Column) -> Column:
+        name = F.lower(F.regexp_extract(x["tags"], r"^</?([A-Za-z][A-Za-z0-9-]*)", 1))
+        alone = name.isin(*VOID) | x["tags"].endswith("/>")
+        return F.struct(name.alias("name"), x["tags"].alias("tag"), x["gaps"].alias("gap"), F.length(x["tags"]).alias("size"), x["tags"].startswith("</").alias("ends"), alone.alias("alone"))
+
+    none = F.array().cast(f"array<struct<{', '.join(c.replace(' ', ':') for c in ELEMENT.split(', '))}>>")
+
+    def made(e: Column, end: Column, up: Column) -> Column:
+        return F.struct(e["name"].alias("name"), e["tag"].alias("tag"), e["start"].alias("start"), end.alias("end"), up.alias("up"))
+
+    def ended(stack: Column, n: Column, end: Column) -> Column:
+        """The top ``n`` of the stack, which is kept top first."""
+        return F.transform(F.slice(stack, F.lit(1), n), lambda e: made(e, end, e["up"]))
+
+    def step(s: Column, x: Column) -> Column:
+        begin = s["at"] + x["gap"]
+        after, stack, out = begin + x["size"], s["stack"], s["out"]
+        same = F.array_position(F.transform(stack, lambda e: e["name"]), x["name"]).cast("int")
+        n = F.when(x["ends"], same).when(x["name"].isin(*ENDED_BY_NEXT) & (same == 1), 1).otherwise(0)
+        rest = F.when(n > 0, F.slice(stack, n + 1, F.greatest(F.size(stack), F.lit(1)))).otherwise(stack)
+        up = F.coalesce(F.get(rest, F.lit(0))["start"], F.lit(-1))
+        new = F.array(F.struct(x["name"].alias("name"), x["tag"].alias("tag"), after.alias("start"), after.alias("end"), up.alias("up")))
+        done = F.when(n > 0, F.concat(out, ended(stack, n, begin))).otherwise(out)
+        opens = ~x["ends"] & ~x["alone"]
+        return F.struct(after.alias("at"), F.when(opens, F.concat(new, rest)).otherwise(rest).alias("stack"), F.when(~x["ends"] & x["alone"], F.concat(done, new)).otherwise(done).alias("out"))
+
+    begin = F.struct(F.lit(0).alias("at"), none.alias("stack"), none.alias("out"))
+    each = F.transform(F.filter(F.arrays_zip(gaps.alias("gaps"), tags.alias("tags")), lambda x: x["tags"].isNotNull()), tag)
+    return F.aggregate(each, begin, step, lambda s: F.concat(s["out"], ended(s["stack"], F.size(s["stack"]), F.length(html))))
+
+
+def _inner(html: str, e: Column) -> Column:
+    return F.substring(F.col(html), e["start"] + 1, e["end"] - e["start"])
+
+
+def _with_elements(df: DataFrame, key: str, html: str) -> DataFrame:
+    """(key, _h: the page without scripts and the like, _e: its elements by their start)."""
+    seen = df.select(key, F.regexp_replace(html, UNSEEN, "").alias("_h"))
+    return seen.withColumn("_e", F.array_sort(F.transform(elements(F.col("_h")), lambda e: F.struct(e["start"].alias("start"), e["end"].alias("end"), e["up"].alias("up"), e["name"].alias("name"), e["tag"].alias("tag")))))
+
+
+def _named(*names: str) -> Column:
+    return F.filter("_e", lambda e: e["name"].isin(*names))
+
+
+def _attribute(name: str, pattern: str) -> str:
+    """A pattern for tags whose attribute matches a pattern, in either kind of quotes."""
+    return rf"""(?is)\s{name}\s*=\s*(?:"[^"]*(?:{pattern})[^"]*"|'[^']*(?:{pattern})[^']*')"""
 
 
 def list_items(df: DataFrame, key: str, html: str, evidence: str = r"(?i)\$|price|menu") -> DataFrame:
-    """P2. (key, list_no, item_no, item) of lists that show ``evidence`` in two or more of their first five items."""
-    lists = df.select(key, F.posexplode(_blocks(F.col(html), "ul")).alias("list_no", "_list")).withColumn("_items", F.transform(_blocks(F.col("_list"), "li"), strip_tags))
+    """P2. (key, list_no, item_no, item) of lists that show ``evidence`` in two or more of their first five items.
+
+    A list's items are those directly in it; an item's text includes that of a list within.
+    """
+    pages = _with_elements(df, key, html).withColumn("_li", _named("li"))
+    lists = pages.select(key, "_h", "_li", F.posexplode(_named("ul")).alias("list_no", "_u"))
+    mine = F.filter("_li", lambda e: e["up"] == F.col("_u")["start"])
+    lists = lists.withColumn("_items", F.transform(mine, lambda e: strip_tags(_inner("_h", e))))
     shown = F.size(F.filter(F.slice("_items", 1, 5), lambda x: x.rlike(evidence))) >= 2
     return lists.filter(shown).select(key, "list_no", F.posexplode("_items").alias("item_no", "item"))
 
 
 def table_rows(df: DataFrame, key: str, html: str) -> DataFrame:
-    """P3. (key, row_no, name, price): the first cell and the price in the last one, of table rows with two or more cells."""
-    rows = df.select(key, F.posexplode(_blocks(F.col(html), "tr")).alias("row_no", "_row"))
-    cells = F.transform(F.regexp_extract_all("_row", F.lit(r"(?is)<t[dh]\b[^>]*>(.*?)</t[dh]>"), 1), strip_tags)
-    rows = rows.withColumn("_cells", cells).filter(F.size("_cells") >= 2)
+    """P3. (key, row_no, name, price): the first cell and the price in the last one, of table rows with two or more cells.
+
+    A row's cells are those directly in it; a table within a cell has rows of its own.
+    """
+    pages = _with_elements(df, key, html).withColumn("_td", _named("td", "th"))
+    rows = pages.select(key, "_h", "_td", F.posexplode(_named("tr")).alias("row_no", "_r"))
+    mine = F.filter("_td", lambda e: e["up"] == F.col("_r")["start"])
+    rows = rows.withColumn("_cells", F.transform(mine, lambda e: strip_tags(_inner("_h", e)))).filter(F.size("_cells") >= 2)
     return rows.select(key, "row_no", F.col("_cells")[0].alias("name"), F.nullif(F.regexp_extract(F.element_at("_cells", -1), PRICE, 0), F.lit("")).alias("price"))
 
 
+HREF = r"""(?is)<a\b[^>]*?\shref\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))[^>]*>(.*?)</a>"""
+
+
 def links(df: DataFrame, key: str, html: str) -> DataFrame:
-    """P4. (key, pos, href, text) of links."""
-    pattern = r'(?is)<a\b[^>]*?href="([^"]*)"[^>]*>(.*?)</a>'
-    both = F.arrays_zip(F.regexp_extract_all(html, F.lit(pattern), 1).alias("href"), F.transform(F.regexp_extract_all(html, F.lit(pattern), 2), strip_tags).alias("text"))
-    return df.select(key, F.posexplode(both).alias("pos", "_l")).select(key, "pos", F.col("_l.href").alias("href"), F.col("_l.text").alias("text"))
+    """P4. (key, pos, href, text) of links; an address stands in double quotes, in single ones, or in none."""
+    found = lambda i: F.regexp_extract_all(html, F.lit(HREF), F.lit(i))
+    both = F.arrays_zip(found(1).alias("a"), found(2).alias("b"), found(3).alias("c"), F.transform(found(4), strip_tags).alias("text"))
+    return df.select(key, F.posexplode(both).alias("pos", "_l")).select(key, "pos", F.concat("_l.a", "_l.b", "_l.c").alias("href"), F.col("_l.text").alias("text"))
 
 
 def name_price_pairs(df: DataFrame, key: str, content: Column, pattern: str = r"([A-Z][A-Za-z ,&'-]{2,60}?)[ .]*\$(\d+(?:\.\d{2})?)", needs: list[str] | None = None, without: list[str] | None = None, longer: int = 0) -> DataFrame:
@@ -109,17 +185,26 @@ def mention_confidence(dish: Column, review: Column, categories: list[tuple[str,
     return F.least(F.greatest(score, F.lit(0.0)), F.lit(1.0))
 
 
+def _first_within(block: Column, candidates: str) -> Column:
+    """Of the elements in a column the first within a block; null if there is none."""
+    return F.get(F.filter(candidates, lambda e: (e["start"] > block["start"]) & (e["end"] <= block["end"])), F.lit(0))
+
+
 def class_blocks(df: DataFrame, key: str, html: str, classes: str = "item|dish|food") -> DataFrame:
-    """P9. (key, pos, name, description, price) of elements whose class has one of the words."""
-    blocks = F.regexp_extract_all(html, F.lit(rf'(?is)<(div|article|section|li)\b[^>]*class="[^"]*(?:{classes})[^"]*"[^>]*>(.*?)</\1>'), 2)
-    rows = df.select(key, F.posexplode(blocks).alias("pos", "_b"))
-    one = lambda p: F.nullif(strip_tags(F.regexp_extract("_b", p, 2)), F.lit(""))
-    return rows.select(key, "pos", one(r"(?is)<(h[1-6]|strong|b)\b[^>]*>(.*?)</\1>").alias("name"), one(r'(?is)<(\w+)\b[^>]*class="[^"]*(?:desc|detail)[^"]*"[^>]*>(.*?)</\1>').alias("description"), F.nullif(F.regexp_extract("_b", PRICE, 0), F.lit("")).alias("price"))
+    """P9. (key, pos, name, description, price) of elements whose class has one of the words, however deep what they hold lies.
+
+    An element of such a class within another is a block of its own as well.
+    """
+    by_class = lambda words: lambda e: e["tag"].rlike(_attribute("class", words))
+    pages = _with_elements(df, key, html).withColumns({"_names": _named("h1", "h2", "h3", "h4", "h5", "h6", "strong", "b"), "_descs": F.filter("_e", by_class("desc|detail"))})
+    rows = pages.select(key, "_h", "_names", "_descs", F.posexplode(F.filter(_named("div", "article", "section", "li"), by_class(classes))).alias("pos", "_b"))
+    one = lambda column: F.nullif(strip_tags(_inner("_h", _first_within(F.col("_b"), column))), F.lit(""))
+    return rows.select(key, "pos", one("_names").alias("name"), one("_descs").alias("description"), F.nullif(F.regexp_extract(_inner("_h", F.col("_b")), PRICE, 0), F.lit("")).alias("price"))
 
 
 def _scripts(df: DataFrame, key: str, html: str, kind: str) -> DataFrame:
     bodies = F.regexp_extract_all(html, F.lit(rf"(?is)<script\b{kind}[^>]*>(.*?)</script>"), 1)
-    return df.select(key, F.posexplode(bodies).alias("script_no", "_s")).withColumn("_v", F.try_parse_json("_s")).filter("_v is not null").drop("_s")
+    return df.select(key, F.posexplode(bodies).alias("script_no", "_s")).withColumn("_v", F.try_parse_json("_s")).filter("_v is not null")
 
 
 def jsonld_items(df: DataFrame, key: str, html: str) -> DataFrame:
@@ -139,30 +224,64 @@ def jsonld_items(df: DataFrame, key: str, html: str) -> DataFrame:
     return rows.select(key, "script_no", get("$.name").alias("name"), get("$.description").alias("description"), F.coalesce(get("$.offers.price"), get("$.offers[0].price")).alias("price"), F.lit(0.9).alias("confidence")).filter("name is not null")
 
 
-def jsonld_items_anywhere(df: DataFrame, key: str, html: str, depth: int = 8) -> DataFrame:
-    """P10. (key, script_no, name, description, price, confidence) of all lists or objects under ``hasMenuItem``, however deep they lie.
+JSON_TOKEN = r'"[^"\\]*+(?:\\.[^"\\]*+)*+"|[{}\[\]]'
 
-    Each of ``depth`` steps opens the objects and lists of the one before; Catalyst sees one plan of so many generators.
+
+def objects_under(json: Column, name: str) -> Column:
+    """The objects of a JSON text that stand under a name, alone or in lists, at any depth, as texts.
+
+    One pass over the text's strings and brackets with a stack: a list hands its name to what is in it.
     """
-    level = _scripts(df, key, html, r'[^>]*type="application/ld\+json"').select(key, "script_no", "_v", F.lit("").alias("_name"))
-    found = []
-    for _ in range(depth):
-        opened = level.lateralJoin(df.sparkSession.tvf.variant_explode(F.col("_v").outer()).toDF("_pos", "_k", "_next"))
-        level = opened.select(key, "script_no", F.col("_next").alias("_v"), F.coalesce(F.nullif(F.col("_k"), F.lit("")), F.col("_name")).alias("_name"))
-        # a list's elements keep the name that the list stands under
-        found.append(level.filter("_name = 'hasMenuItem' and schema_of_variant(_v) like 'OBJECT%'").select(key, "script_no", F.col("_v").alias("_i")))
-        level = level.filter("schema_of_variant(_v) like 'OBJECT%' or schema_of_variant(_v) like 'ARRAY%'")
-        level = level.withColumn("_name", F.when(F.expr("schema_of_variant(_v) like 'ARRAY%'"), F.col("_name")).otherwise(""))
-    rows = reduce(DataFrame.unionByName, found)
+    gaps, tokens = F.split(json, JSON_TOKEN, -1), F.regexp_extract_all(json, F.lit(JSON_TOKEN), F.lit(0))
+    spans = F.array().cast("array<struct<start:int,end:int>>")
+    stack = F.array().cast("array<struct<start:int,named:boolean,list:boolean>>")
+
+    def step(s: Column, x: Column) -> Column:
+        t, begin = x["tokens"], s["at"] + F.length(x["gaps"])
+        after, top = begin + F.length(t), F.get(s["stack"], F.lit(0))
+        # a value follows its name and a colon; within a list it has the list's
+        named = F.when(F.contains(x["gaps"], F.lit(":")), s["name"] == F.lit(f'"{name}"')).otherwise(F.coalesce(top["list"] & top["named"], F.lit(False)))
+        opens, ends = t.isin("{", "["), t.isin("}", "]")
+        new = F.array(F.struct(begin.alias("start"), named.alias("named"), (t == "[").alias("list")))
+        found = F.array(F.struct(top["start"].alias("start"), after.alias("end")))
+        return F.struct(
+            after.alias("at"),
+            F.when(opens | ends, F.lit("")).otherwise(t).alias("name"),
+            F.when(opens, F.concat(new, s["stack"])).when(ends, F.slice(s["stack"], F.lit(2), F.greatest(F.size(s["stack"]), F.lit(1)))).otherwise(s["stack"]).alias("stack"),
+            F.when(ends & top["named"] & ~top["list"], F.concat(s["out"], found)).otherwise(s["out"]).alias("out"),
+        )
+
+    begin = F.struct(F.lit(0).alias("at"), F.lit("").alias("name"), stack.alias("stack"), spans.alias("out"))
+    each = F.filter(F.arrays_zip(gaps.alias("gaps"), tokens.alias("tokens")), lambda x: x["tokens"].isNotNull())
+    found = F.aggregate(each, begin, step, lambda s: F.array_sort(s["out"]))
+    return F.transform(found, lambda x: F.substring(json, x["start"] + 1, x["end"] - x["start"]))
+
+
+def jsonld_items_anywhere(df: DataFrame, key: str, html: str) -> DataFrame:
+    """P10. (key, script_no, name, description, price, confidence) of all lists or objects under ``hasMenuItem``, however deep they lie."""
+    s = _scripts(df, key, html, r'[^>]*type="application/ld\+json"').select(key, "script_no", "_s")
+    rows = s.select(key, "script_no", F.explode(objects_under(F.col("_s"), "hasMenuItem")).alias("_t")).withColumn("_i", F.try_parse_json("_t"))
     get = lambda p: F.try_variant_get("_i", p, "string")
     return rows.select(key, "script_no", get("$.name").alias("name"), get("$.description").alias("description"), F.coalesce(get("$.offers.price"), get("$.offers[0].price")).alias("price"), F.lit(0.9).alias("confidence")).filter("name is not null")
 
 
 def microdata_items(df: DataFrame, key: str, html: str) -> DataFrame:
-    """P11. (key, pos, name, description, price) of elements with an itemtype of MenuItem or Food."""
-    blocks = F.regexp_extract_all(html, F.lit(r'(?is)<(div|article|section|li)\b[^>]*itemtype="[^"]*(?:MenuItem|Food)[^"]*"[^>]*>(.*?)</\1>'), 2)
-    prop = lambda p: F.nullif(strip_tags(F.regexp_extract("_b", rf'(?is)<(\w+)\b[^>]*itemprop="{p}"[^>]*>(.*?)</\1>', 2)), F.lit(""))
-    return df.select(key, F.posexplode(blocks).alias("pos", "_b")).select(key, "pos", prop("name").alias("name"), prop("description").alias("description"), prop("price").alias("price"))
+    """P11. (key, pos, name, description, price) of elements with an itemtype of MenuItem or Food.
+
+    A property is the text of the first element in the block that has it, or its ``content`` where it has no text (as of ``meta``).
+    """
+    props = ("name", "description", "price")
+    has = lambda p: lambda e: e["tag"].rlike(rf"""(?i)\sitemprop\s*=\s*["']?{p}\b""")
+    pages = _with_elements(df, key, html).withColumns({f"_{p}s": F.filter("_e", has(p)) for p in props})
+    blocks = F.filter(_named("div", "article", "section", "li"), lambda e: e["tag"].rlike(_attribute("itemtype", "MenuItem|Food")))
+    rows = pages.select(key, "_h", *(f"_{p}s" for p in props), F.posexplode(blocks).alias("pos", "_b"))
+
+    def value(p: str) -> Column:
+        e = _first_within(F.col("_b"), f"_{p}s")
+        content = F.regexp_extract(e["tag"], r"""(?is)\scontent\s*=\s*(?:"([^"]*)"|'([^']*)')""", 1)
+        return F.coalesce(F.nullif(strip_tags(_inner("_h", e)), F.lit("")), F.nullif(strip_tags(content), F.lit(""))).alias(p)
+
+    return rows.select(key, "pos", *map(value, props))
 
 
 def embedded_items(df: DataFrame, key: str, html: str) -> DataFrame:

@@ -8,7 +8,9 @@ given once for each cell that can hold its partners, and the join is on the cell
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -113,18 +115,100 @@ def merge_stats(a: DataFrame, b: DataFrame, matches: DataFrame) -> DataFrame:
     )
 
 
-def independent_set(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+#: Nodes and links that one task may pass over in the greedy choice: some 100 MB of kept ids.
+IN_ONE_TASK = 1_000_000
+
+
+def components(links: DataFrame) -> DataFrame:
+    """(id, root): the least id that each end of ``links`` (lo, hi), lo before hi, can reach.
+
+    Star contraction: in turns each node hands its greater neighbours and its lesser ones to the least it knows. Each round is an
+    aggregate and a join, written to the shared folder, and there are about as many as the logarithm of the longest path.
+    """
+    now, last = written(links.select("lo", "hi").distinct(), "links"), None
+    while True:
+        both = now.unionByName(now.select(F.col("hi").alias("lo"), F.col("lo").alias("hi")))  # lo: a node, hi: a neighbour
+        least = both.groupBy("lo").agg(F.least(F.min("hi"), F.col("lo")).alias("m"))
+        large = both.filter("hi > lo").join(least, "lo").select(F.col("m").alias("lo"), "hi").filter("lo < hi").distinct()
+        large = written(large, "links")
+        least = large.groupBy("hi").agg(F.min("lo").alias("m"))
+        small = large.join(least, "hi").select(F.col("m").alias("x"), F.explode(F.array("lo", "hi")).alias("hi"))
+        now = written(small.select(F.col("x").alias("lo"), "hi").filter("lo < hi").distinct(), "links")
+        state = now.agg(F.count("*"), F.sum(F.xxhash64("lo", "hi").cast("decimal(38,0)"))).first()
+        if state == last:
+            break
+        last = state
+    return now.select(F.col("hi").alias("id"), F.col("lo").alias("root")).unionByName(now.select(F.col("lo").alias("id"), F.col("lo").alias("root")).distinct())
+
+
+def _greedy(rows: DataFrame) -> DataFrame:
+    """Ids kept of rows (root, id, key, lo): nodes with a key, links without; a root's rows pass in the order of ids, in one task."""
+    kind = rows.schema["id"].dataType
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        root, kept, keys, blocked = None, set(), set(), None
+        node, out = None, []
+
+        def close() -> None:
+            if node is not None and not blocked and node[1] not in keys:
+                kept.add(node[0])
+                keys.add(node[1])
+                out.append(node[0])
+
+        for batch in batches:
+            for r, i, key, lo in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if node is None or r != root or i != node[0]:  # the node's own row comes before its links
+                    close()
+                    if r != root:
+                        root, kept, keys = r, set(), set()
+                    node, blocked = (i, key), False
+                elif lo in kept:
+                    blocked = True
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(out, batch.schema.field("id").type)], names=["id"])
+                out = []
+        close()
+        if out:
+            yield pa.RecordBatch.from_arrays([pa.array(out, batch.schema.field("id").type)], names=["id"])
+
+    return rows.select("root", "id", "key", "lo").mapInArrow(run, T.StructType([T.StructField("id", kind)]))
+
+
+def independent_set(nodes: DataFrame, edges: DataFrame, in_one_task: int = IN_ONE_TASK) -> DataFrame:
     """Nodes (id, key) that a pass in the order of ids keeps, when it drops each node that has an edge to a kept earlier
-    one, or the key of one.
+    one, or the key of one. Null is a key too.
 
-    ``edges``: (lo, hi), lo before hi. Rounds: a node is kept that is the first undecided one of its key and has no
-    undecided earlier neighbour; its key's others and its neighbours go. Each round is written to the shared folder. There
-    are as many rounds as the longest rising chain is long, and no pairs are made within a key.
+    ``edges``: (lo, hi), lo before hi. Nodes without edges are settled by an aggregate. The others, with their links, pass through
+    one task if they are at most ``in_one_task``; else each connected component (by edges and keys) passes alone, in the task that it
+    falls to, and components over that number go in rounds (``_rounds``). No pairs are made within a key.
     """
+    nodes = nodes.select("id", F.coalesce(F.concat(F.lit("+"), "key"), F.lit("-")).alias("key"))
+    edges = written(edges.select("lo", "hi").distinct(), "edges")
     ends = edges.select(F.col("hi").alias("id")).unionByName(edges.select(F.col("lo").alias("id"))).distinct()
-    busy = nodes.join(nodes.join(ends, "id", "left_semi").select("key").distinct(), "key", "left_semi")
-    calm = nodes.join(busy.select("key").distinct(), "key", "left_anti").groupBy("key").agg(F.min("id").alias("id"))
-    kept, left, open_nodes = calm.select("id"), written(edges.select("lo", "hi").distinct(), "edges"), written(busy.select("id", "key"), "open")
+    busy_keys = nodes.join(ends, "id", "left_semi").select("key").distinct()
+    busy = written(nodes.join(busy_keys, "key", "left_semi").select("id", "key"), "open")
+    calm = nodes.join(busy_keys, "key", "left_anti").groupBy("key").agg(F.min("id").alias("id")).select("id")
+    no_key, no_lo = F.lit(None).cast("string"), F.lit(None).cast(nodes.schema["id"].dataType)
+    rows = busy.select("id", "key", no_lo.alias("lo")).unionByName(edges.select(F.col("hi").alias("id"), no_key.alias("key"), "lo"))
+    order = ["root", "id", F.asc_nulls_first("lo")]
+    if busy.count() + edges.count() <= in_one_task:
+        return calm.unionByName(_greedy(rows.withColumn("root", F.lit(0)).coalesce(1).sortWithinPartitions(*order)))
+    hubs = busy.join(busy.groupBy("key").agg(F.min("id").alias("lo")), "key").filter("lo < id").select("lo", F.col("id").alias("hi"))
+    roots = written(components(edges.unionByName(hubs)), "roots")
+    rooted = rows.join(roots, "id")
+    large = written(rooted.groupBy("root").count().filter(F.col("count") > in_one_task).select("root"), "large")
+    small = rooted.join(large, "root", "left_anti").repartition("root").sortWithinPartitions(*order)
+    kept = calm.unionByName(_greedy(small))
+    if large.isEmpty():
+        return kept
+    rest = written(rooted.join(large, "root", "left_semi"), "rest")
+    return kept.unionByName(_rounds(rest.filter("lo is null").select("id", "key"), rest.filter("lo is not null").select("lo", F.col("id").alias("hi"))))
+
+
+def _rounds(open_nodes: DataFrame, left: DataFrame) -> DataFrame:
+    """As ``independent_set``, for components of any size: in a round those nodes are kept that are the first undecided ones of their
+    key and have no undecided earlier neighbour; their key's others and their neighbours go. As many rounds as the longest rising chain."""
+    kept = open_nodes.select("id").limit(0)
     while not open_nodes.isEmpty():
         first = open_nodes.groupBy("key").agg(F.min("id").alias("id"))
         take = written(first.join(left.select(F.col("hi").alias("id")), "id", "left_anti").select("id", "key"), "take")

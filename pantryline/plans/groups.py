@@ -72,6 +72,12 @@ def w7_batches(t: Tables) -> DataFrame:
     return dedupe.batches(t.orders.select("o_orderkey"), ["o_orderkey"], 50)
 
 
+@query("SELECT *, (row_number() OVER (ORDER BY o_custkey, o_orderkey) - 1) // 50 + 1 AS batch, (row_number() OVER (ORDER BY o_custkey, o_orderkey) - 1) % 50 + 1 AS position FROM orders")
+def w7_wide_batches(t: Tables) -> DataFrame:
+    """Batches of whole rows, in the order of two columns."""
+    return dedupe.batches(t.orders, ["o_custkey", "o_orderkey"], 50)
+
+
 @query("SELECT event_id, ts FROM events ORDER BY ts DESC, event_id DESC LIMIT 10")
 def w8_recent(t: Tables) -> DataFrame:
     """The last ten."""

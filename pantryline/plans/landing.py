@@ -189,6 +189,50 @@ def p9_class_blocks(t: Tables) -> DataFrame:
     return extract.class_blocks(_blocks(t, html), "p_partkey", "html")
 
 
+NESTED = '<div class="menu-item"><div class="hd"><div><h3>{n}</h3></div></div><div class="desc">hot <div>&amp; <i>fresh</i></div> soup</div><div><div>${p}</div></div></div>'
+
+
+@query(f"SELECT p_partkey, pos, CASE pos WHEN 0 THEN name WHEN 1 THEN name ELSE 'Tea' END AS name, CASE pos WHEN 2 THEN NULL ELSE 'hot & fresh soup' END AS description, CASE pos WHEN 2 THEN '$2' ELSE '$' || price END AS price FROM ({NAMED}) CROSS JOIN (VALUES (0), (1), (2)) AS r(pos)")
+def p9_nested_blocks(t: Tables) -> DataFrame:
+    """Items whose parts lie in elements of the same tag, within a section that has such a class as well."""
+    html = _around('<!-- <div class="item"> --><section class="items">', NESTED, "<p>unclosed<li class='dish'><strong>Tea</strong> $2</section></div>")
+    return extract.class_blocks(_blocks(t, html), "p_partkey", "html")
+
+
+@query(f"SELECT p_partkey, list_no, item_no, CASE list_no WHEN 0 THEN CASE item_no WHEN 0 THEN name || ' $' || price ELSE 'Menu of the day: Tea $2Cake $3' END ELSE CASE item_no WHEN 0 THEN 'Tea $2' ELSE 'Cake $3' END END AS item FROM ({NAMED}) CROSS JOIN (VALUES (0), (1)) AS l(list_no) CROSS JOIN (VALUES (0), (1)) AS r(item_no)")
+def p2_nested_lists(t: Tables) -> DataFrame:
+    """Items of lists, and those of a list within an item."""
+    html = _around("<ul><li>{n} <b>${p}</b></li><li>Menu of the day: <ul><li>Tea $2</li><li>Cake $3</li></ul></li></ul>")
+    return extract.list_items(_blocks(t, html), "p_partkey", "html")
+
+
+@query(f"SELECT p_partkey, row_no, CASE row_no WHEN 0 THEN name ELSE 'Tea' END AS name, CASE row_no WHEN 0 THEN '$' || price ELSE '$2' END AS price FROM ({NAMED}) CROSS JOIN (VALUES (0), (1)) AS r(row_no)")
+def p3_nested_tables(t: Tables) -> DataFrame:
+    """Rows of a table, and of one in a cell of it."""
+    html = _around("<table><tr><td>{n}</td><td><table><tr><td>Tea</td><td>$2</td></tr></table></td><td>${p}</td></tr></table>")
+    return extract.table_rows(_blocks(t, html), "p_partkey", "html")
+
+
+@query(f"SELECT p_partkey, 0 AS pos, name, 'a d e' AS description, price FROM ({NAMED})")
+def p11_nested_microdata(t: Tables) -> DataFrame:
+    """Items whose properties lie deeper, with a price that is in an attribute."""
+    html = _around('<div itemscope itemtype="http://schema.org/MenuItem"><div><div><span itemprop="name">{n}</span></div><div itemprop="description">a <div>d</div> e</div></div><div itemprop="offers"><meta itemprop="price" content="{p}"></div></div>')
+    return extract.microdata_items(_blocks(t, html), "p_partkey", "html")
+
+
+DEPTH = 30
+
+
+@query(f"SELECT p_partkey, name, price FROM ({NAMED}) UNION ALL SELECT p_partkey, 'Tea', '2' FROM part")
+def p10_thirty_steps(t: Tables) -> DataFrame:
+    """Items of a schema.org menu thirty steps down, through lists and objects, and one within an item."""
+    opens = "".join('{"a":[' if i % 2 else '{"b]":' for i in range(DEPTH))
+    ends = "".join("]}" if i % 2 else ',"z":"\\"}{"}' for i in reversed(range(DEPTH)))
+    item = '{"hasMenuItem":[[{"name":"{n}","offers":{"price":"{p}"},"x":{"hasMenuItem":{"name":"Tea","offers":[{"price":2}]}}}],"hasMenuItem",{"price":1}]}'
+    html = _around('<script type="application/ld+json">', opens, item, ends, "</script>")
+    return extract.jsonld_items_anywhere(_blocks(t, html), "p_partkey", "html").select("p_partkey", "name", "price")
+
+
 JSONLD = ('<script type="application/ld+json">', '{"@type":"Restaurant","hasMenu":{"hasMenuSection":[{"name":"A","hasMenuItem":[{"name":"{n}","offers":{"price":"{p}"}},{"name":"Tea","offers":[{"price":"2"}]}]}]}}', "</script>")
 DEEP = ('<script type="application/ld+json">', '{"@graph":[{"x":{"hasMenu":[{"hasMenuSection":{"hasMenuItem":{"name":"{n}","offers":{"price":"{p}"}}}}]}},{"hasMenuItem":[{"name":"Tea","description":"d"}]}]}', "</script>")
 

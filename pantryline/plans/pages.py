@@ -38,8 +38,9 @@ def p2_list_items(t: Tables) -> DataFrame:
     return extract.list_items(t.pages, "page_id", "html", r"(?i)the|on|en")
 
 
-LINKS = r"""(SELECT page_id, generate_subscripts(h, 1) - 1 AS pos, unnest(h) AS href, trim(regexp_replace(regexp_replace(unnest(x), '<[^>]*>', '', 'g'), '\s+', ' ', 'g')) AS text
-FROM (SELECT page_id, regexp_extract_all(html, '(?is)<a\b[^>]*?href="([^"]*)"[^>]*>(.*?)</a>', 1) AS h, regexp_extract_all(html, '(?is)<a\b[^>]*?href="([^"]*)"[^>]*>(.*?)</a>', 2) AS x FROM pages))"""
+HREF = r"""(?is)<a\b[^>]*?\shref\s*=\s*(?:"([^"]*)"|''([^'']*)''|([^\s"''>]+))[^>]*>(.*?)</a>"""
+LINKS = rf"""(SELECT page_id, generate_subscripts(x, 1) - 1 AS pos, coalesce(unnest(a), '') || coalesce(unnest(b), '') || coalesce(unnest(c), '') AS href, trim(regexp_replace(regexp_replace(unnest(x), '<[^>]*>', '', 'g'), '\s+', ' ', 'g')) AS text
+FROM (SELECT page_id, regexp_extract_all(html, '{HREF}', 1) AS a, regexp_extract_all(html, '{HREF}', 2) AS b, regexp_extract_all(html, '{HREF}', 3) AS c, regexp_extract_all(html, '{HREF}', 4) AS x FROM pages))"""
 
 
 @query(f"SELECT page_id, pos, href, text FROM {LINKS}")
@@ -48,6 +49,15 @@ def p4_links(t: Tables) -> DataFrame:
     return extract.links(t.pages, "page_id", "html")
 
 
+@query("SELECT page_id, generate_subscripts(h, 1) - 1 AS pos, unnest(h) AS href, unnest(['in double', 'in single', 'in none']) AS text FROM (SELECT page_id, [url, url, replace(url, ' ', '')] AS h FROM pages WHERE NOT contains(url, chr(34)) AND NOT contains(url, chr(39)) AND NOT contains(url, '>'))")
+def p4_quotes(t: Tables) -> DataFrame:
+    """Links to every page, in double quotes, in single ones and in none."""
+    url = F.col("url")
+    html = F.concat(F.lit('<A class="x" href = "'), url, F.lit("\">in <b>double</b></A><a data-href='no' href='"), url, F.lit("'\n>in single</a><a href="), F.replace(url, F.lit(" "), F.lit("")), F.lit(' class=x>in none</a><a name="x">no</a>'))
+    rows = t.pages.filter(~url.contains('"') & ~url.contains("'") & ~url.contains(">"))
+    return extract.links(rows.select("page_id", html.alias("html")), "page_id", "html")
+
+
 @query(f"SELECT page_id, pos, score FROM (SELECT page_id, pos, CASE WHEN contains(lower(text), 'the') THEN 3 ELSE 0 END + CASE WHEN contains(lower(href), 'the') THEN 2 ELSE 0 END + CASE WHEN lower(text) IN ('the') THEN 5 ELSE 0 END AS score FROM {LINKS} WHERE text <> '' AND href <> '') WHERE score >= 2")
 def s5_t21_rank_links(t: Tables) -> DataFrame:
     """Links that score."""

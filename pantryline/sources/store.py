@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
+from pyspark.sql import types as T
 
 
 def write_report(rows: DataFrame, stats: DataFrame, path: str) -> None:
@@ -24,11 +24,16 @@ def surrogate(*columns: str) -> Column:
 
 
 def upsert_by_key(old: DataFrame, new: DataFrame, key: str, updated: str, created: str) -> DataFrame:
-    """SNK3. The latest row of each key, with the earliest ``created``. Write it to a new snapshot."""
-    every = old.unionByName(new)
-    w = Window.partitionBy(key)
-    ranked = every.withColumns({"_r": F.row_number().over(w.orderBy(F.desc(updated))), created: F.min(created).over(w)})
-    return ranked.filter("_r = 1").drop("_r")
+    """SNK3. The latest row of each key, with the earliest ``created``. Write it to a new snapshot.
+
+    Of equally late rows the new side's wins, and within a side the greatest by its other columns. One aggregate, merged from partial ones.
+    """
+    sides = old.withColumn("_side", F.lit(0)).unionByName(new.withColumn("_side", F.lit(1)))
+    comparable = [c for c in old.columns if c not in (key, updated) and not isinstance(old.schema[c].dataType, T.MapType | T.VariantType)]
+    order = F.struct(updated, "_side", *comparable)
+    row = F.struct(*(c for c in old.columns if c != key))
+    out = sides.groupBy(key).agg(F.max_by(row, order).alias("_row"), F.min(created).alias("_created"))
+    return out.select(*((F.col("_created") if c == created else F.col(c) if c == key else F.col(f"_row.{c}")).alias(c) for c in old.columns))
 
 
 def get_or_create_dim(facts: DataFrame, dim: DataFrame, natural: list[str], key: str) -> DataFrame:

@@ -15,7 +15,7 @@ CHANGE = "place_id string, change_type string, field string, old_value string, n
 
 
 class ChangeProcessor(StatefulProcessor):
-    """ST1. The last (seq, fields) of a place. A row that is not later than the last is ignored.
+    """ST1. The last (seq, fields) of a place. A row that is not later than the last is ignored, and so is one without ``seq``.
 
     ``fields`` are compared as text; volatile columns are left out of them. First sight is silent, or with ``announce`` a ``new`` row;
     a row whose ``removed`` is true forgets the place, and with ``announce`` gives a ``removed`` row. A place not seen for ``ttl_ms``
@@ -35,6 +35,8 @@ class ChangeProcessor(StatefulProcessor):
         last, out = self.last.get() if self.last.exists() else None, []
         for r in every.to_dict("records"):
             now = [None if pd.isna(r[f]) else str(r[f]) for f in self.fields]
+            if pd.isna(r["seq"]):  # no place in the order
+                continue
             seq = int(r["seq"])
             if last is not None and seq <= last[0]:
                 continue

@@ -5,10 +5,12 @@ from __future__ import annotations
 import math
 import random
 
+import pytest
 from pyspark.sql import functions as F
 
 from pantryline.functions import geo
 from pantryline.operators import dedupe, resolve, serve
+from pantryline.sources import store
 
 
 def test_similarity_dedupe_is_the_greedy_loop(spark):
@@ -127,3 +129,82 @@ def test_labels_with_empty_lists(spark):
 def test_batches_over_partitions(spark):
     got = dedupe.batches(spark.range(1000).repartition(7), ["id"], 30).orderBy("id").collect()
     assert all((r["batch"], r["position"]) == (r["id"] // 30 + 1, r["id"] % 30 + 1) for r in got)
+
+
+@pytest.mark.parametrize("coalesce", ["true", "false"])
+def test_batches_keep_wide_rows(spark, coalesce):
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", coalesce)
+    try:
+        rows = spark.range(40_000).repartition(7).select("id", F.sha2(F.col("id").cast("string"), 256).alias("a"), F.repeat(F.lit("x"), (F.col("id") % 300).cast("int")).alias("b"))
+        got = dedupe.batches(rows, ["id"], 30)
+        assert got.columns == ["id", "a", "b", "batch", "position"] and got.count() == 40_000
+        assert got.filter((F.col("batch") != F.expr("id div 30 + 1")) | (F.col("position") != F.col("id") % 30 + 1) | (F.col("a") != F.sha2(F.col("id").cast("string"), 256))).isEmpty()
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+
+
+def test_null_keys_are_a_key(spark):
+    rows = [(None, 0, 1), (None, 1, 2), (None, 2, 3), ("p", 0, 4)]
+    got = dedupe.cascade(spark.createDataFrame(rows, "page string, s int, i int"), ["page"], "s", [0, 2, 1]).collect()
+    assert sorted(r["i"] for r in got) == [1, 2, 4]
+    both = [(None, "primary", "x", "1", 0), (None, "fallback", "x", "1", 1), (None, "fallback", "y", "1", 2)]
+    out = dedupe.source_fallback(spark.createDataFrame(both, "k string, s string, n string, p string, o int"), "k", "s", "n", "p", "o")
+    assert sorted((r["label"], r["o"]) for r in out.collect()) == [("fallback_website", 1), ("fallback_website", 2)]
+    fill = dedupe.first_wins_backfill(spark.createDataFrame([(None, 1, "unknown"), (None, 2, "thai"), ("a", 1, None)], "k string, o int, c string"), ["k"], "o", "c")
+    assert {(r["k"], r["c"]) for r in fill.collect()} == {(None, "thai"), ("a", None)}
+    words = [(None, 1, ["a", "b", "c", "d", "e", "f"]), (None, 2, ["a", "b", "c", "d", "e", "f", None]), ("x", 3, ["a", "b", "c", "d", "e", "f"])]
+    kept = dedupe.similarity_dedupe(spark.createDataFrame(words, "k string, i int, w array<string>"), ["k"], "w", "i")
+    assert sorted(r["i"] for r in kept.collect()) == [1, 3]
+
+
+@pytest.mark.parametrize("limit", [1_000_000, 12, 1])
+def test_greedy_by_component(spark, limit):
+    """In one task, component by component, and in rounds."""
+    rng = random.Random(limit)
+    edges = {tuple(sorted(rng.sample(range(60), 2))) for _ in range(40)} | {(i, i + 1) for i in range(100, 109)}
+    nodes = [(i, f"k{i % 50 if i < 60 else i}") for i in (*range(60), *range(100, 110), 500, 501)] + [(502, "k501"), (503, None), (504, None)]
+    got = {r["id"] for r in resolve.independent_set(spark.createDataFrame(nodes, "id long, key string"), spark.createDataFrame(list(edges), "lo long, hi long"), limit).collect()}
+    kept, keys = [], set()
+    for i, k in nodes:
+        if k not in keys and not any((j, i) in edges for j in kept):
+            kept.append(i)
+            keys.add(k)
+    assert got == set(kept)
+
+
+def test_components(spark):
+    rng = random.Random(5)
+    links = [tuple(sorted(rng.sample(range(200), 2))) for _ in range(120)] + [(i, i + 1) for i in range(1000, 1040)]
+    root = {x: x for e in links for x in e}
+    changed = True
+    while changed:
+        changed = False
+        for a, b in links:
+            m = min(root[a], root[b])
+            changed |= root[a] != m or root[b] != m
+            root[a] = root[b] = m
+    got = resolve.components(spark.createDataFrame(links, "lo long, hi long")).collect()
+    assert len(got) == len(root) and {r["id"]: r["root"] for r in got} == root
+
+
+def test_long_chains_of_duplicates(spark):
+    """Ten thousand places in a row, each near the next."""
+    rows = [(f"b{i}", i, "Luna " + "x" * (i % 3), 41 + i * 0.0006, -87.0, "") for i in range(10_000)]
+    named = [(i, p, f"{'Luna' if p % 2 else 'Luna Cafe'} {'' if p % 2 else p}".strip() if p % 2 == 0 else f"Luna Cafe {p - 1} {p}", lat, lon, ph) for i, p, _, lat, lon, ph in rows]
+    chain = [(i, p, "a" * (p + 1) if p < 50 else f"Luna{p}", lat, lon, ph) for i, p, _, lat, lon, ph in rows]
+    none = spark.createDataFrame([], PLACE)
+    for some in (named, chain):
+        kept = []
+        for x in some:
+            key = x[2].lower()
+            if not any(abs(x[3] - y[3]) < 0.001 and (key in y[2].lower() or y[2].lower() in key) for y in kept[-3:]):
+                kept.append(x)
+        got = resolve.union_dedupe(none, spark.createDataFrame(some, PLACE))
+        assert sorted(r["id"] for r in got.collect()) == sorted(x[0] for x in kept)
+
+
+def test_upsert_ties(spark):
+    old = spark.createDataFrame([(1, 5, 1, "old"), (2, 5, 1, "old"), (3, 9, 2, "old"), (None, 1, 1, "old")], "k int, updated int, created int, v string")
+    new = spark.createDataFrame([(1, 5, 3, "new"), (2, 4, 0, "new"), (3, 9, 1, "a"), (3, 9, 1, "b"), (4, None, None, "new")], "k int, updated int, created int, v string")
+    got = {r["k"]: (r["v"], r["created"]) for r in store.upsert_by_key(old, new, "k", "updated", "created").collect()}
+    assert got == {1: ("new", 1), 2: ("old", 0), 3: ("b", 1), 4: ("new", None), None: ("old", 1)}

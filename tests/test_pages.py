@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import random
 import re
 
 from pyspark.sql import functions as F
@@ -60,3 +61,61 @@ def test_menu_lines_and_reviews(spark):
     assert [(r["name"], r["price"]) for r in got] == [("Soup", "$5.00"), ("Bread", None), ("WINE", "$9")]
     reviews = spark.createDataFrame([(1, "I ordered the crab cakes. The soup was delicious")], "id int, t string")
     assert [r["dish"] for r in extract.review_mentions(reviews, "id", F.col("t"), [r"ordered the ([a-z ]+)", r"[Tt]he (\w+) was delicious"]).collect()] == ["crab cakes", "soup"]
+
+
+def test_nested_markup(spark):
+    inner = '<div class="menu-item"><div class="hd"><h3>Soup</h3></div><div class="desc">a <div>b</div></div><div><div>$4.50</div></div></div>'
+    df = pages(spark, f"<div class='x'>{inner}</div></div><li class='food'>left open <b>Tea</b>", None, "", "no tags > at < all", '<script>"<div class=item>"</script>')
+    assert [tuple(r) for r in extract.class_blocks(df, "page_id", "html").orderBy("page_id", "pos").collect()] == [(0, 0, "Soup", "a b", "$4.50"), (0, 1, "Tea", None, None)]
+
+
+def test_elements_are_those_of_a_stack(spark):
+    """Random tags against a loop."""
+    rng = random.Random(9)
+    names = ["div", "p", "b", "li", "br", "td"]
+    html = ["".join(rng.choice([f"<{n} a=1>", f"</{n}>", "x", "text "]) for n in rng.choices(names, k=rng.randrange(40))) for _ in range(60)]
+
+    def loop(text):
+        stack, out, up = [], [], lambda: stack[-1][2] if stack else -1
+
+        def end(at):
+            name, tag, start, of = stack.pop()
+            out.append((name, tag, start, at, of))
+
+        for m in re.finditer(extract.TAG, text):
+            name = re.match(r"</?(\w+)", m[0])[1]
+            open_names = [x[0] for x in stack]
+            if m[0].startswith("</"):
+                while name in open_names and stack.pop is not None:
+                    last = stack[-1][0]
+                    end(m.start())
+                    if last == name:
+                        break
+            else:
+                if name in extract.ENDED_BY_NEXT and open_names[-1:] == [name]:
+                    end(m.start())
+                if name in extract.VOID:
+                    out.append((name, m[0], m.end(), m.end(), up()))
+                else:
+                    stack.append((name, m[0], m.end(), up()))
+        while stack:
+            end(len(text))
+        return out
+
+    got = pages(spark, *html).orderBy("page_id").select(extract.elements(F.col("html")).alias("e")).collect()
+    assert [[(e["name"], e["tag"], e["start"], e["end"], e["up"]) for e in r["e"]] for r in got] == [loop(x) for x in html]
+
+
+def test_href_quotes(spark):
+    df = pages(spark, """<a href='one two'>a</a><A class=x HREF=three>b</A><a data-href="no" href = "four">c</a><a>d</a><a href=''>e</a>""")
+    assert [(r["href"], r["text"]) for r in extract.links(df, "page_id", "html").orderBy("pos").collect()] == [("one two", "a"), ("three", "b"), ("four", "c"), ("", "e")]
+
+
+def test_deep_json_is_one_scan(spark):
+    deep = '{"hasMenuItem":{"name":"D","offers":[{"price":3}]}}'
+    for i in range(30):
+        deep = f'{{"k":[{deep},"x{{"]}}' if i % 2 else f'{{"k":{deep},"z":"\\"]"}}'
+    df = pages(spark, f'<script type="application/ld+json">{deep}</script>', '<script type="application/ld+json">{"hasMenuItem":[[{"name":"A"}],{"x":{"name":"no"}}]}</script>')
+    out = extract.jsonld_items_anywhere(df, "page_id", "html")
+    assert sorted((r["name"], r["price"]) for r in out.collect()) == [("A", None), ("D", "3")]
+    assert out._jdf.queryExecution().optimizedPlan().toString().count("Generate") == 2
