@@ -173,6 +173,41 @@ def city_rollup(found: DataFrame, cities: DataFrame, key: str) -> DataFrame:
     return cities.join(n, key, "left").fillna(0, ["found"]).withColumn("pct", F.coalesce(F.try_divide(F.col("found") * 100.0, F.col("expected")), F.lit(0.0)))
 
 
+def national_summary(found: DataFrame, cities: DataFrame, city: str, state: str, present: dict[str, Column], seconds: str = "seconds", ok: str = "ok") -> DataFrame:
+    """A17. A row for each city, each state and the nation (``level``), from one aggregate with ``rollup``.
+
+    ``found``: places with their city and state; ``present``: name: whether a place has such a field, whose coverage is
+    ``<name>_pct``. ``cities``: (city, state, expected, seconds, ok), a row for each city that was run. Out: n_cities, found, expected,
+    pct (of the expected), successful and failed cities, success_rate, total_seconds, seconds_per_city and the coverages; rates
+    are null where there is nothing to divide by. Null cities and states count as ``unknown``.
+    """
+    named = lambda c: F.coalesce(F.col(c).cast("string"), F.lit("unknown")).alias(c)
+    none = F.lit(None)
+    places = found.select(named(city), named(state), F.lit(1).alias("_place"), *(F.coalesce(p, F.lit(False)).cast("int").alias(f"_{x}") for x, p in present.items()), none.cast("long").alias("_expected"), none.cast("double").alias("_seconds"), none.cast("int").alias("_ok"))
+    runs = cities.select(named(city), named(state), F.lit(0).alias("_place"), *(none.cast("int").alias(f"_{x}") for x in present), F.col("expected").cast("long").alias("_expected"), F.col(seconds).cast("double").alias("_seconds"), F.coalesce(F.col(ok), F.lit(False)).cast("int").alias("_ok"))
+    n_cities, n, good = F.count_if(F.col("_place") == 0), F.sum("_place"), F.coalesce(F.sum("_ok"), F.lit(0))
+    share = lambda a, b: F.try_divide(a * 100.0, b)
+    expected, time = F.coalesce(F.sum("_expected"), F.lit(0)), F.coalesce(F.sum("_seconds"), F.lit(0.0))
+    level = F.element_at(F.array(F.lit("city"), F.lit("state"), F.lit("?"), F.lit("nation")), F.grouping_id().cast("int") + 1)
+    return (
+        places.unionByName(runs)
+        .rollup(state, city)
+        .agg(
+            level.alias("level"),
+            n_cities.alias("n_cities"),
+            n.alias("found"),
+            expected.alias("expected"),
+            share(n, expected).alias("pct"),
+            good.alias("successful"),
+            (n_cities - good).alias("failed"),
+            share(good, n_cities).alias("success_rate"),
+            time.alias("total_seconds"),
+            F.try_divide(time, n_cities).alias("seconds_per_city"),
+            *(share(F.coalesce(F.sum(f"_{x}"), F.lit(0)), n).alias(f"{x}_pct") for x in present),
+        )
+    )
+
+
 def rating_bucket(c: Column) -> Column:
     """A18. ``4.0-4.9`` for 4.3."""
     return F.concat(F.floor(c).cast("string"), F.lit(".0-"), F.floor(c).cast("string"), F.lit(".9"))
@@ -183,6 +218,17 @@ def tier(c: Column, high: float = 0.7, medium: float = 0.4) -> Column:
     return F.when(c > high, "high").when(c > medium, "medium").otherwise("low")
 
 
+def decile(c: Column) -> Column:
+    """A18. ``80-89%`` for 0.87; ``100-109%`` for 1."""
+    low = F.floor(c * 10) * 10
+    return F.concat(low.cast("string"), F.lit("-"), (low + 9).cast("string"), F.lit("%"))
+
+
+def tier_from(c: Column, high: float = 0.8, medium: float = 0.5) -> Column:
+    """A18. high, medium or low, the limits included."""
+    return F.when(c >= high, "high").when(c >= medium, "medium").otherwise("low")
+
+
 def compare_runs(df: DataFrame, run: str, success: Column, order: str) -> DataFrame:
     """A19. One row: the run with the highest success rate, the first of equals, its rate, and the rate over all rows."""
     per = df.groupBy(run).agg(F.avg(success.cast("int")).alias("r"), F.min(order).alias("o"), F.count_if(success).alias("s"), F.count("*").alias("n"))

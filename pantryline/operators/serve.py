@@ -116,3 +116,34 @@ def dictionary_tags(df: DataFrame, key: str, words: str, dictionary: DataFrame)
     """
     each = df.select(key, F.explode(F.array_distinct(words)).alias("keyword"))
     return each.join(dictionary, "keyword").groupBy(key, "label").agg(F.max("weight").alias("weight"))
+
+
+def phrase_matches(df: DataFrame, key: str, words: str, phrases: DataFrame) -> DataFrame:
+    """J11. (key, pos, n, phrase): where the phrases of a table lie in the word lists of ``df``; of those that overlap the leftmost stays,
+    and of those that begin at one word the longest.
+
+    ``phrases``: (phrase), single spaces between words. The index is by first word and number of words: a word that begins no phrase goes
+    no further, one that does is tried at the lengths that its phrases have, and what is then left meets the phrases by equality.
+    So no expression grows with the dictionary, and no word is compared with phrases that it does not begin. Each row's words are
+    carried as windows of the longest phrase. Rows of equal keys are one text each only if keys are unique.
+    """
+    indexed = phrases.filter("phrase != ''").select("phrase", F.split("phrase", " ").alias("_w")).select("phrase", F.col("_w")[0].alias("_first"), F.size("_w").alias("n")).distinct()
+    longest = indexed.agg(F.max("n")).first()[0] or 1
+    lengths = indexed.groupBy("_first").agg(F.collect_set("n").alias("_lengths"))  # as many as there are lengths of phrases
+    each = df.select(key, F.posexplode(F.transform(words, lambda w, i: F.slice(words, i + 1, F.lit(longest)))).alias("pos", "_window")).withColumn("_first", F.col("_window")[0])
+    tried = each.join(lengths, "_first").select(key, "pos", "_window", F.explode("_lengths").alias("n")).filter(F.size("_window") >= F.col("n"))
+    found = tried.select(key, "pos", "n", F.array_join(F.slice("_window", F.lit(1), F.col("n")), " ").alias("phrase")).join(indexed.select("phrase"), "phrase", "left_semi")
+    longest_there = found.groupBy(key, "pos").agg(F.max_by("phrase", "n").alias("phrase"), F.max("n").alias("n"))
+    rows = longest_there.groupBy(key).agg(F.sort_array(F.collect_list(F.struct("pos", "n", "phrase"))).alias("_all"))  # bounded by a text's words
+    begin = F.struct(F.lit(0).alias("end"), F.array().cast("array<struct<pos:int,n:int,phrase:string>>").alias("kept"))
+    kept = F.aggregate("_all", begin, lambda s, x: F.when(x["pos"] >= s["end"], F.struct((x["pos"] + x["n"]).alias("end"), F.concat(s["kept"], F.array(x)).alias("kept"))).otherwise(s), lambda s: s["kept"])
+    return rows.select(key, F.explode(kept).alias("_m")).select(key, "_m.*")
+
+
+def dictionary_phrases(df: DataFrame, key: str, words: str, dictionary: DataFrame) -> DataFrame:
+    """J11. (key, label, weight): of each label the largest weight among its phrases that ``phrase_matches`` finds in the row.
+
+    ``dictionary``: (phrase, label, weight); a phrase may have several labels.
+    """
+    found = phrase_matches(df, key, words, dictionary.select("phrase")).select(key, "phrase").distinct()
+    return found.join(dictionary, "phrase").groupBy(key, "label").agg(F.max("weight").alias("weight"))

@@ -259,6 +259,33 @@ def a17_s4_city_rollup(t: Tables) -> DataFrame:
     return out.withColumn("pct", F.round("pct", 4)).orderBy("priority", "city")
 
 
+@query("""
+WITH c AS (SELECT n_name AS city, r_name AS state, n_nationkey, 50 + n_nationkey AS expected, n_nationkey * 1.5 AS seconds, n_nationkey % 4 > 0 AS ok FROM nation JOIN region ON n_regionkey = r_regionkey),
+u AS (SELECT city, state, 1 AS place, (c_acctbal > 5000)::INT AS phone, (c_mktsegment <> 'BUILDING')::INT AS website, NULL AS expected, NULL AS seconds, NULL AS ok FROM customer JOIN c ON c_nationkey = n_nationkey
+  UNION ALL SELECT city, state, 0, NULL, NULL, expected, seconds, ok::INT FROM c)
+SELECT state, city, CASE grouping(state, city) WHEN 0 THEN 'city' WHEN 1 THEN 'state' ELSE 'nation' END AS level, count(*) FILTER (place = 0) AS n_cities, sum(place)::BIGINT AS found, sum(expected)::BIGINT AS expected,
+  round(sum(place) * 100.0 / sum(expected), 6)::DOUBLE AS pct, sum(ok)::BIGINT AS successful, (count(*) FILTER (place = 0) - sum(ok))::BIGINT AS failed, round(sum(ok) * 100.0 / count(*) FILTER (place = 0), 6)::DOUBLE AS success_rate,
+  sum(seconds)::DOUBLE AS total_seconds, round(sum(seconds) / count(*) FILTER (place = 0), 6)::DOUBLE AS seconds_per_city,
+  CASE WHEN sum(place) > 0 THEN round(sum(phone) * 100.0 / sum(place), 6)::DOUBLE END AS phone_pct, CASE WHEN sum(place) > 0 THEN round(sum(website) * 100.0 / sum(place), 6)::DOUBLE END AS website_pct
+FROM u GROUP BY ROLLUP (state, city)
+""")
+def a17_national_summary(t: Tables) -> DataFrame:
+    """Customers as places of their nation's run: each city, each state and the whole."""
+    k = F.col("n_nationkey")
+    cities = t.nation.join(t.region, F.col("n_regionkey") == F.col("r_regionkey")).select(k, F.col("n_name").alias("city"), F.col("r_name").alias("state"), (50 + k).alias("expected"), (k * 1.5).alias("seconds"), (k % 4 > 0).alias("ok"))
+    found = t.customer.join(cities, F.col("c_nationkey") == k)
+    out = metrics.national_summary(found, cities, "city", "state", {"phone": F.col("c_acctbal") > 5000, "website": F.col("c_mktsegment") != "BUILDING"})
+    return out.withColumns({c: F.round(c, 6) for c in ("pct", "success_rate", "seconds_per_city", "phone_pct", "website_pct")})
+
+
+@query("SELECT floor(v * 10)::BIGINT * 10 || '-' || (floor(v * 10)::BIGINT * 10 + 9) || '%' AS bucket, CASE WHEN v >= 0.8 THEN 'high' WHEN v >= 0.5 THEN 'medium' ELSE 'low' END AS tier, count(*) AS n FROM (SELECT (p_partkey % 101) / 100.0::DOUBLE AS v FROM part) GROUP BY ALL")
+def a18_deciles(t: Tables) -> DataFrame:
+    """Parts by confidence: deciles, and tiers whose limits count as reached."""
+    v = F.col("v")
+    rows = t.part.select(((F.col("p_partkey") % 101) / 100.0).alias("v"))
+    return rows.groupBy(metrics.decile(v).alias("bucket"), metrics.tier_from(v).alias("tier")).agg(F.count("*").alias("n"))
+
+
 @query("SELECT floor(c_acctbal / 2000)::BIGINT || '.0-' || floor(c_acctbal / 2000)::BIGINT || '.9' AS bucket, CASE WHEN c_acctbal > 7000 THEN 'high' WHEN c_acctbal > 4000 THEN 'medium' ELSE 'low' END AS tier, count(*) AS n FROM customer GROUP BY ALL")
 def a18_buckets(t: Tables) -> DataFrame:
     """Rating buckets and tiers."""

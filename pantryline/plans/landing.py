@@ -3,6 +3,8 @@ so what must come back follows from the tables alone."""
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -16,6 +18,8 @@ from pantryline.streaming import changes
 def _text(c: str) -> Column:
     return F.col(c).cast("string")
 
+ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+
 
 def _files(t: Tables, rows: DataFrame, value: Column, by: str, name: str) -> str:
     """A file for each value of ``by`` with one text in it; the folder."""
@@ -39,16 +43,40 @@ def src1_read_places_json(t: Tables) -> DataFrame:
     return places.read_places_json(t.spark, f"{_envelopes(t)}/*").select("source_pos", "id", "name", F.round("rating", 4).alias("rating"))
 
 
-@query("SELECT c_mktsegment AS found, count(*) AS n FROM customer WHERE c_mktsegment = (SELECT min(c_mktsegment) FROM customer) GROUP BY 1")
+SNAPSHOTS = ["chicago_comprehensive_menus_1.parquet", "chicago_comprehensive_menus_2.parquet", "merged_a.parquet", "restaurants_old.parquet", "other.parquet"]
+#: When each was written, in hours.
+WRITTEN = [3, 7, 9, 5, 11]
+
+
+def _snapshots(t: Tables) -> str:
+    """A file of each of five groups of customers, under its own name and with its own time; the folder."""
+    spark, path = t.spark, new_path(t.spark, "snapshots")
+    jvm = spark._jvm.org.apache.hadoop.fs
+    store = jvm.Path(path).getFileSystem(spark._jsc.hadoopConfiguration())
+    t.customer.withColumn("kind", F.col("c_custkey") % len(SNAPSHOTS)).repartition("kind").write.partitionBy("kind").parquet(f"{path}/by-kind")
+    for i, (name, hours) in enumerate(zip(SNAPSHOTS, WRITTEN, strict=True)):
+        part = next(x.getPath() for x in store.listStatus(jvm.Path(f"{path}/by-kind/kind={i}")) if x.getPath().getName().startswith("part-"))
+        store.mkdirs(jvm.Path(f"{path}/files"))
+        store.rename(part, jvm.Path(f"{path}/files/{name}"))
+        store.setTimes(jvm.Path(f"{path}/files/{name}"), hours * 3_600_000, -1)
+    return f"{path}/files"
+
+
+@query("""
+WITH f AS (SELECT c_custkey % 5 AS kind, count(*) AS n FROM customer GROUP BY 1)
+SELECT wanted, found, n FROM (VALUES ('first pattern', 'chicago_comprehensive_menus_2.parquet', 1), ('second pattern', 'merged_a.parquet', 2), ('third pattern', 'restaurants_old.parquet', 3), ('any', 'other.parquet', 4)) AS v(wanted, found, kind) JOIN f USING (kind)
+UNION ALL SELECT 'none', NULL, 0
+""")
 def src2_latest_snapshot(t: Tables) -> DataFrame:
-    """The newest snapshot by name: each segment is one, and only the first in the alphabet has the name that goes first."""
-    path = new_path(t.spark, "snapshots")
-    first = t.customer.agg(F.min("c_mktsegment").alias("c_mktsegment"))
-    kind = lambda df, x: df.write.mode("append").partitionBy("kind").parquet(path) if x else None
-    kind(t.customer.join(first, "c_mktsegment").withColumn("kind", F.lit("comprehensive")).repartition(1, "kind"), True)
-    kind(t.customer.join(first, "c_mktsegment", "left_anti").withColumn("kind", F.lit("merged")), True)
-    latest = places.latest_snapshot(t.spark, f"{path}/kind=comprehensive", ("comprehensive.*menus", "part-"))
-    return t.spark.read.parquet(latest).groupBy(F.col("c_mktsegment").alias("found")).agg(F.count("*").alias("n"))
+    """Among five files with names and times of their own: the newest of the first pattern that any name has."""
+    path = _snapshots(t)
+    patterns = {"first pattern": ("comprehensive.*menus", "merged", "restaurants"), "second pattern": ("nothing", "merged", "restaurants"), "third pattern": ("nothing", "restaurants"), "any": ("",), "none": ("nothing",)}
+    rows = []
+    for wanted, some in patterns.items():
+        latest = places.latest_snapshot(t.spark, path, some)
+        one = t.spark.read.parquet(latest).agg(F.count("*").alias("n")) if latest else t.spark.range(1).select(F.lit(0).cast("long").alias("n"))
+        rows.append(one.select(F.lit(wanted).alias("wanted"), F.lit(latest and latest.rsplit("/", 1)[1]).cast("string").alias("found"), "n"))
+    return reduce(DataFrame.unionByName, rows)
 
 
 @query("""
@@ -122,6 +150,30 @@ def snk6_append_log(t: Tables) -> DataFrame:
     return t.spark.read.schema("event_type string").parquet(path).groupBy("event_type").agg(F.count("*").alias("n"))
 
 
+@query("SELECT event_type, count(*) AS n FROM events GROUP BY 1")
+def snk6_stream_log(t: Tables) -> DataFrame:
+    """A log by a stream that stopped and started again; the second half of its calls came twice, and so did some of the first."""
+    path = new_path(t.spark, "log-stream")
+    t.spark.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKS)
+    rows = t.events.select("event_id", "ts", "event_type")
+    half = F.col("ts") < "2024-01-15"
+    for some in (rows.filter(half), rows.filter(~half).unionByName(rows.filter(~half)).unionByName(rows.filter(F.col("ts").between("2024-01-14", "2024-01-16")))):
+        some.write.mode("append").parquet(f"{path}/in")
+        stream = t.spark.readStream.schema(rows.schema).parquet(f"{path}/in")
+        store.stream_log(stream, f"{path}/out", f"{path}/checkpoint", "event_id", "ts", "60 days").awaitTermination()
+    return t.spark.read.schema("event_type string").parquet(f"{path}/out").groupBy("event_type").agg(F.count("*").alias("n"))
+
+
+@query("SELECT p_brand, p_partkey::VARCHAR AS item_p_partkey, p_name || ', \"' || p_type || '\"' AS item_name, 'a;b' AS item_labels FROM part UNION ALL SELECT 'none', NULL, NULL, NULL")
+def snk8_export_csv(t: Tables) -> DataFrame:
+    """Places with their items as lines of CSV, quotes and commas in them, read again; one place has none."""
+    path = new_path(t.spark, "export-csv")
+    brands = t.part.select("p_brand").distinct().unionByName(t.part.agg(F.lit("none").alias("p_brand")))
+    items = t.part.select("p_brand", "p_partkey", F.concat("p_name", F.lit(', "'), "p_type", F.lit('"')).alias("name"), F.array(F.lit("a"), F.lit("b")).alias("labels"))
+    store.export_csv(brands, items, "p_brand", path)
+    return t.spark.read.option("header", True).option("escape", '"').csv(path)
+
+
 @query("SELECT p_brand, count(*)::INT AS n_items, sum(p_partkey)::BIGINT AS keys, 0 AS n_none FROM part GROUP BY 1 UNION ALL SELECT 'none', 0, NULL, 1")
 def snk8_export_place(t: Tables) -> DataFrame:
     """Places with their items as documents, written as JSON and read again; one place has none."""
@@ -263,9 +315,6 @@ def p12_embedded_items(t: Tables) -> DataFrame:
     return extract.embedded_items(_blocks(t, html), "p_partkey", "html").select("p_partkey", "script_no", "name", "price")
 
 
-ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
-
-
 def _feed(t: Tables) -> tuple[DataFrame, str]:
     """Events as a stream of places, and a folder for its results."""
     path = new_path(t.spark, "feed")

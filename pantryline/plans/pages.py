@@ -5,9 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pantryline.functions import text
+from pantryline.functions import profiles, text
 from pantryline.operators import extract
 from pantryline.plans.base import Tables, query
+from pantryline.plans.menus import number, q, some
 
 BLOCK = "</?(?:p|div|li|ul|ol|tr|table|h[1-6]|br|article|section|nav|title|header|footer)\\b[^>]*>"
 TEXT = f"""replace(replace(replace(replace(replace(regexp_replace(regexp_replace(regexp_replace(html, '(?is)<script\\b.*?</script>|<style\\b.*?</style>|<!--.*?-->', '', 'g'), '(?i){BLOCK}', chr(10), 'g'), '<[^>]*>', '', 'g'), '&nbsp;', ' '), '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&amp;', '&')"""
@@ -84,6 +85,37 @@ def f16_f17_url_filters(t: Tables) -> DataFrame:
     return rows.select("page_id", text.usable_url(url, ["example.net"]).alias("usable"), text.name_in_url(url, F.lit("my blog feed")).alias("named"))
 
 
+@query("SELECT page_id, (contains(lower(u), 'menu') OR contains(lower(u), 'food')) AND NOT (contains(lower(u), 'logo') OR contains(lower(u), 'icon')) AS wanted FROM (SELECT page_id, url || CASE page_id % 4 WHEN 0 THEN '/Menu.JPG' WHEN 1 THEN '/menu-logo.png' WHEN 2 THEN '/food.webp' ELSE '/x.png' END AS u FROM pages)")
+def f17_menu_images(t: Tables) -> DataFrame:
+    """Addresses of images that could show a menu."""
+    k = F.col("page_id") % 4
+    u = F.concat("url", F.when(k == 0, "/Menu.JPG").when(k == 1, "/menu-logo.png").when(k == 2, "/food.webp").otherwise("/x.png"))
+    return t.pages.select("page_id", text.menu_image_url(u, ["menu", "food"], ["logo", "icon"]).alias("wanted"))
+
+
+def _prices(c: str, patterns: list[str]) -> str:
+    return "(" + " + ".join(f"len(regexp_extract_all({c}, {q(p)}))" for p in patterns) + ")"
+
+
+GATES = {
+    "production": f"NOT {some('low', profiles.CHALLENGE_PRODUCTION)}",
+    "ultimate": f"NOT {some('low', profiles.CHALLENGE_ULTIMATE)}",
+    "final": f"NOT {some('low', profiles.CHALLENGE_FINAL)} AND {number('low', profiles.PAGE_FINAL)} >= 3",
+    "dynamic": f"{number('low', profiles.PAGE_DYNAMIC)} + {number('seen', profiles.PAGE_DYNAMIC)} + 3 * {_prices('x', [chr(92) + '$' + chr(92) + 'd+(?:' + chr(92) + '.' + chr(92) + 'd{2})?'])} + 2 * (page_id % 3) >= 10",
+    "priority": f"{number('seen', profiles.FOOD_PRIORITY)} + 2 * {_prices('x', profiles.PRICE_PRIORITY)} + {number('seen', profiles.PAGE_PRIORITY)} + 0.5 * (page_id % 3) >= 8",
+}
+#: A few words below each page, so that gates open and shut.
+BELOW = ["", " our menu: grilled chicken $12 and soup $5.50", " please verify that you are human", " food, price, order: $9, $8 and USD 7.50", " lunch and dinner, fresh fish, rice, bread and cheese"]
+
+
+@query(f"SELECT page_id, {', '.join(f'coalesce({sql}, FALSE) AS {name}' for name, sql in GATES.items())} FROM (SELECT page_id, lower(html || b) AS low, {TEXT.replace('(html,', '(html || b,', 1)} AS x, lower({TEXT.replace('(html,', '(html || b,', 1)}) AS seen FROM (SELECT *, {'[' + ', '.join(map(q, BELOW)) + ']'}[page_id % 5 + 1] AS b FROM pages))")
+def f15_page_gates(t: Tables) -> DataFrame:
+    """Every page by the five profiles of the gate."""
+    html = F.concat("html", F.element_at(text.strings(BELOW), (F.col("page_id") % 5 + 1).cast("int")))
+    n = F.col("page_id") % 3
+    return t.pages.select("page_id", *(text.page_gate_by(p, html, extract.page_text(html), n if p in ("dynamic", "priority") else None).alias(p) for p in GATES))
+
+
 @query("SELECT page_id, pos, price, name FROM (SELECT page_id, generate_subscripts(p, 1) - 1 AS pos, unnest(p) AS price, trim(unnest(n)) AS name FROM (SELECT page_id, regexp_extract_all(x, '([a-z]+) \\$(\\d+(?:\\.\\d{2})?)', 2) AS p, regexp_extract_all(x, '([a-z]+) \\$(\\d+(?:\\.\\d{2})?)', 1) AS n FROM (SELECT page_id, html || ' soup $' || page_id || '.50, tea $3' AS x FROM pages)))")
 def p5_name_price_pairs(t: Tables) -> DataFrame:
     """Words before prices, of pages that end with a line of a menu."""

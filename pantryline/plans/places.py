@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -108,6 +110,18 @@ def m2_grid_cells(t: Tables) -> DataFrame:
     return side_a(t).select("id", row.alias("row"), col.alias("col"))
 
 
+@query("""
+WITH b AS (SELECT n_nationkey, n_nationkey * 1.0 AS south, n_nationkey * 1.0 + 0.8 AS north FROM nation), g AS (SELECT n_nationkey, south, north, r, c FROM b, range(4) AS x(r), range(4) AS y(c))
+SELECT n_nationkey, r::INT AS "row", c::INT AS col, round(south + (r + 0.5) * 0.2, 6)::DOUBLE AS lat, round(-10 + (c + 0.5) * 0.5, 6)::DOUBLE AS lon, (SELECT count(*) FROM customer WHERE c_nationkey = n_nationkey) AS n FROM g
+""")
+def m2_grid_points(t: Tables) -> DataFrame:
+    """The centres of a grid over the box of each nation's customers."""
+    every = [geo.grid_points(t.spark, float(k), -10.0, k + 0.8, -8.0, 4).withColumn("n_nationkey", F.lit(k)) for (k,) in t.nation.select("n_nationkey").collect()]
+    counts = t.customer.groupBy(F.col("c_nationkey").alias("n_nationkey")).agg(F.count("*").alias("n"))
+    points = reduce(DataFrame.unionByName, every)
+    return points.join(counts, "n_nationkey", "left").select("n_nationkey", "row", "col", F.round("lat", 6).alias("lat"), F.round("lon", 6).alias("lon"), F.coalesce("n", F.lit(0)).alias("n"))
+
+
 def _named_side(key: str, table: str, shift: str, letter: str) -> str:
     return f"SELECT '{letter}' || id AS id, id AS pos, name || ' ' || id % 40 AS name, lower(name || ' ' || id % 40) AS k, lat, lon FROM ({_sql_side(key, table, shift)})"
 

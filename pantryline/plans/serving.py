@@ -208,6 +208,27 @@ def j11_dictionary_tags(t: Tables) -> DataFrame:
     return serve.dictionary_tags(t.part.select("p_partkey", F.split("p_name", " ").alias("words")), "p_partkey", "words", d)
 
 
+WORDS = "string_split(trim(regexp_replace(lower(text), '[^a-z0-9]+', ' ', 'g')), ' ')"
+
+
+@query(f"""
+WITH RECURSIVE d AS (SELECT DISTINCT array_to_string(w[1:n], ' ') AS phrase, role AS label, n / 4.0::DOUBLE AS weight FROM (SELECT role, {WORDS} AS w FROM conversations) CROSS JOIN (VALUES (1), (2), (4)) AS r(n) WHERE len(w) >= n AND w[1] <> ''),
+p AS (SELECT DISTINCT phrase, len(string_split(phrase, ' ')) AS n FROM d),
+t AS (SELECT doc_id, w, unnest(generate_series(1, len(w))) AS pos FROM (SELECT doc_id, {WORDS} AS w FROM documents)),
+h AS (SELECT doc_id, pos, arg_max(phrase, p.n) AS phrase, max(p.n) AS n FROM (SELECT doc_id, pos, k, array_to_string(w[pos:pos + k - 1], ' ') AS gram FROM t CROSS JOIN (VALUES (1), (2), (4)) AS r(k) WHERE pos + k - 1 <= len(w)) AS g JOIN p ON p.phrase = g.gram AND p.n = g.k GROUP BY 1, 2),
+o AS (SELECT doc_id, pos, phrase, n, row_number() OVER (PARTITION BY doc_id ORDER BY pos) AS i FROM h),
+x AS (SELECT a.doc_id, a.i, a.phrase, b.i AS following FROM o a ASOF LEFT JOIN o b ON a.doc_id = b.doc_id AND a.pos + a.n <= b.pos),
+k AS (SELECT doc_id, i, phrase, following FROM x WHERE i = 1 UNION ALL SELECT x.doc_id, x.i, x.phrase, x.following FROM k JOIN x ON x.doc_id = k.doc_id AND x.i = k.following)
+SELECT doc_id, label, max(weight) AS weight FROM (SELECT DISTINCT doc_id, phrase FROM k) JOIN d USING (phrase) GROUP BY 1, 2
+""")
+def j11_dictionary_phrases(t: Tables) -> DataFrame:
+    """Phrases to labels: what turns of conversations begin with, one, two or four words, in all documents."""
+    words = F.split(F.trim(F.regexp_replace(F.lower("text"), "[^a-z0-9]+", " ")), " ")
+    begins = t.conversations.select(F.col("role").alias("label"), words.alias("w"), F.explode(F.array(F.lit(1), F.lit(2), F.lit(4))).alias("n")).filter((F.size("w") >= F.col("n")) & (F.col("w")[0] != ""))
+    d = begins.select(F.array_join(F.slice("w", F.lit(1), F.col("n")), " ").alias("phrase"), "label", (F.col("n") / 4).alias("weight")).distinct()
+    return serve.dictionary_phrases(t.documents.select("doc_id", words.alias("words")), "doc_id", "words", d)
+
+
 @query("SELECT coalesce(c_mktsegment, 'Unknown') AS cuisine, count(*) AS n FROM customer GROUP BY 1")
 def a4_value_counts(t: Tables) -> DataFrame:
     """Places of each cuisine."""

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pantryline.functions import text
+from pantryline.functions import text, vocab
 from pantryline.operators import dedupe
 from pantryline.plans.base import Tables, query
 
@@ -229,3 +229,45 @@ def w5_s7_top_lines(t: Tables) -> DataFrame:
     """The five most confident lines of each document."""
     rows = lines(t).withColumn("conf", (F.length("line") % 10) / 10.0)
     return dedupe.top_n(rows, ["doc_id"], [F.desc("conf"), F.col("line_no")], 5).select("doc_id", "line_no")
+
+
+SETS = ["['nuts', 'dairy']", "['dairy']", "['fish']", "[]", "['eggs', 'soy']", "['soy']"]
+
+
+@query(f"SELECT p_partkey, {', '.join(f'CASE WHEN len(list_intersect(l, {high!r})) > 0 THEN ' + chr(39) + 'high' + chr(39) + f' WHEN len(list_intersect(l, {medium!r})) > 0 THEN ' + chr(39) + 'medium' + chr(39) + ' ELSE ' + chr(39) + 'low' + chr(39) + f' END AS {name}' for name, (high, medium) in vocab.RISK_SETS.items())} FROM (SELECT p_partkey, CASE p_partkey % 6 {' '.join(f'WHEN {i} THEN {x}' for i, x in enumerate(SETS))} END::VARCHAR[] AS l FROM part)")
+def t4_risk_by_labels(t: Tables) -> DataFrame:
+    """Risks by which labels an item has, for both profiles."""
+    each = [F.expr(f"cast(array({x[1:-1]}) as array<string>)") for x in SETS]
+    labels = F.element_at(F.array(*each), (F.col("p_partkey") % len(SETS) + 1).cast("int"))
+    return t.part.select("p_partkey", *(text.risk_by_labels(labels, p).alias(p) for p in vocab.RISK_SETS))
+
+
+METHODS = ["Fried rice", "a BBQ plate", "oven-baked bread", "steamed", "grilled and smoked", "tempura roll", "raw", ""]
+
+
+@query("""
+SELECT p_partkey, concat_ws(',', CASE WHEN regexp_matches(x, '\\bfried\\b|\\btempura\\b') THEN 'fried' END, CASE WHEN regexp_matches(x, '\\bgrilled\\b|\\bbbq\\b') THEN 'grilled' END, CASE WHEN regexp_matches(x, '\\bbaked\\b') THEN 'baked' END) AS found
+FROM (SELECT p_partkey, lower(['Fried rice', 'a BBQ plate', 'oven-baked bread', 'steamed', 'grilled and smoked', 'tempura roll', 'raw', ''][p_partkey % 8 + 1]) AS x FROM part)
+""")
+def t5_preparation(t: Tables) -> DataFrame:
+    """How dishes are made: three of the methods."""
+    x = F.lower(F.element_at(text.strings(METHODS), (F.col("p_partkey") % len(METHODS) + 1).cast("int")))
+    found = text.preparation(x, {k: vocab.PREPARATION[k] for k in ("fried", "grilled", "baked")})
+    return t.part.select("p_partkey", F.array_join(F.filter(F.array(F.lit("fried"), F.lit("grilled"), F.lit("baked")), lambda k: F.array_contains(found, k)), ",").alias("found"))
+
+
+@query("SELECT c_custkey, trim(regexp_replace(regexp_replace(x, '[^a-z0-9\\s]', '', 'g'), '\\s+', ' ', 'g')) AS every, trim(regexp_replace(regexp_replace(' ' || regexp_replace(regexp_replace(x, '[^a-z0-9\\s]', '', 'g'), '\\s+', '  ', 'g') || ' ', ' (the|of) ', ' ', 'g'), '\\s+', ' ', 'g')) AS kept FROM (SELECT c_custkey, lower(CASE c_custkey % 3 WHEN 0 THEN 'The House of ' WHEN 1 THEN 'Of the-sea  ' ELSE 'theatre, ' END || c_name) AS x FROM customer)")
+def t12_name_words(t: Tables) -> DataFrame:
+    """Words of names, all and without stop words."""
+    k = F.col("c_custkey") % 3
+    name = F.concat(F.when(k == 0, "The House of ").when(k == 1, "Of the-sea  ").otherwise("theatre, "), "c_name")
+    return t.customer.select("c_custkey", text.name_key_words(name).alias("every"), text.name_key_words(name, ["the", "of"]).alias("kept"))
+
+
+@query("SELECT p_partkey, round(CASE WHEN p_partkey % 3 = 0 THEN 0.5 ELSE CASE p_partkey % 3 WHEN 1 THEN 0.9 ELSE 0.7 END * CASE p_partkey % 5 WHEN 0 THEN 1.0 WHEN 1 THEN 0.8 WHEN 2 THEN 0.6 WHEN 3 THEN 0.4 ELSE 0.5 END END, 6)::DOUBLE AS confidence FROM part")
+def t7_item_confidence(t: Tables) -> DataFrame:
+    """Confidence from scores and risk; without scores a half."""
+    k = F.col("p_partkey")
+    scores = F.when(k % 3 == 0, F.expr("cast(map() as map<string, double>)")).when(k % 3 == 1, F.create_map(F.lit("a"), F.lit(0.9))).otherwise(F.create_map(F.lit("a"), F.lit(0.9), F.lit("b"), F.lit(0.5)))
+    risk = F.element_at(F.array(*(F.lit(x) for x in ("high", "medium", "low", "unknown", "other"))), (k % 5 + 1).cast("int"))
+    return t.part.select("p_partkey", F.round(text.item_confidence(scores, risk), 6).alias("confidence"))

@@ -54,6 +54,18 @@ def append_log(df: DataFrame, path: str) -> None:
     df.write.mode("append").parquet(path)
 
 
+def stream_log(rows: DataFrame, path: str, checkpoint: str, call: str, at: str, late: str = "1 hour", every: str | None = None):
+    """SNK6. Starts a stream of log rows into files below ``path``; a call that is logged again within ``late`` counts once.
+
+    ``call``: the column that names a call; ``at``: its time, the watermark's. State is bounded by the calls of that time. The file
+    sink commits each batch once, so a stream that starts again from ``checkpoint`` adds nothing twice. Reads of ``path`` through Spark see
+    committed files alone. Rows without a time are dropped: they have no place in the window; times become timestamps of the session's zone.
+    """
+    once = rows.withColumn(at, F.col(at).cast("timestamp")).filter(F.col(at).isNotNull()).withWatermark(at, late).dropDuplicatesWithinWatermark([call])
+    writer = once.writeStream.format("parquet").outputMode("append").option("path", path).option("checkpointLocation", checkpoint)
+    return (writer.trigger(processingTime=every) if every else writer.trigger(availableNow=True)).start()
+
+
 def session_rows(df: DataFrame, session: list[str], success: Column, started: str, ended: str) -> DataFrame:
     """SNK7. A row for each run: start, end, rows, successes, status."""
     out = df.groupBy(*session).agg(F.min(started).alias("started_at"), F.max(ended).alias("ended_at"), F.count("*").alias("n_rows"), F.count_if(success).alias("n_successes"))
@@ -64,3 +76,24 @@ def export_place(places: DataFrame, items: DataFrame, key: str) -> DataFrame:
     """SNK8. Each place with its items as a list, for ``write.json``; a place's menu fits a row."""
     row = F.struct(*(c for c in items.columns if c != key))
     return places.join(items.groupBy(key).agg(F.sort_array(F.collect_list(row)).alias("menu_items")), key, "left").withColumn("menu_items", F.coalesce("menu_items", F.array()))
+
+
+def export_csv(places: DataFrame, items: DataFrame, key: str, path: str) -> None:
+    """SNK8. A flat CSV with a header below ``path``: a line for each item with its place's columns, and one for a place without items.
+
+    An item's columns are called ``item_<name>``; lists are joined by ``;``, other nested values are JSON. Quotes are doubled, and a
+    null is an empty field.
+    """
+
+    def flat(field: T.StructField, name: str) -> Column:
+        c = F.col(field.name)
+        if isinstance(field.dataType, T.ArrayType) and not isinstance(field.dataType.elementType, T.StructType | T.ArrayType | T.MapType):
+            c = F.array_join(F.transform(c, lambda x: x.cast("string")), ";")
+        elif isinstance(field.dataType, T.StructType | T.ArrayType | T.MapType):
+            c = F.to_json(c)
+        return c.alias(name)
+
+    left = places.select(*(flat(f, f.name) for f in places.schema))
+    right = items.select(F.col(key).alias("_key"), *(flat(f, f"item_{f.name}") for f in items.schema if f.name != key))
+    rows = left.join(right, left[key].eqNullSafe(right["_key"]), "left").drop("_key")
+    rows.write.mode("overwrite").option("header", True).option("escape", '"').option("emptyValue", "").csv(path)
