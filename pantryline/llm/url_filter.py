@@ -9,7 +9,7 @@ Filters are blocked: a key's bits lie in one block of 32,768 bits. A level of up
 the probing query as one scalar subquery of that size, so the probed rows meet no join and no shuffle. A larger level
 is kept as a table of blocks, which the probed rows meet by block number.
 
-Up to ``IN_PLAN`` rules are an expression in the plan; more are a table that distinct hosts and paths meet by the host's
+Up to ``IN_PLAN`` rules are one constant list in the plan, longest first, that each url goes along; more are a table that distinct hosts and paths meet by the host's
 suffixes.
 
 Nulls: a null key counts as the empty key. Repeated keys count once, as listed if any of them is. An empty universe
@@ -31,7 +31,7 @@ from pantryline.llm.common import apart, lower_ascii, new_path, written
 
 BLOCK_WORDS = 512
 BLOCK_BITS = 64 * BLOCK_WORDS
-IN_PLAN = 1000
+IN_PLAN = 200
 KEY = "key of the cascade"
 
 
@@ -56,14 +56,16 @@ def longest_rule(host: Column, path: Column, rules: list[tuple[str, str]]) -> Co
     ``rules``: (verdict, ``host/path``), written into the plan. A rule fits its host and all subdomains if the path starts with the
     rule's. Of rules of one length the first given wins.
     """
-    kind = "struct<rule:string,verdict:string>"
-    out = F.lit(None).cast(kind)
-    for verdict, rule in sorted(rules, key=lambda x: len(x[1])):
+    if not rules:
+        return F.lit(None).cast("struct<rule:string,verdict:string>")
+    ordered = sorted(rules, key=lambda x: -len(x[1]))  # a constant of the plan, longest first
+    each = []
+    for verdict, rule in ordered:
         name, slash, rest = rule.partition("/")
-        fits = ((host == name) | host.endswith(f".{name}")) & path.startswith(slash + rest)
-        longer_or_first = F.when(fits & (F.coalesce(F.length(out["rule"]), F.lit(-1)) < len(rule)), F.struct(F.lit(rule).alias("rule"), F.lit(verdict).alias("verdict")))
-        out = F.coalesce(longer_or_first, out)
-    return out
+        each.append(F.struct(F.lit(rule).alias("rule"), F.lit(verdict).alias("verdict"), F.lit(name).alias("end"), F.lit(slash + rest).alias("begin")))
+    fit = F.filter(F.array(*each), lambda r: ((host == r["end"]) | host.endswith(F.concat(F.lit("."), r["end"]))) & path.startswith(r["begin"]))
+    first = F.get(fit, F.lit(0))
+    return F.when(first.isNotNull(), F.struct(first["rule"].alias("rule"), first["verdict"].alias("verdict")))
 
 
 def with_rules(df: DataFrame, rules: list[tuple[str, str]]) -> DataFrame:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import time
 import zlib
 
 import pytest
@@ -50,6 +51,25 @@ def test_judge_urls(spark):
     assert some == [("a.org",)]
 
 
+@pytest.mark.parametrize("n", [0, 5, 50, 200, 201, 1000, 5000])
+def test_any_number_of_rules(spark, n):
+    """Rules of all lengths, in the plan and in a table, against a loop; the plan does not grow faster than the list."""
+    rules = [(("allow", "block")[i % 2], f"h{i % 17}.{'x.' * (i % 3)}net/{'p' * (i % 11)}{i // 40 or ''}") for i in range(n)]
+    rows = [(i, f"{'sub.' * (i % 2)}h{i % 19}.{'x.' * (i % 4)}net", f"/{'p' * (i % 13)}{i % 130}") for i in range(300)]
+    df = spark.createDataFrame(rows, "id long, host string, path string")
+    out = url_filter.with_rules(df, rules)
+    began = time.time()
+    got = {r["id"]: r["_rule"] and tuple(r["_rule"]) for r in out.select("id", "_rule").collect()}
+    assert time.time() - began < 20 and len(out._jdf.queryExecution().optimizedPlan().toString()) < 2000 + 200 * min(n, 200)
+    for i, host, path in rows:
+        best = None
+        for verdict, rule in rules:
+            end, slash, rest = rule.partition("/")
+            if (host == end or host.endswith("." + end)) and path.startswith(slash + rest) and (best is None or len(rule) > len(best[0])):
+                best = rule, verdict
+        assert got[i] == best
+
+
 def check_shards(rows, got, n):
     assert sorted((r["doc_id"] is None, r["doc_id"] or 0, r["size"], r["text_crc32"]) for r in got) == sorted((r[0] is None, r[0] or 0, len((r[1] or "").encode()) + 1, zlib.crc32((r[1] or "").encode())) for r in rows)
     by = {}
