@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import gc
 from collections.abc import Callable, Iterator
 
@@ -13,7 +14,7 @@ from pyspark.sql import types as T
 
 from pantryline.sources.shared import new_path, shared_dir, written
 
-__all__ = ["WORD", "apart", "fold", "freed", "lower_ascii", "new_path", "shared_dir", "text_batches", "text_bytes", "whole_number", "written"]
+__all__ = ["WORD", "apart", "fold", "freed", "lower_ascii", "new_path", "shared_dir", "text_batches", "text_bytes", "trimmed", "whole_number", "written"]
 
 #: A word is a run of anything but ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -80,3 +81,11 @@ def freed() -> None:
     """Gives back memory that a task held: the worker goes on to tasks of other kinds."""
     gc.collect()
     pa.default_memory_pool().release_unused()
+
+
+def trimmed() -> None:
+    """As ``freed``, and what the C library keeps of freed arrays goes back too, where it can (glibc)."""
+    freed()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)

@@ -16,8 +16,8 @@ units, as scans of files do (a checksum tells if they did not); for rows whose o
 them to the shared folder before.
 
 Hashes stand for words and n-grams. Words have 64 bits: two of n distinct ones share one with a probability of about
-n*n / 2**65. N-grams have 8 bits more than the number of the text's bytes (64 at most), so that of the distinct ones fewer
-than one in five hundred shares its hash, whatever the input's size.
+n*n / 2**65. N-grams have 10 bits more than the number of the text's bytes (64 at most), so that of the distinct ones fewer
+than one in two thousand shares its hash, whatever the input's size.
 
 Nulls: a null text counts as empty: one token, the end. A null condition counts as false, a null id stays null. Repeated rows
 are scored and counted each, whatever their ids. Ids of any type come back as they are. Other columns are neither read nor
@@ -38,7 +38,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from pantryline.llm.common import freed, text_batches, text_bytes, whole_number, written
+from pantryline.llm.common import text_batches, text_bytes, trimmed, whole_number, written
 
 A, B = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 REQUEST, UNIT, STATS, CELLS = 0, 1, 2, 3
@@ -214,7 +214,7 @@ def _by_unit(docs: DataFrame, order: int, unit_bytes: int, schema: T.StructType,
         if held:
             yield from unit()
         held = []
-        freed()
+        trimmed()
 
     # the number of the scan's own partition, whatever stands above it in a plan
     return docs.withColumn("_part", F.spark_partition_id()).mapInArrow(run, schema)
@@ -242,6 +242,8 @@ def _answered(requests: DataFrame, ids_kind: T.DataType) -> DataFrame:
                 real = distinct != np.uint64(xxhash.xxh64_intdigest(BEGIN))
                 n, v, lost = every[real].sum(), (every[real] > 0).sum(), deleted[real].sum()
                 out.append(_row(dest=-1 - rows[0]["dest"], unit=-1, kind=STATS, n=int(n), level=int(v), part=int(lost)))  # all, distinct, deleted
+        del rows, mine, distinct, place, every, deleted
+        trimmed()
         return pa.Table.from_pylist(out, schema=arrow)
 
     return requests.groupBy("dest").applyInArrow(run, schema)
@@ -290,34 +292,44 @@ def _joined(answered: DataFrame, order: int, bits: int, ids_kind: T.DataType) ->
     schema, arrow = _schema(ids_kind)
 
     def run(table: pa.Table) -> pa.Table:
-        rows = table.to_pylist()
-        if rows[0]["kind"] == STATS:
+        kind, level_of, part_of = (np.asarray(table.column(x)) for x in ("kind", "level", "part"))
+        if kind[0] == STATS:
             return table
-        unit = next((r for r in rows if r["kind"] == UNIT), {"check": None, "ids": []})
+        there = np.flatnonzero(kind == UNIT).tolist()
+        unit = table.slice(there[0], 1).to_pylist()[0] if there else {"check": None, "ids": []}
         docs = len(unit["ids"])
-        if {r["check"] for r in rows} != {unit["check"]}:
+        if set(table.column("check").to_pylist()) != {unit["check"]}:
             raise ValueError("the input was not read in the same order twice; pass write_first")
         tokens = Tokens(order, unpack(unit["p0"], unit["n"]).astype(np.int32), unpack(unit["p1"], docs).astype(np.int64), np.frombuffer(unit["p2"], np.uint64))
+        unit["p0"] = b""
         at = np.flatnonzero(tokens.event)
         held = at[(unpack(unit["p3"], docs) >= 2)[tokens.doc[at]]]
+
+        def answers(level: int, column: str) -> np.ndarray:
+            """The level's counts in the order of its parts; rows are read one by one, and counts take four bytes where they can."""
+            mine = np.flatnonzero((kind == REQUEST) & (level_of == level))
+            mine = mine[np.argsort(part_of[mine])].tolist()
+            found = [unpack(table.column(column)[i].as_py(), table.column("n")[i].as_py()) for i in mine]
+            return np.concatenate([x.astype(np.uint32) for x in found] if all(int(x.max(initial=0)) < 1 << 32 for x in found) else found)
+
         every, event, ctx = {}, [], []
         for level, at, _, place in tokens.distinct(bits):
-            mine = sorted((r for r in rows if r["kind"] == REQUEST and r["level"] == level), key=lambda r: r["part"])
-            found, lost = (np.concatenate([unpack(r[p], r["n"]) for r in mine]) for p in ("p1", "p2"))
+            found = answers(level, "p1")
             every[level] = pack(found[place])
             # of held-out tokens alone: their n-grams, and those before them as contexts
-            kept = (found - lost).astype(float)
-            event.append(kept[place[np.searchsorted(at, held)]])
+            found = found.astype(np.int64) - answers(level, "p2").astype(np.int64)
+            event.append(found[place[np.searchsorted(at, held)]].astype(float))
             if level < order:
-                ctx.append(kept[place[np.searchsorted(at, held - 1)]])
+                ctx.append(found[place[np.searchsorted(at, held - 1)]].astype(float))
+            del found, place, at
         out = [unit | {"dest": 0, "p0": every[1], "p2": every.get(2, b""), "p3": every.get(3, b"")}]
         if len(event[0]):
             ml = [event[0], *_estimates(event, ctx)]  # the first is a count: the number of all tokens is not known yet
             cell, place, n = np.unique(cell_code(_buckets(ctx, len(event[0])), ml), return_inverse=True, return_counts=True)
             sums = np.stack([np.bincount(place, weights=x) for x in ml])
             out.append(_row(kind=CELLS, n=len(cell), p0=cell.tobytes(), p1=n.astype(np.int64).tobytes(), p2=sums.tobytes()))
-        del tokens, event, ctx, every, rows
-        freed()
+        del tokens, event, ctx, every
+        trimmed()
         return pa.Table.from_pylist(out, schema=arrow)
 
     return answered.groupBy("dest").applyInArrow(run, schema)
@@ -390,7 +402,7 @@ def interpolated_scores(docs: DataFrame, train: Column, heldout: Column, order:
     flag = lambda c: F.coalesce(c, F.lit(False)).cast("int")
     rows = docs.select(F.col(key).cast(ids_kind).alias("_id"), F.coalesce(F.col(text), F.lit("")).cast("binary").alias("_text"), flag(train).alias("_train"), flag(heldout).alias("_out"))
     size = text_bytes(docs, text)
-    parts_bits, bits = (size // (2 * unit_bytes)).bit_length(), min(64, max(40, size.bit_length() + 8))
+    parts_bits, bits = (size // (2 * unit_bytes)).bit_length(), min(64, max(40, size.bit_length() + 10))
     rows = written(rows, "ngram-rows") if write_first else rows
     answered = _answered(_requests(rows, order, unit_bytes, parts_bits, bits, ids_kind), ids_kind)
     table = written(_joined(answered.unionByName(_units(rows, order, unit_bytes, ids_kind)), order, bits, ids_kind), "ngram-units")
@@ -415,7 +427,7 @@ def interpolated_scores(docs: DataFrame, train: Column, heldout: Column, order:
                 base = by_doc(np.log10((event[0] + 0.5) / (n + 0.5 * (v + 1))))
                 known = by_doc(event[0] > 0).astype(np.int64)
                 yield pa.RecordBatch.from_arrays([pa.array(ids, arrow), pa.array(lengths), pa.array(known), pa.array(np.full(len(ids), n)), pa.array(base), pa.array(by_doc(np.log10(p)))], names=schema.names)
-        freed()
+        trimmed()
 
     scored = table.filter(F.col("kind") == UNIT).select("ids", "p0", "p1", "p2", "p3").mapInArrow(score, schema)
     return scored.withColumn(key, F.col(key).cast(kind)) if kind != ids_kind else scored
