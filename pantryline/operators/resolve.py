@@ -58,18 +58,66 @@ def geo_cells(df: DataFrame, lat: str, lon: str, within_m: float, partners: bool
     return rows.withColumn("_cell", F.explode(F.array_distinct(F.array(*(F.pmod(at + d, F.col("_n")) for d in (-1, 0, 1)))))).drop("_n")
 
 
-def geo_fuzzy_match(a: DataFrame, b: DataFrame, within_m: float = 100.0, weights: tuple[float, float, float] = (0.4, 0.4, 0.2), least: float = 0.5) -> DataFrame:
+#: Pairs that a cell makes at most before names and phones are keys within it.
+CROWDED = 100_000
+
+
+def similar_names(a: DataFrame, b: DataFrame, keys: list[str], x: str, y: str, least: float) -> DataFrame:
+    """(keys, x, y): pairs of names of one key with a similarity of ``least`` or more, without those of empty names. None is missing.
+
+    A similarity bounds the edits by the longer name's length. A name of ``b`` is cut into one segment more than it can have edits
+    with any partner, so one segment is whole in the partner, shifted by no more than the edits on either side allow (``least`` over
+    a half keeps segments from being empty). Segments with their name's length are the join's key; the edit distance
+    decides. Both sides are distinct names first, so equal names are compared once.
+    """
+    off, tiny = 1.0 - least, 1e-9
+    whole = lambda c: F.floor(c + tiny).cast("int")
+    edits = lambda n: whole(F.floor(n / least + tiny) * off)  # noqa: E731  with any partner
+    cut = lambda i: F.floor(i * F.col("_n") / (F.col("_t") + 1)).cast("int")
+    left, right = a.select(*keys, x).filter(F.col(x) != "").distinct(), b.select(*keys, y).filter(F.col(y) != "").distinct()
+    index = right.withColumn("_n", F.length(y)).withColumn("_t", edits(F.col("_n"))).withColumn("_i", F.explode(F.sequence(F.lit(0), F.col("_t"))))
+    index = index.withColumn("_s", F.substring(F.col(y), cut(F.col("_i")) + 1, cut(F.col("_i") + 1) - cut(F.col("_i")))).drop("_t")
+    size = F.length(x)
+    probe = left.withColumn("_n", F.explode(F.sequence(F.ceil(size * least - tiny).cast("int"), whole(size / least)))).withColumn("_t", edits(F.col("_n")))
+    d, apart = whole(F.greatest(size, F.col("_n")) * off), size - F.col("_n")
+    probe = probe.withColumn("_i", F.explode(F.sequence(F.lit(0), F.col("_t")))).withColumn("_by", F.explode(F.sequence(F.ceil((apart - d) / 2).cast("int"), F.floor((apart + d) / 2).cast("int"))))
+    at, long = cut(F.col("_i")) + F.col("_by"), cut(F.col("_i") + 1) - cut(F.col("_i"))
+    probe = probe.filter((at >= 0) & (at + long <= size)).select(*keys, x, "_n", "_i", F.substring(F.col(x), at + 1, long).alias("_s")).distinct()
+    within = F.call_function("levenshtein", F.col(x), F.col(y), whole(F.greatest(F.length(x), F.length(y)) * off))  # -1 if it is more
+    return probe.join(index, [*keys, "_n", "_i", "_s"]).filter(within >= 0).select(*keys, x, y).distinct()
+
+
+def geo_fuzzy_match(a: DataFrame, b: DataFrame, within_m: float = 100.0, weights: tuple[float, float, float] = (0.4, 0.4, 0.2), least: float = 0.5, crowded: int = CROWDED) -> DataFrame:
     """J1. Pairs within a distance with name, phone and nearness weighed into a confidence of ``least`` or more.
 
     ``a``, ``b``: (id, pos, name, lat, lon, phone). Out: a_id, a_pos, b_id, b_pos, confidence, distance_m,
     name_similarity, phone_match. Rows without coordinates match nothing.
+
+    Cells that would make more than ``crowded`` pairs do not make them all: a pair without equal phones needs a name
+    similarity of (least - nearness weight) / name weight, so there those meet that have equal phones, and those of
+    ``similar_names``. Where the weights let names differ by a half and more, or nearness alone is enough, nothing can be left out.
     """
     cols = lambda df, p: df.filter("lat is not null and lon is not null").select(F.col("id").alias(f"{p}_id"), F.col("pos").alias(f"{p}_pos"), F.col("lat").alias(f"{p}_lat"), F.col("lon").alias(f"{p}_lon"), text.name_key(F.col("name")).alias(f"{p}_name"), text.phone_key(F.col("phone")).alias(f"{p}_phone"))
-    left, right = cols(a, "a"), cols(b, "b")
-    pairs = geo_cells(left, "a_lat", "a_lon", within_m, False).join(geo_cells(right, "b_lat", "b_lon", within_m, True), ["_band", "_cell"])
+    left, right, cell = geo_cells(cols(a, "a"), "a_lat", "a_lon", within_m, False), geo_cells(cols(b, "b"), "b_lat", "b_lon", within_m, True), ["_band", "_cell"]
+    name, phone, near = weights
+    needed = (least - near) / name if name > 0 else 1.0
+    full = None
+    if needed > 0.5:
+        counts = left.groupBy(*cell).agg(F.count("*").alias("_a")).join(right.groupBy(*cell).agg(F.count("*").alias("_b")), cell)
+        full = written(counts.filter(F.col("_a") * F.col("_b") > crowded).select(*cell), "crowded")
+    if full is None or full.isEmpty():
+        pairs = left.join(right, cell)
+    else:
+        within = lambda df: df.join(full, cell, "left_semi")
+        x, y, same = within(left), within(right), (F.col("a_phone") != "") & (F.col("a_phone") == F.col("b_phone"))
+        calm = left.join(full, cell, "left_anti").join(right, cell)
+        called = x.withColumn("_p", F.col("a_phone")).filter("_p != ''").join(y.withColumn("_p", F.col("b_phone")), [*cell, "_p"]).drop("_p")
+        named = similar_names(x, y, cell, "a_name", "b_name", min(needed, 1.0)) if needed <= 1 else None
+        pairs = calm.unionByName(called)
+        if named is not None:
+            pairs = pairs.unionByName(x.join(named, [*cell, "a_name"]).join(y, [*cell, "b_name"]).filter(~same).select(pairs.columns))
     pairs = pairs.withColumn("distance_m", geo.haversine_m(F.col("a_lat"), F.col("a_lon"), F.col("b_lat"), F.col("b_lon"))).filter(F.col("distance_m") <= within_m)
     pairs = pairs.withColumns({"name_similarity": text.name_similarity(F.col("a_name"), F.col("b_name")), "phone_match": F.when((F.col("a_phone") != "") & (F.col("a_phone") == F.col("b_phone")), 1.0).otherwise(0.0)})
-    name, phone, near = weights
     pairs = pairs.withColumn("confidence", F.col("name_similarity") * name + F.col("phone_match") * phone + (1.0 - F.col("distance_m") / within_m) * near)
     return pairs.filter(F.col("confidence") >= least).select("a_id", "a_pos", "b_id", "b_pos", "confidence", "distance_m", "name_similarity", "phone_match")
 

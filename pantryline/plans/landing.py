@@ -376,4 +376,44 @@ def st3_cycle_rows(t: Tables) -> DataFrame:
     for i in range(2):
         half.filter(F.col("seq") % 2 == i).write.parquet(f"{late}/{i}")
         changes.run_rows(rows(stream), f"{path}/places", f"{path}/rows-checkpoint", "place_id", "seq", "first_seen").awaitTermination()
-    return t.spark.read.schema("place_id string, seq long, phone string, first_seen long").parquet(f"{path}/places/batch_id=1")
+    return changes.PlaceTable(t.spark, f"{path}/places", "place_id").read("place_id string, seq long, phone string, first_seen long")
+
+
+REMOVED = """
+WITH e AS (SELECT user_id::VARCHAR AS place_id, event_id AS seq, event_type AS phone, event_type = 'error' AS gone, lag(event_type) OVER w AS p FROM events WINDOW w AS (PARTITION BY user_id ORDER BY event_id))
+SELECT place_id, CASE WHEN gone THEN 'removed' WHEN p IS NULL OR p = 'error' THEN 'new' ELSE 'updated' END AS change_type, CASE WHEN NOT gone AND p <> 'error' THEN 'phone' END AS field,
+  CASE WHEN NOT gone AND p <> 'error' THEN p END AS old_value, CASE WHEN NOT gone AND p <> 'error' THEN phone END AS new_value, seq
+FROM e WHERE (gone AND p <> 'error') OR (NOT gone AND (p IS NULL OR p = 'error' OR p <> phone))
+"""
+
+
+@query(REMOVED)
+def st1_removed(t: Tables) -> DataFrame:
+    """A feed in which places go and come back: an error event removes its place."""
+    path = new_path(t.spark, "removed")
+    t.spark.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKS)
+    rows = t.events.select(_text("user_id").alias("place_id"), F.col("event_id").alias("seq"), F.col("event_type").alias("phone"), (F.col("event_type") == "error").alias("removed"))
+    rows.write.parquet(f"{path}/in")
+    feed = changes.change_feed(t.spark.readStream.schema(rows.schema).parquet(f"{path}/in"), ["phone"], announce=True)
+    changes.run_cycles(feed, f"{path}/out", f"{path}/checkpoint").awaitTermination()
+    return t.spark.read.schema(changes.CHANGE).parquet(f"{path}/out/changes/*")
+
+
+LATEST = "(SELECT user_id::VARCHAR AS place_id, arg_max(event_type, event_id) AS phone, arg_max((event_id % 4)::VARCHAR, event_id) AS n_items FROM events WHERE {} GROUP BY 1)"
+
+
+@query(f"""
+WITH o AS {LATEST.format("event_id % 3 = 0 AND user_id % 5 > 0")}, n AS {LATEST.format("TRUE")}, b AS (SELECT n.place_id, o.place_id IS NULL AS fresh, o.phone AS p, n.phone AS q, o.n_items AS i, n.n_items AS j FROM n LEFT JOIN o USING (place_id))
+SELECT place_id, 'new' AS change_type, NULL AS field, NULL AS old_value, NULL AS new_value FROM b WHERE fresh
+UNION ALL SELECT place_id, 'updated', 'phone', p, q FROM b WHERE p <> q UNION ALL SELECT place_id, 'menu_changed', 'n_items', i, j FROM b WHERE i <> j
+""")
+def st1_from_snapshot(t: Tables) -> DataFrame:
+    """The feed of today's snapshot, begun on yesterday's: what the comparison of both tables gives. Some places are new."""
+    path = new_path(t.spark, "from-snapshot")
+    t.spark.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKS)
+    latest = lambda df: df.groupBy(_text("user_id").alias("place_id")).agg(F.max("event_id").alias("seq"), F.max_by("event_type", "event_id").alias("phone"), F.max_by(F.col("event_id") % 4, "event_id").alias("n_items"))
+    old, new = latest(t.events.filter("event_id % 3 = 0 and user_id % 5 > 0")), latest(t.events)
+    new.write.parquet(f"{path}/in")
+    feed = changes.change_feed(t.spark.readStream.schema(new.schema).parquet(f"{path}/in"), ["phone", "n_items"], "n_items", announce=True, landed=old)
+    changes.run_cycles(feed, f"{path}/out", f"{path}/checkpoint").awaitTermination()
+    return t.spark.read.schema(changes.CHANGE).parquet(f"{path}/out/changes/*").drop("seq")

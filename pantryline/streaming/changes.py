@@ -2,16 +2,22 @@
 
 from __future__ import annotations
 
+import heapq
+import uuid
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from pantryline.sources.store import upsert_by_key
 
 CHANGE = "place_id string, change_type string, field string, old_value string, new_value string, seq long"
+CHANGE_COLUMNS = [x.split()[0] for x in CHANGE.split(", ")]
+#: Rows that a place gives at once.
+OUT_ROWS = 10_000
 
 
 class ChangeProcessor(StatefulProcessor):
@@ -29,18 +35,33 @@ class ChangeProcessor(StatefulProcessor):
         """Opens the state."""
         self.last = handle.getValueState("last", "seq long, " + ", ".join(f"`{f}` string" for f in self.fields), self.ttl_ms)
 
+    def handleInitialState(self, key: tuple, initialState: pd.DataFrame, timerValues: object) -> None:  # noqa: N802, N803
+        """The last landed row of a place, before the first batch."""
+        rows = initialState[initialState["seq"].notna()]
+        if len(rows):
+            r = rows.sort_values("seq", kind="stable").iloc[-1]
+            self.last.update((int(r["seq"]), *(None if pd.isna(r[f]) else str(r[f]) for f in self.fields)))
+
     def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues: object) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
-        """Changes in the order of ``seq``."""
-        every = pd.concat(list(rows)).sort_values("seq", kind="stable")
+        """Changes in the order of ``seq``.
+
+        Rows come in chunks; each loses the rows that are too late and is sorted alone, and the chunks are merged row by row.
+        """
         last, out = self.last.get() if self.last.exists() else None, []
-        for r in every.to_dict("records"):
-            now = [None if pd.isna(r[f]) else str(r[f]) for f in self.fields]
-            if pd.isna(r["seq"]):  # no place in the order
-                continue
-            seq = int(r["seq"])
+        begun = last[0] if last is not None else None
+        chunks = []
+        for chunk in rows:
+            chunk = chunk[chunk["seq"].notna()]  # a row without seq has no place in the order
+            if begun is not None:
+                chunk = chunk[chunk["seq"] > begun]
+            if len(chunk):
+                chunks.append(chunk.sort_values("seq", kind="stable"))
+        merged = heapq.merge(*(c[["seq", "removed", *self.fields]].itertuples(index=False, name=None) for c in chunks), key=lambda r: r[0])
+        for number, removed, *fields in merged:
+            seq, now = int(number), [None if pd.isna(x) else str(x) for x in fields]
             if last is not None and seq <= last[0]:
                 continue
-            if r["removed"]:
+            if removed:
                 if last is not None and self.announce:
                     out.append((key[0], "removed", None, None, None, seq))
                 last = None
@@ -51,25 +72,31 @@ class ChangeProcessor(StatefulProcessor):
                 if old != new:
                     out.append((key[0], "menu_changed" if f == self.count else "updated", f, old, new, seq))
             last = (seq, *now)
+            if len(out) >= OUT_ROWS:
+                yield pd.DataFrame(out, columns=CHANGE_COLUMNS)
+                out = []
         if last is not None:
             self.last.update(tuple(last))
         elif self.last.exists():
             self.last.clear()
-        yield pd.DataFrame(out, columns=["place_id", "change_type", "field", "old_value", "new_value", "seq"])
+        yield pd.DataFrame(out, columns=CHANGE_COLUMNS)
 
     def close(self) -> None:
         """Nothing is open."""
 
 
-def change_feed(rows: DataFrame, fields: list[str], count: str | None = None, announce: bool = False, ttl_ms: int | None = None) -> DataFrame:
+def change_feed(rows: DataFrame, fields: list[str], count: str | None = None, announce: bool = False, ttl_ms: int | None = None, landed: DataFrame | None = None) -> DataFrame:
     """ST1. ``rows``: a stream of (place_id, seq, fields ..., perhaps removed). Needs the RocksDB state store.
 
+    ``landed``: a table (place_id, seq, fields ...) of what is known already, as yesterday's snapshot: the feed compares with its
+    latest rows from the first batch on. It is read when the checkpoint is new, and not again.
     With ``ttl_ms`` a place's state ends so long after it was last written, so the store is bounded by what is seen in that time.
     """
     removed = F.coalesce(F.col("removed").cast("boolean"), F.lit(False)) if "removed" in rows.columns else F.lit(False)
-    text = rows.select(F.col("place_id").cast("string").alias("place_id"), F.col("seq").cast("long").alias("seq"), *(F.col(f).cast("string").alias(f) for f in fields), removed.alias("removed"))
+    plain = lambda df: df.select(F.col("place_id").cast("string").alias("place_id"), F.col("seq").cast("long").alias("seq"), *(F.col(f).cast("string").alias(f) for f in fields), *([removed.alias("removed")] if df is rows else []))
     processor = ChangeProcessor(fields, count, announce, ttl_ms)
-    return text.groupBy("place_id").transformWithStateInPandas(statefulProcessor=processor, outputStructType=CHANGE, outputMode="Append", timeMode="ProcessingTime" if ttl_ms else "None")
+    before = {} if landed is None else {"initialState": plain(landed).groupBy("place_id")}
+    return plain(rows).groupBy("place_id").transformWithStateInPandas(statefulProcessor=processor, outputStructType=CHANGE, outputMode="Append", timeMode="ProcessingTime" if ttl_ms else "None", **before)
 
 
 def cycle_sink(path: str, metrics: Callable[[DataFrame], DataFrame] | None = None) -> Callable[[DataFrame, int], None]:
@@ -96,20 +123,99 @@ def run_cycles(changes: DataFrame, path: str, checkpoint: str, every: str | None
     return (writer.trigger(processingTime=every) if every else writer.trigger(availableNow=True)).start()
 
 
-def row_sink(path: str, key: str, updated: str, created: str) -> Callable[[DataFrame, int], None]:
-    """ST3. A ``foreachBatch`` writer that keeps the table of places: batch ``N`` upserts its rows into the snapshot of ``N - 1`` and
-    writes the whole as ``N``. A batch that is run again reads the same snapshot and writes its own once more."""
+class PlaceTable:
+    """ST3. A table of places by key, in hash buckets, as a row of versions.
+
+    A batch writes the buckets that its keys fall into, merged with their rows before, as files of its own number; a manifest of that
+    number then says which version each bucket has. Readers see the latest manifest. So a batch writes in proportion to the buckets
+    that it touches; one that is run again reads the manifest before its own and writes the same files once more; and one that
+    dies before its manifest changes nothing. Manifests before the last ``keep``, and files that none of the kept ones names, are removed.
+    """
+
+    def __init__(self, spark: SparkSession, path: str, key: str, buckets: int = 64, keep: int = 2) -> None:
+        if keep < 2:
+            raise ValueError("the manifest before the last must stay, for a batch that is run again")
+        self.spark, self.path, self.key, self.buckets, self.keep = spark, path, key, buckets, keep
+        jvm = spark._jvm.org.apache.hadoop.fs
+        self._at = lambda x: jvm.Path(f"{path}/{x}")
+        self._store = jvm.Path(path).getFileSystem(spark._jsc.hadoopConfiguration())
+
+    def _names(self, folder: str) -> list[str]:
+        at = self._at(folder)
+        return sorted(x.getPath().getName() for x in self._store.listStatus(at)) if self._store.exists(at) else []
+
+    def manifests(self) -> list[int]:
+        """The numbers of the manifests that are there."""
+        return sorted(int(x.split("-")[1]) for x in self._names("manifests") if x.startswith("batch-"))
+
+    def versions(self, number: int) -> dict[int, int]:
+        """Bucket: the version that it has in a manifest, or in the last before it; one small file."""
+        before = [n for n in self.manifests() if n <= number]
+        if not before:
+            return {}
+        rows = self.spark.read.schema("bucket int, version long").json(f"{self.path}/manifests/batch-{before[-1]}").collect()
+        return {r["bucket"]: r["version"] for r in rows}
+
+    def _folders(self, versions: dict[int, int]) -> list[str]:
+        return [f"{self.path}/data/version={v}/bucket={b}" for b, v in sorted(versions.items())]
+
+    def read(self, schema: T.StructType | str) -> DataFrame:
+        """The rows of the latest manifest."""
+        numbers = self.manifests()
+        folders = self._folders(self.versions(numbers[-1])) if numbers else []
+        return self.spark.read.schema(schema).parquet(*folders) if folders else self.spark.createDataFrame([], schema)
+
+    def upsert(self, batch: DataFrame, number: int, updated: str, created: str) -> None:
+        """Batch ``number`` into the table, as ``upsert_by_key`` does."""
+        rows = batch.withColumn("bucket", F.pmod(F.xxhash64(self.key), F.lit(self.buckets)).cast("int")).persist()
+        touched = [r["bucket"] for r in rows.select("bucket").distinct().collect()]  # at most ``buckets``
+        now = self.versions(number - 1)
+        if touched:
+            known = self._folders({b: now[b] for b in touched if b in now})
+            old = self.spark.read.schema(batch.schema).parquet(*known) if known else batch.limit(0)
+            merged = upsert_by_key(old, rows.drop("bucket"), self.key, updated, created)
+            merged = merged.withColumn("bucket", F.pmod(F.xxhash64(self.key), F.lit(self.buckets)).cast("int"))
+            merged.repartition("bucket").write.mode("overwrite").partitionBy("bucket").parquet(f"{self.path}/data/version={number}")
+        rows.unpersist()
+        now |= {b: number for b in touched}
+        text = "".join(f'{{"bucket":{b},"version":{v}}}\n' for b, v in sorted(now.items()))
+        draft = self._at(f"manifests/.{uuid.uuid4().hex}")
+        out = self._store.create(draft, True)
+        out.write(bytearray(text.encode()))
+        out.close()
+        final = self._at(f"manifests/batch-{number}")
+        self._store.delete(final, False)
+        self._store.rename(draft, final)
+        self._clean()
+
+    def _clean(self) -> None:
+        numbers = self.manifests()
+        used = {(v, b) for n in numbers[-self.keep :] for b, v in self.versions(n).items()}
+        for n in numbers[: -self.keep]:
+            self._store.delete(self._at(f"manifests/batch-{n}"), False)
+        if not numbers:
+            return
+        for version in self._names("data"):
+            v = int(version.split("=")[1])
+            if v > numbers[-1]:
+                continue
+            for bucket in [x for x in self._names(f"data/{version}") if x.startswith("bucket=")]:
+                if (v, int(bucket.split("=")[1])) not in used:
+                    self._store.delete(self._at(f"data/{version}/{bucket}"), True)
+            if not any(x.startswith("bucket=") for x in self._names(f"data/{version}")):
+                self._store.delete(self._at(f"data/{version}"), True)
+
+
+def row_sink(path: str, key: str, updated: str, created: str, buckets: int = 64, keep: int = 2) -> Callable[[DataFrame, int], None]:
+    """ST3. A ``foreachBatch`` writer that keeps the table of places (``PlaceTable``)."""
 
     def write(batch: DataFrame, number: int) -> None:
-        old = batch.limit(0)
-        if number:
-            old = batch.sparkSession.read.schema(batch.schema).parquet(f"{path}/batch_id={number - 1}")
-        upsert_by_key(old, batch, key, updated, created).write.mode("overwrite").parquet(f"{path}/batch_id={number}")
+        PlaceTable(batch.sparkSession, path, key, buckets, keep).upsert(batch, number, updated, created)
 
     return write
 
 
-def run_rows(rows: DataFrame, path: str, checkpoint: str, key: str, updated: str, created: str, every: str | None = None):
+def run_rows(rows: DataFrame, path: str, checkpoint: str, key: str, updated: str, created: str, every: str | None = None, buckets: int = 64):
     """ST2, ST3. Starts the table of places beside the feed of changes, on the same trigger."""
-    writer = rows.writeStream.foreachBatch(row_sink(path, key, updated, created)).option("checkpointLocation", checkpoint)
+    writer = rows.writeStream.foreachBatch(row_sink(path, key, updated, created, buckets)).option("checkpointLocation", checkpoint)
     return (writer.trigger(processingTime=every) if every else writer.trigger(availableNow=True)).start()

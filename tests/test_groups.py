@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 import random
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -102,6 +103,36 @@ def test_geo_match_is_the_loop(spark):
     assert {(r["a_id"], r["b_id"]) for r in resolve.assign_one_to_one(pairs).collect()} == {(x, y) for y, x in taken.items()}
 
 
+@pytest.mark.parametrize("least", [0.5, 0.35, 0.45, 0.62])
+def test_crowded_cells_lose_no_pair(spark, least):
+    """All cells as crowded ones against all pairs."""
+    rng = random.Random(11)
+    names = ["luna", "luna x", "lune", "moonlight diner", "moonlit diner", "monlight dine", "ab", "abc", "b", "", "the golden dragon palace", "golden dragon palaces"]
+
+    def name():
+        x = list(rng.choice(names))
+        for _ in range(rng.randrange(4)):
+            k = rng.randrange(len(x) + 1)
+            x[k : k + rng.randrange(2)] = rng.choice(["a", "", "zz", " "])
+        return "".join(x)
+
+    row = lambda p, i: (f"{p}{i}", i, name(), 41 + rng.randrange(3) * 0.0004, -87 + rng.randrange(3) * 0.0004, rng.choice(["", "", "3125550001", "3125550002"]))
+    a, b = (spark.createDataFrame([row(p, i) for i in range(120)], PLACE) for p in "ab")
+    every, some = (sorted(map(str, resolve.geo_fuzzy_match(a, b, least=least, crowded=n).collect())) for n in (10**9, 0))
+    assert every == some and len(every) > 100
+
+
+def test_fifty_thousand_places_on_one_spot(spark):
+    letters = F.lower(F.regexp_replace(F.base64(F.unhex(F.sha2(F.col("id").cast("string"), 256))), "[^A-Za-z]", ""))
+    place = F.concat_ws(" ", F.substring(letters, 1, 9), F.substring(letters, 10, 8))
+    a = spark.range(50_000).select(F.concat(F.lit("a"), "id").alias("id"), F.col("id").alias("pos"), place.alias("name"), F.lit(41.0).alias("lat"), F.lit(-87.0).alias("lon"), F.lit("").alias("phone"))
+    b = a.withColumns({"id": F.concat(F.lit("b"), F.col("pos").cast("string")), "name": F.when(F.col("pos") % 2 == 0, F.concat(F.lit("x"), F.substring("name", 2, 99))).otherwise(F.reverse("name")), "phone": F.lit("")})
+    got = resolve.geo_fuzzy_match(a, b)
+    began = time.time()
+    found = got.filter(F.col("a_pos") == F.col("b_pos")).count()
+    assert found >= 25_000 and time.time() - began < 240
+
+
 def test_cascade_and_fallback(spark):
     rows = [("p", 0, i) for i in range(2)] + [("p", 1, i) for i in range(2)] + [("p", 2, 0)] + [("q", 1, 0), ("q", 2, 0), ("r", 0, 0), ("r", 0, 1), ("r", 0, 2), ("r", 1, 0)]
     got = dedupe.cascade(spark.createDataFrame(rows, "page string, s int, i int"), ["page"], "s", [0, 3, 2]).groupBy("page", "s").count().collect()

@@ -4,8 +4,10 @@ from __future__ import annotations
 
 import json
 import os
+import random
 import time
 
+import pandas as pd
 from pyspark.sql import functions as F
 
 from pantryline.operators import metrics, serve
@@ -146,3 +148,70 @@ def test_a_cluster_needs_a_shared_folder(spark, tmp_path):
     assert shared.new_path(Fake(sparkContext=context("local[2]", None)), "x").startswith("file://") and len(seen) == 2
     table = shared.written(spark.range(3), "three")
     assert table.count() == 3 and table.inputFiles()[0].startswith(shared.session_dir(spark).replace("file://", "file:///").replace("////", "///"))
+
+
+def test_place_table_writes_what_it_touches(spark, tmp_path):
+    """Versions of buckets: few are written, a batch run again changes nothing, old files go."""
+    schema, path = "id long, updated long, created long, v string", str(tmp_path / "places")
+    batch = lambda rows: spark.createDataFrame(rows, schema)
+    sink = changes.row_sink(path, "id", "updated", "created", buckets=16)
+    read = lambda: sorted(tuple(r) for r in changes.PlaceTable(spark, path, "id", 16).read(schema).collect())
+    assert read() == []
+    every = [(i, 0, 0, "a") for i in range(200)]
+    sink(batch(every), 0)
+    assert read() == every
+    for _ in range(2):  # the second time as after a restart
+        sink(batch([(7, 1, 1, "b"), (7, 2, 2, "c"), (500, 1, 1, "new")]), 1)
+        assert read() == sorted([r for r in every if r[0] != 7] + [(7, 2, 0, "c"), (500, 1, 1, "new")])
+        assert len([x for x in os.listdir(f"{path}/data/version=1") if "=" in x]) <= 2
+    sink(batch([]), 2)
+    sink(batch([(7, 3, 3, "d")]), 3)
+    assert dict((r[0], r[3]) for r in read())[7] == "d" and len(read()) == 201
+    kept = {x for x in os.listdir(f"{path}/manifests") if x.startswith("batch-")}
+    assert kept == {"batch-2", "batch-3"}
+    assert not [x for x in os.listdir(f"{path}/data/version=0") if x == f"bucket={[b for b in os.listdir(f'{path}/data/version=3') if '=' in b][0].split('=')[1]}"]
+
+
+def test_feed_begins_on_what_is_landed(spark, tmp_path):
+    landed = spark.createDataFrame([("a", 5, "1"), ("a", 4, "0"), ("b", 5, None), (None, 1, "x")], "place_id string, seq long, phone string")
+
+    def run(*rows):
+        spark.createDataFrame(list(rows), landed.schema).coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+        stream = spark.readStream.schema(landed.schema).parquet(f"{tmp_path}/in")
+        changes.run_cycles(changes.change_feed(stream, ["phone"], announce=True, landed=landed), f"{tmp_path}/out", f"{tmp_path}/checkpoint").awaitTermination()
+        return sorted((r["place_id"], r["change_type"], r["old_value"], r["new_value"], r["seq"]) for r in spark.read.schema(changes.CHANGE).parquet(f"{tmp_path}/out/changes/*").collect())
+
+    first = run(("a", 5, "late"), ("a", 6, "2"), ("b", None, "lost"), ("b", 9, "3"), ("c", 1, "1"))
+    assert first == [("a", "updated", "1", "2", 6), ("b", "updated", None, "3", 9), ("c", "new", None, None, 1)]
+    assert run(("a", 7, "1")) == sorted([*first, ("a", "updated", "2", "1", 7)])  # the landed rows are not read again
+
+
+def test_feed_merges_chunks():
+    """A hot place's rows come in several chunks, out of order."""
+
+    class State:
+        value = None
+
+        def exists(self):
+            return self.value is not None
+
+        def get(self):
+            return self.value
+
+        def update(self, value):
+            self.value = value
+
+        def clear(self):
+            self.value = None
+
+    rng = random.Random(4)
+    rows = [(i, str(rng.randrange(3)), rng.random() < 0.1) for i in range(200)]
+    shuffled = rows[:]
+    rng.shuffle(shuffled)
+    outs = []
+    for given in (rows, shuffled):
+        p = changes.ChangeProcessor(["phone"], announce=True)
+        p.last = State()
+        frames = [pd.DataFrame(given[i : i + 30], columns=["seq", "phone", "removed"]) for i in range(0, 200, 30)] + [pd.DataFrame([(None, "9", False)], columns=["seq", "phone", "removed"])]
+        outs.append([tuple(r) for f in p.handleInputRows(("a",), iter(frames), None) for r in f.itertuples(index=False)])
+    assert outs[0] == outs[1] and len(outs[0]) > 100
