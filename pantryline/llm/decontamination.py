@@ -9,7 +9,7 @@ stays within the radius is verified by the exact weighted Jaccard similarity of
 fingerprints differ in 10 bits (deviation 3), so the radius is beyond four deviations.
 
 Texts pass through once, without a shuffle. Items go to the tasks in blocks of at most ``item_bytes`` of text, a pass
-over the texts for each block. An index holds some 50 bytes for each word of its items, all in flat arrays; windows are looked
+over the texts for each block, whose finds are written before the next index is built: the driver has one at a time. An index holds some 50 bytes for each word of its items, all in flat arrays; windows are looked
 up in slices of a bounded number of shingles, and of windows times the items that share a shingle with them.
 
 Nulls: a null text or item counts as empty, and an item without words is nowhere. Empty texts hold nothing; long ones are read
@@ -276,7 +276,12 @@ def leaks(docs: DataFrame, items: DataFrame, least: float = 0.8, key: str = "doc
 
         return rows.mapInArrow(run, schema)
 
-    parts = [pass_over(x) for x in _blocks(items, item_key, "text", item_bytes)]
+    parts, last = [], None
+    for index in _blocks(items, item_key, "text", item_bytes):
+        if last is not None:  # so that the driver holds one index at a time
+            parts.append(written(last, "found-so-far"))
+        last = pass_over(index)
+    parts += [last] if last is not None else []
     return reduce(DataFrame.unionByName, parts) if parts else docs.sparkSession.createDataFrame([], schema)
 
 

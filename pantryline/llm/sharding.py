@@ -34,14 +34,14 @@ def external_shuffle(df: DataFrame, path: str, shards: int = 8, seed: int = 42,
     df, back = apart(df, text, own=("slot", "shard"))
     buckets = max(least_buckets, math.ceil(text_bytes(df, text) / bucket_bytes))
     record = df.select(F.struct(*df.columns).alias("_row"), F.lit(0).cast("long").alias("_copy"))
-    sizes = _sizes(record, text, seed, buckets)
+    sizes = written(_sizes(record, text, seed, buckets), "bucket-sizes")  # the records are hashed once for both uses
     largest = sizes.agg(F.max("bytes").alias("bytes"), F.sum("n").alias("n")).first()
     if largest["bytes"] and largest["bytes"] > 4 * bucket_bytes and buckets > 1:
         record = _numbered(record)
-        sizes = _sizes(record, text, seed, buckets)
+        sizes = written(_sizes(record, text, seed, buckets), "bucket-sizes")
     total = largest["n"] or 0
-    offsets = written(sizes, "bucket-sizes")  # a row for each bucket, so the ordered sum below stays small
-    offsets = offsets.selectExpr("_bucket", "sum(n) over (order by _bucket) - n as first")
+    # a row for each bucket, so the ordered sum stays small
+    offsets = sizes.selectExpr("_bucket", "sum(n) over (order by _bucket) - n as first")
     # a task for each bucket
     dealt = record.withColumn("_bucket", _bucket(seed, buckets)).repartitionById(buckets, F.col("_bucket"))
     arrays = dealt.groupBy("_bucket").agg(F.sort_array(F.collect_list(F.struct("_row", "_copy"))).alias("rows"))

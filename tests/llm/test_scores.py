@@ -375,3 +375,42 @@ def test_pipeline(spark, tmp_path):
     empty = spark.read.parquet(f"{tmp_path}/documents.parquet").limit(0)
     for name, stage in corpus_pipeline.STAGES:
         assert stage(spark, empty, str(tmp_path)).count() == 0, name
+
+
+@pytest.mark.parametrize("penalty", [0.0, 3.0])
+def test_the_fit_minimises_its_objective(penalty):
+    """Against plain gradient descent on a dense matrix: logistic loss, squared changes of the logit under swaps, and a ridge."""
+    rng = random.Random(17)
+    texts, labels = [], []
+    for i in range(120):
+        bad = i % 2
+        group = ("men", "women")[rng.random() < (0.85 if bad else 0.15)]
+        texts.append([group, *(["vile", "filth"] if bad and rng.random() < 0.8 else []), *(["calm", "tidy"] if not bad and rng.random() < 0.8 else []), *rng.choices(["a", "b", "c", "d"], k=6)])
+        labels.append(bad)
+    kinds = (("men", "women"),)
+    counters = [Counter(x) for x in texts]
+    x = [np.array(sorted(toxicity.features(c)), np.uint32) for c in counters]
+    changed = [(i, np.array(sorted(toxicity.features(s)), np.uint32)) for i, c in enumerate(counters) for s in toxicity.swapped(c, kinds)]
+    y = np.array(labels)
+    must = {toxicity.number(s) for w in kinds[0] for s in toxicity.stems(w)}
+    model = toxicity.fit(x, y, changed, 0.5, must, penalty=penalty, steps=1500)
+    names = sorted(model.weights)
+    dense = lambda rows: np.array([[float(n in set(r.tolist())) for n in names] for r in rows])
+    a, b, base = dense(x), dense([r for _, r in changed]), np.array([i for i, _ in changed])
+
+    def objective(w, bias):
+        z = a @ w
+        return np.mean(np.logaddexp(0, z + bias) - y * (z + bias)) + penalty * np.mean((z[base] - b @ w) ** 2) + 1e-4 / 2 * (w @ w)
+
+    w, bias = np.zeros(len(names)), 0.0
+    for _ in range(20_000):
+        z = a @ w
+        err = (1 / (1 + np.exp(-(z + bias))) - y) / len(y)
+        diff = 2 * penalty * (z[base] - b @ w) / len(base)
+        g = a.T @ err + (a[base] - b).T @ diff + 1e-4 * w
+        w, bias = w - 0.05 * g, bias - 0.05 * err.sum()
+    mine = np.array([model.weights[n] for n in names])
+    assert {toxicity.number("vile"), toxicity.number("calm")} <= set(names)
+    assert objective(mine, model.intercept) <= objective(w, bias) + 2e-3 < objective(np.zeros(len(names)), 0.0) - 0.2
+    gap = abs(model.weights.get(toxicity.number("men"), 0) - model.weights.get(toxicity.number("women"), 0))
+    assert gap < 0.3 if penalty else gap > 0.5
