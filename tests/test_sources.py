@@ -215,3 +215,28 @@ def test_feed_merges_chunks():
         frames = [pd.DataFrame(given[i : i + 30], columns=["seq", "phone", "removed"]) for i in range(0, 200, 30)] + [pd.DataFrame([(None, "9", False)], columns=["seq", "phone", "removed"])]
         outs.append([tuple(r) for f in p.handleInputRows(("a",), iter(frames), None) for r in f.itertuples(index=False)])
     assert outs[0] == outs[1] and len(outs[0]) > 100
+
+
+def test_large_envelopes_in_ranges(spark, tmp_path):
+    """Ranges of any size give what the file as one document gives."""
+    from pantryline.sources import envelopes
+
+    rng = random.Random(3)
+    odd = ['a "quoted" {name}', "back\\slash", "\\", '"', "]}", "ünïcode 日本", "[{", "x" * 300, ""]
+    record = lambda i: {"id": str(i), "name": rng.choice(odd) + str(i), "address": rng.choice(odd), "more": {"restaurants": [{"id": "no"}], "k": [[], {}]}, "rating": i / 2}
+    many = lambda n: [record(i) for i in range(n)]
+    docs = {
+        "a.json": many(40),
+        "b.json": {"info": {"x": [{"id": "no"}]}, "restaurants": many(30), "after": {"a": {"id": "no"}}},
+        "c.json": {"summary": {"restaurants": many(9), "z": {"y": {}}}, "x": [1, {"id": "no"}]},
+        "d.json": {"merged_restaurants": many(5), "all_restaurants": many(7)},
+        "e.json": {"restaurants": []},
+        "f.json": [],
+    }
+    for i, (name, doc) in enumerate(docs.items()):
+        (tmp_path / name).write_text(json.dumps(doc, indent=i % 3 or None, ensure_ascii=bool(i % 2)))
+    want = sorted(map(str, places.read_places_json(spark, str(tmp_path)).select("source_pos", "id", "name", "address", "rating").collect()))
+    assert len(want) == 86
+    for size in (7, 61, 1000, 1 << 20):
+        got = envelopes.read_large_places_json(spark, str(tmp_path), range_bytes=size).select(F.col("source_pos").cast("int"), "id", "name", "address", "rating")
+        assert sorted(map(str, got.collect())) == want, size
