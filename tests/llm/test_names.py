@@ -7,7 +7,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from pantryline.llm import decontamination, fertility, ngram, pieces, queries, sharding, simhash, token_cache, toxicity, url_filter, warc
+from pantryline.llm import decontamination, fertility, ngram, periods, pieces, queries, sharding, simhash, suffixes, token_cache, toxicity, url_filter, warc
 from pantryline.llm.common import fold, new_path
 from tests.llm.fixtures import corpus, docs, words
 
@@ -16,7 +16,7 @@ tokenizer n_tokens n_words word_chars n_symbols n_dup_lines n_repeat_words n_pie
 byte_share chars_per_piece chars_per_byte_token byte_share_low byte_share_high _lang length_class _class _near _language _every _n
 base_failed kept score _score _y x y f node fp keys root leader _first _m _own start a b m most h component_id _node _r _c0 _c1 _copy
 _bucket _h _p _at rows at first shard slot bytes n sha1 n_bytes payload winner host path rule verdict _rule _listed _block _p1
-_pass listed key _end _from item_id first_word distance similarity round_trip scores ids_crc32 _salt label toxic quality Doc_Ids""".split()
+_pass listed key _end _from item_id first_word distance similarity round_trip scores ids_crc32 _salt label toxic quality Doc_Ids runs collapsed spans n_removed size starts piece crowded""".split()
 
 
 @pytest.fixture(scope="module")
@@ -56,6 +56,10 @@ def run(name, df, labels, items, spark):
         return simhash.one_of_each(df), ()
     if name == "leaks":
         return decontamination.without_leaks(df, items), ()
+    if name == "runs":
+        return periods.periodic_runs(df, least_words=6, repeats=2), ("n_words", "runs", "collapsed")
+    if name == "repeats":
+        return suffixes.without_repeats(df, length=60), ("n_bytes", "n_removed", "spans", "kept")
     if name == "decode":
         return pieces.decode(df.withColumn("numbers", F.array(F.lit(300))), queries.PIECES, "numbers", "score"), ("score",)
     if name == "listed":
@@ -64,7 +68,7 @@ def run(name, df, labels, items, spark):
     raise KeyError(name)
 
 
-@pytest.mark.parametrize("name", ["measure", "quality", "toxicity", "counts", "shuffle", "copies", "leaks", "decode", "listed"])
+@pytest.mark.parametrize("name", ["measure", "quality", "toxicity", "counts", "shuffle", "copies", "leaks", "runs", "repeats", "decode", "listed"])
 def test_operators_that_return_the_rows(spark, tables, name):
     plain, named, labels, items = tables
     want, added = run(name, plain, labels, items, spark)
@@ -75,7 +79,7 @@ def test_operators_that_return_the_rows(spark, tables, name):
     if name == "shuffle":  # other columns are part of a record, so the order is another
         assert got.count() == want.count()
         return
-    shown = ["doc_id", *([] if name == "counts" else ["text"]), *added]
+    shown = ["doc_id", *([] if name in ("counts", "repeats") else ["text"]), *added]
     assert sorted(map(key, got.select(*shown).collect())) == sorted(map(key, want.select(*shown).collect()))
 
 
