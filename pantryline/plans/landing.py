@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from pantryline.operators import extract, metrics
 from pantryline.plans.base import Tables, query
-from pantryline.sources import places, store
+from pantryline.sources import envelopes, places, store
 from pantryline.sources.shared import new_path
 from pantryline.streaming import changes
 
@@ -43,6 +43,13 @@ def src1_read_places_json(t: Tables) -> DataFrame:
     return places.read_places_json(t.spark, f"{_envelopes(t)}/*").select("source_pos", "id", "name", F.round("rating", 4).alias("rating"))
 
 
+@query("SELECT row_number() OVER (PARTITION BY s_nationkey ORDER BY s_suppkey::VARCHAR) - 1 AS source_pos, s_suppkey::VARCHAR AS id, s_name AS name, round(s_acctbal, 4) AS rating FROM supplier")
+def src1_large_envelopes(t: Tables) -> DataFrame:
+    """The same by byte ranges of 512 bytes, so that every file is cut within records and texts."""
+    found = envelopes.read_large_places_json(t.spark, f"{_envelopes(t)}/*", range_bytes=512)
+    return found.select("source_pos", "id", "name", F.round("rating", 4).alias("rating"))
+
+
 SNAPSHOTS = ["chicago_comprehensive_menus_1.parquet", "chicago_comprehensive_menus_2.parquet", "merged_a.parquet", "restaurants_old.parquet", "other.parquet"]
 #: When each was written, in hours.
 WRITTEN = [3, 7, 9, 5, 11]
