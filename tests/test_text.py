@@ -95,3 +95,33 @@ def test_gates(spark):
     assert value(spark, text.valid_item(F.lit("see more"))) is False
     assert value(spark, text.build_address(F.lit("12"), F.lit("Main"), F.lit(""), F.lit("IL"), F.lit(None).cast("string"))) == "12 Main, IL"
     assert value(spark, text.build_address(*[F.lit("")] * 5)) is None
+
+
+CATEGORIES = {
+    "final": {"Plate of the day": "main", "Apple crumble": "appetizer", "Mixed greens": "salad", "Broth": "soup", "Chocolate shake": "dessert", "Juice": "beverage", "Mystery": "main"},
+    "nextgen": {"Beef consomme": "soup", "Cobb": "salad", "Lasagna": "pasta", "Calzone": "pizza", "Scallop": "seafood", "Tofu bowl": "vegetarian", "Tiramisu": "dessert", "Soda": "beverage", "Mystery": "entree"},
+    "optimized": {"Small plate": "appetizer", "Consomme": "entree", "Ravioli": "pasta", "Crab legs": "seafood", "Lamb": "entree", "Tiramisu": "entree", "Beer": "beverage"},
+    "final_optimized": {"Starter": "appetizer", "Bisque": "soup", "Spaghetti": "pasta", "Seafood mix": "seafood", "Burger": "meat", "Ice cream": "dessert", "Wine": "beverage"},
+    "ml": {"Spinach dip": "appetizer", "Garden bowl": "salad", "Panini": "sandwich", "Margherita": "pizza", "Tuna": "seafood", "Ribs": "meat", "Sweet potato": "dessert", "Mystery": "entree"},
+    "allergen": {"Buffalo wings": "appetizer", "Gazpacho": "soup", "Hoagie": "sandwich", "Pepperoni": "pizza", "Scallop": "seafood", "Roast turkey": "meat", "Cocktail": "beverage", "Mystery": "entree"},
+    "dynamic": {"Nachos": "appetizer", "Key lime pie": "pizza", "Cookie": "dessert", "Lasagna": "pasta", "Ribs": "meat", "Mystery": "other"},
+    "priority": {"Club": "sandwich", "Baby spinach": "salad", "Beef stew": "soup", "Fettuccine": "pasta", "Mussels": "seafood", "Duck": "meat", "Brownie": "dessert", "Smoothie": "beverage", "Mystery": "other"},
+}
+
+
+def test_categories_of_profiles(spark):
+    """Values written out, not taken from the tables."""
+    rows = [(p, t, want) for p, each in CATEGORIES.items() for t, want in each.items()]
+    df = spark.createDataFrame(rows, "p string, t string, want string")
+    got = df.select("p", "t", "want", F.coalesce(*(F.when(F.col("p") == p, text.category_by(F.col("t"), p)) for p in CATEGORIES)).alias("got"))
+    assert [tuple(r) for r in got.filter("got != want or got is null").collect()] == []
+
+
+def test_confidence_of_profiles(spark):
+    """Base, weights and limits written out."""
+    full = dict(name="Seafood risotto", description="with a long and tasty account of it", price="12.50", category="pasta", labels=["milk"], tags=["x"])
+    bare = dict(name="Tea", description="", price=None, category="other", labels=[], tags=[])
+    found = text.evidence(*(F.col(x) for x in ("name", "description", "price", "category", "labels", "tags")), ["risotto"])
+    df = spark.createDataFrame([tuple(x.values()) for x in (full, bare, {**bare, "name": "Iced teas", "price": "2"})], "name string, description string, price string, category string, labels array<string>, tags array<string>")
+    rows = df.select(*(F.round(text.confidence_by(found, p), 6).alias(p) for p in ("ml", "allergen"))).collect()
+    assert [tuple(r) for r in rows] == [(0.9, 0.95), (0.5, 0.5), (0.6, 0.75)]
