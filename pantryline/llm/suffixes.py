@@ -235,6 +235,7 @@ class ByUnit:
 
     def __init__(self, df: DataFrame, name: str) -> None:
         self.path, self.columns = new_path(df.sparkSession, name), df.columns
+        self.held = (None, None, None)  # a task's last unit, its rows and their places
         rows = df.withColumn("unit", F.shiftright("at", UNIT))
         rows.repartition("unit").sortWithinPartitions("unit", "at").write.partitionBy("unit").parquet(self.path)
 
@@ -251,12 +252,11 @@ class ByUnit:
 
     def within(self, at: np.ndarray, sizes: np.ndarray) -> Iterator[tuple[int, pa.Table]]:
         """(number of the text, its rows) for texts at places; texts without rows are left out."""
-        unit, table, places = None, None, None
         for i, (low, n) in enumerate(zip(at.tolist(), sizes.tolist(), strict=True)):
-            if low >> UNIT != unit:
-                unit = low >> UNIT
-                table = self.rows(unit)
-                places = np.asarray(table.column("at").combine_chunks()) if table is not None else None
+            if low >> UNIT != self.held[0]:
+                table = self.rows(low >> UNIT)
+                self.held = (low >> UNIT, table, None if table is None else np.asarray(table.column("at").combine_chunks()))
+            _, table, places = self.held
             if table is not None:
                 x, y = np.searchsorted(places, (low, low + n)).tolist()
                 if y > x:
