@@ -21,32 +21,32 @@ def _text(c: str) -> Column:
 ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
-def _files(t: Tables, rows: DataFrame, value: Column, by: str, name: str) -> str:
-    """A file for each value of ``by`` with one text in it; the folder."""
+def _files(t: Tables, rows: DataFrame, value: Column, by: list[str], name: str) -> str:
+    """A file for each value of ``by`` with one text in it; the pattern of their folders."""
     path = new_path(t.spark, name)
-    rows.select(by, value.alias("value")).repartition(by).write.partitionBy(by).text(path)
-    return path
+    rows.select(*by, value.alias("value")).repartition(*by).write.partitionBy(*by).text(path)
+    return path + "/*" * len(by)
 
 
 def _envelopes(t: Tables) -> str:
-    """Suppliers as JSON files, one a nation, in three kinds of envelope."""
+    """Suppliers as JSON files, one a nation and thousand keys, in three kinds of envelope."""
     record = F.struct(_text("s_suppkey").alias("id"), F.col("s_name").alias("name"), F.col("s_acctbal").alias("rating"))
-    each = t.supplier.groupBy("s_nationkey").agg(F.sort_array(F.collect_list(record)).alias("r"))
+    each = t.supplier.groupBy("s_nationkey", F.expr("s_suppkey div 1000").alias("part")).agg(F.sort_array(F.collect_list(record)).alias("r"))
     n = F.col("s_nationkey") % 3
     value = F.when(n == 0, F.to_json("r")).when(n == 1, F.to_json(F.struct(F.col("r").alias("restaurants")))).otherwise(F.to_json(F.struct(F.struct(F.col("r").alias("restaurants")).alias("summary"))))
-    return _files(t, each, value, "s_nationkey", "envelopes")
+    return _files(t, each, value, ["s_nationkey", "part"], "envelopes")
 
 
-@query("SELECT row_number() OVER (PARTITION BY s_nationkey ORDER BY s_suppkey::VARCHAR) - 1 AS source_pos, s_suppkey::VARCHAR AS id, s_name AS name, round(s_acctbal, 4) AS rating FROM supplier")
+@query("SELECT row_number() OVER (PARTITION BY s_nationkey, s_suppkey // 1000 ORDER BY s_suppkey::VARCHAR) - 1 AS source_pos, s_suppkey::VARCHAR AS id, s_name AS name, round(s_acctbal, 4) AS rating FROM supplier")
 def src1_read_places_json(t: Tables) -> DataFrame:
     """Places of envelopes and bare lists."""
-    return places.read_places_json(t.spark, f"{_envelopes(t)}/*").select("source_pos", "id", "name", F.round("rating", 4).alias("rating"))
+    return places.read_places_json(t.spark, _envelopes(t)).select("source_pos", "id", "name", F.round("rating", 4).alias("rating"))
 
 
-@query("SELECT row_number() OVER (PARTITION BY s_nationkey ORDER BY s_suppkey::VARCHAR) - 1 AS source_pos, s_suppkey::VARCHAR AS id, s_name AS name, round(s_acctbal, 4) AS rating FROM supplier")
+@query("SELECT row_number() OVER (PARTITION BY s_nationkey, s_suppkey // 1000 ORDER BY s_suppkey::VARCHAR) - 1 AS source_pos, s_suppkey::VARCHAR AS id, s_name AS name, round(s_acctbal, 4) AS rating FROM supplier")
 def src1_large_envelopes(t: Tables) -> DataFrame:
     """The same by byte ranges of 512 bytes, so that every file is cut within records and texts."""
-    found = envelopes.read_large_places_json(t.spark, f"{_envelopes(t)}/*", range_bytes=512)
+    found = envelopes.read_large_places_json(t.spark, _envelopes(t), range_bytes=512)
     return found.select("source_pos", "id", "name", F.round("rating", 4).alias("rating"))
 
 
@@ -101,7 +101,7 @@ def src3_normalise_osm(t: Tables) -> DataFrame:
     stamp = F.date_format(F.timestamp_seconds(F.lit(1704067200) + k), "yyyy-MM-dd'T'HH:mm:ss'Z'")
     element = F.struct(F.when(way, "way").otherwise("node").alias("type"), k.alias("id"), stamp.alias("timestamp"), F.when(~way, point["lat"]).alias("lat"), F.when(~way, point["lon"]).alias("lon"), F.when(way & (k % 6 != 0), point).alias("center"), tags.alias("tags"))
     path = new_path(t.spark, "osm")
-    t.customer.groupBy("c_nationkey").agg(F.collect_list(element).alias("elements")).drop("c_nationkey").write.json(path)
+    t.customer.groupBy("c_nationkey", F.expr("c_custkey div 1000").alias("part")).agg(F.collect_list(element).alias("elements")).select("elements").write.json(path)
     return places.normalise_osm(t.spark.read.schema(places.OSM).json(path)).select("place_id", F.round("lat", 6).alias("lat"), "address", "cuisine", "last_modified")
 
 
@@ -194,20 +194,20 @@ def snk8_export_place(t: Tables) -> DataFrame:
 
 
 @query("""
-WITH f AS (SELECT s_nationkey % 3 AS kind, count(*) AS n FROM supplier GROUP BY s_nationkey, 1)
+WITH f AS (SELECT s_nationkey % 3 AS kind, count(*) AS n FROM supplier GROUP BY s_nationkey, s_suppkey // 1000, 1)
 SELECT CASE kind WHEN 0 THEN 'list' WHEN 1 THEN 'restaurants' ELSE 'none' END AS kind, count(*) AS n_files, CASE WHEN kind < 2 THEN sum(n)::BIGINT END AS n_rows FROM f GROUP BY kind
 """)
 def a23_dataset_inventory(t: Tables) -> DataFrame:
     """Files by kind with the records that they hold."""
-    found = places.dataset_rows(t.spark, f"{_envelopes(t)}/*").withColumn("n", F.regexp_extract("path", r"s_nationkey=(\d+)", 1).cast("int") % 3)
+    found = places.dataset_rows(t.spark, _envelopes(t)).withColumn("n", F.regexp_extract("path", r"s_nationkey=(\d+)", 1).cast("int") % 3)
     kind = F.when(F.col("n") == 0, "list").when(F.col("n") == 1, "restaurants").otherwise("none")
     return found.groupBy(kind.alias("kind")).agg(F.count("*").alias("n_files"), F.sum("n_rows").alias("n_rows"))
 
 
-@query("SELECT 'json' AS class, count(DISTINCT s_nationkey) AS n_files, 5 AS newest FROM supplier")
+@query("SELECT 'json' AS class, count(DISTINCT (s_nationkey, s_suppkey // 1000)) AS n_files, 5 AS newest FROM supplier")
 def a23_files(t: Tables) -> DataFrame:
     """Files by class of name, and the newest five."""
-    path = f"{_envelopes(t)}/*"
+    path = _envelopes(t)
     newest = places.newest_files(t.spark, path).agg(F.count("*").cast("int").alias("newest"), F.lit("json").alias("class"))
     return places.dataset_inventory(t.spark, path, {"json": r"\.txt$"}).select("class", "n_files").join(newest, "class")
 

@@ -86,11 +86,10 @@ def test_elements_are_those_of_a_stack(spark):
             name = re.match(r"</?(\w+)", m[0])[1]
             open_names = [x[0] for x in stack]
             if m[0].startswith("</"):
-                while name in open_names and stack.pop is not None:
+                last = None
+                while name in open_names and last != name:
                     last = stack[-1][0]
                     end(m.start())
-                    if last == name:
-                        break
             else:
                 if name in extract.ENDED_BY_NEXT and open_names[-1:] == [name]:
                     end(m.start())
