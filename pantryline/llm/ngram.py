@@ -61,7 +61,7 @@ def pack(x: np.ndarray) -> bytes:
     """Unsigned integers by byte planes, as many as the largest needs, compressed: small numbers take little."""
     x = np.ascontiguousarray(x, np.uint64)
     width = max(1, (int(x.max()).bit_length() + 7) // 8) if len(x) else 1
-    return zstandard.compress(x.view(np.uint8).reshape(-1, 8)[:, :width].T.tobytes(), 1)
+    return zstandard.compress(x.view(np.uint8).reshape(-1, 8)[:, :width].T.tobytes(), 6)
 
 
 def unpack(b: bytes, n: int) -> np.ndarray:
@@ -237,7 +237,9 @@ def _answered(requests: DataFrame, ids_kind: T.DataType) -> DataFrame:
             for r in mine:
                 at = place[a : a + r["n"]]
                 a += r["n"]
-                out.append(_row(dest=r["unit"], unit=r["unit"], kind=REQUEST, level=level, part=r["part"], n=r["n"], check=r["check"], p1=pack(every[at]), p2=pack(deleted[at])))
+                # what is deleted of an n-gram matters to units that delete some of it: only their held-out tokens ask
+                lost = np.where(unpack(r["p2"], r["n"]) > 0, deleted[at], 0)
+                out.append(_row(dest=r["unit"], unit=r["unit"], kind=REQUEST, level=level, part=r["part"], n=r["n"], check=r["check"], p1=pack(every[at]), p2=pack(lost)))
             if level == 1:
                 real = distinct != np.uint64(xxhash.xxh64_intdigest(BEGIN))
                 n, v, lost = every[real].sum(), (every[real] > 0).sum(), deleted[real].sum()
