@@ -2,12 +2,18 @@
 
 from __future__ import annotations
 
+import hashlib
+from collections.abc import Iterator
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from pantryline.functions import text
+from pantryline.sources.shared import written
 
 
 def eq_filters(df: DataFrame, **given: object) -> DataFrame:
@@ -118,26 +124,115 @@ def dictionary_tags(df: DataFrame, key: str, words: str, dictionary: DataFrame)
     return each.join(dictionary, "keyword").groupBy(key, "label").agg(F.max("weight").alias("weight"))
 
 
-def phrase_matches(df: DataFrame, key: str, words: str, phrases: DataFrame) -> DataFrame:
+#: Phrases whose hashes a task holds at once: 16 bytes each, and their length.
+PHRASES_IN_TASK = 1_000_000
+#: Words that a step of the search takes at once.
+WORDS_AT_ONCE = 500_000
+HASHED = "n int, h1 long, h2 long"
+
+
+def _gram_hashes(words: np.ndarray, n: int) -> np.ndarray:
+    """The 128-bit hash (two of 64) of the ``n`` words from each place on, out of the hashes of the words."""
+    out = np.full((len(words) - n + 1, 2), n, np.uint64)
+    for i in range(n):
+        out = out * np.uint64(0x9E3779B97F4A7C15) + words[i : i + len(out)]
+    return out
+
+
+def _word_hashes(flat: pa.Array) -> np.ndarray:
+    """Two 64-bit hashes of each word; each different one is hashed once."""
+    coded = flat.dictionary_encode()
+    each = b"".join(hashlib.blake2b(w.encode(), digest_size=16).digest() for w in coded.dictionary.to_pylist())
+    return np.frombuffer(each, "<u8").reshape(-1, 2)[coded.indices.to_numpy(zero_copy_only=False)]
+
+
+def _hash_phrases(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        each = [(len(w), _gram_hashes(_word_hashes(pa.array(w)), len(w))[0].view(np.int64)) for w in batch.column(0).to_pylist()]
+        columns = [pa.array([n for n, _ in each], pa.int32()), pa.array([h[0] for _, h in each], pa.int64()), pa.array([h[1] for _, h in each], pa.int64())]
+        yield pa.RecordBatch.from_arrays(columns, names=["n", "h1", "h2"])
+
+
+def _phrase_hits(rows: DataFrame, block: DataFrame, leftmost: bool, once: bool) -> DataFrame:
+    """(key, pos, n, phrase) of the longest phrases of a block of hashes at each place of ``rows`` (key, words).
+
+    ``leftmost``: of those that overlap in a row the first alone; ``once``: each phrase once a row.
+    """
+    hashes = block.toPandas()
+    index = {int(n): g[["h1", "h2"]].to_numpy().view(np.uint64) for n, g in hashes.groupby("n")}
+    index = {n: h[np.argsort(h[:, 0])] for n, h in sorted(index.items(), reverse=True)}
+    held, key = rows.sparkSession.sparkContext.broadcast(index), rows.schema.fields[0]
+    out = T.StructType([key, T.StructField("pos", T.IntegerType()), T.StructField("n", T.IntegerType()), T.StructField("phrase", T.StringType())])
+
+    def longest_at(words: pa.ListArray) -> tuple[np.ndarray, np.ndarray]:
+        """The longest phrase's number of words at each place of some rows, and the rows' first places."""
+        lengths = np.asarray(words.value_lengths())
+        ends = np.cumsum(lengths)
+        total = int(ends[-1])
+        hashed, left, best = _word_hashes(words.flatten()), np.repeat(ends, lengths) - np.arange(total), np.zeros(total, np.int32)
+        for n, known in held.value.items():
+            if n <= total:
+                grams = _gram_hashes(hashed, n)
+                at = np.minimum(np.searchsorted(known[:, 0], grams[:, 0]), len(known) - 1)
+                hit = (left[: len(grams)] >= n) & (best[: len(grams)] == 0) & (known[at] == grams).all(axis=1)
+                best[: len(grams)][hit] = n
+        return best, ends - lengths
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            sizes = np.cumsum(np.asarray(whole.column(1).value_lengths()))
+            begin = 0
+            while begin < len(sizes):
+                done = int(sizes[begin - 1]) if begin else 0
+                stop = max(begin + 1, int(np.searchsorted(sizes, done + WORDS_AT_ONCE, "right")))
+                batch = whole.slice(begin, stop - begin)
+                begin = stop
+                if not len(batch.column(1).flatten()):
+                    continue
+                best, first = longest_at(batch.column(1))
+                places = np.flatnonzero(best)
+                owner = np.searchsorted(first, places, "right") - 1
+                pick, pos, phrases = [], [], []
+                row, end, seen, words = -1, 0, set(), []
+                for r, p, n in zip(owner.tolist(), (places - first[owner]).tolist(), best[places].tolist(), strict=True):
+                    if r != row:
+                        row, end, seen, words = r, 0, set(), batch.column(1)[r].as_py()
+                    if leftmost and p < end:
+                        continue
+                    end = p + n
+                    phrase = words[p] if n == 1 else " ".join(words[p:end])
+                    if not (once and phrase in seen):
+                        seen.add(phrase)
+                        pick.append(r)
+                        pos.append((p, n))
+                        phrases.append(phrase)
+                columns = [batch.column(0).take(pa.array(pick, pa.int32())), *(pa.array([x[i] for x in pos], pa.int32()) for i in (0, 1)), pa.array(phrases, pa.string())]
+                yield pa.RecordBatch.from_arrays(columns, names=out.names)
+
+    return rows.mapInArrow(run, out)
+
+
+def phrase_matches(df: DataFrame, key: str, words: str, phrases: DataFrame, once: bool = False, in_task: int = PHRASES_IN_TASK) -> DataFrame:
     """J11. (key, pos, n, phrase): where the phrases of a table lie in the word lists of ``df``; of those that overlap the leftmost stays,
-    and of those that begin at one word the longest.
+    and of those that begin at one word the longest. ``once``: each phrase but once a row (any place).
 
-    ``phrases``: (phrase), single spaces between words. The index is by first word and number of words: a word that begins no phrase goes
-    no further, one that does is tried at the lengths that its phrases have, and what is then left meets the phrases by equality.
-    So no expression grows with the dictionary, and no word is compared with phrases that it does not begin. Each row's words are
-    carried as windows of the longest phrase. Rows of equal keys are one text each only if keys are unique.
+    ``phrases``: (phrase), single spaces between words. Phrases are told apart by 128-bit hashes, made by Spark; a task holds those of
+    ``in_task`` phrases, and goes over its rows' words at each length that phrases have. So words are neither moved nor multiplied. More
+    phrases go in blocks, each with a pass over the texts; only what they find then meets by key, and keys must be unique.
     """
-    indexed = phrases.filter("phrase != ''").select("phrase", F.split("phrase", " ").alias("_w")).select("phrase", F.col("_w")[0].alias("_first"), F.size("_w").alias("n")).distinct()
-    longest = indexed.agg(F.max("n")).first()[0] or 1
-    lengths = indexed.groupBy("_first").agg(F.collect_set("n").alias("_lengths"))  # as many as there are lengths of phrases
-    each = df.select(key, F.posexplode(F.transform(words, lambda w, i: F.slice(words, i + 1, F.lit(longest)))).alias("pos", "_window")).withColumn("_first", F.col("_window")[0])
-    tried = each.join(lengths, "_first").select(key, "pos", "_window", F.explode("_lengths").alias("n")).filter(F.size("_window") >= F.col("n"))
-    found = tried.select(key, "pos", "n", F.array_join(F.slice("_window", F.lit(1), F.col("n")), " ").alias("phrase")).join(indexed.select("phrase"), "phrase", "left_semi")
-    longest_there = found.groupBy(key, "pos").agg(F.max_by("phrase", "n").alias("phrase"), F.max("n").alias("n"))
-    rows = longest_there.groupBy(key).agg(F.sort_array(F.collect_list(F.struct("pos", "n", "phrase"))).alias("_all"))  # bounded by a text's words
+    each = phrases.filter("phrase != ''").select(F.split("phrase", " ").alias("w")).distinct()
+    hashed = written(each.mapInArrow(_hash_phrases, HASHED), "phrases")
+    n_blocks = max(1, -(-hashed.count() // in_task))
+    rows = df.filter(F.col(words).isNotNull()).select(key, F.col(words).alias("_words"))
+    found = [_phrase_hits(rows, hashed.filter(F.pmod("h1", F.lit(n_blocks)) == i), n_blocks == 1, once and n_blocks == 1) for i in range(n_blocks)]
+    if n_blocks == 1:
+        return found[0]
+    longest_there = reduce(DataFrame.unionByName, found).groupBy(key, "pos").agg(F.max_by("phrase", "n").alias("phrase"), F.max("n").alias("n"))
+    all_of = longest_there.groupBy(key).agg(F.sort_array(F.collect_list(F.struct("pos", "n", "phrase"))).alias("_all"))  # bounded by a text's words
     begin = F.struct(F.lit(0).alias("end"), F.array().cast("array<struct<pos:int,n:int,phrase:string>>").alias("kept"))
     kept = F.aggregate("_all", begin, lambda s, x: F.when(x["pos"] >= s["end"], F.struct((x["pos"] + x["n"]).alias("end"), F.concat(s["kept"], F.array(x)).alias("kept"))).otherwise(s), lambda s: s["kept"])
-    return rows.select(key, F.explode(kept).alias("_m")).select(key, "_m.*")
+    rows = all_of.select(key, F.explode(kept).alias("_m")).select(key, "_m.*")
+    return rows.dropDuplicates([key, "phrase"]) if once else rows
 
 
 def dictionary_phrases(df: DataFrame, key: str, words: str, dictionary: DataFrame) -> DataFrame:
@@ -145,5 +240,5 @@ def dictionary_phrases(df: DataFrame, key: str, words: str, dictionary: DataFram
 
     ``dictionary``: (phrase, label, weight); a phrase may have several labels.
     """
-    found = phrase_matches(df, key, words, dictionary.select("phrase")).select(key, "phrase").distinct()
+    found = phrase_matches(df, key, words, dictionary.select("phrase"), once=True).select(key, "phrase")
     return found.join(dictionary, "phrase").groupBy(key, "label").agg(F.max("weight").alias("weight"))
