@@ -87,17 +87,66 @@ def similar_names(a: DataFrame, b: DataFrame, keys: list[str], x: str, y: str, l
     return probe.join(index, [*keys, "_n", "_i", "_s"]).filter(within >= 0).select(*keys, x, y).distinct()
 
 
-def geo_fuzzy_match(a: DataFrame, b: DataFrame, within_m: float = 100.0, weights: tuple[float, float, float] = (0.4, 0.4, 0.2), least: float = 0.5, crowded: int = CROWDED) -> DataFrame:
+PLACE = ["name", "phone", "lat", "lon"]
+MATCH = ["a_id", "a_pos", "b_id", "b_pos", "confidence", "distance_m", "name_similarity", "phone_match"]
+#: Pairs of places that a task makes at most out of pairs of classes.
+PAIRS_IN_TASK = 2_000_000
+
+
+def _named_places(df: DataFrame) -> DataFrame:
+    return df.filter("lat is not null and lon is not null").select("id", "pos", text.name_key(F.col("name")).alias("name"), text.phone_key(F.col("phone")).alias("phone"), "lat", "lon")
+
+
+def place_classes(df: DataFrame) -> DataFrame:
+    """(id, pos, name, phone, lat, lon, n): places that J1 can't tell apart as one, by their plain names and phones and their
+    coordinates, with the first one's id and pos. Rows without coordinates are left out."""
+    first = F.when(F.count("pos") < F.count("*"), F.min(F.when(F.col("pos").isNull(), F.col("id")))).otherwise(F.min_by("id", "pos"))  # as in an order, null is first
+    return _named_places(df).groupBy(*PLACE).agg(first.alias("id"), F.when(F.count("pos") == F.count("*"), F.min("pos")).alias("pos"), F.count("*").alias("n"))
+
+
+def geo_fuzzy_match(a: DataFrame, b: DataFrame, within_m: float = 100.0, weights: tuple[float, float, float] = (0.4, 0.4, 0.2), least: float = 0.5, crowded: int = CROWDED, in_task: int = PAIRS_IN_TASK) -> DataFrame:
     """J1. Pairs within a distance with name, phone and nearness weighed into a confidence of ``least`` or more.
 
     ``a``, ``b``: (id, pos, name, lat, lon, phone). Out: a_id, a_pos, b_id, b_pos, confidence, distance_m,
     name_similarity, phone_match. Rows without coordinates match nothing.
 
+    Places of equal plain name, phone and coordinates are one class; classes are compared (``class_pairs``), and only pairs that match are
+    given for each of their places. There is a partition for each ``in_task`` pairs: where the ``a`` of a class of ``b`` make more, they
+    are dealt over several shares, each of which meets all of the class.
+    """
+    pairs = written(class_pairs(place_classes(a), place_classes(b), within_m, weights, least, crowded).drop("a_id", "a_pos", "b_id", "b_pos"), "class-pairs")
+    per_b = pairs.groupBy("_b").agg((F.sum("_na") * F.max("_nb")).alias("_pairs"), F.sum("_na").alias("_as"))
+    shares = per_b.select("_b", "_pairs", F.least(F.ceil(F.col("_pairs") / in_task), F.col("_as")).cast("int").alias("_shares"))
+    total = shares.agg(F.sum("_pairs")).first()[0] or 0
+    parts = int(total // in_task) + int(a.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+
+    def members(df: DataFrame, p: str) -> DataFrame:
+        return _named_places(df).select(F.col("id").alias(f"{p}_id"), F.col("pos").alias(f"{p}_pos"), F.struct(*PLACE).alias(f"_{p}"))
+
+    asides = pairs.join(shares.select("_b", "_shares"), "_b").join(members(a, "a"), "_a").withColumn("_share", F.pmod(F.xxhash64("a_id", "a_pos"), F.col("_shares")).cast("int"))
+    asides = asides.drop("_a", "_na", "_nb", "_shares").repartition(parts, "_b", "_share")
+    bsides = shares.select("_b", F.explode(F.sequence(F.lit(0), F.col("_shares") - 1)).alias("_share")).join(members(b, "b"), "_b").repartition(parts, "_b", "_share")
+    return asides.join(bsides, ["_b", "_share"]).select(*MATCH)
+
+
+def best_matches(a: DataFrame, b: DataFrame, decimals: int | None = None, **kwargs: object) -> DataFrame:
+    """J1 and J2 in one: ``assign_one_to_one`` of all pairs of ``geo_fuzzy_match``, which are not made.
+
+    The places of a class have equal scores, so all of ``a``'s try the same ``b``, of which the first of its class goes before the others;
+    and the first of ``a``'s gets it. So the first places of classes decide. ``decimals``: to which confidences are rounded first.
+    """
+    pairs = class_pairs(place_classes(a), place_classes(b), **kwargs).select(*MATCH)
+    return assign_one_to_one(pairs if decimals is None else pairs.withColumn("confidence", F.round("confidence", decimals)))
+
+
+def class_pairs(a: DataFrame, b: DataFrame, within_m: float = 100.0, weights: tuple[float, float, float] = (0.4, 0.4, 0.2), least: float = 0.5, crowded: int = CROWDED) -> DataFrame:
+    """Pairs of ``place_classes``, by the first place of each; columns as of ``geo_fuzzy_match``, and those of the classes: _a, _b, _na, _nb.
+
     Cells that would make more than ``crowded`` pairs do not make them all: a pair without equal phones needs a name
     similarity of (least - nearness weight) / name weight, so there those meet that have equal phones, and those of
     ``similar_names``. Where the weights let names differ by a half and more, or nearness alone is enough, nothing can be left out.
     """
-    cols = lambda df, p: df.filter("lat is not null and lon is not null").select(F.col("id").alias(f"{p}_id"), F.col("pos").alias(f"{p}_pos"), F.col("lat").alias(f"{p}_lat"), F.col("lon").alias(f"{p}_lon"), text.name_key(F.col("name")).alias(f"{p}_name"), text.phone_key(F.col("phone")).alias(f"{p}_phone"))
+    cols = lambda df, p: df.select(*(F.col(c).alias(f"{p}_{c}") for c in ("id", "pos", "n", *PLACE)))
     left, right, cell = geo_cells(cols(a, "a"), "a_lat", "a_lon", within_m, False), geo_cells(cols(b, "b"), "b_lat", "b_lon", within_m, True), ["_band", "_cell"]
     name, phone, near = weights
     needed = (least - near) / name if name > 0 else 1.0
@@ -119,7 +168,8 @@ def geo_fuzzy_match(a: DataFrame, b: DataFrame, within_m: float = 100.0, weights
     pairs = pairs.withColumn("distance_m", geo.haversine_m(F.col("a_lat"), F.col("a_lon"), F.col("b_lat"), F.col("b_lon"))).filter(F.col("distance_m") <= within_m)
     pairs = pairs.withColumns({"name_similarity": text.name_similarity(F.col("a_name"), F.col("b_name")), "phone_match": F.when((F.col("a_phone") != "") & (F.col("a_phone") == F.col("b_phone")), 1.0).otherwise(0.0)})
     pairs = pairs.withColumn("confidence", F.col("name_similarity") * name + F.col("phone_match") * phone + (1.0 - F.col("distance_m") / within_m) * near)
-    return pairs.filter(F.col("confidence") >= least).select("a_id", "a_pos", "b_id", "b_pos", "confidence", "distance_m", "name_similarity", "phone_match")
+    classes = [F.struct(*(F.col(f"{p}_{c}").alias(c) for c in PLACE)).alias(f"_{p}") for p in "ab"]
+    return pairs.filter(F.col("confidence") >= least).select(*MATCH, *classes, F.col("a_n").alias("_na"), F.col("b_n").alias("_nb"))
 
 
 def assign_one_to_one(pairs: DataFrame) -> DataFrame:

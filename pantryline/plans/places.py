@@ -63,7 +63,7 @@ def _pairs(t: Tables) -> DataFrame:
 
 def _matches(t: Tables) -> DataFrame:
     # equal scores can differ in their last bits between engines
-    return resolve.assign_one_to_one(_pairs(t).withColumn("confidence", F.round("confidence", 9)))
+    return resolve.best_matches(side_a(t), side_b(t), decimals=9)
 
 
 @query(f"{PAIRS} SELECT a_id, b_id, round(distance_m, 4) AS distance_m, round(confidence, 6) AS confidence FROM pairs")

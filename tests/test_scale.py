@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
-from pantryline.operators import serve
+from pantryline.functions import geo, text
+from pantryline.operators import resolve, serve
 
 
 def _plan(df) -> str:
@@ -24,3 +25,32 @@ def test_phrases_move_no_words(spark: SparkSession) -> None:
     assert {tuple(r) for r in serve.phrase_matches(rows, "id", "words", phrases, in_task=2).collect()} == want
     assert sorted(r.phrase for r in serve.phrase_matches(rows.filter("id = 4"), "id", "words", phrases, once=True).collect()) == ["b", "b c d e", "c"]
     assert serve.phrase_matches(rows, "id", "words", phrases.filter(F.lit(False))).count() == 0
+
+
+def test_equal_places_are_compared_once(spark: SparkSession) -> None:
+    """Two thousand places of one spot, name and phone a side: one pair of classes, every pair of places, and the first of each matched."""
+    side = lambda p, n: spark.range(n).select(F.concat(F.lit(p), "id").alias("id"), F.col("id").alias("pos"), F.lit("Luna Bar").alias("name"), F.lit(41.0).alias("lat"), F.lit(-87.0).alias("lon"), F.lit("312").alias("phone"))
+    a, b = side("a", 2000), side("b", 2000).orderBy(F.desc("pos"))
+    assert resolve.class_pairs(resolve.place_classes(a), resolve.place_classes(b)).count() == 1
+    pairs = resolve.geo_fuzzy_match(a, b, in_task=100_000)
+    assert pairs.rdd.getNumPartitions() >= 40 and pairs.select("a_id", "b_id").distinct().count() == 4_000_000
+    sizes = [r.n for r in pairs.groupBy(F.spark_partition_id().alias("p")).agg(F.count("*").alias("n")).collect()]
+    assert max(sizes) < 1_000_000
+    assert [(r.a_id, r.b_id) for r in resolve.best_matches(a, b).collect()] == [("a0", "b0")]
+
+
+def test_best_matches_are_those_of_all_pairs(spark: SparkSession) -> None:
+    """Many equal places, null positions, ids that come twice, places without coordinates."""
+    names, k = F.array(*map(F.lit, ["Luna", "Luna Bar", "Old Mill", "", None])), F.col("id")
+    side = lambda p, s: spark.range(300).select(F.concat(F.lit(p), (k % 290).cast("string")).alias("id"), F.when(k != 7, k).alias("pos"), names[(k % 5).cast("int")].alias("name"), F.when(k % 11 != 3, 41.0 + (k * s % 7) * 0.0003).alias("lat"), F.lit(-87.0).alias("lon"), (k % 3).cast("string").alias("phone"))
+    a, b = side("a", 3), side("b", 5)
+    pairs = resolve.geo_fuzzy_match(a, b)
+    x, y = a.withColumnsRenamed({c: f"a_{c}" for c in a.columns}), b.withColumnsRenamed({c: f"b_{c}" for c in b.columns})
+    same = lambda p: text.name_key(F.col(f"{p}_name"))
+    every = x.join(y).withColumn("d", geo.haversine_m(F.col("a_lat"), F.col("a_lon"), F.col("b_lat"), F.col("b_lon"))).filter("d <= 100")
+    every = every.withColumn("c", text.name_similarity(same("a"), same("b")) * 0.4 + F.when(F.col("a_phone") == F.col("b_phone"), 1.0).otherwise(0.0) * 0.4 + (1.0 - F.col("d") / 100) * 0.2).filter("c >= 0.5")
+    rows = lambda df: sorted(map(str, df.collect()))
+    assert rows(pairs.select("a_id", "a_pos", "b_id", "b_pos")) == rows(every.select("a_id", "a_pos", "b_id", "b_pos"))
+    unique = lambda df: df.filter("pos < 290 or pos is null")
+    a, b = unique(a), unique(b)
+    assert rows(resolve.best_matches(a, b)) == rows(resolve.assign_one_to_one(resolve.geo_fuzzy_match(a, b)))
