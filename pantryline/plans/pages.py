@@ -113,7 +113,8 @@ def f15_page_gates(t: Tables) -> DataFrame:
     """Every page by the five profiles of the gate."""
     html = F.concat("html", F.element_at(text.strings(BELOW), (F.col("page_id") % 5 + 1).cast("int")))
     n = F.col("page_id") % 3
-    return t.pages.select("page_id", *(text.page_gate_by(p, html, extract.page_text(html), n if p in ("dynamic", "priority") else None).alias(p) for p in GATES))
+    pages = t.pages.select("page_id", html.alias("html")).select("page_id", "html", extract.page_text(F.col("html")).alias("text"))
+    return pages.select("page_id", *(text.page_gate_by(p, F.col("html"), F.col("text"), n if p in ("dynamic", "priority") else None).alias(p) for p in GATES))
 
 
 @query("SELECT page_id, pos, price, name FROM (SELECT page_id, generate_subscripts(p, 1) - 1 AS pos, unnest(p) AS price, trim(unnest(n)) AS name FROM (SELECT page_id, regexp_extract_all(x, '([a-z]+) \\$(\\d+(?:\\.\\d{2})?)', 2) AS p, regexp_extract_all(x, '([a-z]+) \\$(\\d+(?:\\.\\d{2})?)', 1) AS n FROM (SELECT page_id, html || ' soup $' || page_id || '.50, tea $3' AS x FROM pages)))")
