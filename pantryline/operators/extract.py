@@ -6,8 +6,10 @@ other as deep as they like.
 
 from __future__ import annotations
 
+import re
 from functools import reduce
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -58,9 +60,9 @@ def elements(html: Column) -> Column:
     gaps, tags = F.transform(F.split(html, TAG, -1), F.length), F.regexp_extract_all(html, F.lit(TAG), F.lit(0))
 
     def tag(x: Column) -> Column:
-        name = F.lower(F.regexp_extract(x["tags"], r"^</?([A-Za-z][A-Za-z0-9-]*)", 1))
-        alone = name.isin(*VOID) | x["tags"].endswith("/>")
-        return F.struct(name.alias("name"), x["tags"].alias("tag"), x["gaps"].alias("gap"), F.length(x["tags"]).alias("size"), x["tags"].startswith("</").alias("ends"), alone.alias("alone"))
+        alone = lambda name: name.isin(*VOID) | x["tags"].endswith("/>")
+        whole = lambda name: F.struct(name.alias("name"), x["tags"].alias("tag"), x["gaps"].alias("gap"), F.length(x["tags"]).alias("size"), x["tags"].startswith("</").alias("ends"), alone(name).alias("alone"))
+        return text.let(F.lower(F.regexp_extract(x["tags"], r"^</?([A-Za-z][A-Za-z0-9-]*)", 1)), whole)
 
     none = F.array().cast(f"array<struct<{', '.join(c.replace(' ', ':') for c in ELEMENT.split(', '))}>>")
 
@@ -72,16 +74,19 @@ def elements(html: Column) -> Column:
         return F.transform(F.slice(stack, F.lit(1), n), lambda e: made(e, end, e["up"]))
 
     def step(s: Column, x: Column) -> Column:
-        begin = s["at"] + x["gap"]
-        after, stack, out = begin + x["size"], s["stack"], s["out"]
-        same = F.array_position(F.transform(stack, lambda e: e["name"]), x["name"]).cast("int")
-        n = F.when(x["ends"], same).when(x["name"].isin(*ENDED_BY_NEXT) & (same == 1), 1).otherwise(0)
+        same = F.when(x["ends"] | x["name"].isin(*ENDED_BY_NEXT), F.array_position(F.transform(s["stack"], lambda e: e["name"]), x["name"]).cast("int")).otherwise(0)
+        n = text.let(same, lambda at: F.when(x["ends"], at).when(at == 1, 1).otherwise(0))
+        return text.let(F.struct((s["at"] + x["gap"]).alias("begin"), n.alias("n")), lambda v: moved(s, x, v["begin"], v["n"]))
+
+    def moved(s: Column, x: Column, begin: Column, n: Column) -> Column:
+        """The state after a tag that begins at ``begin`` and ends the top ``n`` of the stack."""
+        after, stack = begin + x["size"], s["stack"]
         rest = F.when(n > 0, F.slice(stack, n + 1, F.greatest(F.size(stack), F.lit(1)))).otherwise(stack)
-        up = F.coalesce(F.get(rest, F.lit(0))["start"], F.lit(-1))
+        up = F.coalesce(F.get(stack, n)["start"], F.lit(-1))
         new = F.array(F.struct(x["name"].alias("name"), x["tag"].alias("tag"), after.alias("start"), after.alias("end"), up.alias("up")))
-        done = F.when(n > 0, F.concat(out, ended(stack, n, begin))).otherwise(out)
-        opens = ~x["ends"] & ~x["alone"]
-        return F.struct(after.alias("at"), F.when(opens, F.concat(new, rest)).otherwise(rest).alias("stack"), F.when(~x["ends"] & x["alone"], F.concat(done, new)).otherwise(done).alias("out"))
+        done = F.when(n > 0, F.concat(s["out"], ended(stack, n, begin))).otherwise(s["out"])
+        kept = F.when(x["ends"] | x["alone"], rest).otherwise(F.concat(new, rest))
+        return F.struct(after.alias("at"), kept.alias("stack"), F.when(~x["ends"] & x["alone"], F.concat(done, new)).otherwise(done).alias("out"))
 
     begin = F.struct(F.lit(0).alias("at"), none.alias("stack"), none.alias("out"))
     each = F.transform(F.filter(F.arrays_zip(gaps.alias("gaps"), tags.alias("tags")), lambda x: x["tags"].isNotNull()), tag)
@@ -95,7 +100,7 @@ def _inner(html: str, e: Column) -> Column:
 def _with_elements(df: DataFrame, key: str, html: str) -> DataFrame:
     """(key, _h: the page without scripts and the like, _e: its elements by their start)."""
     seen = df.select(key, F.regexp_replace(html, UNSEEN, "").alias("_h"))
-    return seen.withColumn("_e", F.array_sort(F.transform(elements(F.col("_h")), lambda e: F.struct(e["start"].alias("start"), e["end"].alias("end"), e["up"].alias("up"), e["name"].alias("name"), e["tag"].alias("tag")))))
+    return seen.withColumn("_e", F.sort_array(F.transform(elements(F.col("_h")), lambda e: F.struct(e["start"].alias("start"), e["end"].alias("end"), e["up"].alias("up"), e["name"].alias("name"), e["tag"].alias("tag")))))
 
 
 def _named(*names: str) -> Column:
@@ -198,7 +203,7 @@ def class_blocks(df: DataFrame, key: str, html: str, classes: str = "item|dish|f
     by_class = lambda words: lambda e: e["tag"].rlike(_attribute("class", words))
     pages = _with_elements(df, key, html).withColumns({"_names": _named("h1", "h2", "h3", "h4", "h5", "h6", "strong", "b"), "_descs": F.filter("_e", by_class("desc|detail"))})
     rows = pages.select(key, "_h", "_names", "_descs", F.posexplode(F.filter(_named("div", "article", "section", "li"), by_class(classes))).alias("pos", "_b"))
-    one = lambda column: F.nullif(strip_tags(_inner("_h", _first_within(F.col("_b"), column))), F.lit(""))
+    one = lambda column: text.let(text.let(_first_within(F.col("_b"), column), lambda e: strip_tags(_inner("_h", e))), lambda x: F.when(x != "", x))
     return rows.select(key, "pos", one("_names").alias("name"), one("_descs").alias("description"), F.nullif(F.regexp_extract(_inner("_h", F.col("_b")), PRICE, 0), F.lit("")).alias("price"))
 
 
@@ -230,31 +235,29 @@ JSON_TOKEN = r'"[^"\\]*+(?:\\.[^"\\]*+)*+"|[{}\[\]]'
 def objects_under(json: Column, name: str) -> Column:
     """The objects of a JSON text that stand under a name, alone or in lists, at any depth, as texts.
 
-    One pass over the text's strings and brackets with a stack: a list hands its name to what is in it.
+    One pass over the text's strings and brackets with a stack, in Python: a list hands its name to what is in it.
     """
-    gaps, tokens = F.split(json, JSON_TOKEN, -1), F.regexp_extract_all(json, F.lit(JSON_TOKEN), F.lit(0))
-    spans = F.array().cast("array<struct<start:int,end:int>>")
-    stack = F.array().cast("array<struct<start:int,named:boolean,list:boolean>>")
-
-    def step(s: Column, x: Column) -> Column:
-        t, begin = x["tokens"], s["at"] + F.length(x["gaps"])
-        after, top = begin + F.length(t), F.get(s["stack"], F.lit(0))
-        # a value follows its name and a colon; within a list it has the list's
-        named = F.when(F.contains(x["gaps"], F.lit(":")), s["name"] == F.lit(f'"{name}"')).otherwise(F.coalesce(top["list"] & top["named"], F.lit(False)))
-        opens, ends = t.isin("{", "["), t.isin("}", "]")
-        new = F.array(F.struct(begin.alias("start"), named.alias("named"), (t == "[").alias("list")))
-        found = F.array(F.struct(top["start"].alias("start"), after.alias("end")))
-        return F.struct(
-            after.alias("at"),
-            F.when(opens | ends, F.lit("")).otherwise(t).alias("name"),
-            F.when(opens, F.concat(new, s["stack"])).when(ends, F.slice(s["stack"], F.lit(2), F.greatest(F.size(s["stack"]), F.lit(1)))).otherwise(s["stack"]).alias("stack"),
-            F.when(ends & top["named"] & ~top["list"], F.concat(s["out"], found)).otherwise(s["out"]).alias("out"),
-        )
-
-    begin = F.struct(F.lit(0).alias("at"), F.lit("").alias("name"), stack.alias("stack"), spans.alias("out"))
-    each = F.filter(F.arrays_zip(gaps.alias("gaps"), tokens.alias("tokens")), lambda x: x["tokens"].isNotNull())
-    found = F.aggregate(each, begin, step, lambda s: F.array_sort(s["out"]))
-    return F.transform(found, lambda x: F.substring(json, x["start"] + 1, x["end"] - x["start"]))
+    token, quoted = re.compile(JSON_TOKEN), f'"{name}"'
+
+    def found(s: str) -> list[str]:
+        stack, out, at, last = [], [], 0, ""
+        for m in token.finditer(s):
+            t, begin = m[0], m.start()
+            if t in ("{", "["):
+                # a value follows its name and a colon; within a list it has the list's
+                named = last == quoted if s.find(":", at, begin) >= 0 else bool(stack) and stack[-1][1] and stack[-1][2]
+                stack.append((begin, named, t == "["))
+            elif t in ("}", "]") and stack:
+                start, named, is_list = stack.pop()
+                if named and not is_list:
+                    out.append((start, m.end()))
+            last, at = "" if t in ("{", "[", "}", "]") else t, m.end()
+        return [s[i:j] for i, j in sorted(out)]
+
+    def run(texts: pd.Series) -> pd.Series:
+        return texts.map(lambda s: None if s is None else found(s))
+
+    return F.pandas_udf(run, "array<string>")(json)
 
 
 def jsonld_items_anywhere(df: DataFrame, key: str, html: str) -> DataFrame:

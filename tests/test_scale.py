@@ -6,7 +6,7 @@ from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
 from pantryline.functions import geo, text
-from pantryline.operators import resolve, serve
+from pantryline.operators import extract, resolve, serve
 
 
 def _plan(df) -> str:
@@ -54,3 +54,35 @@ def test_best_matches_are_those_of_all_pairs(spark: SparkSession) -> None:
     unique = lambda df: df.filter("pos < 290 or pos is null")
     a, b = unique(a), unique(b)
     assert rows(resolve.best_matches(a, b)) == rows(resolve.assign_one_to_one(resolve.geo_fuzzy_match(a, b)))
+
+
+def _optimized(df) -> str:
+    return df._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_a_pass_over_tags_seeks_its_stack_once(spark: SparkSession) -> None:
+    """Each tag looks its name up in the stack once."""
+    page = spark.createDataFrame([(1, "<table><tr><td>a<td>$2</table>")], "id long, html string")
+    spark.conf.set("spark.sql.maxPlanStringLength", 10_000_000)
+    rows = extract.table_rows(page, "id", "html")
+    assert _optimized(rows).count("array_position") == 1
+    assert [tuple(r) for r in rows.collect()] == [(1, 0, "a", "$2")]
+
+
+def test_objects_are_found_by_one_pass(spark: SparkSession) -> None:
+    """No copy of the stack a token: ten thousand lists within each other, strings with brackets, stray ends and nulls."""
+    deep = '{"k":' + "[" * 10_000 + '{"x":"}]\\""}' + "]" * 10_000 + "}"
+    df = spark.createDataFrame([(deep,), (']}{"k":{"a":[1]},"l":[{"k":2}]}',), (None,), ("",)], "s string").select(extract.objects_under(F.col("s"), "k").alias("o"))
+    assert "aggregate(" not in _optimized(df)
+    assert [r.o for r in df.collect()] == [['{"x":"}]\\""}'], ['{"a":[1]}'], None, []]
+
+
+def test_lines_and_labels_are_computed_once(spark: SparkSession) -> None:
+    """A line's name is not written into the plan for each use, nor a label's text for each keyword."""
+    spark.conf.set("spark.sql.maxPlanStringLength", 10_000_000)
+    lines = spark.createDataFrame([("* Soup  - hot $5.00",), (None,), ("x",)], "x string")
+    parsed = lines.select(text.parse_item_line(F.concat("x", F.lit(""))).alias("i"))
+    assert _optimized(parsed).count("regexp_") < 30
+    assert [r.i and tuple(r.i) for r in parsed.collect()] == [("Soup", "5.00", "hot"), None, None]
+    labels = lines.select(text.allergen_scores(F.lower(F.concat_ws(" ", "x", "x"))).alias("m"))
+    assert _optimized(labels).count("concat_ws(") == 1
