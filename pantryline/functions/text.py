@@ -76,12 +76,16 @@ def allergen_scores(text: Column, dictionary: dict = vocab.ALLERGENS, factor: di
 
     ``text``: lower-cased.
     """
-    found = []
-    for label, tiers in dictionary.items():
-        entries = _entries([(k, w * factor[tier]) for tier, words in tiers.items() for k, w in words.items()])
-        score = F.array_max(F.transform(F.filter(entries, lambda e: F.contains(text, e["k"])), lambda e: e["w"]))
-        found.append(F.struct(F.lit(label).alias("key"), score.alias("value")))
-    return F.map_from_entries(F.filter(F.array(*found), lambda e: F.coalesce(e["value"] > over, F.lit(False))))
+
+    def scores(x: Column) -> Column:
+        found = []
+        for label, tiers in dictionary.items():
+            entries = _entries([(k, w * factor[tier]) for tier, words in tiers.items() for k, w in words.items()])
+            score = F.array_max(F.transform(F.filter(entries, lambda e: F.contains(x, e["k"])), lambda e: e["w"]))
+            found.append(F.struct(F.lit(label).alias("key"), score.alias("value")))
+        return F.array(*found)
+
+    return F.map_from_entries(F.filter(let(text, scores), lambda e: F.coalesce(e["value"] > over, F.lit(False))))
 
 
 def allergens_counted(text: Column, dictionary: dict[str, tuple[list[str], list[str], float]], least: float = 0.5) -> Column:
@@ -311,15 +315,22 @@ def _cut(text: Column, part: Column) -> Column:
 def parse_item_line(text: Column, prices: list[str] = profiles.PRICE_PRIORITY, longer: int = 30, under: int = 50, bullets: str = r"[\-•*]+\s*") -> Column:
     """T11. A line: price, bullets and double spaces out; split at `` - ``, or at the first ``. `` of a name over ``longer`` characters if
     what stands before it has under ``under``."""
-    found = F.coalesce(*(F.nullif(F.regexp_extract(text, p, 0), F.lit("")) for p in prices))
-    price = F.regexp_replace(extract_price(text, prices), r"[^\d.,]", "")
-    name = F.trim(F.regexp_replace(F.replace(text, F.coalesce(found, F.lit("\x00")), F.lit("")), r"\s+", " "))
-    name = F.regexp_replace(F.regexp_replace(name, f"^{bullets}", ""), r"\s*[\-•*]+$", "")
-    dash, stop = F.split(name, " - ", 2), F.split(name, r"\. ", 2)
-    by_stop = (F.size(stop) > 1) & (F.length(name) > longer) & (F.length(stop[0]) < under)
-    first = F.when(F.size(dash) > 1, F.trim(dash[0])).when(by_stop, F.trim(stop[0])).otherwise(name)
-    rest = F.when(F.size(dash) > 1, F.trim(F.get(dash, F.lit(1)))).when(by_stop, F.trim(F.get(stop, F.lit(1))))
-    return F.when(F.length(name) >= 3, _item(first, price, rest, 0))
+
+    def parts(v: Column) -> Column:
+        name, price, dash, stop = v["name"], v["price"], v["dash"], v["stop"]
+        by_stop = (F.size(stop) > 1) & (F.length(name) > longer) & (F.length(F.get(stop, F.lit(0))) < under)
+        cut = F.when(F.size(dash) > 1, dash).when(by_stop, stop)
+        split = let(cut, lambda c: F.struct(F.coalesce(F.trim(F.get(c, F.lit(0))), name).alias("first"), F.trim(F.get(c, F.lit(1))).alias("rest")))
+        return let(split, lambda c: F.when(F.length(name) >= 3, _item(c["first"], price, c["rest"], 0)))
+
+    def bare(x: Column) -> Column:
+        found = F.coalesce(*(let(F.regexp_extract(x, p, 0), lambda y: F.when(y != "", y)) for p in prices))
+        price = F.regexp_replace(F.coalesce(*(let(F.regexp_extract(x, p, 1), lambda y: F.when(y != "", y)) for p in prices)), r"[^\d.,]", "")
+        name = F.trim(F.regexp_replace(F.replace(x, F.coalesce(found, F.lit("\x00")), F.lit("")), r"\s+", " "))
+        name = F.regexp_replace(F.regexp_replace(name, f"^{bullets}", ""), r"\s*[\-•*]+$", "")
+        return let(name, lambda n: F.struct(n.alias("name"), price.alias("price"), F.split(n, " - ", 2).alias("dash"), F.split(n, r"\. ", 2).alias("stop")))
+
+    return let(let(text, bare), parts)
 
 
 def parse_item_parens(text: Column, prices: list[str] = profiles.PRICE_DYNAMIC) -> Column:

@@ -225,7 +225,7 @@ def t1a_t20_default_dictionary(t: Tables) -> DataFrame:
     """Labels of the default dictionary, and why the weak ones were found."""
     x = F.lower(F.concat_ws(" ", "dish", "note"))
     rows = menu(t).select("p_partkey", x.alias("x"), text.allergen_scores(x).alias("m"))
-    shown = F.array_join(F.transform(F.array_sort(F.map_entries("m")), lambda e: F.concat(e["key"], F.lit("="), F.format_number(e["value"], 3))), ",")
+    shown = F.array_join(F.transform(F.sort_array(F.map_entries("m")), lambda e: F.concat(e["key"], F.lit("="), F.format_number(e["value"], 3))), ",")
     return rows.select("p_partkey", shown.alias("scores"), F.array_join(text.low_score_warnings(F.col("m"), text=F.col("x")), ";").alias("warnings"))
 
 
