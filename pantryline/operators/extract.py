@@ -1,4 +1,4 @@
-"""Landed pages to candidate rows, by patterns alone (JVM side). A null page gives no rows.
+"""Landed pages to candidate rows, by patterns alone. A null page gives no rows.
 
 Elements are found by a pass over a page's tags with a stack (``elements``), within the row: blocks of the same tag lie inside each
 other as deep as they like.
@@ -10,6 +10,7 @@ import re
 from functools import reduce
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -57,40 +58,33 @@ def elements(html: Column) -> Column:
     ``start`` and ``end`` are the places of the content, from 0; ``up`` is the start of the element round it, or -1. An end tag also ends
     what was opened within and has no end; one without a beginning counts for nothing; what is still open at the end ends there.
     """
-    gaps, tags = F.transform(F.split(html, TAG, -1), F.length), F.regexp_extract_all(html, F.lit(TAG), F.lit(0))
-
-    def tag(x: Column) -> Column:
-        alone = lambda name: name.isin(*VOID) | x["tags"].endswith("/>")
-        whole = lambda name: F.struct(name.alias("name"), x["tags"].alias("tag"), x["gaps"].alias("gap"), F.length(x["tags"]).alias("size"), x["tags"].startswith("</").alias("ends"), alone(name).alias("alone"))
-        return text.let(F.lower(F.regexp_extract(x["tags"], r"^</?([A-Za-z][A-Za-z0-9-]*)", 1)), whole)
-
-    none = F.array().cast(f"array<struct<{', '.join(c.replace(' ', ':') for c in ELEMENT.split(', '))}>>")
-
-    def made(e: Column, end: Column, up: Column) -> Column:
-        return F.struct(e["name"].alias("name"), e["tag"].alias("tag"), e["start"].alias("start"), end.alias("end"), up.alias("up"))
-
-    def ended(stack: Column, n: Column, end: Column) -> Column:
-        """The top ``n`` of the stack, which is kept top first."""
-        return F.transform(F.slice(stack, F.lit(1), n), lambda e: made(e, end, e["up"]))
-
-    def step(s: Column, x: Column) -> Column:
-        same = F.when(x["ends"] | x["name"].isin(*ENDED_BY_NEXT), F.array_position(F.transform(s["stack"], lambda e: e["name"]), x["name"]).cast("int")).otherwise(0)
-        n = text.let(same, lambda at: F.when(x["ends"], at).when(at == 1, 1).otherwise(0))
-        return text.let(F.struct((s["at"] + x["gap"]).alias("begin"), n.alias("n")), lambda v: moved(s, x, v["begin"], v["n"]))
-
-    def moved(s: Column, x: Column, begin: Column, n: Column) -> Column:
-        """The state after a tag that begins at ``begin`` and ends the top ``n`` of the stack."""
-        after, stack = begin + x["size"], s["stack"]
-        rest = F.when(n > 0, F.slice(stack, n + 1, F.greatest(F.size(stack), F.lit(1)))).otherwise(stack)
-        up = F.coalesce(F.get(stack, n)["start"], F.lit(-1))
-        new = F.array(F.struct(x["name"].alias("name"), x["tag"].alias("tag"), after.alias("start"), after.alias("end"), up.alias("up")))
-        done = F.when(n > 0, F.concat(s["out"], ended(stack, n, begin))).otherwise(s["out"])
-        kept = F.when(x["ends"] | x["alone"], rest).otherwise(F.concat(new, rest))
-        return F.struct(after.alias("at"), kept.alias("stack"), F.when(~x["ends"] & x["alone"], F.concat(done, new)).otherwise(done).alias("out"))
-
-    begin = F.struct(F.lit(0).alias("at"), none.alias("stack"), none.alias("out"))
-    each = F.transform(F.filter(F.arrays_zip(gaps.alias("gaps"), tags.alias("tags")), lambda x: x["tags"].isNotNull()), tag)
-    return F.aggregate(each, begin, step, lambda s: F.concat(s["out"], ended(s["stack"], F.size(s["stack"]), F.length(html))))
+    tags, named = re.compile(TAG), re.compile(r"</?([A-Za-z][A-Za-z0-9-]*)")
+
+    def found(s: str) -> list[dict]:
+        stack, out = [], []
+
+        def close(n: int, end: int) -> None:
+            out.extend({**stack.pop(), "end": end} for _ in range(n))
+
+        for m in tags.finditer(s):
+            t, after = m[0], m.end()
+            name, ends = named.match(t)[1].lower(), t.startswith("</")
+            if ends:
+                close(next((i for i, e in enumerate(reversed(stack), 1) if e["name"] == name), 0), m.start())
+                continue
+            if name in ENDED_BY_NEXT and stack and stack[-1]["name"] == name:
+                close(1, m.start())
+            e = {"name": name, "tag": t, "start": after, "end": after, "up": stack[-1]["start"] if stack else -1}
+            (out if name in VOID or t.endswith("/>") else stack).append(e)
+        close(len(stack), len(s))
+        return out
+
+    kind = pa.list_(pa.struct([("name", pa.string()), ("tag", pa.string()), ("start", pa.int32()), ("end", pa.int32()), ("up", pa.int32())]))
+
+    def run(pages: pa.Array) -> pa.Array:
+        return pa.array([None if s is None else found(s) for s in pages.to_pylist()], kind)
+
+    return F.arrow_udf(run, f"array<struct<{', '.join(c.replace(' ', ':') for c in ELEMENT.split(', '))}>>")(html)
 
 
 def _inner(html: str, e: Column) -> Column:
