@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import heapq
+import itertools
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -11,6 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
+from pyspark.sql.streaming.stateful_processor import MapState
 
 from pantryline.sources.store import upsert_by_key
 
@@ -20,12 +22,36 @@ CHANGE_COLUMNS = [x.split()[0] for x in CHANGE.split(", ")]
 OUT_ROWS = 10_000
 
 
+def _order(place: str | None) -> tuple[bool, str]:
+    """Places by name, null last."""
+    return place is None, place or ""
+
+
+class PlaceState:
+    """The last row of one place at a time, ``place``, in the map of its bucket."""
+
+    def __init__(self, states: MapState) -> None:
+        self.states, self.place = states, None
+
+    def get(self) -> tuple | None:
+        """What is known, or None."""
+        return self.states.getValue((self.place,))
+
+    def update(self, last: tuple) -> None:
+        """Keeps a row."""
+        self.states.updateValue((self.place,), last)
+
+    def clear(self) -> None:
+        """Forgets the place."""
+        self.states.removeKey((self.place,))
+
+
 class ChangeProcessor(StatefulProcessor):
-    """ST1. The last (seq, fields) of a place. A row that is not later than the last is ignored, and so is one without ``seq``.
+    """ST1. The last (seq, fields) of each place of a bucket. A row that is not later than its place's last is ignored, and so is one without ``seq``.
 
     ``fields`` are compared as text; volatile columns are left out of them. First sight is silent, or with ``announce`` a ``new`` row;
     a row whose ``removed`` is true forgets the place, and with ``announce`` gives a ``removed`` row. A place not seen for ``ttl_ms``
-    is forgotten too.
+    is forgotten too. Rows without ``place_id`` are of the place that is the key.
     """
 
     def __init__(self, fields: list[str], count: str | None = None, announce: bool = False, ttl_ms: int | None = None) -> None:
@@ -33,70 +59,86 @@ class ChangeProcessor(StatefulProcessor):
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         """Opens the state."""
-        self.last = handle.getValueState("last", "seq long, " + ", ".join(f"`{f}` string" for f in self.fields), self.ttl_ms)
+        row = "seq long, " + ", ".join(f"`{f}` string" for f in self.fields)
+        self.last = PlaceState(handle.getMapState("last", "place_id string", row, self.ttl_ms))
+
+    def _rows(self, chunk: pd.DataFrame, key: tuple) -> Iterator[tuple]:
+        """(place, seq, removed, fields ...) by place and ``seq``. As lists: a frame's own operations take longer than the rows of most buckets."""
+        given = lambda c: [None if pd.isna(x) else x for x in chunk[c].tolist()]
+        place = given("place_id") if "place_id" in chunk else [key[0]] * len(chunk)
+        seq = [None if x is None else int(x) for x in given("seq")]
+        columns = [place, seq, given("removed") if "removed" in chunk else [False] * len(chunk), *map(given, self.fields)]
+        known = [i for i, x in enumerate(seq) if x is not None]  # a row without seq has no place in the order
+        return (tuple(c[i] for c in columns) for i in sorted(known, key=lambda i: (*_order(place[i]), seq[i])))
 
     def handleInitialState(self, key: tuple, initialState: pd.DataFrame, timerValues: object) -> None:  # noqa: N802, N803
-        """The last landed row of a place, before the first batch."""
-        rows = initialState[initialState["seq"].notna()]
-        if len(rows):
-            r = rows.sort_values("seq", kind="stable").iloc[-1]
-            self.last.update((int(r["seq"]), *(None if pd.isna(r[f]) else str(r[f]) for f in self.fields)))
-
-    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues: object) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
-        """Changes in the order of ``seq``.
-
-        Rows come in chunks; each loses the rows that are too late and is sorted alone, and the chunks are merged row by row.
-        """
-        last, out = self.last.get() if self.last.exists() else None, []
-        begun = last[0] if last is not None else None
-        chunks = []
-        for chunk in rows:
-            chunk = chunk[chunk["seq"].notna()]  # a row without seq has no place in the order
-            if begun is not None:
-                chunk = chunk[chunk["seq"] > begun]
-            if len(chunk):
-                chunks.append(chunk.sort_values("seq", kind="stable"))
-        merged = heapq.merge(*(c[["seq", "removed", *self.fields]].itertuples(index=False, name=None) for c in chunks), key=lambda r: r[0])
-        for number, removed, *fields in merged:
-            seq, now = int(number), [None if pd.isna(x) else str(x) for x in fields]
+        """The last landed row of each place, before the first batch."""
+        for place, seq, _, *fields in self._rows(initialState, key):
+            self.last.place = place
+            self.last.update((seq, *(None if x is None else str(x) for x in fields)))
+
+    def _changes(self, place: str, rows: Iterator[tuple]) -> Iterator[tuple]:
+        """Changes of a place in the order of ``seq``; its state is written after the last."""
+        self.last.place = place
+        last = known = self.last.get()
+        for _, seq, removed, *fields in rows:
+            now = [None if x is None else str(x) for x in fields]
             if last is not None and seq <= last[0]:
                 continue
             if removed:
                 if last is not None and self.announce:
-                    out.append((key[0], "removed", None, None, None, seq))
+                    yield (place, "removed", None, None, None, seq)
                 last = None
                 continue
             if last is None and self.announce:
-                out.append((key[0], "new", None, None, None, seq))
+                yield (place, "new", None, None, None, seq)
             for f, old, new in zip(self.fields, last[1:] if last is not None else now, now, strict=True):
                 if old != new:
-                    out.append((key[0], "menu_changed" if f == self.count else "updated", f, old, new, seq))
+                    yield (place, "menu_changed" if f == self.count else "updated", f, old, new, seq)
             last = (seq, *now)
-            if len(out) >= OUT_ROWS:
-                yield pd.DataFrame(out, columns=CHANGE_COLUMNS)
-                out = []
         if last is not None:
             self.last.update(tuple(last))
-        elif self.last.exists():
+        elif known is not None:
             self.last.clear()
-        yield pd.DataFrame(out, columns=CHANGE_COLUMNS)
+
+    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues: object) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+        """Changes of the bucket's places, ``OUT_ROWS`` at once.
+
+        Rows come in chunks; each is sorted alone, and the chunks are merged row by row.
+        """
+        merged = heapq.merge(*(self._rows(chunk, key) for chunk in rows), key=lambda r: (*_order(r[0]), r[1]))
+        found = itertools.chain.from_iterable(self._changes(place, mine) for place, mine in itertools.groupby(merged, key=lambda r: r[0]))
+        while True:
+            out = list(itertools.islice(found, OUT_ROWS))
+            yield pd.DataFrame(out, columns=CHANGE_COLUMNS)
+            if len(out) < OUT_ROWS:
+                return
 
     def close(self) -> None:
         """Nothing is open."""
 
 
-def change_feed(rows: DataFrame, fields: list[str], count: str | None = None, announce: bool = False, ttl_ms: int | None = None, landed: DataFrame | None = None) -> DataFrame:
+def change_feed(rows: DataFrame, fields: list[str], count: str | None = None, announce: bool = False, ttl_ms: int | None = None, landed: DataFrame | None = None, buckets: int = 4096) -> DataFrame:
     """ST1. ``rows``: a stream of (place_id, seq, fields ..., perhaps removed). Needs the RocksDB state store.
 
     ``landed``: a table (place_id, seq, fields ...) of what is known already, as yesterday's snapshot: the feed compares with its
     latest rows from the first batch on. It is read when the checkpoint is new, and not again.
     With ``ttl_ms`` a place's state ends so long after it was last written, so the store is bounded by what is seen in that time.
+    Places are handled by ``buckets`` of their hash, since a group costs much more than a place's rows; with one for each place that was most of the
+    time. A bucket's rows of a batch are in one task's memory; the number of buckets must stay while the checkpoint lives.
     """
     removed = F.coalesce(F.col("removed").cast("boolean"), F.lit(False)) if "removed" in rows.columns else F.lit(False)
-    plain = lambda df: df.select(F.col("place_id").cast("string").alias("place_id"), F.col("seq").cast("long").alias("seq"), *(F.col(f).cast("string").alias(f) for f in fields), *([removed.alias("removed")] if df is rows else []))
+    place, text = F.col("place_id").cast("string").alias("place_id"), [F.col(f).cast("string").alias(f) for f in fields]
+    # as text, since in pandas a list of longs with a null is one of doubles
+    seq, key = F.col("seq").cast("string"), max(["", *fields], key=len) + "_bucket"  # a name that no field has
+    some = lambda df, *more: df.select(place, F.col("seq").cast("long").alias("seq"), *text, *more).filter("seq is not null")
+    by_bucket = lambda df: df.withColumns({"seq": seq, key: F.pmod(F.xxhash64("place_id"), F.lit(buckets)).cast("int")}).groupBy(key)
+    before = {}
+    if landed is not None:
+        latest = some(landed).groupBy("place_id").agg(F.max(F.struct("seq", *fields)).alias("last")).select("place_id", "last.*")
+        before = {"initialState": by_bucket(latest)}
     processor = ChangeProcessor(fields, count, announce, ttl_ms)
-    before = {} if landed is None else {"initialState": plain(landed).groupBy("place_id")}
-    return plain(rows).groupBy("place_id").transformWithStateInPandas(statefulProcessor=processor, outputStructType=CHANGE, outputMode="Append", timeMode="ProcessingTime" if ttl_ms else "None", **before)
+    return by_bucket(some(rows, removed.alias("removed"))).transformWithStateInPandas(statefulProcessor=processor, outputStructType=CHANGE, outputMode="Append", timeMode="ProcessingTime" if ttl_ms else "None", **before)
 
 
 def cycle_sink(path: str, metrics: Callable[[DataFrame], DataFrame] | None = None) -> Callable[[DataFrame, int], None]:

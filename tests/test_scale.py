@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
 from pantryline.functions import geo, text
 from pantryline.operators import extract, resolve, serve
+from pantryline.streaming import changes
 
 
 def _plan(df) -> str:
@@ -86,3 +88,36 @@ def test_lines_and_labels_are_computed_once(spark: SparkSession) -> None:
     assert [r.i and tuple(r.i) for r in parsed.collect()] == [("Soup", "5.00", "hot"), None, None]
     labels = lines.select(text.allergen_scores(F.lower(F.concat_ws(" ", "x", "x"))).alias("m"))
     assert _optimized(labels).count("concat_ws(") == 1
+
+
+def test_a_group_of_the_feed_is_a_bucket_of_places() -> None:
+    """One call handles all places of its bucket, null among them, whose rows come in any order and in several chunks."""
+
+    class Places(dict):
+        getValue, updateValue, removeKey = dict.get, dict.__setitem__, dict.__delitem__  # noqa: N815
+
+    p = changes.ChangeProcessor(["phone"], announce=True)
+    p.last = changes.PlaceState(states := Places())
+    frame = lambda *rows: pd.DataFrame(rows, columns=["place_id", "seq", "phone", "removed"])
+    p.handleInitialState((7,), frame(("a", "5", "1", None), ("d", "5", "1", None), (None, None, None, None)), None)
+    chunks = [frame(("b", "10", "2", False), ("a", "9", "2", False), (None, "1", "x", False), ("d", "6", None, True)), frame(("b", "9", "1", False), ("a", "4", "late", False), (None, "2", None, False), ("c", None, "1", False))]
+    got = [tuple(r)[:5] for f in p.handleInputRows((7,), iter(chunks), None) for r in f.itertuples(index=False)]
+    assert got == [("a", "updated", "phone", "1", "2"), ("b", "new", None, None, None), ("b", "updated", "phone", "1", "2"), ("d", "removed", None, None, None), (None, "new", None, None, None), (None, "updated", "phone", "x", None)]
+    assert states == {("a",): (9, "2"), ("b",): (10, "2"), (None,): (2, None)}
+
+
+def test_buckets_of_many_landed_places(spark: SparkSession, tmp_path) -> None:
+    """More landed places in a bucket than go to Python at once, few new rows; a null place; numbers that a double can't hold."""
+    k, big = F.col("id"), 2**60
+    place = F.when(k > 0, k.cast("string")).alias("place_id")
+    old = spark.range(25_000).select(place, (k + big).alias("seq"), F.lit("1").alias("phone"))
+    new = spark.range(30).select(place, (k + big + k % 2).alias("seq"), F.lit("2").alias("phone"))
+    run = lambda: changes.run_cycles(changes.change_feed(spark.readStream.schema(new.schema).parquet(f"{tmp_path}/in"), ["phone"], announce=True, landed=old, buckets=1), f"{tmp_path}/out", f"{tmp_path}/checkpoint").awaitTermination()
+    read = lambda: [tuple(r) for r in spark.read.schema(changes.CHANGE).parquet(f"{tmp_path}/out/changes/*").collect()]
+    new.write.parquet(f"{tmp_path}/in")
+    run()
+    assert sorted(read()) == sorted((str(i), "updated", "phone", "1", "2", big + i + 1) for i in range(1, 30, 2))
+    spark.range(25_010).select(place, (k + big + 2).alias("seq"), F.lit("3").alias("phone")).write.mode("append").parquet(f"{tmp_path}/in")
+    run()
+    late = [r for r in read() if r[4] != "2"]
+    assert len(late) == 25_010 and sum(r[1] == "new" for r in late) == 10 and {r[3] for r in late if r[0] is None} == {"1"}
