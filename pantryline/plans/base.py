@@ -20,6 +20,12 @@ class Tables:
         return self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
 
 
+def dealt(df: DataFrame, key: str) -> DataFrame:
+    """Rows dealt to all cores by their key, before work that takes long for each: a few MB of file are one task, however many rows they hold."""
+    spark = df.sparkSession
+    return df.repartition(max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism), key)
+
+
 def query(sql: str | None = None) -> Callable:
     """Registers a function of ``Tables`` under its name, with the SQL that must give the same rows."""
 

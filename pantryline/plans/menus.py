@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from pantryline.functions import profiles, text, vocab
 from pantryline.operators import dedupe, extract, metrics
-from pantryline.plans.base import Tables, query
+from pantryline.plans.base import Tables, dealt, query
 from pantryline.sources.places import PAYMENT
 
 DISHES = ["Grilled chicken caesar salad with parmesan", "Margherita Pizza", "Tomato Bisque - served with bread", "Fish Tacos (2)", "Lobster Ravioli. Fresh pasta in a cream sauce made daily", "Chocolate Cake", "Coffee", "Contact us", "Home", "Vegan Burger", "Eggplant Parmesan", "Peanut Noodles", "Steak Frites", "Peach Pie", "House Wine", "STARTERS", "Iced Tea", "* Salmon Roll *", "Chicken Wings", "Order online for delivery", "Menu", "Special of the day", "tofu", "Quiche"]
@@ -51,7 +51,7 @@ def menu(t: Tables) -> DataFrame:
     k = F.col("p_partkey")
     pick = lambda values: F.element_at(text.strings(values), (k % len(values)).cast("int") + 1)
     amount = F.when(k % 4 == 0, F.concat(F.lit(" $"), (5 + k % 23).cast("string"), F.lit(".50"))).when(k % 4 == 1, F.concat(F.lit(" $"), (k % 30 + 1).cast("string"))).when(k % 4 == 2, "").otherwise(" 12 dollars")
-    rows = t.part.select(k, pick(DISHES).alias("dish"), pick(NOTES).alias("note"), amount.alias("amount"), F.when(k % 3 > 0, F.concat((k % 300).cast("string"), F.lit(".50"))).alias("price"), F.when(k % 4 == 0, "other").otherwise("soup").alias("category"), (k % 2).alias("n_labels"), (F.floor(k / 2) % 2).alias("n_tags"), ((k % 10) / 10.0).alias("conf"))
+    rows = dealt(t.part.select(k), "p_partkey").select(k, pick(DISHES).alias("dish"), pick(NOTES).alias("note"), amount.alias("amount"), F.when(k % 3 > 0, F.concat((k % 300).cast("string"), F.lit(".50"))).alias("price"), F.when(k % 4 == 0, "other").otherwise("soup").alias("category"), (k % 2).alias("n_labels"), (F.floor(k / 2) % 2).alias("n_tags"), ((k % 10) / 10.0).alias("conf"))
     many = lambda n: F.when(F.col(n) > 0, F.array(F.lit("a"))).otherwise(F.array().cast("array<string>"))
     return rows.withColumns({"x": F.concat("dish", "amount"), "labels": many("n_labels"), "tags": many("n_tags")})
 

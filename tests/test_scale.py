@@ -6,8 +6,10 @@ import pandas as pd
 from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
-from pantryline.functions import geo, text
+from pantryline.functions import geo, profiles, text
 from pantryline.operators import extract, resolve, serve
+from pantryline.plans import menus
+from pantryline.plans.base import Tables
 from pantryline.streaming import changes
 
 
@@ -121,3 +123,23 @@ def test_buckets_of_many_landed_places(spark: SparkSession, tmp_path) -> None:
     run()
     late = [r for r in read() if r[4] != "2"]
     assert len(late) == 25_010 and sum(r[1] == "new" for r in late) == 10 and {r[3] for r in late if r[0] is None} == {"1"}
+
+
+def test_food_scores_bind_their_text(spark: SparkSession) -> None:
+    """A text is computed once a profile, not once a keyword; nulls, empty texts, and a word of each kind."""
+    spark.conf.set("spark.sql.maxPlanStringLength", 10_000_000)
+    lines = spark.createDataFrame([("Tomato soup $5.00",), (" Home ",), ("x",), ("",), (None,), ("  ",)], "x string")
+    for p in profiles.FOOD_SCORE:
+        scored = lines.select(text.food_score_by(F.concat_ws(" ", "x", "x"), p).alias("f"))
+        assert _optimized(scored).count("concat_ws(") == 1
+    got = [tuple(r.f) for r in lines.select(text.food_score_by(F.col("x"), "nextgen").alias("f")).collect()]
+    short = (False, 0.0, "too_short")
+    assert got == [(True, 0.7, "strong_soup_has_price_good_length_proper_caps"), (False, 0.0, "excluded_navigation"), short, short, (False, 0.0, "no_indicators"), short]
+
+
+def test_menu_lines_are_dealt_to_all_cores(spark: SparkSession, tmp_path) -> None:
+    """A small file of one row group is one task when it is read; scores are computed in as many as there are."""
+    spark.range(4000).withColumnRenamed("id", "p_partkey").coalesce(1).write.parquet(f"{tmp_path}/part.parquet")
+    scored = menus.f12_food_score_profiles(Tables(spark, str(tmp_path)))
+    sizes = [r.n for r in scored.groupBy(F.spark_partition_id().alias("p")).agg(F.count("*").alias("n")).collect()]
+    assert len(sizes) >= 4 and sum(sizes) == 4000 and max(sizes) < 2000
