@@ -3,17 +3,20 @@
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import reduce
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
+import pyarrow.parquet as pq
+from pyarrow import fs
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from pantryline.functions import text
-from pantryline.sources.shared import written
+from pantryline.sources.shared import new_path, written
 
 
 def eq_filters(df: DataFrame, **given: object) -> DataFrame:
@@ -124,121 +127,191 @@ def dictionary_tags(df: DataFrame, key: str, words: str, dictionary: DataFrame)
     return each.join(dictionary, "keyword").groupBy(key, "label").agg(F.max("weight").alias("weight"))
 
 
-#: Phrases whose hashes a task holds at once: 16 bytes each, and their length.
+#: Phrases whose hashes a task holds at once: 16 bytes each, a number and their length.
 PHRASES_IN_TASK = 1_000_000
 #: Words that a step of the search takes at once.
-WORDS_AT_ONCE = 500_000
-HASHED = "n int, h1 long, h2 long"
+WORDS_AT_ONCE = 1_000_000
+#: Rows of overlapping matches that are gone through one by one, not a step of all at once.
+FEW = 64
+HASHED = "n int, h1 long, h2 long, id long"
+HASHES = pa.schema([("n", pa.int32()), ("h1", pa.int64()), ("h2", pa.int64()), ("id", pa.int64())])
 
 
-def _gram_hashes(words: np.ndarray, n: int) -> np.ndarray:
-    """The 128-bit hash (two of 64) of the ``n`` words from each place on, out of the hashes of the words."""
-    out = np.full((len(words) - n + 1, 2), n, np.uint64)
-    for i in range(n):
-        out = out * np.uint64(0x9E3779B97F4A7C15) + words[i : i + len(out)]
-    return out
+def _word_hashes(flat: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """The number of each word among the different ones, and of each of these two 64-bit hashes; a null is like no word."""
+    coded = flat.dictionary_encode(null_encoding="encode")
+    each = b"".join(b"\xff" * 16 if w is None else hashlib.blake2b(w.encode(), digest_size=16).digest() for w in coded.dictionary.to_pylist())
+    return coded.indices.to_numpy(), np.ascontiguousarray(np.frombuffer(each, "<u8").reshape(-1, 2).T)
 
 
-def _word_hashes(flat: pa.Array) -> np.ndarray:
-    """Two 64-bit hashes of each word; each different one is hashed once."""
-    coded = flat.dictionary_encode()
-    each = b"".join(hashlib.blake2b(w.encode(), digest_size=16).digest() for w in coded.dictionary.to_pylist())
-    return np.frombuffer(each, "<u8").reshape(-1, 2)[coded.indices.to_numpy(zero_copy_only=False)]
+def _gram_hashes(words: np.ndarray, n: int, at: np.ndarray | None = None) -> np.ndarray:
+    """The hash of the ``n`` words from each place on (or each of ``at``), out of the hashes of the words."""
+    size = len(words) - n + 1
+    out = np.full(size if at is None else len(at), n, np.uint64)
+    for i in range(n):
+        out = out * np.uint64(0x9E3779B97F4A7C15) + (words[i : i + size] if at is None else words[at + i])
+    return out
 
 
 def _hash_phrases(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        each = [(len(w), _gram_hashes(_word_hashes(pa.array(w)), len(w))[0].view(np.int64)) for w in batch.column(0).to_pylist()]
-        columns = [pa.array([n for n, _ in each], pa.int32()), pa.array([h[0] for _, h in each], pa.int64()), pa.array([h[1] for _, h in each], pa.int64())]
-        yield pa.RecordBatch.from_arrays(columns, names=["n", "h1", "h2"])
-
-
-def _phrase_hits(rows: DataFrame, block: DataFrame, leftmost: bool, once: bool) -> DataFrame:
-    """(key, pos, n, phrase) of the longest phrases of a block of hashes at each place of ``rows`` (key, words).
-
-    ``leftmost``: of those that overlap in a row the first alone; ``once``: each phrase once a row.
-    """
-    hashes = block.toPandas()
-    index = {int(n): g[["h1", "h2"]].to_numpy().view(np.uint64) for n, g in hashes.groupby("n")}
-    index = {n: h[np.argsort(h[:, 0])] for n, h in sorted(index.items(), reverse=True)}
-    held, key = rows.sparkSession.sparkContext.broadcast(index), rows.schema.fields[0]
-    out = T.StructType([key, T.StructField("pos", T.IntegerType()), T.StructField("n", T.IntegerType()), T.StructField("phrase", T.StringType())])
-
-    def longest_at(words: pa.ListArray) -> tuple[np.ndarray, np.ndarray]:
-        """The longest phrase's number of words at each place of some rows, and the rows' first places."""
-        lengths = np.asarray(words.value_lengths())
-        ends = np.cumsum(lengths)
-        total = int(ends[-1])
-        hashed, left, best = _word_hashes(words.flatten()), np.repeat(ends, lengths) - np.arange(total), np.zeros(total, np.int32)
-        for n, known in held.value.items():
-            if n <= total:
-                grams = _gram_hashes(hashed, n)
-                at = np.minimum(np.searchsorted(known[:, 0], grams[:, 0]), len(known) - 1)
-                hit = (left[: len(grams)] >= n) & (best[: len(grams)] == 0) & (known[at] == grams).all(axis=1)
-                best[: len(grams)][hit] = n
-        return best, ends - lengths
+        lengths = np.asarray(batch.column(0).value_lengths())
+        codes, hashes = _word_hashes(batch.column(0).flatten())
+        words, begin = hashes[:, codes], np.cumsum(lengths) - lengths
+        h = np.zeros((2, len(lengths)), np.uint64)
+        for n in np.unique(lengths).tolist():
+            of = np.flatnonzero(lengths == n)
+            for i in (0, 1):
+                h[i, of] = _gram_hashes(words[i], n, begin[of])
+        yield pa.RecordBatch.from_arrays([pa.array(lengths, pa.int32()), *(pa.array(x.view(np.int64)) for x in h), batch.column(1)], names=["n", "h1", "h2", "id"])
+
+
+class PhraseBlocks:
+    """The hashes of phrases (their words ``w``, ``id``) in the shared folder, in blocks of some ``in_task``; a task holds one block at a time."""
+
+    def __init__(self, phrases: DataFrame, in_task: int) -> None:
+        spark, path = phrases.sparkSession, new_path(phrases.sparkSession, "phrases")
+        phrases.select("w", "id").mapInArrow(_hash_phrases, HASHED).write.parquet(path)
+        hashed = spark.read.schema(HASHED).parquet(path)
+        n = max(1, -(-hashed.count() // in_task))
+        self.folders, self.held = [path], (None, {})
+        if n > 1:
+            path = new_path(spark, "phrase-blocks")
+            hashed.withColumn("block", F.pmod("h1", F.lit(n))).repartition(n, "block").sortWithinPartitions("block", "h1").write.partitionBy("block").parquet(path)
+            self.folders = [f"{path}/block={i}" for i in range(n)]
+
+    def block(self, i: int) -> dict[int, tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.uint64]]:
+        """By number of words, most first: both hashes and the ids in the order of the first hash, and which values its upper bits have."""
+        if self.held[0] != i:
+            self.held = (None, {})
+            store, folder = fs.FileSystem.from_uri(self.folders[i])
+            tables = [HASHES.empty_table()]
+            for x in store.get_file_info(fs.FileSelector(folder, allow_not_found=True)):
+                if x.is_file and x.base_name.startswith("part-"):
+                    with store.open_input_file(x.path) as f:
+                        tables.append(pq.ParquetFile(f).read(columns=HASHES.names, use_threads=False).cast(HASHES))
+            n, h1, h2, ids = (c.to_numpy() for c in pa.concat_tables(tables).columns)
+            found = {}
+            for k in sorted(np.unique(n).tolist(), reverse=True):
+                of = np.flatnonzero(n == k)
+                of = of[np.argsort(h1[of].view(np.uint64), kind="stable")]
+                first, bits = h1[of].view(np.uint64), min(24, (16 * len(of)).bit_length())
+                there, shift = np.zeros(1 << bits, bool), np.uint64(64 - bits)
+                there[first >> shift] = True
+                found[k] = (first, h2[of].view(np.uint64), ids[of], there, shift)
+            self.held = (i, found)
+        return self.held[1]
+
+    def longest(self, words: pa.ListArray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Of each word of some rows: its row, the number of words of the longest phrase that begins there (0: none), and that phrase's id."""
+        lengths = np.asarray(words.value_lengths().fill_null(0))
+        codes, hashes = _word_hashes(words.flatten())
+        each, row, ends = hashes[:, codes], np.repeat(np.arange(len(lengths)), lengths), np.cumsum(lengths)
+        best, ids = np.zeros(len(codes), np.int32), np.zeros(len(codes), np.int64)
+        for i in range(len(self.folders)):
+            for n, (first, second, numbers, there, shift) in self.block(i).items():
+                if n > len(codes):
+                    continue
+                side = hashes if n == 1 else each  # a single word is sought once, however often it comes
+                grams = _gram_hashes(side[0], n)
+                at = np.flatnonzero(there[grams >> shift])
+                if n > 1:
+                    at = at[(ends[row[at]] - at >= n) & (best[at] < n)]
+                known = np.minimum(np.searchsorted(first, grams[at]), len(first) - 1)
+                same = (first[known] == grams[at]) & (second[known] == _gram_hashes(side[1], n, at))
+                at, known = at[same], known[same]
+                if n == 1:
+                    number = np.full(hashes.shape[1], -1)
+                    number[at] = known
+                    at = np.flatnonzero((number[codes] >= 0) & (best == 0))
+                    known = number[codes[at]]
+                best[at], ids[at] = n, numbers[known]
+        return row, best, ids
+
+
+def _leftmost(places: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """Which matches (ascending first places, numbers of words) stay, if of those that overlap the leftmost does."""
+    ends = places + n
+    begins = np.ones(len(places), bool)  # what no match before it reaches stays anyway
+    begins[1:] = np.maximum.accumulate(ends)[:-1] <= places[1:]
+    following, kept = np.append(np.searchsorted(places, ends), len(places)), begins.copy()
+    begins = np.append(begins, True)
+    at = np.flatnonzero(begins[:-1] & (n > 1))
+    while len(at) > FEW:
+        at = following[at]
+        at = at[~begins[at]]
+        kept[at] = True
+    for i in at.tolist():
+        while not begins[i := int(following[i])]:
+            kept[i] = True
+    return kept
+
+
+def _search(df: DataFrame, key: str, words: str, blocks: PhraseBlocks, rest: str, found: Callable[..., list[pa.Array]]) -> DataFrame:
+    """(key, columns ``rest``) of the phrases in each row. ``found``: of some rows' words, and the matches' rows, places, numbers of words and
+    ids, the rows again and the columns."""
+    rows = df.select(key, F.col(words).alias("_words"))
+    out = T.StructType([rows.schema.fields[0], *T.StructType.fromDDL(rest).fields])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            sizes = np.cumsum(np.asarray(whole.column(1).value_lengths()))
+            sizes = np.cumsum(np.asarray(whole.column(1).value_lengths().fill_null(0)))
             begin = 0
             while begin < len(sizes):
                 done = int(sizes[begin - 1]) if begin else 0
                 stop = max(begin + 1, int(np.searchsorted(sizes, done + WORDS_AT_ONCE, "right")))
                 batch = whole.slice(begin, stop - begin)
                 begin = stop
-                if not len(batch.column(1).flatten()):
-                    continue
-                best, first = longest_at(batch.column(1))
+                row, best, ids = blocks.longest(batch.column(1))
                 places = np.flatnonzero(best)
-                owner = np.searchsorted(first, places, "right") - 1
-                pick, pos, phrases = [], [], []
-                row, end, seen, words = -1, 0, set(), []
-                for r, p, n in zip(owner.tolist(), (places - first[owner]).tolist(), best[places].tolist(), strict=True):
-                    if r != row:
-                        row, end, seen, words = r, 0, set(), batch.column(1)[r].as_py()
-                    if leftmost and p < end:
-                        continue
-                    end = p + n
-                    phrase = words[p] if n == 1 else " ".join(words[p:end])
-                    if not (once and phrase in seen):
-                        seen.add(phrase)
-                        pick.append(r)
-                        pos.append((p, n))
-                        phrases.append(phrase)
-                columns = [batch.column(0).take(pa.array(pick, pa.int32())), *(pa.array([x[i] for x in pos], pa.int32()) for i in (0, 1)), pa.array(phrases, pa.string())]
-                yield pa.RecordBatch.from_arrays(columns, names=out.names)
+                places = places[_leftmost(places, best[places])]
+                if len(places):
+                    owner, *columns = found(batch.column(1), row[places], places, best[places], ids[places])
+                    yield pa.RecordBatch.from_arrays([batch.column(0).take(owner), *columns], names=out.names)
 
     return rows.mapInArrow(run, out)
 
 
+def _unique(columns: dict[str, np.ndarray | pa.Array], least: str | None = None) -> list[pa.Array]:
+    """The different rows of some columns; ``least``: of this one the least value is taken."""
+    grouped = pa.table(columns).group_by([c for c in columns if c != least], use_threads=False).aggregate([(least, "min")] if least else [])
+    return [grouped.column(f"{c}_min" if c == least else c).combine_chunks() for c in columns]
+
+
 def phrase_matches(df: DataFrame, key: str, words: str, phrases: DataFrame, once: bool = False, in_task: int = PHRASES_IN_TASK) -> DataFrame:
     """J11. (key, pos, n, phrase): where the phrases of a table lie in the word lists of ``df``; of those that overlap the leftmost stays,
-    and of those that begin at one word the longest. ``once``: each phrase but once a row (any place).
+    and of those that begin at one word the longest. ``once``: each phrase but once a row (its first place).
 
-    ``phrases``: (phrase), single spaces between words. Phrases are told apart by 128-bit hashes, made by Spark; a task holds those of
-    ``in_task`` phrases, and goes over its rows' words at each length that phrases have. So words are neither moved nor multiplied. More
-    phrases go in blocks, each with a pass over the texts; only what they find then meets by key, and keys must be unique.
+    ``phrases``: (phrase), single spaces between words. Phrases are told apart by 128-bit hashes, made by Spark and read from the shared folder;
+    a task goes over its rows' words at each length that phrases have. So words are neither moved nor multiplied. More than ``in_task`` phrases
+    are blocks, which a task reads one after the other for the same words.
     """
-    each = phrases.filter("phrase != ''").select(F.split("phrase", " ").alias("w")).distinct()
-    hashed = written(each.mapInArrow(_hash_phrases, HASHED), "phrases")
-    n_blocks = max(1, -(-hashed.count() // in_task))
-    rows = df.filter(F.col(words).isNotNull()).select(key, F.col(words).alias("_words"))
-    found = [_phrase_hits(rows, hashed.filter(F.pmod("h1", F.lit(n_blocks)) == i), n_blocks == 1, once and n_blocks == 1) for i in range(n_blocks)]
-    if n_blocks == 1:
-        return found[0]
-    longest_there = reduce(DataFrame.unionByName, found).groupBy(key, "pos").agg(F.max_by("phrase", "n").alias("phrase"), F.max("n").alias("n"))
-    all_of = longest_there.groupBy(key).agg(F.sort_array(F.collect_list(F.struct("pos", "n", "phrase"))).alias("_all"))  # bounded by a text's words
-    begin = F.struct(F.lit(0).alias("end"), F.array().cast("array<struct<pos:int,n:int,phrase:string>>").alias("kept"))
-    kept = F.aggregate("_all", begin, lambda s, x: F.when(x["pos"] >= s["end"], F.struct((x["pos"] + x["n"]).alias("end"), F.concat(s["kept"], F.array(x)).alias("kept"))).otherwise(s), lambda s: s["kept"])
-    rows = all_of.select(key, F.explode(kept).alias("_m")).select(key, "_m.*")
-    return rows.dropDuplicates([key, "phrase"]) if once else rows
-
-
-def dictionary_phrases(df: DataFrame, key: str, words: str, dictionary: DataFrame) -> DataFrame:
+
+    def found(lists: pa.ListArray, row: np.ndarray, places: np.ndarray, n: np.ndarray, _: np.ndarray) -> list[pa.Array]:
+        flat, lengths = lists.flatten(), np.asarray(lists.value_lengths().fill_null(0))
+        of = {k: np.flatnonzero(n == k) for k in np.unique(n).tolist()}
+        phrase = pa.concat_arrays([pc.binary_join_element_wise(*(flat.take(pa.array(places[at] + i)) for i in range(k)), " ") for k, at in of.items()])
+        at = np.concatenate(list(of.values()))
+        pos = places - (np.cumsum(lengths) - lengths)[row]
+        columns = {"row": row[at], "pos": pos[at].astype(np.int32), "n": n[at], "phrase": phrase}
+        return _unique(columns, "pos") if once else list(pa.table(columns).combine_chunks().to_batches()[0].columns)
+
+    each = phrases.filter("phrase != ''").select(F.split("phrase", " ").alias("w")).distinct().withColumn("id", F.lit(0).cast("long"))
+    return _search(df, key, words, PhraseBlocks(each, in_task), "pos int, n int, phrase string", found)
+
+
+def dictionary_phrases(df: DataFrame, key: str, words: str, dictionary: DataFrame, in_task: int = PHRASES_IN_TASK) -> DataFrame:
     """J11. (key, label, weight): of each label the largest weight among its phrases that ``phrase_matches`` finds in the row.
 
-    ``dictionary``: (phrase, label, weight); a phrase may have several labels.
+    ``dictionary``: (phrase, label, weight); a phrase may have several labels. Phrases of the same labels and weights are one kind, and a row of
+    ``df`` leaves a task once for each kind that is found in it, not for each phrase.
     """
-    found = phrase_matches(df, key, words, dictionary.select("phrase"), once=True).select(key, "phrase")
-    return found.join(dictionary, "phrase").groupBy(key, "label").agg(F.max("weight").alias("weight"))
+
+    def found(_: pa.ListArray, row: np.ndarray, __: np.ndarray, ___: np.ndarray, ids: np.ndarray) -> list[pa.Array]:
+        return _unique({"row": row, "_kind": ids})
+
+    labelled = written(dictionary.filter("phrase != ''").groupBy("phrase").agg(F.sort_array(F.collect_set(F.struct("label", "weight"))).alias("_labels")), "labelled")
+    kinds = written(labelled.select("_labels").distinct().withColumn("_kind", F.monotonically_increasing_id()), "kinds")
+    each = labelled.join(kinds, "_labels").select(F.split("phrase", " ").alias("w"), F.col("_kind").alias("id"))
+    of_rows = _search(df, key, words, PhraseBlocks(each, in_task), "_kind long", found)
+    return of_rows.join(kinds.select("_kind", F.inline("_labels")), "_kind").groupBy(key, "label").agg(F.max("weight").alias("weight"))

@@ -224,8 +224,9 @@ SELECT doc_id, label, max(weight) AS weight FROM (SELECT DISTINCT doc_id, phrase
 def j11_dictionary_phrases(t: Tables) -> DataFrame:
     """Phrases to labels: what turns of conversations begin with, one, two or four words, in all documents."""
     words = F.split(F.trim(F.regexp_replace(F.lower("text"), "[^a-z0-9]+", " ")), " ")
-    begins = t.conversations.select(F.col("role").alias("label"), words.alias("w"), F.explode(F.array(F.lit(1), F.lit(2), F.lit(4))).alias("n")).filter((F.size("w") >= F.col("n")) & (F.col("w")[0] != ""))
-    d = begins.select(F.array_join(F.slice("w", F.lit(1), F.col("n")), " ").alias("phrase"), "label", (F.col("n") / 4).alias("weight")).distinct()
+    some = lambda w: F.filter(F.array(F.lit(1), F.lit(2), F.lit(4)), lambda n: (F.size(w) >= n) & (w[0] != ""))
+    begins = text.let(words, lambda w: F.transform(some(w), lambda n: F.struct(F.array_join(F.slice(w, F.lit(1), n), " ").alias("phrase"), (n / 4).alias("weight"))))
+    d = t.conversations.select(F.col("role").alias("label"), F.inline(begins)).distinct()
     return serve.dictionary_phrases(t.documents.select("doc_id", words.alias("words")), "doc_id", "words", d)
 
 

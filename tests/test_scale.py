@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
@@ -31,6 +32,58 @@ def test_phrases_move_no_words(spark: SparkSession) -> None:
     assert serve.phrase_matches(rows, "id", "words", phrases.filter(F.lit(False))).count() == 0
 
 
+def test_phrases_in_blocks_shuffle_nothing(spark: SparkSession) -> None:
+    """Several blocks of phrases are met by one pass over the texts, without a shuffle of what each finds; a null word is no phrase's."""
+    rows = spark.createDataFrame([(1, ["a", "b", None, "a", "b", "c"]), (2, None), (3, ["c"])], "id long, words array<string>")
+    phrases = spark.createDataFrame([(p,) for p in ("a b", "b", "b c", "c", "a", "b  a")], "phrase string")
+    found = serve.phrase_matches(rows, "id", "words", phrases, in_task=2)
+    assert "Exchange" not in _plan(found)
+    assert {tuple(r) for r in found.collect()} == {(1, 0, 2, "a b"), (1, 3, 2, "a b"), (1, 5, 1, "c"), (3, 0, 1, "c")}
+    first = serve.phrase_matches(rows, "id", "words", phrases, once=True, in_task=2)
+    assert "Exchange" not in _plan(first)
+    assert {tuple(r) for r in first.collect()} == {(1, 0, 2, "a b"), (1, 5, 1, "c"), (3, 0, 1, "c")}
+
+
+def test_leftmost_matches_are_those_of_a_plain_loop(spark: SparkSession) -> None:
+    """Chains of overlapping matches, longer and more than are gone through at once, and matches that touch or lie apart."""
+    dice = np.random.default_rng(7)
+    for size, most in ((0, 1), (1, 9), (5_000, 2), (5_000, 9), (20_000, 3)):
+        places = np.flatnonzero(dice.random(size) < 0.7)
+        n = dice.integers(1, most + 1, len(places))
+        end, want = 0, []
+        for p, k in zip(places.tolist(), n.tolist(), strict=True):
+            want.append(p >= end)
+            end = p + k if p >= end else end
+        assert serve._leftmost(places, n).tolist() == want
+
+
+def test_a_dictionary_moves_kinds_not_phrases(spark: SparkSession) -> None:
+    """Words and phrases of a row meet no shuffled dictionary: only which sets of labels and weights were found; like a plain search."""
+    dice = np.random.default_rng(3)
+    texts = {i: ["abcdef"[k] for k in dice.integers(0, 6, i % 40)] for i in range(60)} | {60: None, 61: [""]}
+    given = [("a", "x", 0.5), ("a", "y", 0.25), ("b c", "x", 1.0), ("b c", "x", 0.75), ("c d e", None, 2.0), ("d", "z", None), ("e f", "y", 0.25), ("f", "x", 0.5), ("f", "y", 0.25), ("", "w", 9.0)]
+    want = {}
+    for key, text_words in texts.items():
+        p, text_words = 0, text_words or []
+        while p < len(text_words):
+            n = max((k for k in (1, 2, 3) if p + k <= len(text_words) and any(x[0] == " ".join(text_words[p : p + k]) != "" for x in given)), default=0)
+            for x in given:
+                if n and x[0] == " ".join(text_words[p : p + n]):
+                    known = want.get((key, x[1]))
+                    want[key, x[1]] = x[2] if known is None else max(known, x[2])
+            p += n or 1
+    rows, dictionary = spark.createDataFrame(list(texts.items()), "id long, words array<string>"), spark.createDataFrame(given, "phrase string, label string, weight double")
+    assert len({x[1] for x in want}) == 4
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        for found in (serve.dictionary_phrases(rows, "id", "words", dictionary), serve.dictionary_phrases(rows, "id", "words", dictionary, in_task=2)):
+            assert "phrase" not in _plan(found)
+            assert {(r.id, r.label): r.weight for r in found.collect()} == want
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+
+
 def test_equal_places_are_compared_once(spark: SparkSession) -> None:
     """Two thousand places of one spot, name and phone a side: one pair of classes, every pair of places, and the first of each matched."""
     side = lambda p, n: spark.range(n).select(F.concat(F.lit(p), "id").alias("id"), F.col("id").alias("pos"), F.lit("Luna Bar").alias("name"), F.lit(41.0).alias("lat"), F.lit(-87.0).alias("lon"), F.lit("312").alias("phone"))
