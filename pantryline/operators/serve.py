@@ -140,7 +140,7 @@ HASHES = pa.schema([("n", pa.int32()), ("h1", pa.int64()), ("h2", pa.int64()), (
 def _word_hashes(flat: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """The number of each word among the different ones, and of each of these two 64-bit hashes; a null is like no word."""
     coded = flat.dictionary_encode(null_encoding="encode")
-    each = b"".join(b"\xff" * 16 if w is None else hashlib.blake2b(w.encode(), digest_size=16).digest() for w in coded.dictionary.to_pylist())
+    each = b"".join(b"\xff" * 16 if w is None else hashlib.blake2b(w.encode(), digest_size=16).digest() for w in coded.dictionary.to_numpy(zero_copy_only=False))
     return coded.indices.to_numpy(), np.ascontiguousarray(np.frombuffer(each, "<u8").reshape(-1, 2).T)
 
 
